@@ -14,60 +14,62 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def market_days(df: DataFrame) -> DataFrame:
-    """Mean return, share of rising tickers and count per date, with the k-day index returns.
+def date_stats(df: DataFrame, z_columns: list[str] = ()) -> DataFrame:
+    """One row per date: market mean return, breadth, k-day index returns, and mean/std of z_columns.
 
     The index return over k dates is the product of the k daily gross means
-    minus one, null for the first k dates.
+    minus one, null for the first k dates. Dates without any return keep
+    their z statistics and have null market columns.
     """
-    rising = F.when(F.col("ret_1d") > 0, F.lit(1.0)).otherwise(F.lit(0.0))
-    days = (
-        df.where(F.col("ret_1d").isNotNull())
-        .groupBy("date")
-        .agg(
-            F.avg("ret_1d").alias("market_ret_1d"),
-            F.avg(rising).alias("breadth_up_ratio"),
-            F.count("ret_1d").alias("breadth_count"),
-        )
+    rising = F.when(F.col("ret_1d") > 0, F.lit(1.0)).when(F.col("ret_1d").isNotNull(), F.lit(0.0))
+    days = df.groupBy("date").agg(
+        F.avg("ret_1d").alias("market_ret_1d"),
+        F.avg(rising).alias("breadth_up_ratio"),
+        F.nullif(F.count("ret_1d"), F.lit(0)).alias("breadth_count"),
+        *[F.avg(c).alias(f"_m_{c}") for c in z_columns],
+        *[F.stddev_pop(c).alias(f"_s_{c}") for c in z_columns],
     )
-    # one row per trading date: an unpartitioned window over the calendar
-    calendar = Window.orderBy("date")
+    # a window over the calendar: one row per date
+    known = F.col("breadth_count").isNotNull()
+    calendar = Window.partitionBy(known).orderBy("date")
     gross = F.lit(1.0) + F.col("market_ret_1d")
 
     def index_return(k: int):
         product = F.product(gross).over(calendar.rowsBetween(-(k - 1), 0))
-        return F.when(F.row_number().over(calendar) > k, product - F.lit(1.0))
+        return F.when(known & (F.row_number().over(calendar) > k), product - F.lit(1.0))
 
     return days.select(
         "*", index_return(5).alias("market_ret_5d"), index_return(20).alias("market_ret_20d")
     )
 
 
-def add_market_context(df: DataFrame) -> DataFrame:
-    out = df.join(F.broadcast(market_days(df)), "date", "left")
+MARKET_COLUMNS = ["market_ret_1d", "breadth_up_ratio", "breadth_count", "market_ret_5d", "market_ret_20d"]
+
+
+def market_days(df: DataFrame) -> DataFrame:
+    return date_stats(df.select("date", "ret_1d")).where(F.col("breadth_count").isNotNull())
+
+
+def add_date_context(df: DataFrame, z_columns: list[str]) -> DataFrame:
+    """Market context, relative strength, the risk-on flag and z_<column> for each z column.
+
+    A z-score with a zero or missing standard deviation is null.
+    """
+    out = df.join(F.broadcast(date_stats(df, z_columns)), "date", "left")
     risk_on = (F.col("market_ret_20d") > 0.0) & (F.col("breadth_up_ratio") >= 0.5)
+    scores = [
+        F.try_divide(F.col(c) - F.col(f"_m_{c}"), F.col(f"_s_{c}")).alias(f"z_{c}") for c in z_columns
+    ]
     return out.select(
-        "*",
+        *df.columns,
+        *MARKET_COLUMNS,
         (F.col("ret_5d") - F.col("market_ret_5d")).alias("rel_strength_5d"),
         (F.col("ret_20d") - F.col("market_ret_20d")).alias("rel_strength_20d"),
         F.coalesce(risk_on, F.lit(False)).cast("int").alias("risk_on_regime"),
+        *scores,
     )
 
 
-def add_z_scores(df: DataFrame, columns: list[str], key: str = "date", prefix: str = "z_") -> DataFrame:
-    """(x - mean) / population std per date; a zero or missing std gives null."""
-    stats = df.groupBy(key).agg(
-        *[F.avg(c).alias(f"_m_{c}") for c in columns],
-        *[F.stddev_pop(c).alias(f"_s_{c}") for c in columns],
-    )
-    out = df.join(F.broadcast(stats), key, "left")
-    scored = [
-        F.try_divide(F.col(c) - F.col(f"_m_{c}"), F.col(f"_s_{c}")).alias(f"{prefix}{c}") for c in columns
-    ]
-    helpers = [f"_{kind}_{c}" for kind in "ms" for c in columns]
-    return out.select("*", *scored).drop(*helpers)
-
-
 def weighted_sum(weights: dict[str, float]):
     """Linear score; a missing part counts as zero."""
     terms = [F.lit(w) * F.coalesce(F.col(c), F.lit(0.0)) for c, w in weights.items()]

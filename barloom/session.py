@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,15 +44,8 @@ def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "barloo
     return spark
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and read it back from there.
-
-    Used where several branches of one plan must see the very same rows even
-    if an executor is lost in between. The folder is the shared one named by
-    ``spark.checkpoint.dir``; only a local session may fall back to a
-    temporary folder.
-    """
-    spark = df.sparkSession
+def _shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder: the one already set, the configured one, or (locally only) a new one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -60,4 +54,25 @@ def materialize(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="barloom-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Checkpoint ``df``: same rows, same partitions and order, lineage cut.
+
+    Used where several branches of one plan must see the very same rows even
+    if an executor is lost in between.
+    """
+    _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet in the checkpoint folder and scan it from there.
+
+    For tables that several passes read with different columns: each pass
+    then prunes columns instead of repeating the shuffles behind ``df``.
+    """
+    path = f"{_shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
