@@ -51,7 +51,8 @@ def signed_percent(x: Column, digits: int, plus_zero: bool) -> Column:
 
 def top_band(share: Column) -> Column:
     """"Top x%" text of a percent rank."""
-    return known(F.concat(fixed(F.greatest(F.lit(0.0), (1.0 - share) * 100.0), 1), F.lit("%")))
+    percent = F.when(share.isNotNull(), F.greatest(F.lit(0.0), (1.0 - share) * 100.0))
+    return known(F.concat(fixed(percent, 1), F.lit("%")))
 
 
 def eok(x: Column, lang: str) -> Column:

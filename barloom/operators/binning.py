@@ -100,34 +100,34 @@ def fit_mappers(
     it there is one group, 0. Fewer than ``min_rows`` finite values, or fewer
     than four distinct edges, give a constant mapper.
     """
-    member = F.explode(F.array(F.lit(0)) if groups is None else groups).alias("g")
-    rows = df.select(member, F.col(label).cast("double").alias("y"), *features)
+    member = F.explode(F.array(F.lit(0)) if groups is None else groups).alias("_g")
+    rows = df.select(member, F.col(label).cast("double").alias("_y"), *features)
     pairs = F.array(
-        *[F.struct(F.lit(i).alias("f"), finite(F.col(c)).alias("x")) for i, c in enumerate(features)]
+        *[F.struct(F.lit(i).alias("_f"), finite(F.col(c)).alias("_x")) for i, c in enumerate(features)]
     )
-    long = rows.select("g", "y", F.explode(pairs).alias("s")).select("g", "s.f", "s.x", "y")
+    long = rows.select("_g", "_y", F.explode(pairs).alias("_s")).select("_g", "_s._f", "_s._x", "_y")
     totals = (
-        long.groupBy("g", "f")
+        long.groupBy("_g", "_f")
         .agg(
-            F.count("x").alias("n"),
-            F.sum(F.when(F.col("x").isNotNull(), F.col("y"))).alias("up"),
-            F.avg("y").alias("mean"),
+            F.count("_x").alias("n"),
+            F.sum(F.when(F.col("_x").isNotNull(), F.col("_y"))).alias("up"),
+            F.avg("_y").alias("mean"),
         )
         .collect()
     )
-    fitted = {(t.g, t.f): t.up / t.n for t in totals if t.n >= min_rows}
+    fitted = {(t._g, t._f): t.up / t.n for t in totals if t.n >= min_rows}
     out: dict[Hashable, dict[str, Mapper]] = {}
     for t in totals:
-        base = fitted.get((t.g, t.f), t.mean if t.mean is not None else 0.5)
-        out.setdefault(t.g, {})[features[t.f]] = Mapper((), (base,), base)
+        base = fitted.get((t._g, t._f), t.mean if t.mean is not None else 0.5)
+        out.setdefault(t._g, {})[features[t._f]] = Mapper((), (base,), base)
 
     steps = [i / n_bins for i in range(n_bins + 1)]
-    quantiles = exact_quantiles(long, ["g", "f"], "x", steps, "q", split_rows).collect()
+    quantiles = exact_quantiles(long, ["_g", "_f"], "_x", steps, "q", split_rows).collect()
     inner = {}
     for row in quantiles:
         edges = sorted(set(row.q))
-        if (row.g, row.f) in fitted and len(edges) >= MIN_EDGES:
-            inner[(row.g, row.f)] = tuple(edges[1:-1])
+        if (row._g, row._f) in fitted and len(edges) >= MIN_EDGES:
+            inner[(row._g, row._f)] = tuple(edges[1:-1])
     if not inner:
         return out
 
@@ -136,20 +136,20 @@ def fit_mappers(
         for (g, f), edges in inner.items():
             if f == i:
                 leaf = interval_tree(f"`{c}`", edges, [str(k) for k in range(len(edges) + 1)])
-                tree = f"CASE WHEN g = {g} THEN {leaf} ELSE {tree} END"
+                tree = f"CASE WHEN _g = {g} THEN {leaf} ELSE {tree} END"
         known = F.when(finite(F.col(c)).isNotNull(), F.expr(tree))
-        return F.struct(F.lit(i).alias("f"), known.alias("bin"))
+        return F.struct(F.lit(i).alias("_f"), known.alias("bin"))
 
     used = sorted({f for _, f in inner})
-    binned = rows.select("g", "y", F.explode(F.array(*[located(i, features[i]) for i in used])).alias("s"))
+    binned = rows.select("_g", "_y", F.explode(F.array(*[located(i, features[i]) for i in used])).alias("_s"))
     counts = (
-        binned.select("g", "s.f", "s.bin", "y")
+        binned.select("_g", "_s._f", "_s.bin", "_y")
         .where(F.col("bin").isNotNull())
-        .groupBy("g", "f", "bin")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("up"))
+        .groupBy("_g", "_f", "bin")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("up"))
         .collect()
     )
-    seen = {(c.g, c.f, c.bin): (c.n, c.up) for c in counts}
+    seen = {(c._g, c._f, c.bin): (c.n, c.up) for c in counts}
     for (g, f), edges in inner.items():
         base = fitted[(g, f)]
         probs = []

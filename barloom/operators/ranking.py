@@ -57,9 +57,7 @@ def _slot_edges(df: DataFrame, keys: list[str], value: str, split_rows: int) ->
 def _with_slot(df: DataFrame, keys: list[str], value: str, edges: DataFrame, slot: str) -> DataFrame:
     """Slot number: 2i for "above edge i", 2i-1 for "equal to edge i"; 0 when the group is not split."""
     x = F.col(value)
-    joined = df.join(edges, [df[k].eqNullSafe(edges[k]) for k in keys], "left").select(
-        *[df[c] for c in df.columns], edges["_fine"]
-    )
+    joined = df.join(edges, keys, "left").select(*df.columns, "_fine")
     coarse = F.size(F.filter("_fine", lambda chunk: chunk[0] <= x))
     joined = joined.withColumn("_c", coarse)
     chunk = F.element_at("_fine", F.col("_c"))
@@ -86,7 +84,7 @@ def with_positions(
 ) -> DataFrame:
     """Add, per row, how many rows of its group hold a smaller and an equal value.
 
-    ``value`` must not be null.
+    ``value`` and the keys must not be null.
     """
     if largest_group(df, keys) <= split_rows:
         ordered = Window.partitionBy(*keys).orderBy(value)

@@ -119,7 +119,7 @@ class WalkForward:
             self.rows, features, "target_up", n_bins=n_bins, alpha=alpha, groups=train, split_rows=split_rows
         )
         self.validation = self.rows.select(
-            F.explode(val).alias("fold"), F.col("target_up").cast("double").alias("y"), *features
+            F.explode(val).alias("_fold"), F.col("target_up").cast("double").alias("_y"), *features
         )
 
     def scored(self, models: list[tuple[int, Model]]) -> DataFrame:
@@ -128,14 +128,14 @@ class WalkForward:
         def score(model: Model):
             value = F.lit(None).cast("double")
             for fold, mappers in self.mappers.items():
-                value = F.when(F.col("fold") == fold, model_score(model, mappers)).otherwise(value)
+                value = F.when(F.col("_fold") == fold, model_score(model, mappers)).otherwise(value)
             return value
 
         pairs = F.array(
             *[F.struct(F.lit(i).cast("long").alias("candidate_id"), score(m).alias("p")) for i, m in models]
         )
-        return self.validation.select("fold", "y", F.explode(pairs).alias("s")).select(
-            "fold", "s.candidate_id", "s.p", "y"
+        return self.validation.select("_fold", "_y", F.explode(pairs).alias("_s")).select(
+            F.col("_fold").alias("fold"), "_s.candidate_id", "_s.p", F.col("_y").alias("y")
         )
 
     def fold_metrics(self, models: list[tuple[int, Model]]) -> DataFrame:
