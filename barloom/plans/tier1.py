@@ -93,7 +93,9 @@ def tier1_features(bars: DataFrame, history: int = 20) -> DataFrame:
     """Features of every ticker with at least ``history`` bars, with context and composite score."""
     features = symbol_features(min_history(bars, history))
     scored = add_date_context(features, Z_COLUMNS)
-    return scored.withColumn("tier1_composite_score", weighted_sum(SCORE_WEIGHTS))
+    # the last bits of a mean depend on merge order: drop them, so that ties and
+    # ranks come out the same on every run
+    return scored.withColumn("tier1_composite_score", F.round(weighted_sum(SCORE_WEIGHTS), 12))
 
 
 def passes(rules: CandidateRules):

@@ -373,7 +373,7 @@ def _adjusted_ewm_sql() -> str:
         SELECT i.ticker, i.rn, i.{x} + {d} * s.num, 1 + {d} * s.den FROM {name} s JOIN {source} i ON i.ticker = s.ticker AND i.rn = s.rn + 1)"""
 
     return query(
-        f"""SELECT nb.ticker, nb.date, {r('m.macd', 'macd')}, {r('sg.num / sg.den', 'macd_signal')}, {r('m.macd - sg.num / sg.den', 'macd_hist')}
+        f"""SELECT nb.ticker, nb.date, {r('m.macd', 'macd', 4)}, {r('sg.num / sg.den', 'macd_signal', 4)}, {r('m.macd - sg.num / sg.den', 'macd_hist', 4)}
         FROM nb JOIN m USING (ticker, rn) JOIN sg USING (ticker, rn)""",
         NUMBERED,
         step("f12", "nb", "close", 12),
@@ -386,7 +386,7 @@ def _adjusted_ewm_sql() -> str:
 @QUERIES.add("ewm_macd_adjusted", _adjusted_ewm_sql())
 def ewm_macd_adjusted(t: Tables):
     out = recursive.ewm_columns(t.bars.select("ticker", "date", "close"), adjust=True)
-    return rounded(out.drop("close"))
+    return rounded(out.drop("close"), digits=4)
 
 
 def _all_sql() -> str:

@@ -58,7 +58,7 @@ tz AS (SELECT f2.*, market_ret_1d, breadth_up_ratio, breadth_count, market_ret_5
   ret_5d - market_ret_5d AS rel_strength_5d, ret_20d - market_ret_20d AS rel_strength_20d,
   CAST(coalesce(market_ret_20d > 0 AND breadth_up_ratio >= 0.5, false) AS INTEGER) AS risk_on_regime,
   {', '.join(_z(c) for c in tier1.Z_COLUMNS)} FROM f2 LEFT JOIN mkt USING (date)),
-tier1 AS (SELECT *, {' + '.join(f'({w}::DOUBLE) * coalesce({c}, 0)' for c, w in tier1.SCORE_WEIGHTS.items())} AS tier1_composite_score FROM tz)"""
+tier1 AS (SELECT *, round({' + '.join(f'({w}::DOUBLE) * coalesce({c}, 0)' for c, w in tier1.SCORE_WEIGHTS.items())}, 12) AS tier1_composite_score FROM tz)"""
 TIER1 = [FEATURES_SQL, MARKET_SQL, TIER1_SQL]
 PER_TICKER = """ret_1d ret_5d ret_20d log_ret_1d sma20 sma60 dist_sma20 dist_sma60 tr atr14 natr14 realized_vol20 vol_ma20
   rvol20 dollar_volume dollar_volume_z20 breakout_dist_20 bb_mid20 bb_upper20 bb_lower20 bb_width20 bb_percent_b20"""
@@ -533,7 +533,7 @@ VARIANCE_SQL = [
     f"""v2 AS (SELECT *, {' + '.join(f'{c} * {w}::DOUBLE' for c, w in variance.QUALITY_WEIGHTS.items())} AS quality_raw,
     sqrt(({' + '.join(f'({c} - {MEAN4}) * ({c} - {MEAN4})' for c in FOUR)}) / 4) AS factor_dispersion FROM v1)""",
     f"v3 AS (SELECT *, {_all_pct('round(factor_dispersion, 12)', 'dp')} FROM v2)",
-    "v4 AS (SELECT *, round_even(quality_raw * 1000, 0) / 10 AS quality_score, round_even((1 - dp) * 1000, 0) / 10 AS stability_score FROM v3)",
+    "v4 AS (SELECT *, round_even(quality_raw * 100 * 10, 0) / 10 AS quality_score, round_even((1 - dp) * 100 * 10, 0) / 10 AS stability_score FROM v3)",
     f"""vs AS (SELECT *, round_even((quality_score * 0.72::DOUBLE + stability_score * 0.28::DOUBLE) * 10, 0) / 10 AS final_score,
     {', '.join(_bucket_sql(b) for b in variance.BUCKETS)} FROM v4)""",
 ]
