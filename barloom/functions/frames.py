@@ -7,9 +7,10 @@ calendar -- about 250 rows a year -- whatever the size of the data set.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -18,23 +19,54 @@ def series(key: str = "ticker", order: str = "date") -> WindowSpec:
 
 
 class Frames:
-    """Rolling expressions over a series.
+    """Rolling expressions over a series, each computed once.
 
-    Every expression shares one partitioning and ordering, so Spark plans one
-    exchange and one sort however many of them are selected.
+    Methods return references to hidden columns; ``select`` adds the distinct
+    window expressions behind them and then builds the requested columns.
+    Spark would evaluate a window expression again for every place it occurs
+    in; here a mean used by five indicators is one expression. All of them
+    share one partitioning and ordering, hence one exchange and one sort.
     """
 
     def __init__(self, key: str = "ticker", order: str = "date"):
         self.spec = series(key, order)
+        self._known: dict[str, str] = {}
+        self._levels: dict[str, tuple[int, Column]] = {}
+
+    def once(self, expression: Column) -> Column:
+        """Reference to a window expression over ``spec``."""
+        text = str(expression)
+        if text not in self._known:
+            name = f"_w{len(self._known)}_"
+            # an expression over other hidden columns is added after them
+            inner = [self._levels[n][0] for n in re.findall(r"_w\d+_", text)]
+            self._known[text] = name
+            self._levels[name] = (1 + max(inner, default=0), expression)
+        return F.col(self._known[text])
+
+    def select(self, df: DataFrame, *columns: Column | str) -> DataFrame:
+        """``df.select(*columns)`` where columns may hold references of this object; "*" is df's own columns."""
+        own = df.columns
+        for level in sorted({depth for depth, _ in self._levels.values()}):
+            added = [e.alias(name) for name, (depth, e) in self._levels.items() if depth == level]
+            df = df.select("*", *added)
+        wanted: list[Column | str] = []
+        for c in columns:
+            wanted.extend(own if isinstance(c, str) and c == "*" else [c])
+        return df.select(*wanted)
 
     def lag(self, x: Column | str, k: int = 1) -> Column:
-        return F.lag(x, k).over(self.spec)
+        return self.once(F.lag(x, k).over(self.spec))
 
     def lead(self, x: Column | str, k: int = 1) -> Column:
-        return F.lead(x, k).over(self.spec)
+        return self.once(F.lead(x, k).over(self.spec))
 
     def bar_number(self) -> Column:
-        return F.row_number().over(self.spec)
+        return self.once(F.row_number().over(self.spec))
+
+    def rows(self, agg: Callable[[Column], Column], x: Column, n: int, shift: int = 0) -> Column:
+        """``agg`` over the n rows ending ``shift`` rows back, however many there are."""
+        return self.once(agg(x).over(self.spec.rowsBetween(-(n - 1) - shift, -shift)))
 
     def rolling(
         self,
@@ -46,19 +78,17 @@ class Frames:
         dense: bool = False,
         partial: bool = False,
     ) -> Column:
-        """``agg`` over the n rows ending ``shift`` rows back.
+        """``agg`` over a frame, null until the frame holds n non-null values.
 
-        Null until the frame holds n non-null values. ``dense`` says x has no
-        nulls, so the row number replaces a count over the frame; ``partial``
-        drops the rule (short frames give a value).
+        ``dense`` says x has no nulls, so the row number replaces a count over
+        the frame; ``partial`` drops the rule (short frames give a value).
         """
-        frame = self.spec.rowsBetween(-(n - 1) - shift, -shift)
-        value = agg(x).over(frame)
+        value = self.rows(agg, x, n, shift)
         if partial:
             return value
         if dense:
             return F.when(self.bar_number() >= n + shift, value)
-        return F.when(F.count(x).over(frame) == n, value)
+        return F.when(self.rows(F.count, x, n, shift) == n, value)
 
     def mean(self, x: Column, n: int, **kw) -> Column:
         return self.rolling(F.avg, x, n, **kw)
@@ -77,4 +107,4 @@ class Frames:
         return self.rolling({0: F.stddev_pop, 1: F.stddev_samp}[ddof], x, n, **kw)
 
     def running(self, agg: Callable[[Column], Column], x: Column) -> Column:
-        return agg(x).over(self.spec.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        return self.once(agg(x).over(self.spec.rowsBetween(Window.unboundedPreceding, Window.currentRow)))

@@ -1,7 +1,7 @@
 """Technical indicators that are windows over one ticker's series.
 
 Each function returns a Column (or a dict of them) built on a ``Frames``
-object; selecting any number of first-level indicators keeps one exchange and
+object and is selected through it; any number of them keeps one exchange and
 one sort. Indicators with a true recurrence live in ``recursive``.
 """
 
@@ -37,8 +37,6 @@ def _strength(gain: Column, loss: Column) -> Column:
 
 
 def _means(f: Frames, x: Column, n: int, seed: str) -> tuple[Column, Column]:
-    # the moves hold a lag themselves, so they are averaged through a running
-    # difference-free frame: Spark nests the lag below this window
     gain, loss = _gain_loss(f, x, seed)
     return f.mean(gain, n), f.mean(loss, n)
 
@@ -111,9 +109,7 @@ def typical_price(high: Column, low: Column, close: Column) -> Column:
 def cci(f: Frames, high: Column, low: Column, close: Column, n: int = 14) -> Column:
     """(tp - mean) / (0.015 * mean absolute deviation around that mean)."""
     tp = typical_price(high, low, close)
-    frame = f.spec.rowsBetween(-(n - 1), 0)
-    mean = F.avg(tp).over(frame)
-    window_values = F.collect_list(tp).over(frame)
+    mean, window_values = f.rows(F.avg, tp, n), f.rows(F.collect_list, tp, n)
     deviation = F.aggregate(window_values, F.lit(0.0), lambda acc, v: acc + F.abs(v - mean)) / F.lit(float(n))
     return F.when(f.bar_number() >= n, ratio(tp - mean, F.lit(0.015) * deviation))
 
@@ -195,4 +191,4 @@ def window_indicators(bars: DataFrame) -> DataFrame:
         "cmf_20": chaikin_money_flow(f, *hlc, o["volume"]),
         "vwma_20": vwma(f, o["close"], o["volume"]),
     }
-    return bars.select("*", *[c.alias(name) for name, c in columns.items()])
+    return f.select(bars, "*", *[c.alias(name) for name, c in columns.items()])

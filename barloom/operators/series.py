@@ -131,7 +131,8 @@ def max_dates(df: DataFrame) -> DataFrame:
 def returns(df: DataFrame, price: str = "close") -> DataFrame:
     """1/5/20-row returns and the log return."""
     f, x = Frames(), F.col(price)
-    return df.select(
+    return f.select(
+        df,
         "*",
         *[change(x, f.lag(x, k)).alias(f"ret_{k}d") for k in (1, 5, 20)],
         (F.ln(x) - f.lag(F.ln(x))).alias("log_ret_1d"),
@@ -141,7 +142,7 @@ def returns(df: DataFrame, price: str = "close") -> DataFrame:
 def next_day_labels(df: DataFrame) -> DataFrame:
     """Rows whose next close is known and whose close is positive, with label and forward return."""
     f = Frames()
-    out = df.withColumn("next_close", f.lead("close")).withColumn("prev_close", f.lag("close"))
+    out = f.select(df, "*", f.lead("close").alias("next_close"), f.lag("close").alias("prev_close"))
     return out.where(F.col("next_close").isNotNull() & (F.col("close") > 0)).select(
         "*",
         (F.col("next_close") > F.col("close")).cast("int").alias("target_up"),

@@ -47,8 +47,9 @@ def close_vs_52w_range(bars: DataFrame, as_of: str | Column | None = None) -> Da
 
 def cross_section_momentum(bars: DataFrame, k: int = 20, out: str = "ret_1m") -> DataFrame:
     """Each ticker's newest known k-row return, highest first."""
-    momentum = change(F.col("close"), Frames().lag("close", k))
-    known = bars.select("ticker", "date", momentum.alias(out)).where(F.col(out).isNotNull())
+    f = Frames()
+    momentum = change(F.col("close"), f.lag("close", k))
+    known = f.select(bars, "ticker", "date", momentum.alias(out)).where(F.col(out).isNotNull())
     return latest_per_ticker(known).orderBy(F.col(out).desc_nulls_last(), "ticker")
 
 
@@ -64,7 +65,8 @@ def with_indicators(
     adjust = {"recursive": False, "adjusted": True}[flavour]
     picked = slice_half_open(bars, ticker, start, end)
     rsi = rsi_unguarded if adjust else rsi_null_seed
-    out = picked.select("*", rsi(Frames(), F.col("close"), 14).alias("rsi_14"))
+    f = Frames()
+    out = f.select(picked, "*", rsi(f, F.col("close"), 14).alias("rsi_14"))
     return ewm_columns(out, adjust=adjust).orderBy("date")
 
 

@@ -110,7 +110,7 @@ def score_days(
     mappers = fit_mappers(train, features, "target_up", n_bins=n_bins, alpha=alpha, split_rows=split_rows)[0]
 
     f = Frames()
-    rows = frame.select(*columns).withColumn("prev_close", f.lag("close"))
+    rows = f.select(frame.select(*columns), "*", f.lag("close").alias("prev_close"))
     in_range = F.lit(True)
     if start is not None:
         in_range = in_range & (F.col("date") >= F.lit(start).cast("date"))

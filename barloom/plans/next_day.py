@@ -21,7 +21,8 @@ def signal_features(bars: DataFrame, lookback_days: int, as_of: str | Column | N
     """
     f, close = Frames(), F.col("close")
     window = trailing_window(bars, lookback_days, as_of).where(bare_code(F.col("ticker")).rlike(BARE_CODE))
-    rows = window.select(
+    rows = f.select(
+        window,
         "ticker",
         "date",
         F.to_date("date").alias("trade_date"),

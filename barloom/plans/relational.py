@@ -14,7 +14,8 @@ from barloom.schema import DERIVED_COLUMNS, PRICE_COLUMNS
 def relational_features(bars: DataFrame) -> DataFrame:
     """Daily return in percent, RSI(14) and three moving averages of adj_close, as doubles."""
     f, x = Frames(), F.col("adj_close")
-    return bars.select(
+    return f.select(
+        bars,
         F.col("ticker").alias("symbol"),
         F.to_date("date").alias("trade_date"),
         *PRICE_COLUMNS,
@@ -42,7 +43,8 @@ def market_features(bars: DataFrame) -> DataFrame:
     """Trading value, 1-day return, moving averages and 20-day volatility of the return."""
     f, x = Frames(), F.col("close")
     ret = change(x, f.lag(x))
-    return bars.select(
+    return f.select(
+        bars,
         "*",
         (x * F.col("volume")).alias("trading_value"),
         ret.alias("return_1d"),

@@ -48,45 +48,35 @@ def symbol_features(bars: DataFrame) -> DataFrame:
     """Per-ticker features. Prices are adj_close; ranges and breakouts use raw high and low."""
     f = Frames()
     x, high, low, volume = (F.col(c) for c in ("adj_close", "high", "low", "volume"))
-    first = bars.select(
-        "*",
-        *[change(x, f.lag(x, k)).alias(f"ret_{k}d") for k in (1, 5, 20)],
-        (F.ln(x) - f.lag(F.ln(x))).alias("log_ret_1d"),
-        f.mean(x, 20, dense=True).alias("sma20"),
-        f.mean(x, 60, dense=True).alias("sma60"),
-        true_range(f, high, low, x).alias("tr"),
-        f.mean(volume, 20).alias("vol_ma20"),
-        (x * volume).alias("dollar_volume"),
-        change(x, f.highest(high, 20, shift=1, dense=True)).alias("breakout_dist_20"),
-        *[c.alias(f"_{n}") for n, c in bollinger(f, x, 20, ddof=1).items()],
-    )
-    dollars = F.col("dollar_volume")
-    atr = f.mean(F.col("tr"), 14, dense=True)
-    return first.select(
-        *bars.columns,
-        "ret_1d",
-        "ret_5d",
-        "ret_20d",
-        "log_ret_1d",
-        "sma20",
-        "sma60",
-        change(x, F.col("sma20")).alias("dist_sma20"),
-        change(x, F.col("sma60")).alias("dist_sma60"),
-        "tr",
-        atr.alias("atr14"),
-        ratio(atr, x).alias("natr14"),
-        realized_vol(f, F.col("log_ret_1d")).alias("realized_vol20"),
-        "vol_ma20",
-        ratio(volume, F.col("vol_ma20")).alias("rvol20"),
-        "dollar_volume",
-        ratio(dollars - f.mean(dollars, 20), f.std(dollars, 20, ddof=1)).alias("dollar_volume_z20"),
-        "breakout_dist_20",
-        F.col("_bbm_20").alias("bb_mid20"),
-        F.col("_bbu_20").alias("bb_upper20"),
-        F.col("_bbl_20").alias("bb_lower20"),
-        (F.col("_bbb_20") / F.lit(100.0)).alias("bb_width20"),
-        F.col("_bbp_20").alias("bb_percent_b20"),
-    )
+    log_return = F.ln(x) - f.lag(F.ln(x))
+    sma20, sma60 = f.mean(x, 20, dense=True), f.mean(x, 60, dense=True)
+    tr = true_range(f, high, low, x)
+    atr = f.mean(tr, 14, dense=True)
+    volume_mean, dollars = f.mean(volume, 20), x * volume
+    bands = bollinger(f, x, 20, ddof=1)
+    columns = {
+        **{f"ret_{k}d": change(x, f.lag(x, k)) for k in (1, 5, 20)},
+        "log_ret_1d": log_return,
+        "sma20": sma20,
+        "sma60": sma60,
+        "dist_sma20": change(x, sma20),
+        "dist_sma60": change(x, sma60),
+        "tr": tr,
+        "atr14": atr,
+        "natr14": ratio(atr, x),
+        "realized_vol20": realized_vol(f, log_return),
+        "vol_ma20": volume_mean,
+        "rvol20": ratio(volume, volume_mean),
+        "dollar_volume": dollars,
+        "dollar_volume_z20": ratio(dollars - f.mean(dollars, 20), f.std(dollars, 20, ddof=1)),
+        "breakout_dist_20": change(x, f.highest(high, 20, shift=1, dense=True)),
+        "bb_mid20": bands["bbm_20"],
+        "bb_upper20": bands["bbu_20"],
+        "bb_lower20": bands["bbl_20"],
+        "bb_width20": bands["bbb_20"] / F.lit(100.0),
+        "bb_percent_b20": bands["bbp_20"],
+    }
+    return f.select(bars, "*", *[c.alias(name) for name, c in columns.items()])
 
 
 def tier1_features(bars: DataFrame, history: int = 20) -> DataFrame:

@@ -11,8 +11,8 @@ from barloom.registry.base import Catalogue, Tables, W, frame, lag, query, r, ro
 QUERIES = Catalogue()
 
 
-def _window(t: Tables, columns: dict):
-    return rounded(t.bars.select("ticker", "date", *[c.alias(n) for n, c in columns.items()]))
+def _window(t: Tables, f: Frames, columns: dict):
+    return rounded(f.select(t.bars, "ticker", "date", *[c.alias(n) for n, c in columns.items()]))
 
 
 def _hlc():
@@ -37,17 +37,20 @@ def _rsi_sql(gain: str, loss: str, unguarded: bool = False) -> str:
 
 @QUERIES.add("rsi_simple_null_seed", _rsi_sql("g2", "l2"))
 def rsi_simple_null_seed(t: Tables):
-    return _window(t, {"rsi_14": ind.rsi(Frames(), F.col("close"), 14, "null_seed")})
+    f = Frames()
+    return _window(t, f, {"rsi_14": ind.rsi(f, F.col("close"), 14, "null_seed")})
 
 
 @QUERIES.add("rsi_simple_zero_seed", _rsi_sql("g1", "l1"))
 def rsi_simple_zero_seed(t: Tables):
-    return _window(t, {"rsi_14": ind.rsi(Frames(), F.col("close"), 14, "zero_seed")})
+    f = Frames()
+    return _window(t, f, {"rsi_14": ind.rsi(f, F.col("close"), 14, "zero_seed")})
 
 
 @QUERIES.add("rsi_unguarded", _rsi_sql("g1", "l1", unguarded=True))
 def rsi_unguarded(t: Tables):
-    return _window(t, {"rsi_14": ind.rsi(Frames(), F.col("close"), 14, "unguarded")})
+    f = Frames()
+    return _window(t, f, {"rsi_14": ind.rsi(f, F.col("close"), 14, "unguarded")})
 
 
 @QUERIES.add(
@@ -55,7 +58,8 @@ def rsi_unguarded(t: Tables):
     query(f"SELECT ticker, date, {', '.join(r(roll('avg', 'close', n), f'sma_{n}') for n in (5, 20, 60, 120))} FROM bars"),
 )
 def sma_set(t: Tables):
-    return _window(t, ind.sma_set(Frames(), F.col("close")))
+    f = Frames()
+    return _window(t, f, ind.sma_set(f, F.col("close")))
 
 
 def _mid(n: int) -> str:
@@ -64,7 +68,8 @@ def _mid(n: int) -> str:
 
 @QUERIES.add("ichimoku_lines", query(f"SELECT ticker, date, {r(_mid(9), 'its_9')}, {r(_mid(26), 'iks_26')} FROM bars"))
 def ichimoku_lines(t: Tables):
-    return _window(t, ind.ichimoku_lines(Frames(), F.col("high"), F.col("low")))
+    f = Frames()
+    return _window(t, f, ind.ichimoku_lines(f, F.col("high"), F.col("low")))
 
 
 HH, LL = roll("max", "high", 14), roll("min", "low", 14)
@@ -79,7 +84,8 @@ HH, LL = roll("max", "high", 14), roll("min", "low", 14)
     ),
 )
 def stochastic(t: Tables):
-    return _window(t, ind.stochastic(Frames(), *_hlc()))
+    f = Frames()
+    return _window(t, f, ind.stochastic(f, *_hlc()))
 
 
 @QUERIES.add(
@@ -87,7 +93,8 @@ def stochastic(t: Tables):
     query(f"SELECT ticker, date, {r(f'-100 * (({HH}) - close) / nullif(({HH}) - ({LL}), 0)', 'willr_14')} FROM bars"),
 )
 def williams_r(t: Tables):
-    return _window(t, {"willr_14": ind.williams_r(Frames(), *_hlc())})
+    f = Frames()
+    return _window(t, f, {"willr_14": ind.williams_r(f, *_hlc())})
 
 
 @QUERIES.add(
@@ -99,7 +106,7 @@ def williams_r(t: Tables):
 )
 def roc_mom(t: Tables):
     f, x = Frames(), F.col("close")
-    return _window(t, {"roc_10": ind.rate_of_change(f, x), "mom_10": ind.momentum(f, x)})
+    return _window(t, f, {"roc_10": ind.rate_of_change(f, x), "mom_10": ind.momentum(f, x)})
 
 
 @QUERIES.add(
@@ -112,7 +119,8 @@ def roc_mom(t: Tables):
     ),
 )
 def cci(t: Tables):
-    return _window(t, {"cci_14": ind.cci(Frames(), *_hlc())})
+    f = Frames()
+    return _window(t, f, {"cci_14": ind.cci(f, *_hlc())})
 
 
 def _bands(ddof: str) -> str:
@@ -126,12 +134,14 @@ BAND_COLUMNS = f"""{rs('bbl_20 bbm_20 bbu_20')}, {r('100 * (bbu_20 - bbl_20) / n
 
 @QUERIES.add("bollinger", query(f"SELECT ticker, date, {BAND_COLUMNS} FROM b", _bands("stddev_pop")))
 def bollinger(t: Tables):
-    return _window(t, ind.bollinger(Frames(), F.col("close")))
+    f = Frames()
+    return _window(t, f, ind.bollinger(f, F.col("close")))
 
 
 @QUERIES.add("bollinger_sample", query(f"SELECT ticker, date, {BAND_COLUMNS} FROM b", _bands("stddev_samp")))
 def bollinger_sample(t: Tables):
-    return _window(t, ind.bollinger(Frames(), F.col("close"), ddof=1))
+    f = Frames()
+    return _window(t, f, ind.bollinger(f, F.col("close"), ddof=1))
 
 
 TR = f"""tr AS (SELECT *, greatest(high - low, abs(high - pc), abs(low - pc)) AS tr
@@ -150,12 +160,13 @@ def atr_natr(t: Tables):
     f = Frames()
     tr = ind.true_range(f, *_hlc())
     atr = f.mean(tr, 14)
-    return _window(t, {"tr": tr, "atr14": atr, "natr14": F.try_divide(atr, F.col("close"))})
+    return _window(t, f, {"tr": tr, "atr14": atr, "natr14": F.try_divide(atr, F.col("close"))})
 
 
 @QUERIES.add("stdev", query(f"SELECT ticker, date, {r(roll('stddev_samp', 'close', 20), 'stdev_20')} FROM bars"))
 def stdev(t: Tables):
-    return _window(t, {"stdev_20": Frames().std(F.col("close"), 20, ddof=1, dense=True)})
+    f = Frames()
+    return _window(t, f, {"stdev_20": f.std(F.col("close"), 20, ddof=1, dense=True)})
 
 
 @QUERIES.add(
@@ -163,7 +174,8 @@ def stdev(t: Tables):
     query(f"SELECT ticker, date, {r(f'CAST(sum(sign(coalesce(d, 0)) * volume) OVER ({W}) AS DOUBLE)', 'obv')} FROM moves", MOVES),
 )
 def obv(t: Tables):
-    return _window(t, {"obv": ind.on_balance_volume(Frames(), F.col("close"), F.col("volume"))})
+    f = Frames()
+    return _window(t, f, {"obv": ind.on_balance_volume(f, F.col("close"), F.col("volume"))})
 
 
 @QUERIES.add(
@@ -177,7 +189,8 @@ def obv(t: Tables):
     ),
 )
 def mfi(t: Tables):
-    return _window(t, {"mfi_14": ind.money_flow_index(Frames(), *_hlc(), F.col("volume"))})
+    f = Frames()
+    return _window(t, f, {"mfi_14": ind.money_flow_index(f, *_hlc(), F.col("volume"))})
 
 
 @QUERIES.add(
@@ -188,7 +201,8 @@ def mfi(t: Tables):
     ),
 )
 def cmf(t: Tables):
-    return _window(t, {"cmf_20": ind.chaikin_money_flow(Frames(), *_hlc(), F.col("volume"))})
+    f = Frames()
+    return _window(t, f, {"cmf_20": ind.chaikin_money_flow(f, *_hlc(), F.col("volume"))})
 
 
 @QUERIES.add(
@@ -199,7 +213,8 @@ def cmf(t: Tables):
     ),
 )
 def vwma(t: Tables):
-    return _window(t, {"vwma_20": ind.vwma(Frames(), F.col("close"), F.col("volume"))})
+    f = Frames()
+    return _window(t, f, {"vwma_20": ind.vwma(f, F.col("close"), F.col("volume"))})
 
 
 # --- recurrences -------------------------------------------------------------

@@ -183,8 +183,8 @@ def returns_multi(t: Tables):
 def rolling_std(t: Tables):
     f, x = Frames(), F.col("close")
     return rounded(
-        t.bars.select(
-            "ticker", "date", f.std(x, 20, ddof=1).alias("std_samp_20"), f.std(x, 20, ddof=0).alias("std_pop_20")
+        f.select(
+            t.bars, "ticker", "date", f.std(x, 20, ddof=1).alias("std_samp_20"), f.std(x, 20, ddof=0).alias("std_pop_20")
         )
     )
 
@@ -199,7 +199,8 @@ def rolling_std(t: Tables):
 def sma_partial(t: Tables):
     f = Frames()
     return rounded(
-        t.bars.select(
+        f.select(
+            t.bars,
             "ticker",
             "date",
             f.mean(F.col("close"), 20, partial=True).alias("sma20"),
@@ -215,8 +216,9 @@ def sma_partial(t: Tables):
     ),
 )
 def breakout_dist(t: Tables):
-    top = Frames().highest(F.col("high"), 20, shift=1)
-    return rounded(t.bars.select("ticker", "date", change(F.col("adj_close"), top).alias("breakout_dist_20")))
+    f = Frames()
+    top = f.highest(F.col("high"), 20, shift=1)
+    return rounded(f.select(t.bars, "ticker", "date", change(F.col("adj_close"), top).alias("breakout_dist_20")))
 
 
 @QUERIES.add(
@@ -233,7 +235,8 @@ def rvol_dollar_volume_z(t: Tables):
     dollars = F.col("adj_close") * volume
     z = ratio(dollars - f.mean(dollars, 20), f.std(dollars, 20, ddof=1))
     return rounded(
-        t.bars.select(
+        f.select(
+            t.bars,
             "ticker",
             "date",
             ratio(volume, f.mean(volume, 20)).alias("rvol20"),
@@ -253,7 +256,7 @@ def rvol_dollar_volume_z(t: Tables):
 def realized_vol_query(t: Tables):
     f = Frames()
     log_return = F.ln("adj_close") - f.lag(F.ln("adj_close"))
-    return rounded(t.bars.select("ticker", "date", realized_vol(f, log_return).alias("realized_vol20")))
+    return rounded(f.select(t.bars, "ticker", "date", realized_vol(f, log_return).alias("realized_vol20")))
 
 
 @QUERIES.add(

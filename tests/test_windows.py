@@ -25,7 +25,8 @@ def walk(n, seed=5, start=100.0):
 @pytest.mark.parametrize("bars,first", [(19, None), (20, 19), (21, 19)])
 def test_sma_needs_full_frame(make_bars, bars, first):
     df = make_bars({"A": [float(i) for i in range(1, bars + 1)]})
-    got = column(df.select("*", Frames().mean(F.col("close"), 20).alias("s")), "s")
+    f = Frames()
+    got = column(f.select(df, "*", f.mean(F.col("close"), 20).alias("s")), "s")
     known = [i for i, v in enumerate(got) if v is not None]
     assert (known[0] if known else None) == first
     if first is not None:
@@ -35,15 +36,16 @@ def test_sma_needs_full_frame(make_bars, bars, first):
 def test_null_inside_frame_blanks_it(make_bars):
     closes = [1.0, 2.0, None, 4.0, 5.0, 6.0]
     df = make_bars({"A": closes}).withColumn("close", F.col("close"))
-    got = column(df.select("*", Frames().mean(F.col("close"), 3).alias("s")), "s")
+    f = Frames()
+    got = column(f.select(df, "*", f.mean(F.col("close"), 3).alias("s")), "s")
     assert got == [None, None, None, None, None, 5.0]
 
 
 def test_rsi_variants_differ_where_they_should(make_bars):
     ramp = make_bars({"A": [float(i) for i in range(1, 21)]})
     f, x = Frames(), F.col("close")
-    got = ramp.select(
-        "ticker", "date",
+    got = f.select(
+        ramp, "ticker", "date",
         indicators.rsi(f, x, 14, "null_seed").alias("a"),
         indicators.rsi(f, x, 14, "zero_seed").alias("b"),
         indicators.rsi(f, x, 14, "unguarded").alias("c"),
@@ -52,8 +54,9 @@ def test_rsi_variants_differ_where_they_should(make_bars):
     assert column(got, "c") == [None] * 13 + [100.0] * 7
 
     closes = walk(16)
-    got = make_bars({"A": closes}).select(
-        "ticker", "date", indicators.rsi(f, x, 14, "null_seed").alias("a"), indicators.rsi(f, x, 14, "zero_seed").alias("b")
+    f = Frames()
+    got = f.select(
+        make_bars({"A": closes}), "ticker", "date", indicators.rsi(f, x, 14, "null_seed").alias("a"), indicators.rsi(f, x, 14, "zero_seed").alias("b")
     )
     a, b = column(got, "a"), column(got, "b")
     assert [v is None for v in a[12:]] == [True, True, False, False]
@@ -75,7 +78,8 @@ def test_flat_series_gives_nulls_not_errors(make_bars):
 
 
 def test_single_bar_has_true_range(make_bars):
-    got = make_bars({"A": [10.0]}).select("ticker", "date", indicators.true_range(Frames(), F.col("high"), F.col("low"), F.col("close")).alias("tr"))
+    f = Frames()
+    got = f.select(make_bars({"A": [10.0]}), "ticker", "date", indicators.true_range(f, F.col("high"), F.col("low"), F.col("close")).alias("tr"))
     assert column(got, "tr") == [2.0]
 
 
