@@ -18,10 +18,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.session import materialize
+from barloom.session import materialize, staged
 
-SPLIT_ROWS = 2_000_000
-FAN = 32  # edges form a FAN x FAN two-level table: 2*FAN comparisons find a slot
+SPLIT_ROWS = 4_000_000
+MAX_EDGES = 128
 SALTS = 32
 
 
@@ -31,47 +31,40 @@ def largest_group(df: DataFrame, keys: list[str]) -> int:
 
 
 def _slot_edges(df: DataFrame, keys: list[str], value: str, split_rows: int) -> DataFrame:
-    """(keys, edge table) for every group larger than ``split_rows``.
+    """(keys, edges) for every group larger than ``split_rows``.
 
-    Written out once: the counting branch and the ranking branch must agree
-    on the edges, and approximate quantiles depend on merge order.
+    A group gets about four edges per ``split_rows`` rows, at most MAX_EDGES,
+    so the whole table holds no more than 4 * rows / split_rows numbers. It
+    is written out once: the counting branch and the ranking branch must
+    agree on the edges, and approximate quantiles depend on merge order.
     """
-    steps = FAN * FAN
-    probabilities = F.array(*[F.lit(i / steps) for i in range(steps + 1)])
-    edges = (
-        df.groupBy(*keys)
-        .agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.percentile_approx(value, probabilities, F.lit(20 * steps)).alias("_e"),
-        )
-        .where(F.col("_n") > split_rows)
-        .select(*keys, F.array_distinct("_e").alias("_e"))
-    )
-    chunks = F.transform(
-        F.sequence(F.lit(0), F.ceil(F.size("_e") / FAN).cast("int") - 1),
-        lambda i: F.slice(F.col("_e"), i * FAN + 1, FAN),
+    probabilities = F.array(*[F.lit(i / MAX_EDGES) for i in range(MAX_EDGES + 1)])
+    sketched = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.percentile_approx(value, probabilities, F.lit(20 * MAX_EDGES)).alias("_e"),
     )
-    return materialize(edges.select(*keys, chunks.alias("_fine")))
+    wanted = F.least(F.lit(MAX_EDGES), F.ceil(4 * F.col("_n") / split_rows))
+    step = F.greatest(F.lit(1), F.floor(F.lit(MAX_EDGES) / wanted)).cast("int").alias("_step")
+    large = sketched.where(F.col("_n") > split_rows).select(*keys, "_e", step)
+    thinned = F.filter("_e", lambda _e, i: i % F.col("_step") == 0)
+    return materialize(large.select(*keys, F.array_distinct(thinned).alias("_edges")))
 
 
 def _with_slot(df: DataFrame, keys: list[str], value: str, edges: DataFrame, slot: str) -> DataFrame:
-    """Slot number: 2i for "above edge i", 2i-1 for "equal to edge i"; 0 when the group is not split."""
+    """Slot number: 2i for "above edge i", 2i-1 for "equal to edge i"; 0 when the group is not split.
+
+    That is the number of edges <= value plus the number of edges < value.
+    """
     x = F.col(value)
-    joined = df.join(edges, keys, "left").select(*df.columns, "_fine")
-    coarse = F.size(F.filter("_fine", lambda chunk: chunk[0] <= x))
-    joined = joined.withColumn("_c", coarse)
-    chunk = F.element_at("_fine", F.col("_c"))
-    joined = joined.withColumn("_p", F.when(F.col("_c") > 0, F.size(F.filter(chunk, lambda e: e <= x))))
-    index = (F.col("_c") - 1) * FAN + F.col("_p")
-    is_edge = F.element_at(chunk, F.col("_p")) == x
-    number = F.when(F.col("_fine").isNull() | (F.col("_c") <= 0), F.lit(0)).otherwise(
-        index * 2 - F.when(is_edge, 1).otherwise(0)
+    passed = F.aggregate(
+        "_edges", F.lit(0), lambda n, e: n + (e <= x).cast("int") + (e < x).cast("int")
     )
-    return joined.withColumn(slot, number.cast("int")).drop("_fine", "_c", "_p")
+    joined = df.join(edges, keys, "left")
+    return joined.select(*df.columns, F.coalesce(passed, F.lit(0)).alias(slot))
 
 
 def _slot_counts(slotted: DataFrame, keys: list[str], slot: str, value: str) -> DataFrame:
-    """Rows per slot and rows of the group before it; at most 2*FAN*FAN+1 slots per group."""
+    """Rows per slot and rows of the group before it; at most 2 * MAX_EDGES + 3 slots per group."""
     counts = slotted.groupBy(*keys, slot).agg(
         F.count(F.lit(1)).alias("_in_slot"), F.min(value).alias("_slot_value")
     )
@@ -213,12 +206,11 @@ def exact_quantiles(
     out: str = "quantiles",
     split_rows: int = SPLIT_ROWS,
 ) -> DataFrame:
-    """Exact linear-interpolated quantiles per group: (keys, array<double>). Nulls are ignored."""
-    known = df.where(F.col(value).isNotNull())
-    if largest_group(known, keys) <= split_rows:
-        asked = F.array(*[F.lit(float(p)) for p in probabilities])
-        return known.groupBy(*keys).agg(F.percentile(value, asked).alias(out))
+    """Exact linear-interpolated quantiles per group: (keys, array<double>). Nulls are ignored.
 
+    Read off at their ranks, so no task holds the distinct values of a group.
+    """
+    known = df.where(F.col(value).isNotNull())
     sizes = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     points = sizes.select(
         *keys,
@@ -232,7 +224,7 @@ def exact_quantiles(
     high = found.select(*keys, F.col("rank").alias("_hi"), F.col(value).alias("_b"))
     weight_high = F.col("_pos") - F.col("_lo")
     # same arithmetic as percentile(): (hi - pos) * a + (pos - lo) * b
-    at = F.when(F.col("_lo") == F.col("_hi"), F.col("_a")).otherwise(
+    at = F.when((F.col("_lo") == F.col("_hi")) | (F.col("_a") == F.col("_b")), F.col("_a")).otherwise(
         (F.col("_hi") - F.col("_pos")) * F.col("_a") + weight_high * F.col("_b")
     )
     return (
@@ -249,9 +241,11 @@ def number_rows(
 ) -> DataFrame:
     """1, 2, 3, ... over the whole table in ``order`` (which must be total).
 
-    Small inputs use one window. Larger ones are range-sorted and written out
-    once; each sorted partition then adds the row count of those before it.
+    The input is written once, so that counting and ordering do not repeat
+    the work behind it. Small inputs then use one window. Larger ones are
+    range-sorted; each sorted partition adds the row count of those before it.
     """
+    df = staged(df)
     size = df.count()
     if size <= split_rows:
         return df.withColumn(out, F.row_number().over(Window.orderBy(*order)))

@@ -139,10 +139,17 @@ def returns(df: DataFrame, price: str = "close") -> DataFrame:
     )
 
 
+def with_neighbours(df: DataFrame) -> DataFrame:
+    """Add the close of the bar before and after (left alone if already there)."""
+    if {"next_close", "prev_close"} <= set(df.columns):
+        return df
+    f = Frames()
+    return f.select(df, "*", f.lead("close").alias("next_close"), f.lag("close").alias("prev_close"))
+
+
 def next_day_labels(df: DataFrame) -> DataFrame:
     """Rows whose next close is known and whose close is positive, with label and forward return."""
-    f = Frames()
-    out = f.select(df, "*", f.lead("close").alias("next_close"), f.lag("close").alias("prev_close"))
+    out = with_neighbours(df)
     return out.where(F.col("next_close").isNotNull() & (F.col("close") > 0)).select(
         "*",
         (F.col("next_close") > F.col("close")).cast("int").alias("target_up"),

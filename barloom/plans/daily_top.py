@@ -7,11 +7,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.frames import Frames
 from barloom.functions.numeric import band_score, change
 from barloom.operators.binning import Model, fit_mappers, model_score
 from barloom.operators.ranking import SPLIT_ROWS, percent_ranks, top_per_group
-from barloom.operators.series import latest_per_ticker, next_day_labels
+from barloom.operators.series import latest_per_ticker, next_day_labels, with_neighbours
 from barloom.session import staged
 
 # Default blend of turnover, 1-day return and model rank.
@@ -104,13 +103,12 @@ def score_days(
     turnover_w, return_w, model_w = normalized_weights(*blend)
     features = list(model.features)
     columns = list(dict.fromkeys(["ticker", "date", "close", "high", "volume", *features]))
-    train = next_day_labels(frame.select(*columns))
+    rows = with_neighbours(frame).select(*columns, "next_close", "prev_close")
+    train = next_day_labels(rows)
     if train_end is not None:
         train = train.where(F.col("date") <= F.lit(train_end).cast("date"))
     mappers = fit_mappers(train, features, "target_up", n_bins=n_bins, alpha=alpha, split_rows=split_rows)[0]
 
-    f = Frames()
-    rows = f.select(frame.select(*columns), "*", f.lag("close").alias("prev_close"))
     in_range = F.lit(True)
     if start is not None:
         in_range = in_range & (F.col("date") >= F.lit(start).cast("date"))
@@ -153,13 +151,14 @@ def pick_order() -> list[Column]:
 def daily_top_n(frame: DataFrame, model: Model, master: DataFrame, n: int = 5, **scoring) -> DataFrame:
     """The n best tickers of each date, with names and the best return since.
 
-    The frame is written once (columnar, in the checkpoint folder): fitting,
-    scoring and the look-ahead each scan only the columns they need.
+    The frame is written once with its neighbouring closes (columnar, in the
+    checkpoint folder): fitting, scoring and the look-ahead each scan only the
+    columns they need, and the labels are plain projections.
     """
     if n <= 0:
         raise ValueError("n must be positive")
     columns = list(dict.fromkeys(["ticker", "date", "close", "high", "volume", *model.features]))
-    table = staged(frame.select(*columns))
+    table = staged(with_neighbours(frame.select(*columns)))
     picks = top_per_group(score_days(table, model, **scoring), ["date"], pick_order(), n)
     picks = with_names(add_max_return_since_buy(picks, table), master)
     return picks.select(
@@ -173,7 +172,7 @@ def daily_top_n(frame: DataFrame, model: Model, master: DataFrame, n: int = 5, *
 def predict_latest(frame: DataFrame, model: Model, n: int = 25, **fit) -> DataFrame:
     """Fit on all labelled rows, score each ticker's row on the newest market date, keep the top n."""
     features = list(model.features)
-    table = staged(frame.select("ticker", "date", "close", *features))
+    table = staged(with_neighbours(frame.select("ticker", "date", "close", *features)))
     mappers = fit_mappers(next_day_labels(table), features, "target_up", **fit)[0]
     newest = latest_per_ticker(table, require_market_date=True)
     scored = newest.select("date", "ticker", "close", model_score(model, mappers).alias("prob_up_next_day"))

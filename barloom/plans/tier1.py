@@ -85,7 +85,7 @@ def tier1_features(bars: DataFrame, history: int = 20) -> DataFrame:
     scored = add_date_context(features, Z_COLUMNS)
     # the last bits of a mean depend on merge order: drop them, so that ties and
     # ranks come out the same on every run
-    return scored.withColumn("tier1_composite_score", F.round(weighted_sum(SCORE_WEIGHTS), 12))
+    return scored.withColumn("tier1_composite_score", F.rint(weighted_sum(SCORE_WEIGHTS) * 1e12) / 1e12)
 
 
 def passes(rules: CandidateRules):

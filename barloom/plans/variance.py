@@ -74,7 +74,7 @@ def variance_scores(candidates: DataFrame, split_rows: int = SPLIT_ROWS) -> Data
     quality = sum((F.col(c) * F.lit(w) for c, w in QUALITY_WEIGHTS.items()), F.lit(0.0))
     spread = row_std([F.col(c) for c in ("momentum_pct", "breakout_pct", "volume_pct", "volatility_pct")])
     # equal spreads must tie: drop the last bits the summation order decides
-    ranked = ranked.withColumn("quality_raw", quality).withColumn("factor_dispersion", F.round(spread, 12))
+    ranked = ranked.withColumn("quality_raw", quality).withColumn("factor_dispersion", F.rint(spread * 1e12) / 1e12)
     ranked = percent_ranks(
         ranked, ["_all"], {"_dispersion_pct": "factor_dispersion"}, nulls="keep", split_rows=split_rows
     )

@@ -68,7 +68,7 @@ def rounded(df: DataFrame, *columns: str, digits: int = DIGITS) -> DataFrame:
     scale = float(10**digits)
     return df.select(
         *[
-            (F.round((F.col(f.name) + NUDGE) * scale) / scale + F.lit(0.0)).alias(f.name)
+            (F.rint((F.col(f.name) + NUDGE) * scale) / scale + F.lit(0.0)).alias(f.name)
             if isinstance(f.dataType, T.DoubleType) and (not columns or f.name in columns)
             else F.col(f.name)
             for f in df.schema.fields

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators import cross_section, ranking
 from barloom.operators.binning import Model, fit_mappers, mapped_probability, mappers_frame, model_score, quantile_edges
-from barloom.operators.series import next_day_labels, returns
+from barloom.operators.series import next_day_labels, returns, with_neighbours
 from barloom.plans import daily_top, next_day, tier1, variance, walk_forward
 from barloom.registry.base import MASTER, Catalogue, Tables, W, frame, lag, query, r, roll, rounded, rs
 from barloom.session import staged
@@ -316,7 +316,7 @@ def _train(t: Tables):
     ),
 )
 def quantile_edges_query(t: Tables):
-    labelled = next_day_labels(_train(t))
+    labelled = staged(next_day_labels(_train(t)))
     edges = quantile_edges(labelled, list(MODEL.features))
     return rounded(
         edges.select("feature", F.posexplode("edges").alias("i", "edge")).select(
@@ -338,7 +338,7 @@ def prob_mapper(t: Tables):
 
 @QUERIES.add("prob_apply", query(f"SELECT ticker, date, {rs('prob_up_next_day')} FROM ps", *FIT, *_score_sql()))
 def prob_apply(t: Tables):
-    table = staged(_train(t))
+    table = staged(with_neighbours(_train(t)))
     mappers = fit_mappers(next_day_labels(table), list(MODEL.features), "target_up")[0]
     return rounded(table.select("ticker", "date", model_score(MODEL, mappers).alias("prob_up_next_day")))
 
@@ -353,7 +353,7 @@ def prob_apply(t: Tables):
     ),
 )
 def ai_score(t: Tables):
-    return daily_top.score_days(staged(_train(t)), MODEL).select("ticker", "date", "ai_score")
+    return daily_top.score_days(staged(with_neighbours(_train(t))), MODEL).select("ticker", "date", "ai_score")
 
 
 PEAKS_SQL = """(SELECT max(b.high) FROM bars b WHERE b.ticker = p.ticker AND b.date > p.date)"""
