@@ -21,21 +21,23 @@ def bars_from_trades(lineitem: DataFrame) -> DataFrame:
     large share of all fills is reduced to one row per task before the
     shuffle. The output is unique on (ticker, date).
     """
-    price = F.try_divide("l_extendedprice", "l_quantity")
+    # the price is the last part of the ordering key, so it is read from there
     fills = lineitem.select(
         "l_suppkey",
         F.to_date("l_shipdate").alias("date"),
-        price.alias("price"),
         "l_quantity",
-        F.struct("l_orderkey", "l_linenumber", "l_partkey", price.alias("p")).alias("seq"),
-    ).where(F.col("price").isNotNull())
+        F.struct(
+            "l_orderkey", "l_linenumber", "l_partkey", F.try_divide("l_extendedprice", "l_quantity").alias("price")
+        ).alias("fill"),
+    ).where(F.col("fill.price").isNotNull())
     bars = fills.groupBy("l_suppkey", "date").agg(
-        F.min_by("price", "seq").alias("open"),
-        F.max("price").alias("high"),
-        F.min("price").alias("low"),
-        F.max_by("price", "seq").alias("close"),
+        F.min("fill").alias("first"),
+        F.max("fill").alias("last"),
+        F.max("fill.price").alias("high"),
+        F.min("fill.price").alias("low"),
         F.sum("l_quantity").cast("long").alias("volume"),
     )
+    bars = bars.withColumns({"open": F.col("first.price"), "close": F.col("last.price")})
     return bars.select(
         ticker_of(F.col("l_suppkey")).alias("ticker"),
         "date",
