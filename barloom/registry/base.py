@@ -66,9 +66,15 @@ def rounded(df: DataFrame, *columns: str, digits: int = DIGITS) -> DataFrame:
     would decide.
     """
     scale = float(10**digits)
+
+    def cut(x):
+        scaled = (x + NUDGE) * scale
+        whole = F.floor(F.abs(scaled) + 0.5).cast("double")
+        return F.when(scaled < 0, -whole).otherwise(whole) / scale + F.lit(0.0)
+
     return df.select(
         *[
-            (F.rint((F.col(f.name) + NUDGE) * scale) / scale + F.lit(0.0)).alias(f.name)
+            cut(F.col(f.name)).alias(f.name)
             if isinstance(f.dataType, T.DoubleType) and (not columns or f.name in columns)
             else F.col(f.name)
             for f in df.schema.fields
