@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,34 @@ def arrow_map(df: DataFrame, step: Callable[..., Iterator[pa.RecordBatch]], sche
     return df.mapInArrow(functools.partial(step, **parameters) if parameters else step, schema)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables whose readers are done."""
+    for table in tables:
+        if files := table.inputFiles():
+            spark = table.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def pack(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Replace a text column by compressed bytes, for texts that a shuffle carries."""
+    press = zstandard.ZstdCompressor(level=3)
+    for batch, texts in text_slices(batches, column):
+        at = batch.schema.get_field_index(column)
+        yield batch.set_column(at, pa.field(column, pa.binary()), pa.array([press.compress(t) for t in texts], pa.binary()))
+
+
+def unpacked(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The reverse of ``pack``, some rows at a time."""
+    press = zstandard.ZstdDecompressor()
+    for batch in batches:
+        for i in range(0, batch.num_rows, 256):
+            part = batch.slice(i, 256)
+            at = part.schema.get_field_index(column)
+            texts = pa.array([press.decompress(x.as_py()) for x in part.column(column)], pa.binary())
+            yield part.set_column(at, pa.field(column, pa.binary()), texts)
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Each batch in row ranges of about ``limit`` bytes of text; null text is empty."""
     for batch in batches:
