@@ -23,11 +23,12 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import Forest, arrow_map, batch_of, by_key, mixed, sorted_groups, text_slices, word_hashes
+from barloom.llm.common import Forest, arrow_map, batch_of, by_key, mixed, pack, sorted_groups, text_slices, unpacked, word_hashes
 from barloom.llm.graph import connected_components
 from barloom.session import staged
 
 BUCKET_BITS = 20
+PIECE_BITS = 14
 RANK_BITS, HASH_BITS = 12, 32  # a token is known by its rank and hash together
 SLICE = 1 << 20
 PAIRS = 1 << 20  # pairs compared in one step
@@ -72,13 +73,27 @@ def dedup_lines(docs: DataFrame, parameters: LineParameters = LineParameters())
 def rarity_table(texts: DataFrame) -> np.ndarray:
     """Rank 0 (rarest) to 4095 of each of 2**20 word buckets, from the word counts of all texts.
 
-    Counted per task first; what comes to the driver is the table of fixed size.
+    Counted per task first; what comes to the driver is the table of fixed size, two bytes a bucket, in pieces.
     """
-    counts = arrow_map(texts.select("text"), _bucket_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    totals = np.zeros(1 << BUCKET_BITS, np.int64)
-    totals[counts["bucket"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
-    ranks = np.ceil(100 * np.log2(np.maximum(totals, 1))).astype(np.uint64)
-    return np.minimum(ranks, np.uint64((1 << RANK_BITS) - 1))
+    counts = arrow_map(texts.select("text"), _bucket_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    counts = counts.withColumn("piece", F.expr(f"cast(shiftright(bucket, {PIECE_BITS}) as long)"))
+    table = np.zeros(1 << BUCKET_BITS, np.uint16)
+    for row in arrow_map(by_key(counts, "piece"), _rank_pieces, "piece long, ranks binary").collect():
+        at = row["piece"] << PIECE_BITS
+        table[at : at + (1 << PIECE_BITS)] = np.frombuffer(row["ranks"], np.uint16)
+    return table
+
+
+def _rank_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for table, bounds in sorted_groups(batches, "piece"):
+        pieces, buckets, n = (table.column(c).to_numpy() for c in ("piece", "bucket", "n"))
+        ranks = np.minimum(np.ceil(100 * np.log2(n)), (1 << RANK_BITS) - 1).astype(np.uint16)
+        rows = []
+        for lo, hi in zip(bounds[:-1], bounds[1:]):
+            own = np.zeros(1 << PIECE_BITS, np.uint16)
+            own[buckets[lo:hi] & ((1 << PIECE_BITS) - 1)] = ranks[lo:hi]
+            rows.append(own.tobytes())
+        yield batch_of(pa.schema([("piece", pa.int64()), ("ranks", pa.binary())]), pieces[bounds[:-1]], rows)
 
 
 def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +109,7 @@ def token_sets(lines: list[list[bytes]], ranks: np.ndarray) -> tuple[np.ndarray,
     """Distinct tokens of all lines, each line's by rarity, and the bounds of the lines."""
     hashes = word_hashes([w for words in lines for w in words])
     line = np.repeat(np.arange(len(lines), dtype=np.uint64), [len(words) for words in lines])
-    token = ranks[(hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)] << np.uint64(HASH_BITS) | hashes & np.uint64((1 << HASH_BITS) - 1)
+    token = ranks[(hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(HASH_BITS) | hashes & np.uint64((1 << HASH_BITS) - 1)
     keys = np.unique(line << np.uint64(RANK_BITS + HASH_BITS) | token)
     owner = (keys >> np.uint64(RANK_BITS + HASH_BITS)).astype(np.int64)
     bounds = np.searchsorted(owner, np.arange(len(lines) + 1))
@@ -238,7 +253,8 @@ def _with_tokens(texts: DataFrame, members: DataFrame, rarity: Broadcast) -> Dat
     wanted = members.groupBy("doc_id", "digest").agg(F.collect_list(about).alias("wanted")).withColumnRenamed("doc_id", "_id").withColumnRenamed("digest", "_digest")
     # rows that repeat id and text would give their lines twice
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))
-    holding = texts.join(wanted, same).select("doc_id", "digest", "text", "wanted")
+    packed = arrow_map(texts, pack, "doc_id long, text binary, digest long")
+    holding = packed.join(wanted, same).select("doc_id", "digest", "text", "wanted")
     schema = "id long, family long, size long, nameless boolean, doc_id long, digest long, line_no int, tokens binary"
     return arrow_map(holding, _tokens_of, schema, rarity=rarity).dropDuplicates(["id"])
 
@@ -251,7 +267,7 @@ TOKENS = pa.schema(
 
 def _tokens_of(batches: Iterator[pa.RecordBatch], rarity: Broadcast) -> Iterator[pa.RecordBatch]:
     ranks = rarity.value
-    for batch, texts in text_slices(batches, limit=SLICE):
+    for batch, texts in text_slices(unpacked(batches), limit=SLICE):
         ids, digests, wanted = (batch.column(c).to_pylist() for c in ("doc_id", "digest", "wanted"))
         found = []
         for row, text in enumerate(texts):
@@ -266,8 +282,9 @@ def _tokens_of(batches: Iterator[pa.RecordBatch], rarity: Broadcast) -> Iterator
 
 
 def _verified(rows: DataFrame, p: LineParameters) -> DataFrame:
-    rows = rows.select("part", "asks", "id", "nameless", "doc_id", "digest", "line_no", "tokens")
-    return arrow_map(by_key(rows, "part", "nameless", "doc_id", "digest", "line_no"), _later_ones, "id long", p=p)
+    # a row that asks stands before its own copy that only answers
+    rows = rows.select("part", "asks", "id", "nameless", "doc_id", "digest", "line_no", (~F.col("asks")).alias("quiet"), "tokens")
+    return arrow_map(by_key(rows, "part", "nameless", "doc_id", "digest", "line_no", "quiet"), _later_ones, "id long", p=p)
 
 
 def _later_ones(batches: Iterator[pa.RecordBatch], p: LineParameters) -> Iterator[pa.RecordBatch]:
