@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.common import discard
 from barloom.session import staged
 
 
@@ -22,7 +23,8 @@ def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     for _ in range(rounds):
         if before[0] == 0:
             break
-        current = staged(_small_star(_large_star(current)))
+        last, current = current, staged(_small_star(_large_star(current)))
+        discard(last)
         now = _state(current)
         if now == before:
             break

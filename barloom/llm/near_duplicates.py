@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import Forest, arrow_map, batch_of, by_key, narrowed, shingle_sets, sorted_groups, text_slices
+from barloom.llm.common import Forest, arrow_map, batch_of, by_key, narrowed, pack, shingle_sets, sorted_groups, text_slices, unpacked
 from barloom.llm.graph import connected_components
 from barloom.session import staged
 
@@ -46,7 +46,7 @@ class NearParameters:
     slack: float = 0.2
     trees: int = 8
     branches: int = 2
-    levels: int = 3
+    levels: int = 2
     small: int = 256
     settle_rounds: int = 3
 
@@ -129,7 +129,7 @@ def _sketches(batches: Iterator[pa.RecordBatch], p: NearParameters) -> Iterator[
 
 def _full_sets(batches: Iterator[pa.RecordBatch], p: NearParameters) -> Iterator[pa.RecordBatch]:
     multipliers = _multipliers(p.tokens)
-    for _, texts in text_slices(batches):
+    for _, texts in text_slices(unpacked(batches)):
         sets = [s for s in shingle_sets(texts, p.words) if len(s)]
         yield batch_of(SETS, [_class_of(s) for s in sets], [minwise(s, multipliers).tobytes() for s in sets], [s.tobytes() for s in sets])
 
@@ -152,8 +152,10 @@ def candidate_edges(classes: DataFrame, p: NearParameters) -> DataFrame:
         edges = found if edges is None else edges.unionByName(found)
         if large.isEmpty():
             return edges
-        edges = staged(edges.unionByName(_compared(_random_blocks(large, "node", level, p.small), tokens, p)))
-        open_nodes = _without_settled(large.select("node", "cls"), connected_components(edges))
+        components = connected_components(edges.unionByName(_compared(_random_blocks(large, "node", level, p.small), tokens, p)))
+        # later levels only need what is connected, not by which edges
+        edges = components.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        open_nodes = _without_settled(large.select("node", "cls"), components)
         if level == p.levels - 1:
             return edges.unionByName(_compared(_block_pairs(open_nodes, "node", p.small), tokens, p))
         nodes = _children(open_nodes, tokens, level, p)
@@ -246,7 +248,8 @@ def settle(docs: DataFrame, classes: DataFrame, families: DataFrame, p: NearPara
     families = staged(families.select(F.col("node").alias("cls"), F.col("component").alias("family")))
     sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
     ids = classes.join(families, "cls", "left_semi").where("first_id is not null").select(F.col("first_id").alias("doc_id")).distinct()
-    wanted = docs.join(ids, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select("text")
+    packed = arrow_map(docs, pack, "doc_id long, text binary")
+    wanted = packed.join(ids, "doc_id", "left_semi").unionByName(packed.where("doc_id is null")).select("text")
     sets = arrow_map(wanted, _full_sets, "cls binary, tokens binary, shingles binary", p=p).dropDuplicates(["cls"])
     members = staged(sets.join(families, "cls").join(sizes, "family"))
     small = members.where(F.col("size") <= p.small).withColumn("part", F.xxhash64("family"))
@@ -256,11 +259,12 @@ def settle(docs: DataFrame, classes: DataFrame, families: DataFrame, p: NearPara
         return _labels(connected_components(edges))
     for round_ in range(p.settle_rounds):
         edges = edges.unionByName(_verified(_random_blocks(large, "family", round_, p.small), p))
-    edges = staged(edges)
+    components = connected_components(edges)
     rows = large.select(F.col("family").alias("node"), "cls")
-    pairs = _block_pairs(_without_settled(rows, connected_components(edges)), "node", p.small)
+    pairs = _block_pairs(_without_settled(rows, components), "node", p.small)
     rest = _verified(pairs.join(members.select("cls", "tokens", "shingles"), "cls"), p)
-    return _labels(connected_components(edges.unionByName(rest)))
+    known = components.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return _labels(connected_components(known.unionByName(rest)))
 
 
 def _labels(components: DataFrame) -> DataFrame:
