@@ -19,11 +19,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import arrow_map, batch_of, by_key, mixed, sorted_groups, text_slices
+from barloom.llm.common import arrow_map, batch_of, by_key, discard, mixed, pack, sorted_groups, text_slices, unpacked
 from barloom.llm.suffix_array import permuted_common_prefixes, suffix_array
 from barloom.session import staged
 
@@ -40,9 +39,9 @@ class RepeatParameters:
     """
 
     length: int = 200
-    gram: int = 64
+    gram: int = 48
     group: int = 1000
-    shard: int = 2 << 20
+    shard: int = 1 << 19
 
 
 def remove_repeats(docs: DataFrame, parameters: RepeatParameters = RepeatParameters(), with_text: bool = False) -> DataFrame:
@@ -59,25 +58,27 @@ def remove_repeats(docs: DataFrame, parameters: RepeatParameters = RepeatParamet
     named = texts.withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(1), F.col("text"))})
     long = named.where(F.octet_length("text") >= p.length).select("k1", "k2", "text")
     copied = long.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("k1", "k2", F.lit(True).alias("copied"))
-    starts = repeated_starts(long, p)
+    starts, stretches = repeated_starts(long, p)
     spans = starts.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last")).alias("starts"))
     known = staged(spans.join(copied, ["k1", "k2"], "full"))
-    packed = arrow_map(named, _packed, "doc_id long, k1 long, k2 long, packed binary")
+    discard(stretches)
+    packed = arrow_map(named.select("doc_id", "k1", "k2", "text"), pack, "doc_id long, k1 long, k2 long, text binary")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     return arrow_map(packed.join(known, ["k1", "k2"], "left"), _cut, schema, p=p, with_text=with_text)
 
 
-def repeated_starts(texts: DataFrame, p: RepeatParameters) -> DataFrame:
+def repeated_starts(texts: DataFrame, p: RepeatParameters) -> tuple[DataFrame, DataFrame]:
     """(k1, k2, first, last): ranges of starts of strings that start elsewhere too, per different text.
 
-    Strings of a copied text may be missing, as it is known to be repeated whole.
+    Strings of a copied text may be missing, as it is known to be repeated whole. Also
+    returns the written table behind them.
     """
-    anchors = arrow_map(texts, _anchors, "gram long, k1 long, k2 long, first int, last int", p=p)
+    anchors = arrow_map(texts, _anchors, "gram long, k1 long, k2 long, place long", p=p)
     shared = anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     # copies of a text collapse here; one of them brings its stretches
-    held = anchors.join(shared, "gram").groupBy("k1", "k2", "gram", "size", "first", "last").agg(F.count(F.lit(1)).alias("copies"))
-    lists = held.groupBy("k1", "k2").agg(F.collect_list(F.struct("gram", "size", "first", "last")).alias("anchors"))
-    packed = arrow_map(texts, _packed, "doc_id long, k1 long, k2 long, packed binary").select("k1", "k2", "packed")
+    held = anchors.join(shared, "gram").groupBy("k1", "k2", "gram", "size", "place").agg(F.count(F.lit(1)).alias("copies"))
+    lists = held.groupBy("k1", "k2").agg(F.collect_list(F.struct("gram", "size", "place")).alias("anchors"))
+    packed = arrow_map(texts.select("k1", "k2", "text"), pack, "k1 long, k2 long, text binary")
     stretches = arrow_map(
         packed.join(lists, ["k1", "k2"]), _stretches, "gram long, size long, k1 long, k2 long, first int, stretch binary", p=p
     )
@@ -85,7 +86,7 @@ def repeated_starts(texts: DataFrame, p: RepeatParameters) -> DataFrame:
     small = by_key(stretches.where(F.col("size") <= p.group), "gram")
     found = arrow_map(small, _by_suffix_array, "k1 long, k2 long, first int, last int", p=p)
     large = stretches.where(F.col("size") > p.group)
-    return found if large.isEmpty() else found.unionByName(_by_digest(large, p))
+    return (found if large.isEmpty() else found.unionByName(_by_digest(large, p))), stretches
 
 
 def _by_digest(stretches: DataFrame, p: RepeatParameters) -> DataFrame:
@@ -95,24 +96,6 @@ def _by_digest(stretches: DataFrame, p: RepeatParameters) -> DataFrame:
     return strings.join(twice, ["d1", "d2"]).select("k1", "k2", "first", F.col("first").alias("last"))
 
 
-# --- texts --------------------------------------------------------------------
-
-PACKED = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("packed", pa.binary())])
-
-
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts compressed before they are shuffled."""
-    press = zstandard.ZstdCompressor(level=3)
-    for batch, texts in text_slices(batches):
-        ids = batch.column("doc_id") if "doc_id" in batch.schema.names else pa.nulls(batch.num_rows, pa.int64())
-        yield batch_of(PACKED, ids, batch.column("k1"), batch.column("k2"), [press.compress(t) for t in texts])
-
-
-def _unpacked(packed: pa.Array) -> Iterator[bytes]:
-    press = zstandard.ZstdDecompressor()
-    return (press.decompress(x.as_py()) for x in packed)
-
-
 # --- anchors ------------------------------------------------------------------
 
 
@@ -159,7 +142,7 @@ def anchors_of(texts: list[bytes], p: RepeatParameters) -> tuple[np.ndarray, np.
     return own, begins - offsets[own], stops - offsets[own], hashes[least[begins].astype(np.int64)]
 
 
-ANCHORS = pa.schema([("gram", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
+ANCHORS = pa.schema([("gram", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("place", pa.int64())])  # first start and, in the low half, the last
 
 
 def _anchors(batches: Iterator[pa.RecordBatch], p: RepeatParameters) -> Iterator[pa.RecordBatch]:
@@ -167,7 +150,7 @@ def _anchors(batches: Iterator[pa.RecordBatch], p: RepeatParameters) -> Iterator
         for lo, hi in _bounded(texts):
             own, first, last, gram = anchors_of(texts[lo:hi], p)
             k1, k2 = (batch.column(c).to_numpy()[lo:hi][own] for c in ("k1", "k2"))
-            yield batch_of(ANCHORS, gram.view(np.int64), k1, k2, first.astype(np.int32), last.astype(np.int32))
+            yield batch_of(ANCHORS, gram.view(np.int64), k1, k2, first << 32 | last)
 
 
 def _bounded(texts: list[bytes]) -> Iterator[tuple[int, int]]:
@@ -187,13 +170,14 @@ STRETCHES = pa.schema(
 
 
 def _stretches(batches: Iterator[pa.RecordBatch], p: RepeatParameters) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in unpacked(batches):
         k1, k2, anchors = (batch.column(c).to_pylist() for c in ("k1", "k2", "anchors"))
         rows, held = [], 0
-        for a, b, own, text in zip(k1, k2, anchors, _unpacked(batch.column("packed"))):
+        for a, b, own, text in zip(k1, k2, anchors, batch.column("text").to_pylist()):
             for x in own:
-                stretch = text[x["first"] : x["last"] + p.length]
-                rows.append((x["gram"], x["size"], a, b, x["first"], stretch))
+                first, last = x["place"] >> 32, x["place"] & 0xFFFFFFFF
+                stretch = text[first : last + p.length]
+                rows.append((x["gram"], x["size"], a, b, first, stretch))
                 held += len(stretch)
             if held > SLICE:
                 yield batch_of(STRETCHES, *zip(*rows))
@@ -276,10 +260,10 @@ CUT = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()
 
 def _cut(batches: Iterator[pa.RecordBatch], p: RepeatParameters, with_text: bool) -> Iterator[pa.RecordBatch]:
     schema = pa.schema(CUT + [("kept", pa.binary())] * with_text)
-    for batch in batches:
+    for batch in unpacked(batches):
         rows = []
         copied, starts = batch.column("copied").to_pylist(), batch.column("starts").to_pylist()
-        for whole, own, text in zip(copied, starts, _unpacked(batch.column("packed"))):
+        for whole, own, text in zip(copied, starts, batch.column("text").to_pylist()):
             steps = np.zeros(len(text) + 1, np.int32)
             if whole:
                 own = [{"first": 0, "last": len(text) - p.length}]
