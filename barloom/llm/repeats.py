@@ -90,10 +90,21 @@ def repeated_starts(texts: DataFrame, p: RepeatParameters) -> tuple[DataFrame, D
 
 
 def _by_digest(stretches: DataFrame, p: RepeatParameters) -> DataFrame:
-    """The same for groups of any size: a digest of every string, counted."""
-    strings = arrow_map(stretches, _digests, "d1 long, d2 long, k1 long, k2 long, first int", p=p)
-    twice = strings.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("d1", "d2")
-    return strings.join(twice, ["d1", "d2"]).select("k1", "k2", "first", F.col("first").alias("last"))
+    """The same for groups of any size: a digest of every string of the different stretches, counted.
+
+    All strings of a stretch that stands in several places are repeated; only
+    stretches of one place need to know which of their strings others hold.
+    """
+    named = stretches.withColumns({"c1": F.xxhash64("gram", "stretch"), "c2": F.xxhash64(F.lit(1), F.col("stretch"))})
+    one = F.struct("k1", "k2", "first", "stretch")
+    places = named.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("places"), F.any_value(one).alias("one"))
+    distinct = staged(places.select("c1", "c2", "places", "one.*"))
+    last = F.col("first") + F.octet_length("stretch") - p.length
+    several = named.join(distinct.where("places > 1").select("c1", "c2"), ["c1", "c2"]).select("k1", "k2", "first", last.alias("last"))
+    strings = arrow_map(distinct, _digests, "d1 long, d2 long, alone boolean, k1 long, k2 long, first int", p=p)
+    counted = strings.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.max("alone").alias("wanted")).where("n > 1 and wanted")
+    found = strings.where("alone").join(counted.select("d1", "d2"), ["d1", "d2"])
+    return several.unionByName(found.select("k1", "k2", "first", F.col("first").alias("last")))
 
 
 # --- anchors ------------------------------------------------------------------
@@ -199,7 +210,7 @@ def repeated_in(stretches: list[bytes], length: int) -> list[np.ndarray]:
     starts = np.cumsum(lengths + 1) - (lengths + 1)
     data[starts + lengths] = 1
     s = np.concatenate([data, np.zeros(1, np.uint8)])
-    sa = suffix_array(s.astype(np.int64), 258)
+    sa = suffix_array(s, 256)
     shared = permuted_common_prefixes(s, sa, starts, int(lengths.max()) + length)
     with_next = np.zeros(len(s), np.int64)
     with_next[sa[:-1]] = shared[sa[1:]]
@@ -240,17 +251,17 @@ def _by_suffix_array(batches: Iterator[pa.RecordBatch], p: RepeatParameters) ->
         yield settled()
 
 
-DIGESTS = pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("first", pa.int32())])
+DIGESTS = pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("alone", pa.bool_()), ("k1", pa.int64()), ("k2", pa.int64()), ("first", pa.int32())])
 
 
 def _digests(batches: Iterator[pa.RecordBatch], p: RepeatParameters) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        k1, k2, first = (batch.column(c).to_pylist() for c in ("k1", "k2", "first"))
+        k1, k2, first, places = (batch.column(c).to_pylist() for c in ("k1", "k2", "first", "places"))
         for i, stretch in enumerate(batch.column("stretch").to_pylist()):
             n = len(stretch) - p.length + 1
             both = b"".join([xxhash.xxh3_128_digest(stretch[j : j + p.length]) for j in range(n)])
             digests = np.frombuffer(both, np.int64).reshape(n, 2)
-            yield batch_of(DIGESTS, digests[:, 0], digests[:, 1], [k1[i]] * n, [k2[i]] * n, np.arange(first[i], first[i] + n, dtype=np.int32))
+            yield batch_of(DIGESTS, digests[:, 0], digests[:, 1], [places[i] == 1] * n, [k1[i]] * n, [k2[i]] * n, np.arange(first[i], first[i] + n, dtype=np.int32))
 
 
 # --- results ------------------------------------------------------------------

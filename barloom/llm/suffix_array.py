@@ -62,6 +62,7 @@ def _named(s: np.ndarray, smaller: np.ndarray, ordered: np.ndarray, leftmost: np
 
 def _induced_by_bucket(s: np.ndarray, smaller: np.ndarray, ordered: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     k, n = len(sizes), len(s)
+    s = s.astype(np.uint16)  # short symbols sort by radix
     ends = np.cumsum(sizes)
     starts = ends - sizes
     n_smaller = np.bincount(s[smaller], minlength=k)
