@@ -59,20 +59,19 @@ def read_snapshot(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def latest_nonempty_snapshot(spark: SparkSession, folder: str, family: str) -> DataFrame:
-    """Rows of the newest file of the family that has any.
+    """Rows of the newest file of the family that has any, under that file's own header.
 
-    Header-only files give no rows, so the newest key among rows is the answer.
+    Names alone give the order; files are opened from the newest on until one has a row.
     """
-    files = list_files(spark, folder).where(snapshot_key(F.col("name"), family) != "")
-    paths = [r["path"] for r in files.select("path").collect()]
+    keyed = list_files(spark, folder).withColumn("key", snapshot_key(F.col("name"), family)).where(F.col("key") != "")
+    paths = [r["path"] for r in keyed.orderBy(F.col("key").desc(), "path").collect()]
     if not paths:
         raise FileNotFoundError(f"no snapshot of {family} in {folder}")
-    rows = read_snapshot(spark, paths)
-    keyed = rows.select("*", snapshot_key(F.col("_metadata.file_name"), family).alias("_key"))
-    newest = keyed.agg(F.max("_key")).first()[0]
-    if newest is None:
-        raise ValueError(f"all snapshots of {family} in {folder} are empty")
-    return keyed.where(F.col("_key") == newest).drop("_key")
+    for path in paths:
+        rows = read_snapshot(spark, path)
+        if not rows.isEmpty():
+            return rows
+    raise ValueError(f"all snapshots of {family} in {folder} are empty")
 
 
 def latest_model_path(spark: SparkSession, root: str) -> str | None:
