@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.symbols import LISTED_SYMBOL, MARKETS, padded_code
 from barloom.operators.series import keep_first
-from barloom.sources.files import find_column
+from barloom.sources.files import resolve_columns
 
 # Spellings of listing columns.
 CODE_NAMES = ["Symbol", "Code", "symbol", "code"]
@@ -21,8 +21,9 @@ def symbol_master(listings: dict[str, DataFrame]) -> DataFrame:
         if market not in listings:
             continue
         listing = listings[market]
-        code = padded_code(F.col(find_column(listing.columns, CODE_NAMES)))
-        title = F.trim(F.col(find_column(listing.columns, TITLE_NAMES)).cast("string"))
+        used = resolve_columns(listing.columns, {"code": CODE_NAMES, "title": TITLE_NAMES})
+        code = padded_code(F.col(used["code"]))
+        title = F.trim(F.col(used["title"]).cast("string"))
         parts.append(
             listing.select(
                 F.lit(market).alias("market"),

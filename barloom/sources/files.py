@@ -28,12 +28,14 @@ def alnum(name: str) -> str:
     return re.sub(r"[^a-z0-9]", "", name.lower())
 
 
-def find_column(columns: list[str], candidates: list[str]) -> str:
-    """First candidate present, else an error that lists what there is."""
-    for name in candidates:
-        if name in columns:
-            return name
-    raise KeyError(f"none of {candidates} found; available: {columns}")
+def resolve_columns(columns: list[str], spellings: dict[str, list[str]]) -> dict[str, str]:
+    """The spelling in use of each wanted column, by its listed order; an error names all that have none."""
+    there = set(columns)
+    used = {wanted: next((s for s in known if s in there), None) for wanted, known in spellings.items()}
+    absent = {wanted: spellings[wanted] for wanted, spelling in used.items() if spelling is None}
+    if absent:
+        raise KeyError(f"no column for {absent}; available: {sorted(there)}")
+    return used
 
 
 def standard_columns(df: DataFrame) -> DataFrame:
@@ -59,16 +61,21 @@ def from_vendor(df: DataFrame, ticker: str | None = None) -> DataFrame:
 
 
 def _header_groups(spark: SparkSession, path: str) -> list[tuple[str, list[str]]]:
-    """Distinct header lines with the files that carry them.
+    """Distinct first lines with the files that begin with them, whatever they hold.
 
-    Headers are found by content on the executors; the driver sees one line
-    per distinct layout and the file names it lists anyway.
+    A file's first line is the first row of its block at 0, taken on the
+    executors; the driver sees one line per distinct layout and the file names
+    it lists anyway.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
-    lower = F.lower("value")
-    is_header = lower.contains("close") & lower.contains("open")
-    groups = lines.where(is_header).groupBy("value").agg(F.collect_set("file").alias("files")).collect()
-    return [(g["value"], sorted(g["files"])) for g in groups]
+    lines = spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("at"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    firsts = lines.where("at = 0").groupBy("file").agg(F.min_by("value", "row").alias("value"))
+    groups = firsts.groupBy("value").agg(F.collect_list("file").alias("files")).collect()
+    return [(g["value"], sorted(g["files"])) for g in sorted(groups, key=lambda g: g["value"])]
 
 
 def _read_layout(
@@ -97,16 +104,18 @@ def read_ticker_csvs(spark: SparkSession, path: str, tolerant: bool = False, on_
     """
     parts = []
     for header, files in _header_groups(spark, path):
+        keys = [(alnum if tolerant else snake)(c.strip('"')) for c in header.rstrip("\r").split(",")]
+        dated = tolerant and any(a in keys for a in DATE_ALIASES)
+        missing = [c for c in REQUIRED if c not in keys and not (c == "date" and dated)]
+        if missing:
+            if on_bad == "raise":
+                raise ValueError(f"{files[0]}: missing required columns {', '.join(missing)}")
+            continue
         raw = _read_layout(spark, header, files, alnum if tolerant else snake)
         if tolerant:
             found = [a for a in DATE_ALIASES if a in raw.columns]
             raw = raw.withColumnRenamed(found[0], "date") if found else raw
             raw = raw.withColumnRenamed("adjclose", "adj_close")
-        missing = [c for c in REQUIRED if c not in raw.columns]
-        if missing:
-            if on_bad == "raise":
-                raise ValueError(f"{files[0]}: missing required columns {', '.join(missing)}")
-            continue
         close = to_number(F.col("close"))
         adjusted = to_number(F.col("adj_close")) if "adj_close" in raw.columns and not tolerant else close
         volume = to_number(F.col("volume"))
