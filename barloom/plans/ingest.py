@@ -4,18 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.operators.merge import upsert
-from barloom.operators.series import max_dates
+from barloom.operators.series import keep_last, max_dates
 from barloom.plans.analytics import report
-from barloom.session import staged
+from barloom.session import path_exists, staged
 from barloom.sources.files import read_lake
 from barloom.sources.tables import export_rows
 from barloom.sources.writers import compact_years, write_lake
 
-LEAD_IN_BARS = 120  # the longest look-back of the relational features
 BOOTSTRAP_DAYS = 3650  # fixed value: history fetched for a new ticker
 
 
@@ -54,24 +53,21 @@ def new_rows(incoming: DataFrame, bars: DataFrame) -> DataFrame:
     return joined.where(F.col("max_date").isNull() | (F.col("date") > F.col("max_date"))).drop("max_date")
 
 
-def incremental_features(
-    bars: DataFrame, incoming: DataFrame, features: Callable[[DataFrame], DataFrame], lead: int = LEAD_IN_BARS
-) -> DataFrame:
-    """Features of the incoming rows only, computed with the stored bars before them.
+def incremental_features(bars: DataFrame, incoming: DataFrame, features: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Features that new or corrected bars change: per ticker, every row from its first incoming day on.
 
-    The newest ``lead`` bars of each incoming ticker older than its first
-    incoming row are read first, so a restart leaves no null warm-up rows.
+    ``incoming`` is unique on (ticker, date) and replaces stored bars of the
+    same day. Features are computed over the whole stored series of the touched
+    tickers, so no look-back is cut short and running features are right; a
+    series is as long as the calendar.
     """
+    keys = ["ticker", "date"]
     first = incoming.groupBy("ticker").agg(F.min("date").alias("_first"))
-    before = bars.join(first, "ticker").where(F.col("date") < F.col("_first"))
-    newest = Window.partitionBy("ticker").orderBy(F.col("date").desc())
-    lead_in = before.withColumn("_rn", F.row_number().over(newest)).where(F.col("_rn") <= lead)
-    columns = incoming.columns
-    both = lead_in.select(*columns, F.lit(False).alias("_new")).unionByName(
-        incoming.withColumn("_new", F.lit(True))
-    )
-    keys = both.where("_new").select(F.col("ticker").alias("symbol"), F.to_date("date").alias("trade_date"))
-    return features(both.drop("_new")).join(keys, ["symbol", "trade_date"], "left_semi")
+    touched = bars.select(*incoming.columns).join(first.select("ticker"), "ticker", "left_semi")
+    series = touched.join(incoming.select(*keys), keys, "left_anti").unionByName(incoming)
+    start = first.select(F.col("ticker").alias("symbol"), F.to_date("_first").alias("_first"))
+    changed = features(series).join(start, "symbol").where(F.col("trade_date") >= F.col("_first"))
+    return changed.drop("_first")
 
 
 def lake_export(source: DataFrame, root: str, layout: str = "year") -> None:
@@ -84,26 +80,23 @@ def merge_into_lake(
 ) -> None:
     """Upsert bars by (ticker, date), rewriting only the years they touch.
 
+    Repeated keys within ``incoming`` need ``order``: columns of it by which
+    the last row arrived last. Without them such bars are refused.
     The touched years are collected (at most a calendar of them) so that only
     those partitions are read; the merged rows are written aside first, since
     they are read from the very partitions they replace.
     """
-    rows = export_rows(incoming)
+    rows = export_rows(incoming, order or [])
+    keys = ["ticker", "date"]
+    if order:
+        rows = keep_last(rows, keys, order).drop(*order)
+    elif not rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        raise ValueError("bars repeat a (ticker, date): name the columns that tell which arrived last")
     years = [r["year"] for r in rows.select("year").distinct().collect()]
     if not years:
         return
-    try:
-        stored = read_lake(spark, root).where(F.col("year").isin(years))
-        stored_columns = stored.columns
-    except Exception as error:  # the first load finds no lake yet
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        stored = rows.limit(0)
-        stored_columns = stored.columns
-    extra = [c for c in (order or []) if c not in rows.columns]
-    if extra:
-        raise ValueError(f"order columns missing from the bars: {extra}")
-    merged = upsert(stored.select(*stored_columns), rows, ["ticker", "date"], F.current_timestamp(), order or ["volume", "close"])
+    stored = read_lake(spark, root).where(F.col("year").isin(years)) if path_exists(spark, root) else rows.limit(0)
+    merged = upsert(stored, rows, keys, F.current_timestamp())
     compact_years(staged(merged), root, layout)
 
 

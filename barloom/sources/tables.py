@@ -43,8 +43,11 @@ def write_relational(df: DataFrame, url: str, table: str, batch: int = 20_000, *
     writer.mode("append").save()
 
 
-def export_rows(source: DataFrame) -> DataFrame:
-    """Source rows typed for the lake: upper-case trimmed ticker, adj_close default, year, no null keys or prices."""
+def export_rows(source: DataFrame, also: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """Source rows typed for the lake: upper-case trimmed ticker, adj_close default, year, no null keys or prices.
+
+    Columns named in ``also`` pass through.
+    """
     needed = ["ticker", "date", "open", "high", "low", "close"]
     return source.dropna(subset=needed).select(
         F.upper(F.trim("ticker")).alias("ticker"),
@@ -53,6 +56,7 @@ def export_rows(source: DataFrame) -> DataFrame:
         F.col("volume").cast("long").alias("volume"),
         F.coalesce(F.col("adj_close"), F.col("close")).cast("double").alias("adj_close"),
         F.year("date").alias("year"),
+        *also,
     )
 
 

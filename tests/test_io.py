@@ -50,7 +50,7 @@ def test_table_dispatch(spark, tmp_path):
     with pytest.raises(ValueError):
         files.read_table(spark, "x.xlsx")
     with pytest.raises(KeyError, match="available"):
-        files.find_column(["a"], ["b"])
+        files.resolve_columns(["a"], {"b": ["b", "B"]})
 
 
 def test_wide_matrix_either_level_order(spark):
@@ -272,3 +272,42 @@ def test_daily_payload_from_text_snapshot(spark):
     korean = serving.daily_items(snap, None, per_day=1).where("symbol = 'A.KS'").first().reasoning
     assert korean.startswith("거래대금 25억(상위 -)")
     assert [r.symbol for r in serving.latest_day_items(items).collect()] == ["C.KS"]
+
+
+# --- cases that clean inputs do not show ---------------------------------------------------
+
+
+def test_a_file_without_a_required_column_is_seen(spark, tmp_path):
+    (tmp_path / "A.csv").write_text("Date,Open,High,Low,Close,Volume\n2020-01-01,1,1,1,1,5\n")
+    (tmp_path / "B.csv").write_text("Date,High,Low,Close,Volume\n2020-01-01,1,1,1,5\n")
+    assert [r.ticker for r in files.read_ticker_csvs(spark, str(tmp_path)).collect()] == ["A"]
+    with pytest.raises(ValueError, match="open"):
+        files.read_ticker_csvs(spark, str(tmp_path), on_bad="raise")
+
+
+def test_snapshots_keep_their_own_header(spark, tmp_path):
+    (tmp_path / "tier1_buy_candidates_20200101_000000.csv").write_text("ticker,date,close\nOLD,2020-01-01,1\n")
+    (tmp_path / "tier1_buy_candidates_20200102_000000.csv").write_text("date,ticker,close\n2020-01-02,NEW,2\n")
+    (tmp_path / "tier1_buy_candidates_20200103_000000.csv").write_text("date,ticker,close\n")
+    row = snapshots.latest_nonempty_snapshot(spark, str(tmp_path), snapshots.CANDIDATES).first()
+    assert (row["ticker"], row["date"]) == ("NEW", "2020-01-02")
+
+
+def test_the_row_that_arrived_last_wins(spark, tmp_path):
+    root = str(tmp_path / "lake")
+    rows = source_rows(spark, [("A", 2020, 1, 2, 1.0, 100), ("A", 2020, 1, 2, 2.0, 50)])
+    with pytest.raises(ValueError, match="arrived"):
+        ingest.merge_into_lake(spark, rows, root)
+    arrived = rows.withColumn("seq", F.when(F.col("close") == 2.0, 2).otherwise(1))
+    ingest.merge_into_lake(spark, arrived, root, order=["seq"])
+    assert [(r.close, r.volume) for r in files.read_lake(spark, root).collect()] == [(2.0, 50)]
+
+
+def test_features_after_a_correction_and_a_gap(spark, make_bars):
+    bars = make_bars({"A": [100.0 + i for i in range(200)], "B": [5.0] * 30})
+    days = [dt.date(2020, 1, 1) + dt.timedelta(days=d) for d in (150, 199)]
+    fixed = bars.where((F.col("ticker") == "A") & F.col("date").isin(days)).withColumn("close", F.col("close") + 1)
+    whole = bars.join(fixed.select("ticker", "date"), ["ticker", "date"], "left_anti").unionByName(fixed)
+    want = relational.relational_features(whole).where((F.col("symbol") == "A") & (F.col("trade_date") >= days[0]))
+    got = ingest.incremental_features(bars, fixed, relational.relational_features)
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect())) and got.count() == 50
