@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import gc
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -11,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 4 << 20  # text that one vectorised step inside a task holds at a time
@@ -36,6 +37,16 @@ def discard(*tables: DataFrame) -> None:
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more.
+
+    It does so when the driver collects its garbage, which on a driver with
+    room to spare may come long after the files were last read.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def pack(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
     """Replace a text column by compressed bytes, for texts that a shuffle carries."""
     press = zstandard.ZstdCompressor(level=3)
