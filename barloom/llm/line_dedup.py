@@ -23,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import Forest, arrow_map, batch_of, by_key, mixed, pack, sorted_groups, text_slices, unpacked, word_hashes
+from barloom.llm.common import Forest, arrow_map, batch_of, by_key, discard, mixed, pack, release_shuffles, sorted_groups, text_slices, unpacked, word_hashes
 from barloom.llm.graph import connected_components
 from barloom.session import staged
 
@@ -57,12 +57,18 @@ def dedup_lines(docs: DataFrame, parameters: LineParameters = LineParameters())
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("text").alias("digest"))
     rarity = docs.sparkSession.sparkContext.broadcast(rarity_table(texts))
     classes = _classes(texts, rarity, p)
-    dropped = similar_to_earlier(texts, classes, rarity, p)
-    kept = classes.join(dropped, "id", "left_anti").groupBy("doc_id", "digest")
+    places = staged(classes.select("id", "nameless", "doc_id", "digest", "line_no"))
+    edges = staged(near_edges(classes, p))
+    discard(classes)
+    dropped = similar_to_earlier(texts, places, edges, rarity, p)
+    release_shuffles(docs.sparkSession)
+    kept = places.join(dropped, "id", "left_anti").groupBy("doc_id", "digest")
     kept = kept.agg(F.sort_array(F.collect_list("line_no")).alias("_line_kept"))
     kept = kept.select(F.col("doc_id").alias("_line_doc"), F.col("digest").alias("_line_digest"), "_line_kept")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_line_doc")) & (F.xxhash64("text") == F.col("_line_digest"))
-    joined = docs.join(kept, same, "left").drop("_line_doc", "_line_digest")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_line_doc")) & (F.col("_line_hash") == F.col("_line_digest"))
+    hashed = docs.withColumns({"_line_hash": F.xxhash64("text"), "_line_null": F.col("text").isNull()})
+    packed_schema = hashed.withColumn("text", F.lit(b"")).select(*hashed.columns).schema
+    joined = hashed.mapInArrow(pack, packed_schema).join(kept, same, "left").drop("_line_doc", "_line_digest", "_line_hash")
     schema = docs.select("*", F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed")).schema
     return joined.mapInArrow(_rebuilt, schema)
 
@@ -184,14 +190,18 @@ def least_prefix(n: np.ndarray, percent: int) -> np.ndarray:
 # --- similar classes ----------------------------------------------------------
 
 
-def similar_to_earlier(texts: DataFrame, classes: DataFrame, rarity: Broadcast, p: LineParameters) -> DataFrame:
-    """Ids of the classes that have a similar class with an earlier first occurrence."""
+def near_edges(classes: DataFrame, p: LineParameters) -> DataFrame:
+    """Edges (a, b) whose components hold every pair that passes the bounds under a token of both prefixes."""
     listed = classes.select("id", "n", "b1", "b2", F.explode("prefix").alias("packed"))
     postings = listed.select(F.expr("shiftright(packed, 8)").alias("token"), "id", "n", F.expr("cast(packed & 255 as int)").alias("at"), "b1", "b2")
-    edges = arrow_map(by_key(postings, "token", "n"), _near_pairs, "a long, b long", p=p)
+    return arrow_map(by_key(postings, "token", "n"), _near_pairs, "a long, b long", p=p)
+
+
+def similar_to_earlier(texts: DataFrame, places: DataFrame, edges: DataFrame, rarity: Broadcast, p: LineParameters) -> DataFrame:
+    """Ids of the classes that have a similar class with an earlier first occurrence."""
     families = connected_components(edges).select(F.col("node").alias("id"), F.col("component").alias("family"))
     sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
-    members = classes.select("id", "nameless", "doc_id", "digest", "line_no").join(families.join(sizes, "family"), "id")
+    members = places.join(families.join(sizes, "family"), "id")
     members = staged(_with_tokens(texts, members, rarity))
     small = members.where(F.col("size") <= p.small).withColumn("part", F.col("family"))
     found = _verified(small.withColumn("asks", F.lit(True)), p)
@@ -324,9 +334,9 @@ def _similar_one(own: np.ndarray, others: list[np.ndarray], lengths: list[int],
 
 
 def _rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, texts in text_slices(batches):
+    for batch, texts in text_slices(unpacked(batches)):
         kept = batch.column("_line_kept").to_pylist()
-        valid = batch.column("text").is_valid().to_pylist()
+        valid = [not null for null in batch.column("_line_null").to_pylist()]
         out, totals, removed = [], [], []
         for text, stays, there in zip(texts, kept, valid):
             stay = set(stays or ())
@@ -336,7 +346,7 @@ def _rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out.append(b"\n".join(rest) if there else None)
             totals.append(sum(worded))
             removed.append(len(lines) - len(rest))
-        batch = batch.drop_columns(["_line_kept"])
+        batch = batch.drop_columns(["_line_kept", "_line_null"])
         at = batch.schema.get_field_index("text")
-        batch = batch.set_column(at, batch.schema.field(at), pa.array(out, pa.binary()).cast(pa.string()))
+        batch = batch.set_column(at, pa.field("text", pa.string()), pa.array(out, pa.binary()).cast(pa.string()))
         yield batch.append_column("n_lines", pa.array(totals, pa.int64())).append_column("n_removed", pa.array(removed, pa.int64()))
