@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import arrow_map, batch_of, by_key, discard, mixed, pack, sorted_groups, text_slices, unpacked
+from barloom.llm.common import arrow_map, batch_of, by_key, discard, mixed, pack, release_shuffles, sorted_groups, text_slices, unpacked
 from barloom.llm.suffix_array import permuted_common_prefixes, suffix_array
 from barloom.session import staged
 
@@ -62,6 +62,7 @@ def remove_repeats(docs: DataFrame, parameters: RepeatParameters = RepeatParamet
     spans = starts.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last")).alias("starts"))
     known = staged(spans.join(copied, ["k1", "k2"], "full"))
     discard(stretches)
+    release_shuffles(docs.sparkSession)
     packed = arrow_map(named.select("doc_id", "k1", "k2", "text"), pack, "doc_id long, k1 long, k2 long, text binary")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     return arrow_map(packed.join(known, ["k1", "k2"], "left"), _cut, schema, p=p, with_text=with_text)
