@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import Forest, arrow_map, batch_of, by_key, narrowed, pack, shingle_sets, sorted_groups, text_slices, unpacked
+from barloom.llm.common import Forest, arrow_map, batch_of, by_key, narrowed, pack, release_shuffles, shingle_sets, sorted_groups, text_slices, unpacked
 from barloom.llm.graph import connected_components
 from barloom.session import staged
 
@@ -65,6 +65,7 @@ def near_duplicates(docs: DataFrame, parameters: NearParameters = NearParameters
     base = staged(arrow_map(docs, _sketches, "doc_id long, cls binary, n_shingles long, tokens array<int>", p=p))
     classes = staged(base.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.max("tokens").alias("tokens")))
     families = connected_components(candidate_edges(classes, p))
+    release_shuffles(docs.sparkSession)
     labels = settle(docs, classes, families, p)
     named = classes.select("cls", "first_id").join(labels, "cls", "left").withColumn("root", F.coalesce("component", "cls"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
