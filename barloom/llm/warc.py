@@ -61,7 +61,9 @@ def read_archives(manifest: DataFrame, with_data: bool = True) -> DataFrame:
     """
     schema = "record_id long, chunk_no long, last boolean, target string, record_type string, refers_to long, "
     schema += "declared string, declared_bytes long, bytes_so_far long, digest string" + ", data binary" * with_data
-    return arrow_map(manifest.repartition("archive").select("archive"), _read, schema, with_data=with_data)
+    # a task per archive: by the size of the manifest's rows alone Spark would put all into one
+    apart = manifest.select("archive").repartition(max(1, manifest.count()))
+    return arrow_map(apart, _read, schema, with_data=with_data)
 
 
 def round_trip(pages: DataFrame, min_shared: int = MIN_SHARED_BYTES) -> DataFrame:
