@@ -35,6 +35,24 @@ def smoothed(x: np.ndarray, n: int, alpha: float) -> np.ndarray:
     return out
 
 
+def decaying_mean(x: np.ndarray, span: int, adjust: bool) -> np.ndarray:
+    """Exponential mean from the first known value on; older weights decay over unknown values too, which repeat the mean.
+
+    With ``adjust`` the weights seen so far are normalised; without, the past weighs 1 - alpha and the new value alpha.
+    """
+    alpha = 2.0 / (span + 1.0)
+    fresh = 1.0 if adjust else alpha
+    mean, weight = np.nan, 0.0
+    out = []
+    for value in x.tolist():
+        weight *= 1.0 - alpha
+        if value == value:
+            mean = value if weight == 0.0 else (weight * mean + fresh * value) / (weight + fresh)
+            weight = weight + fresh if adjust else 1.0
+        out.append(mean)
+    return np.array(out, dtype=float)
+
+
 def ema(x: np.ndarray, n: int) -> np.ndarray:
     return smoothed(x, n, 2.0 / (n + 1.0))
 
@@ -134,11 +152,8 @@ def keltner(a: Arrays, n: int = 20, width: float = 2.0) -> Arrays:
 
 def _plain_ewm(adjust: bool) -> Callable[[Arrays], Arrays]:
     def run(a: Arrays) -> Arrays:
-        def mean(x: np.ndarray, span: int) -> np.ndarray:
-            return pd.Series(x).ewm(span=span, adjust=adjust).mean().to_numpy()
-
-        line = mean(a["close"], 12) - mean(a["close"], 26)
-        signal = mean(line, 9)
+        line = decaying_mean(a["close"], 12, adjust) - decaying_mean(a["close"], 26, adjust)
+        signal = decaying_mean(line, 9, adjust)
         return {"macd": line, "macd_signal": signal, "macd_hist": line - signal}
 
     return run

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.operators import merge
@@ -81,21 +82,26 @@ def range_replace(t: Tables):
     return rounded(merge.range_replace(existing, incoming))
 
 
+def _one_more(rows: DataFrame, symbol: str, name: str) -> DataFrame:
+    """A row of a symbol that the listing does not hold."""
+    return rows.select(F.lit(symbol).alias("symbol"), F.lit(name).alias("company_name"), F.lit(True).alias("is_active")).distinct()
+
+
 @QUERIES.add(
     "upsert_master",
     query(
         f"""SELECT coalesce(n.symbol, o.symbol) AS symbol, coalesce(n.company_name, o.company_name) AS company_name, true AS is_active,
         CASE WHEN n.symbol IS NOT NULL THEN {STAMP} ELSE {OLD_STAMP} END AS updated_at FROM old o FULL JOIN new n ON o.symbol = n.symbol""",
         MASTER,
-        "old AS (SELECT symbol, name_ko AS company_name FROM master WHERE market = 'KOSPI')",
-        "new AS (SELECT symbol, upper(name_ko) AS company_name FROM master)",
+        "old AS (SELECT symbol, name_ko AS company_name FROM master UNION ALL SELECT '999998.KS', 'gone')",
+        "new AS (SELECT symbol, upper(name_ko) AS company_name FROM master UNION ALL SELECT '999999.KS', 'NEW')",
     ),
 )
 def upsert_master(t: Tables):
     stamp = F.lit("2001-07-01 00:00:00").cast("timestamp_ntz").alias("updated_at")
-    rows = t.master.select("symbol", F.col("name_ko").alias("company_name"), F.lit(True).alias("is_active"), "market")
-    existing = rows.where(F.col("market") == "KOSPI").drop("market").withColumn("updated_at", stamp)
-    incoming = rows.drop("market").withColumn("company_name", F.upper("company_name"))
+    rows = t.master.select("symbol", F.col("name_ko").alias("company_name"), F.lit(True).alias("is_active"))
+    existing = rows.unionByName(_one_more(rows, "999998.KS", "gone")).withColumn("updated_at", stamp)
+    incoming = rows.unionByName(_one_more(rows, "999999.KS", "new")).withColumn("company_name", F.upper("company_name"))
     return merge.upsert_master(existing, incoming, _now())
 
 
@@ -188,16 +194,18 @@ def symbol_master(t: Tables):
 @QUERIES.add(
     "active_universe",
     query(
-        """SELECT m.ticker AS symbol, CASE WHEN m.market = 'KOSPI' THEN m.name_ko ELSE m.symbol END AS company_name,
-        CASE WHEN m.market = 'KOSPI' THEN m.market END AS sector, true AS is_active FROM master m""",
+        """SELECT ticker AS symbol, name_ko AS company_name, market AS sector, true AS is_active FROM master
+        UNION ALL SELECT '999999', '999999.KS', NULL, true""",
         MASTER,
     ),
 )
 def active_universe(t: Tables):
-    listing = t.master.where(F.col("market") == "KOSPI").select(
+    listing = t.master.select(
         F.col("ticker").alias("symbol"), F.col("name_ko").alias("company_name"), F.col("market").alias("sector")
     )
     codes = t.master.select(F.col("ticker").alias("code"), F.col("symbol").alias("full"))
+    unlisted = t.master.select(F.lit("999999").alias("code"), F.lit("999999.KS").alias("full")).distinct()
+    codes = codes.unionByName(unlisted)
     return master.active_universe(codes, listing, F.col("full"))
 
 
@@ -255,7 +263,7 @@ INPUTS_SQL = """
 inp AS (SELECT ticker AS input FROM bars UNION SELECT lower(split_part(ticker, '.', 1)) FROM bars UNION SELECT ticker || 'X' FROM bars),
 typed AS (SELECT DISTINCT upper(trim(input)) AS input FROM inp),
 bt AS (SELECT DISTINCT ticker FROM bars),
-ml AS (SELECT * FROM master WHERE market = 'KOSPI'),
+ml AS (SELECT * FROM master),
 res AS (SELECT input, CASE WHEN input IN (SELECT symbol FROM ml) THEN input WHEN contains(input, '.') THEN input
   WHEN input || '.KS' IN (SELECT symbol FROM ml) THEN input || '.KS' WHEN input || '.KQ' IN (SELECT symbol FROM ml) THEN input || '.KQ'
   WHEN input || '.KS' IN (SELECT ticker FROM bt) THEN input || '.KS' WHEN input || '.KQ' IN (SELECT ticker FROM bt) THEN input || '.KQ'
@@ -268,13 +276,9 @@ def _inputs(t: Tables):
     return tickers.select(F.explode(forms).alias("symbol"))
 
 
-def _listed(t: Tables):
-    return t.master.where(F.col("market") == "KOSPI")
-
-
 @QUERIES.add("symbol_resolve", query("SELECT input, symbol FROM res", MASTER, INPUTS_SQL))
 def symbol_resolve(t: Tables):
-    return serving.resolve_symbols(_inputs(t), _listed(t), t.bars)
+    return serving.resolve_symbols(_inputs(t), t.master, t.bars)
 
 
 @QUERIES.add(
@@ -292,7 +296,7 @@ def symbol_resolve(t: Tables):
     ),
 )
 def symbol_search(t: Tables):
-    return rounded(serving.symbol_search(_inputs(t), _snapshot(t), _listed(t), t.bars))
+    return rounded(serving.symbol_search(_inputs(t), _snapshot(t), t.master, t.bars))
 
 
 @QUERIES.add(
