@@ -8,12 +8,14 @@ Tokens are ordered by rarity; a class is listed under the tokens of its prefix,
 one of which any similar class must share. Within a token's list the length,
 the positional and a bitmap bound leave few pairs; those connect classes to
 candidate families. Families are verified on full sets, in which each class is
-moved once: small families whole, large ones first in random blocks, then
-what is still kept there against all blocks of the family.
+moved once: small families whole, large ones first in blocks of lines of like
+length, then what is still kept there against all blocks whose lengths allow a
+similar line.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,6 +34,7 @@ PIECE_BITS = 14
 RANK_BITS, HASH_BITS = 12, 32  # a token is known by its rank and hash together
 SLICE = 1 << 20
 PAIRS = 1 << 20  # pairs compared in one step
+BAND = 1.05  # lengths of one band differ by at most this factor
 
 
 @dataclass(frozen=True)
@@ -57,9 +60,11 @@ def dedup_lines(docs: DataFrame, parameters: LineParameters = LineParameters())
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("text").alias("digest"))
     rarity = docs.sparkSession.sparkContext.broadcast(rarity_table(texts))
     classes = _classes(texts, rarity, p)
+    release_shuffles(docs.sparkSession)
     places = staged(classes.select("id", "nameless", "doc_id", "digest", "line_no"))
     edges = staged(near_edges(classes, p))
     discard(classes)
+    release_shuffles(docs.sparkSession)
     dropped = similar_to_earlier(texts, places, edges, rarity, p)
     release_shuffles(docs.sparkSession)
     kept = places.join(dropped, "id", "left_anti").groupBy("doc_id", "digest")
@@ -205,16 +210,29 @@ def similar_to_earlier(texts: DataFrame, places: DataFrame, edges: DataFrame, ra
     members = staged(_with_tokens(texts, members, rarity))
     small = members.where(F.col("size") <= p.small).withColumn("part", F.col("family"))
     found = _verified(small.withColumn("asks", F.lit(True)), p)
-    large = members.where(F.col("size") > p.small)
+    band = F.floor(F.log(F.octet_length("tokens") / 8) / math.log(BAND))
+    large = members.where(F.col("size") > p.small).withColumn("band", band)
     if large.isEmpty():
         return found
-    blocks = F.ceil(F.col("size") / p.small)
-    block = F.pmod(F.xxhash64("id"), blocks)
-    rows = large.withColumn("part", F.xxhash64("family", block)).withColumn("asks", F.lit(True))
+    bands = large.groupBy("family", "band").agg(F.ceil(F.count(F.lit(1)) / p.small).alias("blocks"))
+    # one row per large family, with a few bands each: the logarithm of its longest line
+    spans = bands.groupBy("family").agg(F.map_from_entries(F.collect_list(F.struct("band", "blocks"))).alias("blocks"))
+    large = large.join(spans, "family")
+    block = F.pmod(F.xxhash64("id"), F.element_at("blocks", F.col("band")))
+    rows = large.withColumn("part", F.xxhash64("family", "band", block)).withColumn("asks", F.lit(True))
     first = staged(_verified(rows, p))
     left = large.join(first, "id", "left_anti")
-    everywhere = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda b: F.xxhash64("family", b)))
-    asking = left.withColumn("part", everywhere).withColumn("asks", F.lit(True))
+    reach = math.ceil(math.log(100 / p.percent) / math.log(BAND) + 1e-9)
+    near = F.filter(F.map_keys("blocks"), lambda k: F.abs(k - F.col("band")) <= reach)
+    numbers = F.flatten(
+        F.transform(
+            near,
+            lambda k: F.transform(
+                F.sequence(F.lit(0).cast("long"), F.element_at("blocks", k) - 1), lambda b: F.xxhash64("family", k, b)
+            ),
+        )
+    )
+    asking = left.withColumn("part", F.explode(numbers)).withColumn("asks", F.lit(True))
     answering = rows.join(left.select("family").distinct(), "family", "left_semi").withColumn("asks", F.lit(False))
     second = _verified(answering.unionByName(asking), p)
     return found.unionByName(first).unionByName(second).distinct()
