@@ -208,8 +208,9 @@ def similar_to_earlier(texts: DataFrame, places: DataFrame, edges: DataFrame, ra
     sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
     members = places.join(families.join(sizes, "family"), "id")
     members = staged(_with_tokens(texts, members, rarity))
+    release_shuffles(texts.sparkSession)
     small = members.where(F.col("size") <= p.small).withColumn("part", F.col("family"))
-    found = _verified(small.withColumn("asks", F.lit(True)), p)
+    found = _verified(_roles(small, asks=True, answers=True), p)
     band = F.floor(F.log(F.octet_length("tokens") / 8) / math.log(BAND))
     large = members.where(F.col("size") > p.small).withColumn("band", band)
     if large.isEmpty():
@@ -219,8 +220,9 @@ def similar_to_earlier(texts: DataFrame, places: DataFrame, edges: DataFrame, ra
     spans = bands.groupBy("family").agg(F.map_from_entries(F.collect_list(F.struct("band", "blocks"))).alias("blocks"))
     large = large.join(spans, "family")
     block = F.pmod(F.xxhash64("id"), F.element_at("blocks", F.col("band")))
-    rows = large.withColumn("part", F.xxhash64("family", "band", block)).withColumn("asks", F.lit(True))
-    first = staged(_verified(rows, p))
+    rows = large.withColumn("part", F.xxhash64("family", "band", block))
+    first = staged(_verified(_roles(rows, asks=True, answers=True), p))
+    release_shuffles(texts.sparkSession)
     left = large.join(first, "id", "left_anti")
     reach = math.ceil(math.log(100 / p.percent) / math.log(BAND) + 1e-9)
     near = F.filter(F.map_keys("blocks"), lambda k: F.abs(k - F.col("band")) <= reach)
@@ -232,8 +234,9 @@ def similar_to_earlier(texts: DataFrame, places: DataFrame, edges: DataFrame, ra
             ),
         )
     )
-    asking = left.withColumn("part", F.explode(numbers)).withColumn("asks", F.lit(True))
-    answering = rows.join(left.select("family").distinct(), "family", "left_semi").withColumn("asks", F.lit(False))
+    # every row answers in its own block only, so those that ask need not answer each other in all of them
+    asking = _roles(left.withColumn("part", F.explode(numbers)), asks=True, answers=False)
+    answering = _roles(rows.join(left.select("family").distinct(), "family", "left_semi"), asks=False, answers=True)
     second = _verified(answering.unionByName(asking), p)
     return found.unionByName(first).unionByName(second).distinct()
 
@@ -309,17 +312,21 @@ def _tokens_of(batches: Iterator[pa.RecordBatch], rarity: Broadcast) -> Iterator
         yield batch_of(TOKENS, *zip(*rows))
 
 
+def _roles(rows: DataFrame, *, asks: bool, answers: bool) -> DataFrame:
+    return rows.withColumns({"asks": F.lit(asks), "answers": F.lit(answers)})
+
+
 def _verified(rows: DataFrame, p: LineParameters) -> DataFrame:
-    # a row that asks stands before its own copy that only answers
-    rows = rows.select("part", "asks", "id", "nameless", "doc_id", "digest", "line_no", (~F.col("asks")).alias("quiet"), "tokens")
-    return arrow_map(by_key(rows, "part", "nameless", "doc_id", "digest", "line_no", "quiet"), _later_ones, "id long", p=p)
+    # a row that only asks stands before its own copy that answers
+    rows = rows.select("part", "asks", "answers", "id", "nameless", "doc_id", "digest", "line_no", "tokens")
+    return arrow_map(by_key(rows, "part", "nameless", "doc_id", "digest", "line_no", "answers"), _later_ones, "id long", p=p)
 
 
 def _later_ones(batches: Iterator[pa.RecordBatch], p: LineParameters) -> Iterator[pa.RecordBatch]:
-    """Asking rows of a part with a similar row before them; rows come in the order of their places."""
+    """Asking rows of a part with a similar answering row before them; rows come in the order of their places."""
     schema = pa.schema([("id", pa.int64())])
     for table, bounds in sorted_groups(batches, "part"):
-        names, asks = table.column("id").to_pylist(), table.column("asks").to_pylist()
+        names, asks, answers = (table.column(c).to_pylist() for c in ("id", "asks", "answers"))
         tokens = table.column("tokens")
         found = []
         for lo, hi in zip(bounds[:-1], bounds[1:]):
@@ -329,8 +336,9 @@ def _later_ones(batches: Iterator[pa.RecordBatch], p: LineParameters) -> Iterato
                 own = np.frombuffer(tokens[i].as_py(), np.uint64)
                 if asks[i] and earlier and _similar_one(own, earlier, lengths, p.percent):
                     found.append(names[i])
-                earlier.append(own)
-                lengths.append(len(own))
+                if answers[i]:
+                    earlier.append(own)
+                    lengths.append(len(own))
         yield batch_of(schema, found)
 
 
