@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from barloom.llm.common import discard
@@ -18,14 +18,13 @@ def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     not gather in one task. Each round is a written table. Fails rather than
     return unfinished components.
     """
-    current = staged(edges.select("a", "b").where("a <> b").distinct())
-    before = _state(current)
+    current, before = _written(edges.select("a", "b").where("a <> b").distinct())
     for _ in range(rounds):
         if before[0] == 0:
             break
-        last, current = current, staged(_small_star(_large_star(current)))
+        last = current
+        current, now = _written(_small_star(_large_star(last)))
         discard(last)
-        now = _state(current)
         if now == before:
             break
         before = now
@@ -35,16 +34,18 @@ def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     return members.unionByName(current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-def _state(edges: DataFrame) -> tuple:
-    # a sum of hashes as a decimal: no overflow, no order
-    total = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
-    return tuple(edges.agg(F.count(F.lit(1)), total).first())
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges as a written table, with their number and a sum of hashes taken while they are written."""
+    seen = Observation()
+    # the sum is a decimal: no overflow, no order
+    table = staged(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("total")))
+    return table, (seen.get["n"], seen.get["total"])
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
