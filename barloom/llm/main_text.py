@@ -88,11 +88,12 @@ def extract_main_text(pages: DataFrame, parameters: HtmlParameters = HtmlParamet
 def fit_weights(pages: DataFrame, p: HtmlParameters) -> dict[str, float]:
     """Log odds of each feature, from pages that label their own text with a content element.
 
-    A bounded sample: the ``max_labelled`` such pages with the smallest hash of
-    the html. Features count in the executors; a few dozen sums come back.
+    A bounded sample: the ``max_labelled`` different pages with the smallest hash
+    of the html. The draw sorts hashes alone, so no task gathers pages. Features count in the executors; a few dozen sums come back.
     """
     labelled = pages.where(F.lower("html").rlike(r"<(article|main)[\s>]")).select("html", F.xxhash64("html").alias("draw"))
-    drawn = labelled.orderBy("draw").limit(p.max_labelled).select("html")
+    last = labelled.select("draw").distinct().orderBy("draw").limit(p.max_labelled).agg(F.max("draw")).first()[0]
+    drawn = labelled.where(F.col("draw") <= F.lit(last)).dropDuplicates(["draw"]).select("html")
     counts = arrow_map(drawn, _count_features, "feature string, inside long, outside long")
     rows = counts.groupBy("feature").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside")).collect()
     total = next((r for r in rows if r["feature"] == "all"), None)
