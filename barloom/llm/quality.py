@@ -59,9 +59,11 @@ def quality(docs: DataFrame, parameters: QualityParameters = QualityParameters()
 def filter_documents(docs: DataFrame, parameters: QualityParameters = QualityParameters(), host: str = "source") -> DataFrame:
     """The documents that ``quality`` keeps, all columns, the text without its frequent lines."""
     p = parameters
-    frequent = _frequent_lines(_rated(docs, p, host), p).select(F.col("host").alias("_host"), F.col("frequent").alias("_frequent"))
-    joined = docs.join(frequent, _host(docs, host) == F.col("_host"), "left")
-    return joined.drop("_host").mapInArrow(functools.partial(_filtered, p=p), docs.schema)
+    # two hashes from different seeds name a text
+    keys = {"_host": _host(docs, host), "_k1": F.xxhash64("text"), "_k2": F.xxhash64(F.lit(1), F.col("text"))}
+    keyed = docs.withColumns(keys)
+    joined = keyed.join(_cut_lines(keyed.select(*keys, "text"), p), [*keys], "left")
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], "_frequent").mapInArrow(functools.partial(_filtered, p=p), docs.schema)
 
 
 def _host(docs: DataFrame, host: str):
@@ -77,6 +79,23 @@ def _rated(docs: DataFrame, p: QualityParameters, host: str) -> DataFrame:
     return staged(arrow_map(rows, _rate, schema, p=p))
 
 
+def _cut_lines(texts: DataFrame, p: QualityParameters) -> DataFrame:
+    """(_host, _k1, _k2, _frequent): of each different text that holds frequent lines, those lines.
+
+    Joined by (host, line), so neither the lines of a host nor their number need a bound.
+    """
+    keys = ["_host", "_k1", "_k2"]
+    lines = arrow_map(texts, _line_hashes, "_host string, _k1 long, _k2 long, lines array<bigint>")
+    lines = staged(lines.dropDuplicates(keys))
+    each = lines.select(*keys, F.explode("lines").alias("line"))
+    frequent = each.groupBy("_host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > p.min_documents)
+    if p.max_share > 0:
+        hosts = lines.groupBy("_host").agg(F.count(F.lit(1)).alias("n_documents"))
+        frequent = frequent.join(hosts, "_host").where(F.col("n") > F.col("n_documents") * p.max_share)
+    frequent = staged(frequent.select("_host", "line"))
+    return staged(each.join(frequent, ["_host", "line"]).groupBy(*keys).agg(F.collect_list("line").alias("_frequent")))
+
+
 def _frequent_lines(rated: DataFrame, p: QualityParameters) -> DataFrame:
     """(host, frequent): per host the lines above both limits.
 
@@ -139,6 +158,15 @@ def _rate(batches: Iterator[pa.RecordBatch], p: QualityParameters) -> Iterator[p
         yield batch_of(RATED, batch.column("doc_id"), batch.column("host"), *zip(*rows))
 
 
+LINES = pa.schema([("_host", pa.string()), ("_k1", pa.int64()), ("_k2", pa.int64()), ("lines", pa.list_(pa.int64()))])
+
+
+def _line_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, texts in text_slices(batches):
+        lines = [list({line_hash(own) for line in text.split(b"\n") if (own := line.split())}) for text in texts]
+        yield batch_of(LINES, batch.column("_host"), batch.column("_k1"), batch.column("_k2"), lines)
+
+
 def _filtered(batches: Iterator[pa.RecordBatch], p: QualityParameters) -> Iterator[pa.RecordBatch]:
     for batch, texts in text_slices(batches):
         frequent = batch.column("_frequent")

@@ -13,10 +13,13 @@ from barloom.llm.byte_bpe import encode_documents
 from barloom.llm.decontamination import without_contaminated
 from barloom.llm.line_dedup import dedup_lines
 from barloom.llm.near_duplicates import keep_one_of_each
-from barloom.llm.quality import filter_documents
+from barloom.llm.quality import QualityParameters, filter_documents
 from barloom.llm.queries import byte_bpe_50k, table
 from barloom.session import staged
 
+# a count of texts alone, which does not rise with the host
+LINE_LIMITS = QualityParameters(min_documents=10, max_share=0.0)
+
 
 def _with_length(docs: DataFrame) -> DataFrame:
     if "n_chars" not in docs.columns:
@@ -25,8 +28,8 @@ def _with_length(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go; lines that too many documents of a host share go from the others."""
-    return _with_length(filter_documents(docs))
+    """Documents that the rules reject go; lines that more than ten different texts of a host share go from the others."""
+    return _with_length(filter_documents(docs, LINE_LIMITS))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
