@@ -28,6 +28,7 @@ from barloom.session import staged
 
 SLICE = 1 << 20
 INDEX_BITS = 24  # positions within a slice
+PIECE = 1 << 22  # starts of a longer text that are judged together
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -159,21 +160,25 @@ ANCHORS = pa.schema([("gram", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()
 
 def _anchors(batches: Iterator[pa.RecordBatch], p: RepeatParameters) -> Iterator[pa.RecordBatch]:
     for batch, texts in text_slices(batches, limit=SLICE):
-        for lo, hi in _bounded(texts):
-            own, first, last, gram = anchors_of(texts[lo:hi], p)
+        for lo, hi, skipped, parts in _bounded(texts, p):
+            own, first, last, gram = anchors_of(parts, p)
             k1, k2 = (batch.column(c).to_numpy()[lo:hi][own] for c in ("k1", "k2"))
-            yield batch_of(ANCHORS, gram.view(np.int64), k1, k2, first << 32 | last)
+            yield batch_of(ANCHORS, gram.view(np.int64), k1, k2, first + skipped << 32 | last + skipped)
 
 
-def _bounded(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    """A text too long for the position bits would come alone in a slice of its own."""
+def _bounded(texts: list[bytes], p: RepeatParameters) -> Iterator[tuple[int, int, int, list[bytes]]]:
+    """(from, to, offset, texts) within the position bits: all together, or each alone, a longer one in pieces.
+
+    Pieces overlap by ``length`` - 1 bytes, so each start belongs to one of them. Anchors do not depend on where a
+    piece begins, as equal hashes are told apart by their order only; a range of starts may be cut at its end.
+    """
     if sum(map(len, texts)) < 1 << INDEX_BITS:
-        yield 0, len(texts)
+        yield 0, len(texts), 0, texts
         return
-    if max(map(len, texts)) >= 1 << INDEX_BITS:
-        raise ValueError(f"a text has {1 << INDEX_BITS} bytes or more")
-    for i in range(len(texts)):
-        yield i, i + 1
+    for i, text in enumerate(texts):
+        size = PIECE if len(text) >= 1 << INDEX_BITS else len(text)
+        for at in range(0, len(text) - p.length + 1, size):
+            yield i, i + 1, at, [text[at : at + size + p.length - 1]]
 
 
 STRETCHES = pa.schema(

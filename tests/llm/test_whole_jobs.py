@@ -1,7 +1,10 @@
 """Cases that earlier versions of the text operators left out."""
 
+import random
+
 import corpus_pipeline
-from test_text_operators import documents, prose
+from barloom.llm.repeats import INDEX_BITS, PIECE, RepeatParameters, _bounded, anchors_of, remove_repeats
+from test_text_operators import by_id, documents, prose
 
 
 def test_shared_lines_go_whatever_the_size_of_the_host(spark):
@@ -11,3 +14,28 @@ def test_shared_lines_go_whatever_the_size_of_the_host(spark):
     docs = documents(spark, shared + ["short", shared[0]])
     left = {r["doc_id"]: r["text"] for r in corpus_pipeline.quality_rules(spark, docs, "").collect()}
     assert left == {i: texts[i] if i < 11 else shared[i] for i in range(400)} | {401: texts[0]}
+
+
+def test_repeats_in_a_very_long_text(spark):
+    draw = random.Random(5)
+    long = draw.randbytes((1 << INDEX_BITS) // 2 + 3000).hex()
+    borders = [PIECE - 150, 2 * PIECE - 1, (1 << INDEX_BITS) - 170]
+    passages = [long[at : at + 300] for at in borders]
+    texts = [long, *[f"<{x}>" for x in passages], long[100:400] + "é"]
+    got = by_id(remove_repeats(documents(spark, texts)))
+    assert (got[0]["n_bytes"], got[0]["n_removed"], got[0]["n_spans"]) == (len(long), 4 * 300, 4)
+    assert all((got[i]["n_removed"], got[i]["n_spans"]) == (300, 1) for i in range(1, 5))
+
+
+def test_pieces_have_the_anchors_of_the_whole(monkeypatch):
+    draw = random.Random(6)
+    text = "".join(draw.choice("ab") for _ in range(5000)).encode() + b"a" * 700
+    p = RepeatParameters()
+    want = {(s, int(g)) for _, lo, hi, g in zip(*anchors_of([text], p)) for s in range(lo, hi + 1)}
+    monkeypatch.setattr("barloom.llm.repeats.INDEX_BITS", 12)
+    monkeypatch.setattr("barloom.llm.repeats.PIECE", 1000)
+    got = []
+    for _, _, skipped, parts in _bounded([text], p):
+        got += [(s + skipped, int(g)) for _, lo, hi, g in zip(*anchors_of(parts, p)) for s in range(lo, hi + 1)]
+    assert len(got) == len(set(got)) == len(text) - p.length + 1
+    assert sorted(got) == sorted(want)
