@@ -62,19 +62,10 @@ def near_duplicates(docs: DataFrame, parameters: NearParameters = NearParameters
     null doc_id takes part in links; its row is kept only if the whole group
     has no doc_id (component_id is then null). An empty table gives none.
     """
-    p = parameters
-    docs = narrowed(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    base = staged(arrow_map(docs, _sketches, "doc_id long, cls binary, n_shingles long, tokens array<int>", p=p))
-    classes = staged(base.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.max("tokens").alias("tokens")))
-    families = connected_components(candidate_edges(classes, p))
-    release_shuffles(docs.sparkSession)
-    labels = settle(docs, classes, families, p)
-    named = classes.select("cls", "first_id").join(labels, "cls", "left").withColumn("root", F.coalesce("component", "cls"))
-    least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_class = staged(named.join(least, "root").select("cls", "component_id"))
+    base, of_class = _grouped(narrowed(docs, "doc_id", "text"), parameters)
     return (
         base.select("doc_id", "n_shingles", "cls")
-        .join(of_class, "cls", "left")
+        .join(of_class.select("cls", "component_id"), "cls", "left")
         .select(
             "doc_id",
             "n_shingles",
@@ -84,13 +75,44 @@ def near_duplicates(docs: DataFrame, parameters: NearParameters = NearParameters
     )
 
 
+def _grouped(docs: DataFrame, p: NearParameters, *carried: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, cls, n_shingles, tokens and the ``carried`` long columns) of each row, and (cls, component_id, root) of each class."""
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    schema = "doc_id long, cls binary, n_shingles long, tokens array<int>" + "".join(f", {c} long" for c in carried)
+    base = staged(arrow_map(docs, _sketches, schema, p=p, carried=carried))
+    docs = docs.select("doc_id", "text")
+    classes = staged(base.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.max("tokens").alias("tokens")))
+    families = connected_components(candidate_edges(classes, p))
+    release_shuffles(docs.sparkSession)
+    labels = settle(docs, classes, families, p)
+    named = classes.select("cls", "first_id").join(labels, "cls", "left").withColumn("root", F.coalesce("component", "cls"))
+    least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return base, staged(named.join(least, "root").select("cls", "component_id", "root"))
+
+
 def keep_one_of_each(docs: DataFrame, parameters: NearParameters = NearParameters()) -> DataFrame:
-    """The rows of ``docs`` that are kept, all columns; rows that repeat a kept doc_id stay once per different text."""
-    verdict = near_duplicates(docs, parameters)
-    kept = verdict.where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept_id")).distinct()
-    named = docs.join(kept, F.col("doc_id") == F.col("_kept_id"), "left_semi")
-    # a null id names no row, so groups without any id cannot be thinned: they stay
-    return named.unionByName(docs.where("doc_id is null"))
+    """One row of ``docs`` per group, all columns: the smallest doc_id, then the smallest text hash; rows without an id come last.
+
+    Rows that repeat both id and text stay once, whichever of them. Rows without words are linked with nothing: all stay.
+    """
+    # two hashes from different seeds name a text
+    keys = {"_k1": F.xxhash64("text"), "_k2": F.xxhash64(F.lit(1), F.col("text"))}
+    keyed = docs.withColumns({"_id": F.col("doc_id").cast("long"), **keys})
+    base, of_class = _grouped(keyed.select(F.col("_id").alias("doc_id"), "text", *keys), parameters, *keys)
+    place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", *keys)
+    worded = base.where("cls is not null").select("cls", place.alias("place")).join(of_class.select("cls", "root"), "cls")
+    winners = worded.groupBy("root").agg(F.min("place").alias("place")).select("place.*", F.lit(False).alias("wordless"))
+    wordless = base.where("cls is null").select(F.col("doc_id").isNull().alias("nameless"), "doc_id", *keys).distinct()
+    wanted = winners.unionByName(wordless.withColumn("wordless", F.lit(True)))
+    # places whose id and text several rows repeat; only those rows are brought together
+    counts = base.groupBy("doc_id", *keys).agg(F.count(F.lit(1)).alias("n"))
+    same = F.col("_w_id").eqNullSafe(counts["doc_id"]) & (F.col("_w1") == counts["_k1"]) & (F.col("_w2") == counts["_k2"])
+    wanted = wanted.select(F.col("doc_id").alias("_w_id"), F.col("_k1").alias("_w1"), F.col("_k2").alias("_w2"), "wordless")
+    wanted = staged(wanted.join(counts, same).select("_w_id", "_w1", "_w2", (F.col("wordless") | (F.col("n") == 1)).alias("_as_is")))
+    found = keyed.join(wanted, keyed["_id"].eqNullSafe(F.col("_w_id")) & (F.col("_k1") == F.col("_w1")) & (F.col("_k2") == F.col("_w2")))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    once = found.where(~F.col("_as_is")).dropDuplicates(["_id", "_k1", "_k2"])
+    return found.where("_as_is").select(*columns).unionByName(once.select(*columns))
 
 
 # --- token vectors ------------------------------------------------------------
@@ -117,16 +139,18 @@ def _class_of(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
-def _sketches(batches: Iterator[pa.RecordBatch], p: NearParameters) -> Iterator[pa.RecordBatch]:
+def _sketches(batches: Iterator[pa.RecordBatch], p: NearParameters, carried: tuple[str, ...] = ()) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([*SKETCH, *[(c, pa.int64()) for c in carried]])
     multipliers = _multipliers(p.tokens)
     for batch, texts in text_slices(batches):
         sets = shingle_sets(texts, p.words)
         yield batch_of(
-            SKETCH,
+            schema,
             batch.column("doc_id"),
             [_class_of(s) if len(s) else None for s in sets],
             [len(s) for s in sets],
             [minwise(s, multipliers) if len(s) else None for s in sets],
+            *[batch.column(c) for c in carried],
         )
 
 

@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from barloom.llm.near_duplicates import keep_one_of_each
 from barloom.llm.repeats import INDEX_BITS, PIECE, RepeatParameters, _bounded, anchors_of, remove_repeats
 from test_text_operators import by_id, documents, prose
 
@@ -39,3 +40,14 @@ def test_pieces_have_the_anchors_of_the_whole(monkeypatch):
         got += [(s + skipped, int(g)) for _, lo, hi, g in zip(*anchors_of(parts, p)) for s in range(lo, hi + 1)]
     assert len(got) == len(set(got)) == len(text) - p.length + 1
     assert sorted(got) == sorted(want)
+
+
+def test_one_row_of_each_group_stays(spark):
+    one, two, three = prose(1, 60), prose(2, 60), prose(3, 60)
+    near = one + " and a last word"
+    rows = [(5, one), (None, one), (None, near), (5, one), (5, near), (7, one), (7, two), (8, two), (None, three), (None, three)]
+    rows += [(9, ""), (None, None), (None, " ")]
+    kept = keep_one_of_each(documents(spark, [t for _, t in rows], [i for i, _ in rows])).collect()
+    assert len(kept) == 6 and sum(r["doc_id"] is None for r in kept) == 3
+    assert [r["doc_id"] for r in kept if r["text"] in (one, near)] == [5]
+    assert [(r["doc_id"]) for r in kept if r["text"] == two] == [7] and [r["doc_id"] for r in kept if r["text"] == three] == [None]
