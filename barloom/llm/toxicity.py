@@ -3,7 +3,7 @@
 Words are hashed to embeddings; filters of several widths slide over the whole
 text, each keeps its maximum, and a logistic layer reads the maxima. Trained in
 numpy on a bounded sample of labelled documents; thresholds by language are
-calibrated on a part of the sample that training does not see.
+calibrated on all labelled documents that are neither held out nor trained on.
 """
 
 from __future__ import annotations
@@ -19,14 +19,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import arrow_map, batch_of, narrowed, text_slices, word_hashes
+from barloom.session import staged
 
 WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 SLICE = 1 << 20
+BINS = 64  # of log-odds, per unit
 
 
 @dataclass(frozen=True)
 class CnnParameters:
-    """``max_rows`` labelled documents at most are drawn for training, a tenth of them for the thresholds.
+    """``max_rows`` labelled documents at most are drawn for training; a tenth of them is left for the thresholds.
 
     2**bits word buckets share embeddings of ``size`` numbers; ``filters`` of each width.
     """
@@ -53,7 +55,6 @@ class Cnn:
     biases: list[np.ndarray]
     out: np.ndarray
     base: float
-    thresholds: dict[str, float]
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, parameters: CnnParameters = CnnParameters()) -> DataFrame:
@@ -66,13 +67,13 @@ def score_documents(docs: DataFrame, labels: DataFrame, parameters: CnnParameter
     language's own threshold (0.5 for unknown ones). Repeated rows each get
     their row; without any usable label every score is 0.5.
     """
-    model = train(_drawn(docs, labels, parameters), parameters)
+    model, learned = train(_drawn(docs, labels, parameters), parameters)
     # plain arrays, as classes of this package need not be known where a broadcast is read
     weights = docs.sparkSession.sparkContext.broadcast((model.words, model.kernels, model.biases, model.out, model.base))
     rows = narrowed(docs, "doc_id", "text", "lang")
-    scored = arrow_map(rows, _score, "doc_id long, lang string, score double", weights=weights, p=parameters)
+    scored = staged(arrow_map(rows, _score, "doc_id long, lang string, score double", weights=weights, p=parameters))
     threshold = F.lit(0.5)
-    for language, value in sorted(model.thresholds.items()):
+    for language, value in sorted(_thresholds(_binned(scored, labels, learned)).items()):
         threshold = F.when(F.col("lang") == language, F.lit(value)).otherwise(threshold)
     return scored.select(
         "doc_id",
@@ -87,11 +88,27 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
+def _known(labels: DataFrame) -> DataFrame:
+    """(_id, toxic): the labels that may be read, one per id."""
+    known = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").alias("toxic")).where("_id is not null and toxic is not null")
+    return known.where(~held_out(F.col("_id"))).groupBy("_id").agg(F.max("toxic").alias("toxic"))
+
+
+def _binned(scored: DataFrame, labels: DataFrame, learned: list[int]) -> list:
+    """(lang, bin, least, n, toxic) of all labelled rows that training has not seen: counts, and the least score of the bin."""
+    seen = scored.sparkSession.createDataFrame([(i,) for i in sorted(set(learned))], "_id long")
+    unseen = _known(labels).join(F.broadcast(seen), "_id", "left_anti")
+    rows = scored.where("lang is not null").join(unseen, F.col("doc_id") == F.col("_id"))
+    odds = F.log(F.col("score") / (1 - F.col("score")))
+    counts = rows.groupBy("lang", F.floor(odds * BINS).alias("bin")).agg(
+        F.min("score").alias("least"), F.count(F.lit(1)).alias("n"), F.sum(F.col("toxic").cast("long")).alias("toxic")
+    )
+    return counts.collect()
+
+
 def _drawn(docs: DataFrame, labels: DataFrame, p: CnnParameters) -> list:
     """(ids, lang, toxic) of the labelled documents with the smallest hash of their id: a bounded sample on the driver."""
-    known = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").alias("toxic")).where("_id is not null and toxic is not null")
-    known = known.where(~held_out(F.col("_id"))).groupBy("_id").agg(F.max("toxic").alias("toxic"))
-    drawn = known.orderBy(F.xxhash64("_id"), "_id").limit(p.max_rows)
+    drawn = _known(labels).orderBy(F.xxhash64("_id"), "_id").limit(p.max_rows)
     rows = narrowed(docs, "doc_id", "text", "lang").join(drawn, F.col("doc_id") == F.col("_id")).select("_id", "text", "lang", "toxic")
     numbered = arrow_map(rows, _numbered, "doc_id long, ids binary, lang string, toxic int", p=p)
     # repeated documents may exceed the bound
@@ -114,7 +131,7 @@ def _numbered(batches: Iterator[pa.RecordBatch], p: CnnParameters) -> Iterator[p
 
 
 def _score(batches: Iterator[pa.RecordBatch], weights: Broadcast, p: CnnParameters) -> Iterator[pa.RecordBatch]:
-    m = Cnn(p, *weights.value, {})
+    m = Cnn(p, *weights.value)
     for batch, texts in text_slices(batches, limit=SLICE):
         scores = predict(m, [bucket_ids(t, m.p.bits) for t in texts])
         yield batch_of(SCORED, batch.column("doc_id").cast(pa.int64()), batch.column("lang").cast(pa.string()), scores)
@@ -128,7 +145,7 @@ def _fresh(p: CnnParameters) -> Cnn:
     kernels = [draw.normal(0, (w * p.size) ** -0.5, (w * p.size, p.filters)).astype(np.float32) for w in p.widths]
     words = draw.normal(0, 0.1, (1 << p.bits, p.size)).astype(np.float32)
     total = len(p.widths) * p.filters
-    return Cnn(p, words, kernels, [np.zeros(p.filters, np.float32) for _ in p.widths], draw.normal(0, 0.1, total).astype(np.float32), 0.0, {})
+    return Cnn(p, words, kernels, [np.zeros(p.filters, np.float32) for _ in p.widths], draw.normal(0, 0.1, total).astype(np.float32), 0.0)
 
 
 def _maxima(m: Cnn, texts: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
@@ -154,16 +171,17 @@ def predict(m: Cnn, texts: list[np.ndarray]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip((pooled @ m.out + m.base).astype(np.float64), -30, 30)))
 
 
-def train(rows: list, p: CnnParameters) -> Cnn:
+def train(rows: list, p: CnnParameters) -> tuple[Cnn, list[int]]:
+    """The fitted network and the ids of the documents it has seen."""
     m = _fresh(p)
     if not rows:
         m.out[:] = 0
-        return m
+        return m, []
     texts = [np.frombuffer(r["ids"], np.int32) for r in rows]
     y = np.array([float(r["toxic"]) for r in rows], np.float32)
     draw = np.random.default_rng(p.seed)
     order = draw.permutation(len(rows))
-    checked, learned = order[: len(order) // 10], order[len(order) // 10 :]
+    learned = order[len(order) // 10 :]
     m.base = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     state = _Adam(m)
     for epoch in range(p.epochs):
@@ -172,8 +190,7 @@ def train(rows: list, p: CnnParameters) -> Cnn:
         for at in range(0, len(learned), p.batch):
             some = learned[at : at + p.batch]
             state.step(_gradients(m, [texts[i] for i in some], y[some]), rate)
-    m.thresholds = _thresholds(m, [(texts[i], rows[i]["lang"], y[i]) for i in checked])
-    return m
+    return m, [rows[i]["doc_id"] for i in learned]
 
 
 def _gradients(m: Cnn, texts: list[np.ndarray], y: np.ndarray) -> tuple:
@@ -235,18 +252,15 @@ class _Adam:
         m.base = float(scalar[0])
 
 
-def _thresholds(m: Cnn, rows: list) -> dict[str, float]:
-    """Per language the threshold with the best F1 among the scores; 0.5 where there are no toxic examples."""
+def _thresholds(counts: list) -> dict[str, float]:
+    """Per language the least score of the bin from which on F1 is best; 0.5 where there are no toxic examples."""
     found = {}
-    for language in sorted({lang for _, lang, _ in rows if lang is not None}):
-        own = [(ids, y) for ids, lang, y in rows if lang == language]
-        y = np.array([t for _, t in own])
-        if y.sum() == 0:
+    for language in sorted({r["lang"] for r in counts}):
+        own = sorted((r for r in counts if r["lang"] == language), key=lambda r: -r["bin"])
+        toxic = np.array([r["toxic"] for r in own])
+        if toxic.sum() == 0:
             found[language] = 0.5
             continue
-        scores = predict(m, [ids for ids, _ in own])
-        ranked = np.argsort(-scores, kind="stable")
-        hits = np.cumsum(y[ranked])
-        f1 = 2 * hits / (np.arange(len(y)) + 1 + y.sum())
-        found[language] = float(scores[ranked[int(np.argmax(f1))]])
+        f1 = 2 * np.cumsum(toxic) / (np.cumsum([r["n"] for r in own]) + toxic.sum())
+        found[language] = float(own[int(np.argmax(f1))]["least"])
     return found

@@ -5,6 +5,7 @@ import random
 import corpus_pipeline
 from barloom.llm.near_duplicates import keep_one_of_each
 from barloom.llm.repeats import INDEX_BITS, PIECE, RepeatParameters, _bounded, anchors_of, remove_repeats
+from barloom.llm.toxicity import CnnParameters, score_documents
 from test_text_operators import by_id, documents, prose
 
 
@@ -51,3 +52,28 @@ def test_one_row_of_each_group_stays(spark):
     assert len(kept) == 6 and sum(r["doc_id"] is None for r in kept) == 3
     assert [r["doc_id"] for r in kept if r["text"] in (one, near)] == [5]
     assert [(r["doc_id"]) for r in kept if r["text"] == two] == [7] and [r["doc_id"] for r in kept if r["text"] == three] == [None]
+
+
+def test_thresholds_use_all_labelled_rows(spark):
+    draw = random.Random(7)
+    rows = []
+    for i in range(1500):
+        rare, toxic = i % 3 == 0, int(i % 4 == 0)
+        words = prose(3000 + i, draw.randint(5, 20)).split(" ")
+        if toxic:
+            words.insert(draw.randrange(len(words)), "vilest")
+        rows.append((i, " ".join(words), "xx" if rare else "en", toxic))
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, y) for i, _, _, y in rows], "doc_id long, toxic int")
+    # a sample of 60 leaves 6 rows of all languages together; here all but 54 of the labelled rows count
+    got = score_documents(docs, labels, CnnParameters(max_rows=60, bits=12, epochs=6)).collect()
+    toxic = {i: y for i, _, _, y in rows}
+    for language in ("en", "xx"):
+        own = [r for r in got if not r["held_out"] and rows[r["doc_id"]][2] == language]
+
+        def f1(flags):
+            hits = sum(f and toxic[r["doc_id"]] for f, r in zip(flags, own))
+            return 2 * hits / (sum(flags) + sum(toxic[r["doc_id"]] for r in own))
+
+        best = max(f1([r["score"] >= t for r in own]) for t in {r["score"] for r in own})
+        assert f1([r["flagged"] == 1 for r in own]) >= best - 0.02
