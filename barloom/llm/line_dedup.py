@@ -117,7 +117,12 @@ def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def token_sets(lines: list[list[bytes]], ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct tokens of all lines, each line's by rarity, and the bounds of the lines."""
+    """Distinct tokens of all lines, each line's by rarity, and the bounds of the lines; in runs that the line bits can number."""
+    most = 1 << (64 - RANK_BITS - HASH_BITS)
+    if len(lines) > most:
+        runs = [token_sets(lines[at : at + most], ranks) for at in range(0, len(lines), most)]
+        sizes = np.concatenate([np.diff(bounds) for _, bounds in runs])
+        return np.concatenate([tokens for tokens, _ in runs]), np.concatenate([[0], np.cumsum(sizes)])
     hashes = word_hashes([w for words in lines for w in words])
     line = np.repeat(np.arange(len(lines), dtype=np.uint64), [len(words) for words in lines])
     token = ranks[(hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(HASH_BITS) | hashes & np.uint64((1 << HASH_BITS) - 1)

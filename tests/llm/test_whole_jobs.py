@@ -2,7 +2,10 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
+from barloom.llm.line_dedup import BUCKET_BITS, token_sets
 from barloom.llm.near_duplicates import keep_one_of_each
 from barloom.llm.repeats import INDEX_BITS, PIECE, RepeatParameters, _bounded, anchors_of, remove_repeats
 from barloom.llm.toxicity import CnnParameters, score_documents
@@ -77,3 +80,11 @@ def test_thresholds_use_all_labelled_rows(spark):
 
         best = max(f1([r["score"] >= t for r in own]) for t in {r["score"] for r in own})
         assert f1([r["flagged"] == 1 for r in own]) >= best - 0.02
+
+
+def test_tokens_of_more_lines_than_the_line_bits_number():
+    n = (1 << 20) + 5
+    tokens, bounds = token_sets([[b"first"], *[[b"a", b"b"]] * (n - 2), [b"last", b"line", b"last"]], np.ones(1 << BUCKET_BITS, np.uint16))
+    sizes = np.diff(bounds)
+    assert len(sizes) == n and sizes[0] == 1 and (sizes[1:] == 2).all() and len(tokens) == bounds[-1]
+    assert set(tokens[bounds[1] : bounds[2]]) == set(tokens[bounds[-3] : bounds[-2]]) and tokens[0] not in tokens[1:]
