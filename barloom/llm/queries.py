@@ -7,13 +7,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm.byte_bpe import BpeParameters, encode_documents
+from barloom.llm.centroids import cluster_vectors
 from barloom.llm.decontamination import contaminated
+from barloom.llm.fill_in_middle import fill_in_middle, restored
 from barloom.llm.line_dedup import dedup_lines
 from barloom.llm.main_text import extract_main_text
 from barloom.llm.near_duplicates import NearParameters, near_duplicates
 from barloom.llm.quality import quality
 from barloom.llm.repeats import remove_repeats
 from barloom.llm.secret_scan import find_secrets
+from barloom.llm.sentence_pieces import PieceParameters, encode_pieces
 from barloom.llm.toxicity import score_documents
 from barloom.llm.warc import round_trip
 
@@ -68,6 +71,20 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), byte_bpe_50k())
 
 
+def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_pieces(table(spark, sf_dir, "documents"), PieceParameters(public_tokenizers.path("piece_bpe_32k.model")))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_in_middle(table(spark, sf_dir, "documents"))
+    digests = [F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("form"), F.col("output")), 256).alias("restored_sha256")]
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -81,6 +98,9 @@ QUERIES = {
         op8_decontamination,
         op9_toxicity,
         op10_byte_bpe,
+        op11_sentence_pieces,
+        op12_fill_in_middle,
+        op13_centroids,
     )
 }
 
@@ -152,9 +172,70 @@ c AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN si USING (shingl
 SELECT doc_id, item_id, n_item_shingles, n_shared FROM c JOIN n USING (item_id) WHERE n_shared * 100 >= n_item_shingles * 80
 """
 
+FIM_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || doc_id) AS h FROM documents),
+draws AS (
+  SELECT doc_id, text, length(text) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+         CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4
+  FROM d),
+cuts AS (
+  SELECT doc_id, text, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+              WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM draws),
+parts AS (
+  SELECT *, substring(text, 1, a) AS prefix, substring(text, a + 1, b - a) AS middle, substring(text, b + 1, n - b) AS suffix FROM cuts)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(a AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(b - a AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text
+                        WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle
+                        ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
+def _centroid_sql(rounds: int) -> str:
+    """Assignment of all vectors, then ``rounds`` times new means and another assignment; a centroid is 64 rows (c, k, x)."""
+    steps = [
+        """
+WITH kept AS (
+  SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+v AS MATERIALIZED (SELECT r, unnest(range(1, 65)) AS k, CAST(floor(64 * CAST(unnest(embedding) AS DOUBLE)) AS BIGINT) AS x FROM kept),
+first AS (SELECT r, row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c FROM kept QUALIFY c < 16),
+c0 AS MATERIALIZED (SELECT c, k, x FROM first JOIN v USING (r))"""
+    ]
+    for i in range(rounds + 1):
+        steps.append(
+            f"""
+a{i} AS MATERIALIZED (
+  SELECT r, c, d FROM (SELECT r, c, CAST(sum((v.x - m.x) * (v.x - m.x)) AS BIGINT) AS d FROM v JOIN c{i} AS m USING (k) GROUP BY r, c)
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)"""
+        )
+        if i < rounds:
+            steps.append(
+                f"""
+m{i} AS (SELECT c, k, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM a{i} JOIN v USING (r) GROUP BY c, k),
+c{i + 1} AS MATERIALIZED (
+  SELECT c, k, CASE WHEN n IS NULL THEN x ELSE (s - ((s % n) + n) % n) // n END AS x FROM c{i} LEFT JOIN m{i} USING (c, k))"""
+            )
+    return (
+        ",".join(steps)
+        + f""",
+digests AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY k)) AS centroid_sha256 FROM c{rounds} GROUP BY c)
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a{rounds} JOIN kept USING (r) JOIN digests USING (c)
+"""
+    )
+
+
 ORACLE_SQL = {
     "op3_quality_rules": QUALITY_SQL,
     "op5_near_duplicates": NEAR_SQL,
     "op6_warc": WARC_SQL,
     "op8_decontamination": CONTAINMENT_SQL,
+    "op12_fill_in_middle": FIM_SQL,
+    "op13_centroids": _centroid_sql(rounds=3),
 }
