@@ -138,6 +138,7 @@ class PieceModel:
     def _surfaces(self, kinds: list[int]) -> None:
         """What each id decodes to."""
         self.surface = []
+        self.spaced = {i for i, (piece, kind) in enumerate(zip(self.pieces, kinds)) if kind == NORMAL and piece.startswith(SPACE)}
         for piece, kind in zip(self.pieces, kinds):
             if kind == BYTE:
                 self.surface.append(bytes([int(piece[3:5], 16)]))
@@ -354,15 +355,19 @@ class PieceDecoder:
     """Ids to text by parts; the space that encoding put before the text goes."""
 
     def __init__(self, model: PieceModel):
-        self.surface, self.begun = model.surface, not model.prefix
+        codecs.register_error("each_byte", _each_byte)
+        self.surface, self.spaced, self.begun = model.surface, model.spaced, not model.prefix
         self.stream = codecs.getincrementaldecoder("utf-8")("each_byte")
 
     def feed(self, ids: bytes, final: bool = False) -> str:
         surface, numbers, out = self.surface, np.frombuffer(ids, "<u4"), []
         for i in range(0, len(numbers), DECODE_IDS):
-            data = b"".join([surface[n] for n in numbers[i : i + DECODE_IDS].tolist()])
+            part = numbers[i : i + DECODE_IDS].tolist()
+            data = b"".join([surface[n] for n in part])
             if not self.begun and data:
-                self.begun, data = True, data.removeprefix(b" ")
+                self.begun = True
+                if next(n for n in part if surface[n]) in self.spaced:
+                    data = data[1:]
             out.append(self.stream.decode(data))
         out.append(self.stream.decode(b"", final))
         return "".join(out)
@@ -373,8 +378,6 @@ def _each_byte(error: UnicodeError) -> tuple[str, int]:
 
 
 def _codec(name: str, p: PieceParameters) -> PieceCodec:
-    codecs.register_error("each_byte", _each_byte)
-
     def make() -> PieceCodec:
         with open(SparkFiles.get(name), "rb") as file:
             return PieceCodec(PieceModel(file.read()), p.max_words)
