@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.numeric import clamp, finite
-from barloom.operators.ranking import SPLIT_ROWS, exact_quantiles
+from barloom.operators.quantiles import edge_table, edges_passed, exact_quantiles
 
 # Limits of a bin probability, fewest rows and edges for a fit.
 PROB_FLOOR, PROB_CEIL = 1e-4, 1 - 1e-4
@@ -53,10 +53,6 @@ def interval_tree(x: str, edges: tuple[float, ...], leaves: list[str]) -> str:
     return f"CASE WHEN {x} < {edges[middle]!r}D THEN {below} ELSE {above} END"
 
 
-def bin_of(column: str, inner: tuple[float, ...]) -> Column:
-    return F.expr(interval_tree(f"`{column}`", inner, [str(i) for i in range(len(inner) + 1)]))
-
-
 def mapped_probability(column: str, mapper: Mapper) -> Column:
     """Bin probability of the column's value; unknown or infinite input gets the base."""
     tree = interval_tree(f"`{column}`", mapper.inner, [f"{p!r}D" for p in mapper.probs])
@@ -71,16 +67,37 @@ def model_score(model: Model, mappers: dict[str, Mapper]) -> Column:
     return clamp(total, PROB_FLOOR, PROB_CEIL)
 
 
-def quantile_edges(
-    df: DataFrame, features: list[str], n_bins: int = 20, split_rows: int = SPLIT_ROWS
-) -> DataFrame:
+def quantile_edges(df: DataFrame, features: list[str], n_bins: int = 20) -> DataFrame:
     """(feature, sorted distinct exact quantiles) over finite values."""
-    long = df.select(
-        F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), finite(F.col(c)).alias("x")) for c in features])).alias("s")
-    ).select("s.feature", "s.x")
-    steps = [i / n_bins for i in range(n_bins + 1)]
-    edges = exact_quantiles(long, ["feature"], "x", steps, "edges", split_rows)
-    return edges.select("feature", F.array_distinct("edges").alias("edges"))
+    edges = exact_quantiles(df, features, [i / n_bins for i in range(n_bins + 1)])
+    rows = [(feature, sorted(set(values))) for (_, feature), values in edges.items()]
+    return df.sparkSession.createDataFrame(rows, "feature string, edges array<double>")
+
+
+@dataclass(frozen=True)
+class Totals:
+    """Of a group's rows with a finite value of a feature: their number and the sum of their labels; and the mean label of all."""
+
+    n: int
+    up: float
+    mean: float | None
+
+
+def count_totals(df: DataFrame, features: list[str], label: str, groups: dict[Hashable, Column]) -> dict[Hashable, dict[str, Totals]]:
+    y = F.col(label).cast("double")
+    row = df.agg(
+        *[F.avg(F.when(mask, y)).alias(f"mean{i}") for i, mask in enumerate(groups.values())],
+        *[F.count_if(mask & known(c)).alias(f"n{i}_{j}") for i, mask in enumerate(groups.values()) for j, c in enumerate(features)],
+        *[F.sum(F.when(mask & known(c), y)).alias(f"up{i}_{j}") for i, mask in enumerate(groups.values()) for j, c in enumerate(features)],
+    ).first()
+    return {
+        g: {c: Totals(row[f"n{i}_{j}"], row[f"up{i}_{j}"] or 0.0, row[f"mean{i}"]) for j, c in enumerate(features)}
+        for i, g in enumerate(groups)
+    }
+
+
+def known(column: str) -> Column:
+    return finite(F.col(column)).isNotNull()
 
 
 def fit_mappers(
@@ -90,73 +107,49 @@ def fit_mappers(
     *,
     n_bins: int = 20,
     alpha: float = 120.0,
-    groups: Column | None = None,
+    groups: dict[Hashable, Column] | None = None,
+    totals: dict[Hashable, dict[str, Totals]] | None = None,
     min_rows: int = MIN_ROWS,
-    split_rows: int = SPLIT_ROWS,
 ) -> dict[Hashable, dict[str, Mapper]]:
     """Mapper per feature, for each group a row belongs to.
 
-    ``groups`` is an array column (one row may train several folds); without
-    it there is one group, 0. Fewer than ``min_rows`` finite values, or fewer
-    than four distinct edges, give a constant mapper.
+    ``groups`` are row sets by condition (one row may train several folds);
+    without it there is one group, 0. ``totals`` of the groups are counted if
+    the caller does not have them. Fewer than ``min_rows`` finite values, or
+    fewer than four distinct edges, give a constant mapper.
     """
-    member = F.explode(F.array(F.lit(0)) if groups is None else groups).alias("_g")
-    rows = df.select(member, F.col(label).cast("double").alias("_y"), *features)
-    pairs = F.array(
-        *[F.struct(F.lit(i).alias("_f"), finite(F.col(c)).alias("_x")) for i, c in enumerate(features)]
-    )
-    long = rows.select("_g", "_y", F.explode(pairs).alias("_s")).select("_g", "_s._f", "_s._x", "_y")
-    totals = (
-        long.groupBy("_g", "_f")
-        .agg(
-            F.count("_x").alias("n"),
-            F.sum(F.when(F.col("_x").isNotNull(), F.col("_y"))).alias("up"),
-            F.avg("_y").alias("mean"),
-        )
-        .collect()
-    )
-    fitted = {(t._g, t._f): t.up / t.n for t in totals if t.n >= min_rows}
-    out: dict[Hashable, dict[str, Mapper]] = {}
-    for t in totals:
-        base = fitted.get((t._g, t._f), t.mean if t.mean is not None else 0.5)
-        out.setdefault(t._g, {})[features[t._f]] = Mapper((), (base,), base)
-
-    steps = [i / n_bins for i in range(n_bins + 1)]
-    quantiles = exact_quantiles(long, ["_g", "_f"], "_x", steps, "q", split_rows).collect()
+    groups = {0: F.lit(True)} if groups is None else groups
+    totals = count_totals(df, features, label, groups) if totals is None else totals
+    base, out = {}, {}
+    for g in groups:
+        out[g] = {}
+        for c in features:
+            t = totals[g][c]
+            base[g, c] = t.up / t.n if t.n >= min_rows else 0.5 if t.mean is None else t.mean
+            out[g][c] = Mapper((), (base[g, c],), base[g, c])
+
     inner = {}
-    for row in quantiles:
-        edges = sorted(set(row.q))
-        if (row._g, row._f) in fitted and len(edges) >= MIN_EDGES:
-            inner[(row._g, row._f)] = tuple(edges[1:-1])
+    for (g, c), values in exact_quantiles(df, features, [i / n_bins for i in range(n_bins + 1)], groups).items():
+        edges = sorted(set(values))
+        if totals[g][c].n >= min_rows and len(edges) >= MIN_EDGES:
+            inner[g, c] = tuple(edges[1:-1])
     if not inner:
         return out
 
-    def located(i: int, c: str) -> Column:
-        tree = "CAST(NULL AS INT)"
-        for (g, f), edges in inner.items():
-            if f == i:
-                leaf = interval_tree(f"`{c}`", edges, [str(k) for k in range(len(edges) + 1)])
-                tree = f"CASE WHEN _g = {g} THEN {leaf} ELSE {tree} END"
-        known = F.when(finite(F.col(c)).isNotNull(), F.expr(tree))
-        return F.struct(F.lit(i).alias("_f"), known.alias("bin"))
-
-    used = sorted({f for _, f in inner})
-    binned = rows.select("_g", "_y", F.explode(F.array(*[located(i, features[i]) for i in used])).alias("_s"))
-    counts = (
-        binned.select("_g", "_s._f", "_s.bin", "_y")
-        .where(F.col("bin").isNotNull())
-        .groupBy("_g", "_f", "bin")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("up"))
-        .collect()
-    )
-    seen = {(c._g, c._f, c.bin): (c.n, c.up) for c in counts}
-    for (g, f), edges in inner.items():
-        base = fitted[(g, f)]
+    # a row's pairs are exploded and counted inside the task
+    y = F.col(label).cast("double").alias("y")
+    pairs = [F.when(groups[g] & known(c), F.struct(F.lit(i).alias("i"), finite(F.col(c)).alias("x"), y)) for i, (g, c) in enumerate(inner)]
+    long = df.select(F.explode(F.array_compact(F.array(*pairs))).alias("s")).select("s.*")
+    edges = F.get(edge_table(list(inner.values())), F.col("i"))
+    binned = long.select("i", edges_passed(F.col("x"), edges, max(map(len, inner.values()))).alias("bin"), "y")
+    counts = binned.groupBy("i", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("up")).collect()
+    seen = {(r.i, r.bin): (r.n, r.up) for r in counts}
+    for i, ((g, c), edges) in enumerate(inner.items()):
         probs = []
         for k in range(len(edges) + 1):
-            n, up = seen.get((g, f, k), (0, 0.0))
-            probs.append(min(max((up + alpha * base) / (n + alpha), PROB_FLOOR), PROB_CEIL))
-        out[g][features[f]] = Mapper(edges, tuple(probs), base)
+            n, up = seen.get((i, k), (0, 0.0))
+            probs.append(min(max((up + alpha * base[g, c]) / (n + alpha), PROB_FLOOR), PROB_CEIL))
+        out[g][c] = Mapper(edges, tuple(probs), base[g, c])
     return out
 
 

@@ -1,114 +1,93 @@
-"""Ranks, exact quantiles and row numbers that do not need a whole group in one task.
-
-All of them start from a size check (one map-side-combined count). Groups up
-to ``split_rows`` rows are ordered by a plain window. If any group is larger,
-its value range is cut into slots at approximate quantiles of its own values;
-slots are counted, the counts are prefix-summed (a small table), and only the
-order *inside* a slot is left to a window. Each edge value is a slot of its
-own, so a value repeated by a large share of the group -- which is certain to
-be an edge -- never has to be sorted: its rows are spread over salts. A slot
-that is still too large is split again. Results are exact either way.
+"""Ranks and row numbers that never need a whole group in one task.
+
+Ranks: groups of more than ``slot_rows`` rows are cut at their own approximate
+quantiles. A border value is a slot of its own, so no run of equal values
+crosses a border, and a value that a large share of the group repeats -- which
+is certain to be a border -- is never sorted: its rows are dealt over salts.
+Each such group carries a ladder along: its borders, and for every slot the
+rows in it and before it. Slots are then ranked by themselves, and the ladder
+lifts their ranks to those of the group. Groups that need no cut have no
+ladder and are ranked whole. Numbers: rows are range-sorted, and every sorted
+partition adds the count of those before it.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from barloom.session import materialize, staged
 
-SPLIT_ROWS = 4_000_000
-MAX_EDGES = 128
+SLOT_ROWS = 1_000_000  # rows that one slot is meant to hold
+MAX_BORDERS = 1024
 SALTS = 32
 
 
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return counts.agg(F.max("n")).first()[0] or 0
-
-
-def _slot_edges(df: DataFrame, keys: list[str], value: str, split_rows: int) -> DataFrame:
-    """(keys, edges) for every group larger than ``split_rows``.
+def _borders(df: DataFrame, keys: list[str], values: list[str], slot_rows: int) -> DataFrame:
+    """(keys, borders of each value column) of the groups with more than ``slot_rows`` rows, as a written table.
 
-    A group gets about four edges per ``split_rows`` rows, at most MAX_EDGES,
-    so the whole table holds no more than 4 * rows / split_rows numbers. It
-    is written out once: the counting branch and the ranking branch must
-    agree on the edges, and approximate quantiles depend on merge order.
+    Written, because all that follows must agree on the borders, and
+    approximate quantiles depend on the order in which summaries are merged.
     """
-    probabilities = F.array(*[F.lit(i / MAX_EDGES) for i in range(MAX_EDGES + 1)])
-    sketched = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx(value, probabilities, F.lit(20 * MAX_EDGES)).alias("_e"),
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > slot_rows)
+    steps = F.array(*[F.lit(i / MAX_BORDERS) for i in range(MAX_BORDERS + 1)])
+    summaries = df.join(sizes, keys).groupBy(*keys, "_n").agg(
+        *[F.percentile_approx(v, steps, F.lit(4 * MAX_BORDERS)).alias(v) for v in values]
     )
-    wanted = F.least(F.lit(MAX_EDGES), F.ceil(4 * F.col("_n") / split_rows))
-    step = F.greatest(F.lit(1), F.floor(F.lit(MAX_EDGES) / wanted)).cast("int").alias("_step")
-    large = sketched.where(F.col("_n") > split_rows).select(*keys, "_e", step)
-    thinned = F.filter("_e", lambda _e, i: i % F.col("_step") == 0)
-    return materialize(large.select(*keys, F.array_distinct(thinned).alias("_edges")))
+    wanted = F.least(F.lit(MAX_BORDERS), F.ceil(2 * F.col("_n") / slot_rows))
+    step = F.greatest(F.lit(1), F.floor(F.lit(MAX_BORDERS) / wanted)).cast("int")
+    thinned = [F.array_distinct(F.filter(v, lambda _, i: i % F.col("_step") == 0)).alias(v) for v in values]
+    return staged(summaries.withColumn("_step", step).select(*keys, *thinned))
+
+
+def _slot(value: Column, borders: Column) -> Column:
+    """2a above a borders, 2a + 1 on border number a; a is found by halving steps."""
+    steps = F.array(*[F.lit(1 << bit) for bit in reversed(range(MAX_BORDERS.bit_length()))])
+    below = F.aggregate(
+        steps,
+        F.lit(0),
+        lambda a, step: F.when(F.get(borders, a + step - 1) < value, a + step).otherwise(a),
+    )
+    on_border = F.coalesce(F.get(borders, below) == value, F.lit(False))
+    return F.when(value.isNotNull(), 2 * below + on_border.cast("int"))
 
 
-def _with_slot(df: DataFrame, keys: list[str], value: str, edges: DataFrame, slot: str) -> DataFrame:
-    """Slot number: 2i for "above edge i", 2i-1 for "equal to edge i"; 0 when the group is not split.
+def _ladders(df: DataFrame, keys: list[str], values: list[str], slot_rows: int) -> DataFrame:
+    """(keys, one struct of borders, rows in and before each slot, and size per value column), as a written table.
 
-    That is the number of edges <= value plus the number of edges < value.
+    One row per large group, at most 2 * MAX_BORDERS + 1 slots a column.
     """
-    x = F.col(value)
-    passed = F.aggregate(
-        "_edges", F.lit(0), lambda n, e: n + (e <= x).cast("int") + (e < x).cast("int")
+    borders = _borders(df, keys, values, slot_rows)
+    cut = [F.col(v).alias(f"_b{i}") for i, v in enumerate(values)]
+    placed = df.join(borders.select(*keys, *cut), keys)
+    items = [F.struct(F.lit(i).alias("i"), _slot(F.col(v), F.col(f"_b{i}")).alias("slot")) for i, v in enumerate(values)]
+    counts = (
+        placed.select(*keys, F.explode(F.array(*items)).alias("_s"))
+        .where("_s.slot IS NOT NULL")
+        .groupBy(*keys, "_s.i", "_s.slot")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    joined = df.join(edges, keys, "left")
-    return joined.select(*df.columns, F.coalesce(passed, F.lit(0)).alias(slot))
-
-
-def _slot_counts(slotted: DataFrame, keys: list[str], slot: str, value: str) -> DataFrame:
-    """Rows per slot and rows of the group before it; at most 2 * MAX_EDGES + 3 slots per group."""
-    counts = slotted.groupBy(*keys, slot).agg(
-        F.count(F.lit(1)).alias("_in_slot"), F.min(value).alias("_slot_value")
+    by_slot = Window.partitionBy(*keys, "i").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("before", F.coalesce(F.sum("n").over(by_slot), F.lit(0)))
+    rungs = counts.groupBy(*keys).pivot("i", list(range(len(values)))).agg(
+        F.map_from_entries(F.collect_list(F.struct("slot", F.struct("before", "n")))).alias("slots"),
+        F.sum("n").alias("size"),
     )
-    before = Window.partitionBy(*keys).orderBy(slot).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("_before", F.coalesce(F.sum("_in_slot").over(before), F.lit(0)))
-
-
-def with_positions(
-    df: DataFrame, keys: list[str], value: str, below: str, ties: str, split_rows: int = SPLIT_ROWS
-) -> DataFrame:
-    """Add, per row, how many rows of its group hold a smaller and an equal value.
+    every = F.sequence(F.lit(0), F.lit(2 * MAX_BORDERS + 1))
 
-    ``value`` and the keys must not be null.
-    """
-    if largest_group(df, keys) <= split_rows:
-        ordered = Window.partitionBy(*keys).orderBy(value)
-        peers = ordered.rangeBetween(Window.currentRow, Window.currentRow)
-        return df.withColumn(below, (F.rank().over(ordered) - 1).cast("long")).withColumn(
-            ties, F.count(F.lit(1)).over(peers)
-        )
+    def rung(column: str):
+        return lambda slot: F.col(column)[slot]
 
-    slot = f"_slot{len(keys)}"
-    edges = _slot_edges(df, keys, value, split_rows)
-    slotted = _with_slot(df, keys, value, edges, slot)
-    counts = _slot_counts(slotted, keys, slot, value)
-    pure = F.col(slot) % 2 == 1
-    salted = slotted.withColumn(
-        "_salt", F.when(pure, F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int")).otherwise(0)
-    )
-    spread = counts.withColumn(
-        "_salt",
-        F.explode(F.when(pure, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))),
-    )
-    placed = salted.join(spread.drop("_slot_value"), [*keys, slot, "_salt"])
-    tail = ["_salt", "_in_slot", "_before", slot]
-    direct = (
-        placed.where(pure)
-        .withColumn(below, F.col("_before"))
-        .withColumn(ties, F.col("_in_slot"))
-        .drop(*tail)
-    )
-    inner = with_positions(placed.where(~pure), [*keys, slot], value, below, ties, split_rows)
-    inner = inner.withColumn(below, F.col(below) + F.col("_before")).drop(*tail)
-    return direct.unionByName(inner)
+    ladder = [
+        F.struct(
+            F.col(v).alias("borders"), F.transform(every, rung(f"{i}_slots")).alias("slots"), F.col(f"{i}_size").alias("size")
+        ).alias(v)
+        for i, v in enumerate(values)
+    ]
+    return staged(borders.join(rungs, keys).select(*keys, F.struct(*ladder).alias("_ladder")))
 
 
 def percent_ranks(
@@ -118,151 +97,73 @@ def percent_ranks(
     *,
     nulls: str,
     ascending: bool = True,
-    split_rows: int = SPLIT_ROWS,
+    slot_rows: int = SLOT_ROWS,
 ) -> DataFrame:
     """Average-tie percent rank of each ``columns[name]`` inside its group, as ``name``.
 
     nulls="lowest": nulls rank below everything and count in the divisor.
     nulls="keep": nulls stay null and do not count.
+    ``df`` is written out once, and all columns are ranked from that table.
     """
     lowest = {"lowest": True, "keep": False}[nulls]
     sign = 1.0 if ascending else -1.0
-    if largest_group(df, keys) <= split_rows:
-        group = Window.partitionBy(*keys)
-        out = df
-        for name, column in columns.items():
-            x = F.col(column).cast("double") * F.lit(sign)
-            key = F.coalesce(x, F.lit(float("-inf"))) if lowest else x
-            ordered = group.orderBy(key.asc_nulls_last())
-            peers = ordered.rangeBetween(Window.currentRow, Window.currentRow)
-            size = F.count(key).over(group)
-            rank = F.rank().over(ordered) + (F.count(key).over(peers) - 1) / F.lit(2.0)
-            out = out.withColumn(name, F.when(key.isNotNull(), rank / size))
-        return out
-
-    out = df
-    for name, column in columns.items():
-        x = F.col(column).cast("double") * F.lit(sign)
-        keyed = out.withColumn("_x", F.coalesce(x, F.lit(float("-inf"))) if lowest else x)
-        known = keyed.where(F.col("_x").isNotNull())
-        sizes = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-        ranked = with_positions(known, keys, "_x", "_below", "_ties", split_rows)
-        # one size row per group; the group count is what the caller keys on (dates, reports)
-        ranked = ranked.join(sizes, keys).withColumn(
-            name, (F.col("_below") + (F.col("_ties") + 1) / F.lit(2.0)) / F.col("_size")
-        )
-        ranked = ranked.drop("_x", "_below", "_ties", "_size")
-        if not lowest:
-            missing = keyed.where(F.col("_x").isNull()).drop("_x")
-            ranked = ranked.unionByName(missing.withColumn(name, F.lit(None).cast("double")))
-        out = ranked
-    return out
-
-
-def values_at_ranks(
-    df: DataFrame, keys: list[str], value: str, wanted: DataFrame, split_rows: int = SPLIT_ROWS
-) -> DataFrame:
-    """The value at given 0-based ascending ranks: (keys, rank, value).
-
-    ``wanted`` is (keys, rank). In the split case only rows of the slots that
-    hold a wanted rank are shuffled.
-    """
-    if largest_group(df, keys) <= split_rows:
-        order = Window.partitionBy(*keys).orderBy(value)
-        numbered = df.select(*keys, value, (F.row_number().over(order) - 1).cast("long").alias("rank"))
-        return numbered.join(wanted, [*keys, "rank"]).select(*keys, "rank", value)
-
-    slot = f"_slot{len(keys)}"
-    edges = _slot_edges(df, keys, value, split_rows)
-    slotted = _with_slot(df.select(*keys, value), keys, value, edges, slot)
-    counts = _slot_counts(slotted, keys, slot, value)
-    # distinct wanted ranks meet the few slots of their own group
-    located = materialize(
-        wanted.distinct()
-        .join(counts, keys)
-        .where((F.col("rank") >= F.col("_before")) & (F.col("rank") < F.col("_before") + F.col("_in_slot")))
-    )
-    pure = F.col(slot) % 2 == 1
-    direct = located.where(pure).select(*keys, "rank", F.col("_slot_value").alias(value))
-    open_slots = located.where(~pure).select(*keys, slot).distinct()
-    candidates = slotted.join(open_slots, [*keys, slot], "left_semi")
-    shifted = located.where(~pure).select(
-        *keys, slot, (F.col("rank") - F.col("_before")).alias("rank"), F.col("_before")
-    )
-    inner = values_at_ranks(
-        candidates, [*keys, slot], value, shifted.select(*keys, slot, "rank").distinct(), split_rows
+    signed = {name: F.col(column).cast("double") * F.lit(sign) for name, column in columns.items()}
+    values = {name: f"_x{i}" for i, name in enumerate(columns)}
+    keyed = staged(
+        df.select("*", *[(F.coalesce(x, F.lit(float("-inf"))) if lowest else x).alias(values[name]) for name, x in signed.items()])
     )
-    inner = inner.join(shifted, [*keys, slot, "rank"]).select(
-        *keys, (F.col("rank") + F.col("_before")).alias("rank"), value
-    )
-    return direct.unionByName(inner)
-
+    ladders = _ladders(keyed.select(*keys, *values.values()), keys, list(values.values()), slot_rows)
+    out = df.columns + [name for name in columns if name not in df.columns]
+    whole = _rank_whole(keyed.join(ladders, keys, "left_anti"), keys, values)
+    by_slots = _rank_slots(keyed.join(ladders, keys), keys, values)
+    return whole.select(*out).unionByName(by_slots.select(*out))
 
-def exact_quantiles(
-    df: DataFrame,
-    keys: list[str],
-    value: str,
-    probabilities: list[float],
-    out: str = "quantiles",
-    split_rows: int = SPLIT_ROWS,
-) -> DataFrame:
-    """Exact linear-interpolated quantiles per group: (keys, array<double>). Nulls are ignored.
 
-    Read off at their ranks, so no task holds the distinct values of a group.
-    """
-    known = df.where(F.col(value).isNotNull())
-    sizes = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    points = sizes.select(
-        *keys,
-        F.posexplode(F.array(*[F.lit(float(p)) for p in probabilities])).alias("_i", "_prob"),
-        "_n",
-    ).withColumn("_pos", F.col("_prob") * (F.col("_n") - 1))
-    points = points.withColumn("_lo", F.floor("_pos")).withColumn("_hi", F.ceil("_pos"))
-    wanted = points.select(*keys, F.explode(F.array("_lo", "_hi")).alias("rank")).distinct()
-    found = materialize(values_at_ranks(known, keys, value, wanted, split_rows))
-    low = found.select(*keys, F.col("rank").alias("_lo"), F.col(value).alias("_a"))
-    high = found.select(*keys, F.col("rank").alias("_hi"), F.col(value).alias("_b"))
-    weight_high = F.col("_pos") - F.col("_lo")
-    # same arithmetic as percentile(): (hi - pos) * a + (pos - lo) * b
-    at = F.when((F.col("_lo") == F.col("_hi")) | (F.col("_a") == F.col("_b")), F.col("_a")).otherwise(
-        (F.col("_hi") - F.col("_pos")) * F.col("_a") + weight_high * F.col("_b")
-    )
-    return (
-        points.join(low, [*keys, "_lo"])
-        .join(high, [*keys, "_hi"])
-        .groupBy(*keys)
-        .agg(F.sort_array(F.collect_list(F.struct("_i", at.alias("v")))).alias("_q"))
-        .select(*keys, F.col("_q.v").alias(out))
-    )
+def _rank_whole(df: DataFrame, keys: list[str], values: dict[str, str]) -> DataFrame:
+    group = Window.partitionBy(*keys)
+    for name, value in values.items():
+        ordered = group.orderBy(F.col(value).asc_nulls_last())
+        peers = ordered.rangeBetween(Window.currentRow, Window.currentRow)
+        rank = F.rank().over(ordered) + (F.count(value).over(peers) - 1) / F.lit(2.0)
+        df = df.withColumn(name, F.when(F.col(value).isNotNull(), rank / F.count(value).over(group)))
+    return df
+
+
+def _rank_slots(df: DataFrame, keys: list[str], values: dict[str, str]) -> DataFrame:
+    # the numbers taken from the ladder travel with a row, the ladder itself stays behind
+    for value in values.values():
+        df = df.withColumn(f"_slot{value}", _slot(F.col(value), F.col("_ladder")[value]["borders"]))
+    df = df.withColumns(
+        {f"_rung{value}": F.get(F.col("_ladder")[value]["slots"], F.col(f"_slot{value}")) for value in values.values()}
+        | {f"_size{value}": F.col("_ladder")[value]["size"] for value in values.values()}
+    ).drop("_ladder")
+    for name, value in values.items():
+        slot, rung = F.col(f"_slot{value}"), F.col(f"_rung{value}")
+        # one value, or null: nothing to order
+        pure = slot.isNull() | (slot % 2 == 1)
+        df = df.withColumn("_salt", F.when(pure, (F.rand(17) * SALTS).cast("int")).otherwise(0))
+        ordered = Window.partitionBy(*keys, slot, "_salt").orderBy(value)
+        peers = ordered.rangeBetween(Window.currentRow, Window.currentRow)
+        inner = F.rank().over(ordered) + (F.count(F.lit(1)).over(peers) - 1) / F.lit(2.0)
+        rank = rung["before"] + F.when(pure, (rung["n"] + 1) / F.lit(2.0)).otherwise(inner)
+        df = df.withColumn(name, F.when(F.col(value).isNotNull(), rank / F.col(f"_size{value}")))
+    return df
 
 
-def number_rows(
-    df: DataFrame, order: list[Column], out: str, split_rows: int = SPLIT_ROWS
-) -> DataFrame:
+def number_rows(df: DataFrame, order: list[Column], out: str) -> DataFrame:
     """1, 2, 3, ... over the whole table in ``order`` (which must be total).
 
-    The input is written once, so that counting and ordering do not repeat
-    the work behind it. Small inputs then use one window. Larger ones are
-    range-sorted; each sorted partition adds the row count of those before it.
+    The input is written once, so that sampling it for the sort does not repeat
+    the work behind it, and the sorted rows are checkpointed, so that counting
+    and numbering see the same partitions.
     """
-    df = staged(df)
-    size = df.count()
-    if size <= split_rows:
-        return df.withColumn(out, F.row_number().over(Window.orderBy(*order)))
-    position = T.LongType()
-    ordered = materialize(df.orderBy(*order)).withColumn("_id", F.monotonically_increasing_id())
-    ordered = ordered.withColumn("_part", F.shiftright("_id", 33)).withColumn(
-        "_at", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)).cast(position)
-    )
-    parts = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = parts.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
-    # one row per sort partition: bounded by the partition count, not by the data
-    return (
-        ordered.join(F.broadcast(starts), "_part")
-        .withColumn(out, (F.col("_start") + F.col("_at") + 1).cast("int" if size < 2**31 else "long"))
-        .drop("_id", "_part", "_at", "_start")
-    )
+    ordered = materialize(staged(df).orderBy(*order)).withColumn("_id", F.monotonically_increasing_id())
+    ordered = ordered.withColumn("_part", F.shiftright("_id", 33)).withColumn("_at", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
+    # one row per sort partition: as many as the sort has tasks, whatever the data
+    parts = sorted(ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect())
+    passed = itertools.accumulate([r.n for r in parts], initial=0)
+    starts = df.sparkSession.createDataFrame([(r._part, n) for r, n in zip(parts, passed)], "_part long, _start long")
+    return ordered.join(starts, "_part").withColumn(out, F.col("_start") + F.col("_at") + 1).drop("_id", "_part", "_at", "_start")
 
 
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int, out: str = "rank") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.numeric import band_score, change
 from barloom.operators.binning import Model, fit_mappers, model_score
-from barloom.operators.ranking import SPLIT_ROWS, percent_ranks, top_per_group
+from barloom.operators.ranking import SLOT_ROWS, percent_ranks, top_per_group
 from barloom.operators.series import latest_per_ticker, next_day_labels, with_neighbours
 from barloom.session import staged
 
@@ -92,7 +92,7 @@ def score_days(
     n_bins: int = 20,
     alpha: float = 120.0,
     blend: tuple[float, float, float] = BLEND,
-    split_rows: int = SPLIT_ROWS,
+    slot_rows: int = SLOT_ROWS,
 ) -> DataFrame:
     """Every row of the inference range with its ranks, blended score and 70-99 score.
 
@@ -107,7 +107,7 @@ def score_days(
     train = next_day_labels(rows)
     if train_end is not None:
         train = train.where(F.col("date") <= F.lit(train_end).cast("date"))
-    mappers = fit_mappers(train, features, "target_up", n_bins=n_bins, alpha=alpha, split_rows=split_rows)[0]
+    mappers = fit_mappers(train, features, "target_up", n_bins=n_bins, alpha=alpha)[0]
 
     in_range = F.lit(True)
     if start is not None:
@@ -133,7 +133,7 @@ def score_days(
             "model_rank_pct": "prob_up_next_day",
         },
         nulls="lowest",
-        split_rows=split_rows,
+        slot_rows=slot_rows,
     )
     return (
         ranked.withColumn("score_turnover", F.lit(turnover_w) * F.col("turnover_rank_pct"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from barloom.functions.frames import Frames
 from barloom.functions.numeric import change, clamp, ratio
 from barloom.functions.symbols import BARE_CODE, bare_code
-from barloom.operators.ranking import SPLIT_ROWS, number_rows
+from barloom.operators.ranking import number_rows
 from barloom.operators.series import latest_per_ticker, trailing_window
 
 REQUIRED = ["ret_1d", "ret_5d", "ret_20d", "sma20", "sma60", "sma120"]
@@ -75,10 +75,9 @@ def add_signal_score(features: DataFrame) -> DataFrame:
     )
 
 
-def next_day_signal(
-    bars: DataFrame, lookback_days: int = 400, as_of: str | Column | None = None, split_rows: int = SPLIT_ROWS
-) -> DataFrame:
+def next_day_signal(bars: DataFrame, lookback_days: int = 400, as_of: str | Column | None = None) -> DataFrame:
     """All scored tickers with their overall rank."""
     scored = add_signal_score(signal_features(bars, lookback_days, as_of))
     order = [F.col(c).desc_nulls_last() for c in ("probability_next_up", "score", "ret_20d")]
-    return number_rows(scored, [*order, F.col("ticker")], "rank", split_rows)
+    # one row per ticker
+    return number_rows(scored, [*order, F.col("ticker")], "rank").withColumn("rank", F.col("rank").cast("int"))

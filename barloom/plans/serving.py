@@ -19,7 +19,7 @@ from barloom.functions.texts import (
     times,
     top_band,
 )
-from barloom.operators.ranking import SPLIT_ROWS, number_rows
+from barloom.operators.ranking import number_rows
 from barloom.plans.daily_top import with_names
 
 # Win-rate proxy on the 70-99 band.
@@ -45,9 +45,9 @@ def _candidate_order() -> list[Column]:
 
 def _summary_columns(candidates: DataFrame) -> DataFrame:
     score = F.col("tier1_composite_score")
-    low = candidates.agg(F.min(score)).scalar()
-    high = candidates.agg(F.max(score)).scalar()
-    band = band_score(score, low, high, "up")
+    # one subquery for both ends
+    ends = candidates.agg(F.struct(F.min(score).alias("low"), F.max(score).alias("high"))).scalar()
+    band = band_score(score, ends["low"], ends["high"], "up")
     win = clamp(WIN_BASE + (band - 70.0) / 29.0 * WIN_SPAN, WIN_BASE, WIN_TOP)
     source = F.coalesce("ret_5d", "ret_1d")
     return candidates.select(
@@ -61,10 +61,11 @@ def _summary_columns(candidates: DataFrame) -> DataFrame:
     )
 
 
-def candidate_summary(candidates: DataFrame, split_rows: int = SPLIT_ROWS) -> DataFrame:
+def candidate_summary(candidates: DataFrame) -> DataFrame:
     """Every candidate with its position and the derived display numbers."""
-    numbered = number_rows(_summary_columns(candidates), _candidate_order(), "rank", split_rows)
-    return numbered.drop("candidate_rank", "tier1_composite_score")
+    numbered = number_rows(_summary_columns(candidates), _candidate_order(), "rank")
+    # one row per ticker
+    return numbered.withColumn("rank", F.col("rank").cast("int")).drop("candidate_rank", "tier1_composite_score")
 
 
 def home_rankings(candidates: DataFrame, master: DataFrame, limit: int = 3) -> DataFrame:

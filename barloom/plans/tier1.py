@@ -11,7 +11,7 @@ from barloom.functions.frames import Frames
 from barloom.functions.numeric import change, ratio
 from barloom.operators.cross_section import add_date_context, weighted_sum
 from barloom.operators.indicators import bollinger, realized_vol, true_range
-from barloom.operators.ranking import SPLIT_ROWS, all_of, number_rows
+from barloom.operators.ranking import all_of, number_rows
 from barloom.operators.series import latest_per_ticker, min_history
 
 # Weights of the composite score.
@@ -112,17 +112,14 @@ def _strength_order():
     return [*[F.col(k).desc_nulls_last() for k in keys], F.col("ticker").asc()]
 
 
-def buy_candidates(
-    features: DataFrame, rules: CandidateRules, per_date: bool = False, split_rows: int = SPLIT_ROWS
-) -> DataFrame:
+def buy_candidates(features: DataFrame, rules: CandidateRules, per_date: bool = False) -> DataFrame:
     """Rows that pass the rules, numbered by strength over the whole table or within each date."""
     kept = features.dropna(subset=NEEDED).where(passes(rules))
     if not per_date:
-        return number_rows(kept, _strength_order(), "candidate_rank", split_rows)
-    numbered = number_rows(kept, [F.col("date").asc(), *_strength_order()], "_no", split_rows)
+        return number_rows(kept, _strength_order(), "candidate_rank")
+    numbered = number_rows(kept, [F.col("date").asc(), *_strength_order()], "_no")
     first = numbered.groupBy("date").agg(F.min("_no").alias("_first"))
-    # one row per date, so the broadcast is bounded by the calendar
-    ranked = numbered.join(F.broadcast(first), "date")
+    ranked = numbered.join(first, "date")
     return ranked.withColumn("candidate_rank", (F.col("_no") - F.col("_first") + 1).cast("int")).drop(
         "_no", "_first"
     )

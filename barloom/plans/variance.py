@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.numeric import row_std, to_number
-from barloom.operators.ranking import SPLIT_ROWS, exact_quantiles, percent_ranks
+from barloom.operators.quantiles import exact_quantiles
+from barloom.operators.ranking import SLOT_ROWS, percent_ranks
+from barloom.session import staged
 
 # Factor weights, blend, bucket bounds (right-closed) and labels.
 QUALITY_WEIGHTS = {
@@ -43,7 +45,7 @@ def bucket(x: Column, bounds: list[float], labels: list[str]) -> Column:
     return out.when(x > bounds[-1], labels[-1])
 
 
-def variance_scores(candidates: DataFrame, split_rows: int = SPLIT_ROWS) -> DataFrame:
+def variance_scores(candidates: DataFrame, slot_rows: int = SLOT_ROWS) -> DataFrame:
     """Quality, stability and final score of every usable candidate, with buckets."""
     missing = [c for c in ["ticker", "date", *NUMBERS] if c not in candidates.columns]
     if missing:
@@ -69,14 +71,14 @@ def variance_scores(candidates: DataFrame, split_rows: int = SPLIT_ROWS) -> Data
             "composite_pct": "tier1_composite_score",
         },
         nulls="keep",
-        split_rows=split_rows,
+        slot_rows=slot_rows,
     )
     quality = sum((F.col(c) * F.lit(w) for c, w in QUALITY_WEIGHTS.items()), F.lit(0.0))
     spread = row_std([F.col(c) for c in ("momentum_pct", "breakout_pct", "volume_pct", "volatility_pct")])
     # equal spreads must tie: drop the last bits the summation order decides
     ranked = ranked.withColumn("quality_raw", quality).withColumn("factor_dispersion", F.rint(spread * 1e12) / 1e12)
     ranked = percent_ranks(
-        ranked, ["_all"], {"_dispersion_pct": "factor_dispersion"}, nulls="keep", split_rows=split_rows
+        ranked, ["_all"], {"_dispersion_pct": "factor_dispersion"}, nulls="keep", slot_rows=slot_rows
     )
     scored = (
         ranked.withColumn("stability_raw", F.lit(1.0) - F.col("_dispersion_pct"))
@@ -106,13 +108,14 @@ def variance_buckets(scores: DataFrame) -> DataFrame:
     )
 
 
-def variance_summary(scores: DataFrame, split_rows: int = SPLIT_ROWS) -> DataFrame:
+def variance_summary(scores: DataFrame) -> DataFrame:
     """One row: score distribution (exact median) and factor means."""
-    median = exact_quantiles(scores.select(F.lit(0).alias("_all"), "final_score"), ["_all"], "final_score", [0.5], "q", split_rows)
+    scores = staged(scores)
+    median = exact_quantiles(scores, ["final_score"], [0.5]).get((0, "final_score"), [None])[0]
     return scores.agg(
         F.count(F.lit(1)).alias("rows"),
         F.min("final_score").alias("score_min"),
         F.max("final_score").alias("score_max"),
         F.avg("final_score").alias("score_mean"),
         *[F.avg(c).alias(f"mean_{c}") for c in ("ret_1d", "ret_5d", "rvol20", "breakout_dist_20", "natr14")],
-    ).select("*", median.select(F.col("q")[0]).scalar().alias("score_median"))
+    ).select("*", F.lit(median).cast("double").alias("score_median"))

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-from itertools import islice
-
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.numeric import clamp
-from barloom.operators.binning import Model, fit_mappers, model_score
-from barloom.operators.ranking import SPLIT_ROWS, values_at_ranks
+from barloom.operators.binning import PROB_CEIL, PROB_FLOOR, Totals, fit_mappers, known
+from barloom.operators.quantiles import edge_table, edges_passed
+from barloom.operators.scoring import CANDIDATE_BLOCK, candidate_metrics
 from barloom.operators.series import next_day_labels
 from barloom.session import staged
 
@@ -18,49 +16,88 @@ from barloom.session import staged
 FOLD_PLAN = [(0.55, 0.10), (0.65, 0.10), (0.75, 0.10), (0.85, 0.10)]
 MIN_DATES, MIN_TRAIN_DATES = 400, 120
 MIN_TRAIN_ROWS, MIN_VAL_ROWS = 200_000, 20_000
-CANDIDATES_PER_PASS = 64
+TOP_SHARE = 0.10
 
 
-def fold_plan(df: DataFrame, plan: list[tuple[float, float]] = FOLD_PLAN) -> DataFrame:
-    """(fold, train_end, val_end) from the distinct dates; none when there are fewer than 400.
+FEW_DATES, FEW_TRAIN_DATES, NO_VALIDATION = "few_dates", "few_train_dates", "no_validation_dates"
+FEW_TRAIN_ROWS, FEW_VALIDATION_ROWS = "few_train_rows", "few_validation_rows"
+
+
+def day_counts(df: DataFrame, label: str, features: list[str] = ()) -> DataFrame:
+    """One row per date: rows, rising rows, and both again for the rows with a finite value of each feature."""
+    y = F.col(label).cast("double")
+    return df.groupBy("date").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.sum(y).alias("up"),
+        *[F.count_if(known(c)).alias(f"rows_{i}") for i, c in enumerate(features)],
+        *[F.sum(F.when(known(c), y)).alias(f"up_{i}") for i, c in enumerate(features)],
+    )
+
+
+def fold_report(
+    days: DataFrame,
+    plan: list[tuple[float, float]] = FOLD_PLAN,
+    min_train_rows: int = MIN_TRAIN_ROWS,
+    min_val_rows: int = MIN_VAL_ROWS,
+) -> DataFrame:
+    """Every planned fold, also those that are not used: ends, rows and base rates of both parts, and why it was dropped.
 
     Train is date <= train_end, validation is train_end < date <= val_end.
+    ``days`` holds the rows and rising rows of each date. Folds are nested, so
+    theirs are sums over stretches of the one sorted calendar.
     """
-    # distinct dates are collapsed map-side; the array is one calendar long
-    days = df.agg(F.array_sort(F.collect_set("date")).alias("days")).select("days", F.size("days").alias("n"))
+    calendar = days.agg(F.array_sort(F.collect_list(F.struct("date", "rows", "up"))).alias("days")).select("days", F.size("days").alias("n"))
     shares = F.array(
-        *[
-            F.struct(F.lit(i).alias("fold"), F.lit(train).alias("t"), F.lit(train + val).alias("v"))
-            for i, (train, val) in enumerate(plan, start=1)
-        ]
+        *[F.struct(F.lit(i).alias("fold"), F.lit(t).alias("t"), F.lit(t + v).alias("v")) for i, (t, v) in enumerate(plan, start=1)]
     )
-    ends = days.where(F.col("n") >= MIN_DATES).select(
-        "days", "n", F.explode(shares).alias("s")
-    ).select(
+    ends = calendar.select("days", "n", F.explode(shares).alias("s")).select(
         "s.fold",
         "days",
+        "n",
         F.floor(F.col("n") * F.col("s.t")).cast("int").alias("train_i"),
         F.least(F.col("n") - 1, F.floor(F.col("n") * F.col("s.v")).cast("int")).alias("val_i"),
     )
-    usable = (F.col("train_i") >= MIN_TRAIN_DATES) & (F.col("val_i") > F.col("train_i"))
-    return ends.where(usable).select(
-        "fold",
-        F.element_at("days", F.col("train_i")).alias("train_end"),
-        F.element_at("days", F.col("val_i")).alias("val_end"),
-    )
 
+    def total(field: str, start: Column, length: Column) -> Column:
+        stretch = F.slice("days", start, F.greatest(length, F.lit(0)))
+        return F.aggregate(stretch, F.lit(0).cast("double"), lambda a, day: a + day[field])
 
-def _slices(candidates: Iterable, size: int) -> Iterator[list]:
-    source = iter(candidates)
-    while chunk := list(islice(source, size)):
-        yield chunk
+    train, val = (F.lit(1), F.col("train_i")), (F.col("train_i") + 1, F.col("val_i") - F.col("train_i"))
+    counted = ends.select(
+        "fold",
+        "n",
+        "train_i",
+        "val_i",
+        F.get("days", F.col("train_i") - 1)["date"].alias("train_end"),
+        F.get("days", F.col("val_i") - 1)["date"].alias("val_end"),
+        total("rows", *train).cast("long").alias("train_rows"),
+        total("rows", *val).cast("long").alias("val_rows"),
+        total("up", *train).alias("train_up"),
+        total("up", *val).alias("val_up"),
+    )
+    reason = (
+        F.when(F.col("n") < MIN_DATES, FEW_DATES)
+        .when(F.col("train_i") < MIN_TRAIN_DATES, FEW_TRAIN_DATES)
+        .when(F.col("val_i") <= F.col("train_i"), NO_VALIDATION)
+        .when(F.col("train_rows") < min_train_rows, FEW_TRAIN_ROWS)
+        .when(F.col("val_rows") < min_val_rows, FEW_VALIDATION_ROWS)
+    )
+    return counted.select(
+        "fold",
+        "train_end",
+        "val_end",
+        "train_rows",
+        "val_rows",
+        F.try_divide("train_up", "train_rows").alias("train_base_rate"),
+        F.try_divide("val_up", "val_rows").alias("val_base_rate"),
+        reason.alias("dropped"),
+    )
 
 
-def candidate_models(candidates: DataFrame) -> Iterator[tuple[int, Model]]:
-    """Stream (id, model) from a table of candidate_id, features, weights."""
-    rows = candidates.select("candidate_id", "features", "weights").orderBy("candidate_id").toLocalIterator()
-    for row in rows:
-        yield row.candidate_id, Model(tuple(row.features), tuple(row.weights))
+def fold_plan(df: DataFrame, plan: list[tuple[float, float]] = FOLD_PLAN) -> DataFrame:
+    """(fold, train_end, val_end) of the folds that the distinct dates allow; none when there are fewer than 400."""
+    days = df.groupBy("date").agg(F.count(F.lit(1)).alias("rows"), F.lit(0.0).alias("up"))
+    return fold_report(days, plan, 0, 0).where("dropped IS NULL").select("fold", "train_end", "val_end")
 
 
 def unseen(candidates: DataFrame, evaluated: DataFrame) -> DataFrame:
@@ -74,9 +111,10 @@ def unseen(candidates: DataFrame, evaluated: DataFrame) -> DataFrame:
 class WalkForward:
     """Fitted folds over a labelled frame; ``evaluate`` scores candidates against them.
 
-    Labels are written out once. Mappers are fitted per fold on its own train
-    rows only. A candidate's score is a projection over the validation rows,
-    so a pass over many candidates is one scan followed by aggregations.
+    Labels are written out once, and counted by date once: fold borders, sizes
+    and base rates are sums over that calendar. Mappers are fitted per fold on
+    its own train rows only. ``report`` holds every planned fold, with the
+    reason where it was dropped.
     """
 
     def __init__(
@@ -88,107 +126,72 @@ class WalkForward:
         alpha: float = 120.0,
         min_train_rows: int = MIN_TRAIN_ROWS,
         min_val_rows: int = MIN_VAL_ROWS,
-        split_rows: int = SPLIT_ROWS,
     ):
-        self.features, self.split_rows = features, split_rows
+        self.features = features
         labelled = next_day_labels(frame.select("ticker", "date", "close", *features))
         self.rows = staged(labelled.select("date", "target_up", *features))
-        plan = fold_plan(self.rows).collect()
-        day = F.col("date")
-        masks = [
-            (p.fold, day <= F.lit(p.train_end), (day > F.lit(p.train_end)) & (day <= F.lit(p.val_end)))
-            for p in plan
-        ]
-        if not masks:
-            raise ValueError("not enough dates to build validation folds")
-        sizes = self.rows.agg(
-            *[F.count_if(m[1]).alias(f"t{m[0]}") for m in masks],
-            *[F.count_if(m[2]).alias(f"v{m[0]}") for m in masks],
+        days = staged(day_counts(self.rows, "target_up", features))
+        self.report = staged(fold_report(days, min_train_rows=min_train_rows, min_val_rows=min_val_rows))
+        self.folds = self.report.where("dropped IS NULL").orderBy("fold").collect()
+        if not self.folds:
+            reasons = {r.dropped for r in self.report.select("dropped").distinct().collect()}
+            raise ValueError(f"no fold can be validated: {', '.join(sorted(reasons))}")
+        trains = {f.fold: F.col("date") <= F.lit(f.train_end) for f in self.folds}
+        totals = self._totals(days, trains)
+        self.mappers = fit_mappers(self.rows, features, "target_up", n_bins=n_bins, alpha=alpha, groups=trains, totals=totals)
+
+    def _totals(self, days: DataFrame, trains: dict[int, Column]) -> dict[int, dict[str, Totals]]:
+        """What the calendar's counts say about each fold's train rows."""
+        row = days.agg(
+            *[F.sum(F.when(mask, F.col(f"{c}_{i}"))).alias(f"{c}_{fold}_{i}") for fold, mask in trains.items() for c in ("rows", "up") for i in range(len(self.features))]
         ).first()
-        self.sizes = {
-            fold: (sizes[f"t{fold}"], sizes[f"v{fold}"])
-            for fold, _, _ in masks
-            if sizes[f"t{fold}"] >= min_train_rows and sizes[f"v{fold}"] >= min_val_rows
+        rates = {f.fold: f.train_base_rate for f in self.folds}
+        return {
+            fold: {c: Totals(row[f"rows_{fold}_{i}"] or 0, row[f"up_{fold}_{i}"] or 0.0, rates[fold]) for i, c in enumerate(self.features)}
+            for fold in trains
         }
-        if not self.sizes:
-            raise ValueError("no fold has enough train and validation rows")
-        kept = [m for m in masks if m[0] in self.sizes]
-        train = F.array_compact(F.array(*[F.when(m[1], F.lit(m[0])) for m in kept]))
-        val = F.array_compact(F.array(*[F.when(m[2], F.lit(m[0])) for m in kept]))
-        self.mappers = fit_mappers(
-            self.rows, features, "target_up", n_bins=n_bins, alpha=alpha, groups=train, split_rows=split_rows
-        )
-        self.validation = self.rows.select(
-            F.explode(val).alias("_fold"), F.col("target_up").cast("double").alias("_y"), *features
-        )
 
-    def scored(self, models: list[tuple[int, Model]]) -> DataFrame:
-        """(fold, candidate_id, p, y): each validation row with each candidate's probability."""
-
-        def score(model: Model):
-            value = F.lit(None).cast("double")
-            for fold, mappers in self.mappers.items():
-                value = F.when(F.col("_fold") == fold, model_score(model, mappers)).otherwise(value)
-            return value
-
-        pairs = F.array(
-            *[F.struct(F.lit(i).cast("long").alias("candidate_id"), score(m).alias("p")) for i, m in models]
-        )
-        return self.validation.select("_fold", "_y", F.explode(pairs).alias("_s")).select(
-            F.col("_fold").alias("fold"), "_s.candidate_id", "_s.p", F.col("_y").alias("y")
+    def cells(self) -> DataFrame:
+        """Validation rows counted by fold and bins: (fold place, bins, n, up). A bin of -1 is an unknown value."""
+        parts = [
+            F.when((F.col("date") > F.lit(f.train_end)) & (F.col("date") <= F.lit(f.val_end)), F.lit(i)) for i, f in enumerate(self.folds)
+        ]
+        placed = self.rows.select(
+            F.explode(F.array_compact(F.array(*parts))).alias("fold"), F.col("target_up").cast("double").alias("y"), *self.features
         )
-
-    def fold_metrics(self, models: list[tuple[int, Model]]) -> DataFrame:
+        bins = []
+        for c in self.features:
+            inner = [self.mappers[f.fold][c].inner for f in self.folds]
+            passed = edges_passed(F.col(c), F.get(edge_table(inner), F.col("fold")), max(1, *map(len, inner)))
+            bins.append(F.when(known(c), passed).otherwise(-1))
+        return placed.groupBy("fold", F.array(*bins).alias("bins")).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("up"))
+
+    def fold_metrics(self, candidates: DataFrame, block: int = CANDIDATE_BLOCK) -> DataFrame:
         """Per candidate and fold: Brier, log-loss, top-decile hit rate, lift and fold score.
 
         The decile threshold is the k-th largest probability; every row tied
         with it counts as top.
         """
-        long = self.scored(models)
-        keys = ["fold", "candidate_id"]
-        safe = clamp(F.col("p"), 1e-5, 1 - 1e-5)
-        loss = -(F.col("y") * F.ln(safe) + (F.lit(1.0) - F.col("y")) * F.ln(F.lit(1.0) - safe))
-        error = F.col("p") - F.col("y")
-        errors = long.groupBy(*keys).agg(
-            F.avg(error * error).alias("brier"), F.avg(loss).alias("logloss"), F.avg("y").alias("base_rate")
-        )
-        # rank n-k of the ascending order is the k-th largest; n is the fold's row count
-        ranks = [
-            (fold, i, n - max(1, int(n * 0.10)))
-            for fold, (_, n) in self.sizes.items()
-            for i, _ in models
-        ]
-        wanted = long.sparkSession.createDataFrame(ranks, "fold int, candidate_id long, rank long")
-        threshold = values_at_ranks(long, keys, "p", wanted, self.split_rows).select(
-            *keys, F.col("p").alias("threshold")
-        )
-        # one threshold per candidate of this pass and fold: bounded by the pass size
-        tops = (
-            long.join(F.broadcast(threshold), keys)
-            .where(F.col("p") >= F.col("threshold"))
-            .groupBy(*keys)
-            .agg(F.avg("y").alias("top_hit"))
+        tables = [[np.array([*m.probs, m.base]) for m in (self.mappers[f.fold][c] for c in self.features)] for f in self.folds]
+        sums = candidate_metrics(self.cells(), candidates, self.features, tables, (PROB_FLOOR, PROB_CEIL), TOP_SHARE, block)
+        numbers = F.array(*[F.lit(f.fold) for f in self.folds])
+        rates = sums.select(
+            F.get(numbers, F.col("fold")).alias("fold"),
+            "candidate_id",
+            (F.col("error") / F.col("n")).alias("brier"),
+            (F.col("loss") / F.col("n")).alias("logloss"),
+            (F.col("up") / F.col("n")).alias("base_rate"),
+            (F.col("top_up") / F.col("top_n")).alias("top_hit"),
         )
         lift = F.when(F.col("base_rate") > 0, F.col("top_hit") / F.col("base_rate")).otherwise(F.lit(1.0))
-        joined = errors.join(tops, keys).withColumn("lift", lift)
-        return joined.withColumn(
+        return rates.withColumn("lift", lift).withColumn(
             "fold_score",
             F.col("top_hit") + 0.40 * F.col("lift") - 0.80 * F.col("brier") - 0.20 * F.col("logloss"),
         )
 
-    def evaluate(self, candidates: DataFrame, per_pass: int = CANDIDATES_PER_PASS) -> DataFrame:
-        """One row per candidate: mean metrics and the stability-penalised score.
-
-        Candidates are read in slices of ``per_pass``, each slice one
-        projection over the validation rows, so their number is not limited.
-        """
-        out = None
-        for chunk in _slices(candidate_models(candidates), per_pass):
-            part = summarize_folds(self.fold_metrics(chunk))
-            out = part if out is None else out.unionByName(part)
-        if out is None:
-            raise ValueError("no candidates")
-        return out
+    def evaluate(self, candidates: DataFrame, block: int = CANDIDATE_BLOCK) -> DataFrame:
+        """One row per candidate (candidate_id, features, weights): mean metrics and the stability-penalised score."""
+        return summarize_folds(self.fold_metrics(candidates, block))
 
 
 def summarize_folds(metrics: DataFrame) -> DataFrame:

@@ -146,7 +146,7 @@ def tier1_candidates(t: Tables):
 def tier1_latest_candidates(t: Tables):
     rules = tier1.CandidateRules(**{**RULES.__dict__, "allow_risk_off": True})
     out = tier1.buy_candidates(tier1.tier1_latest(tier1.tier1_features(t.bars)), rules)
-    return rounded(out.select("candidate_rank", "ticker", "date", *CAND_COLUMNS))
+    return rounded(out.select(F.col("candidate_rank").cast("int"), "ticker", "date", *CAND_COLUMNS))
 
 
 @QUERIES.add(
@@ -450,6 +450,31 @@ def _wf(t: Tables) -> walk_forward.WalkForward:
     return walk_forward.WalkForward(_train(t), list(MODEL.features), min_train_rows=2000, min_val_rows=200)
 
 
+def _candidates(t: Tables):
+    return t.spark.createDataFrame(CANDIDATES, "candidate_id long, features array<string>, weights array<double>")
+
+
+MIN_ROWS = {"min_train_rows": 34_000, "min_val_rows": 200}
+
+
+@QUERIES.add(
+    "fold_report",
+    query(
+        f"""SELECT CAST(fold AS INTEGER) AS fold, train_end, val_end, train_rows, val_rows, {r('train_up / train_rows', 'train_base_rate')},
+        {r('val_up / val_rows', 'val_base_rate')}, CASE WHEN train_rows < {MIN_ROWS["min_train_rows"]} THEN 'few_train_rows'
+        WHEN val_rows < {MIN_ROWS["min_val_rows"]} THEN 'few_validation_rows' END AS dropped
+        FROM (SELECT fold, train_end, val_end, count_if(date <= train_end) AS train_rows, count_if(date > train_end AND date <= val_end) AS val_rows,
+          count_if(date <= train_end AND next_close > close) AS train_up, count_if(date > train_end AND date <= val_end AND next_close > close) AS val_up
+          FROM folds, lb GROUP BY fold, train_end, val_end)""",
+        LB,
+        FOLD_SQL,
+    ),
+)
+def fold_report(t: Tables):
+    days = walk_forward.day_counts(next_day_labels(t.bars.select("ticker", "date", "close")), "target_up")
+    return rounded(walk_forward.fold_report(days, **MIN_ROWS))
+
+
 def _candidate_sql() -> str:
     parts = []
     for cid, features, weights in CANDIDATES:
@@ -490,8 +515,7 @@ WALK_SQL = [
     ),
 )
 def fold_metrics(t: Tables):
-    models = [(i, Model(tuple(f), tuple(w))) for i, f, w in CANDIDATES]
-    return rounded(_wf(t).fold_metrics(models))
+    return rounded(_wf(t).fold_metrics(_candidates(t)))
 
 
 @QUERIES.add(
@@ -504,8 +528,7 @@ def fold_metrics(t: Tables):
     ),
 )
 def walk_forward_eval(t: Tables):
-    candidates = t.spark.createDataFrame(CANDIDATES, "candidate_id long, features array<string>, weights array<double>")
-    return rounded(walk_forward.best_candidates(_wf(t).evaluate(candidates)))
+    return rounded(walk_forward.best_candidates(_wf(t).evaluate(_candidates(t))))
 
 
 # --- variance report ------------------------------------------------------------------

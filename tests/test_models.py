@@ -20,10 +20,9 @@ def labelled(spark, n=3000, seed=1):
     return spark.createDataFrame(rows, "x double, coarse double, flat double, y int"), x, y
 
 
-@pytest.mark.parametrize("split_rows", [10_000_000, 100])
-def test_mapper_matches_plain_numpy(spark, split_rows):
+def test_mapper_matches_plain_numpy(spark):
     df, x, y = labelled(spark)
-    fit = fit_mappers(df, ["x", "coarse", "flat"], "y", split_rows=split_rows)[0]
+    fit = fit_mappers(df, ["x", "coarse", "flat"], "y")[0]
     for name, values in (("x", x), ("coarse", np.round(x))):
         edges = np.unique(np.quantile(values, np.linspace(0, 1, 21)))
         inner = edges[1:-1]
@@ -99,7 +98,7 @@ def test_daily_top_picks_are_stable_and_named(spark, make_bars):
     rows = out.collect()
     assert len(rows) == 20 and {r.rank for r in rows} == {1, 2}
     assert {r.name for r in rows} <= {"Alpha", "B.KS", "C.KQ"}
-    small = daily_top.daily_top_n(frame, Model(("f",), (1.0,)), master, 2, start="2020-03-01", end="2020-03-10", split_rows=2)
+    small = daily_top.daily_top_n(frame, Model(("f",), (1.0,)), master, 2, start="2020-03-01", end="2020-03-10", slot_rows=2)
     assert sorted(map(tuple, small.collect())) == sorted(map(tuple, rows))
     with pytest.raises(ValueError):
         daily_top.daily_top_n(frame, Model(("f",), (1.0,)), master, 0)
@@ -113,34 +112,76 @@ def test_fold_plan_needs_enough_dates(spark, make_bars):
     assert all(r.val_end > r.train_end for r in folds)
 
 
-def test_walk_forward_metrics_brute_force(spark, make_bars):
-    rng = np.random.default_rng(2)
-    bars = make_bars({f"T{i}": (50 * np.exp(rng.normal(0, 0.05, 420).cumsum())).tolist() for i in range(8)})
-    frame = bars.withColumn("f", F.col("close") % 5).withColumn("g", F.col("close") % 3)
-    for split_rows in (10_000_000, 60):
-        wf = walk_forward.WalkForward(frame, ["f", "g"], min_train_rows=100, min_val_rows=20, split_rows=split_rows)
-        models = [(1, Model(("f",), (1.0,))), (2, Model(("f", "g"), (0.3, 0.7)))]
-        got = {(r.candidate_id, r.fold): r for r in wf.fold_metrics(models).collect()}
-        rows = wf.scored(models).toPandas()
-        for key, part in rows.groupby(["candidate_id", "fold"]):
-            p, y = part["p"].to_numpy(), part["y"].to_numpy()
-            cut = np.sort(p)[-max(1, int(len(p) * 0.1))]
-            hit = y[p >= cut].mean()
-            assert got[key].brier == pytest.approx(((p - y) ** 2).mean())
-            assert got[key].top_hit == pytest.approx(hit)
-            assert got[key].lift == pytest.approx(hit / y.mean())
-    with pytest.raises(ValueError):
-        walk_forward.WalkForward(frame, ["f"], min_train_rows=10**9)
-
-
-def test_candidates_beyond_one_pass(spark, make_bars):
-    rng = np.random.default_rng(2)
-    bars = make_bars({f"T{i}": (50 * np.exp(rng.normal(0, 0.05, 410).cumsum())).tolist() for i in range(4)})
-    wf = walk_forward.WalkForward(bars.withColumn("f", F.col("close") % 5), ["f"], min_train_rows=10, min_val_rows=5)
-    table = spark.createDataFrame([(i, ["f"], [1.0 / i]) for i in range(1, 6)], "candidate_id long, features array<string>, weights array<double>")
-    one, many = wf.evaluate(table), wf.evaluate(table, per_pass=2)
+def frame_of_walks(make_bars, tickers, days, seed=2):
+    rng = np.random.default_rng(seed)
+    bars = make_bars({f"T{i}": (50 * np.exp(rng.normal(0, 0.05, days).cumsum())).tolist() for i in range(tickers)})
+    return bars.withColumn("f", F.when(F.col("close") % 11 > 0.5, F.col("close") % 5)).withColumn("g", F.col("close") % 3)
+
+
+CANDIDATES = "candidate_id long, features array<string>, weights array<double>"
+
+
+def plain_scores(wf, fold, features, weights, frame):
+    total = 0.0
+    for c in wf.features:
+        mapper = wf.mappers[fold][c]
+        x = frame[c].to_numpy(float)
+        at = np.where(np.isfinite(x), np.searchsorted(mapper.inner, x, side="right"), len(mapper.probs))
+        total = total + dict(zip(features, weights)).get(c, 0.0) * np.array([*mapper.probs, mapper.base])[at]
+    return np.clip(total, 1e-4, 1 - 1e-4)
+
+
+def test_walk_forward_metrics_brute_force(spark, make_bars, monkeypatch):
+    monkeypatch.setattr("barloom.operators.scoring.STEP", 100)
+    monkeypatch.setattr("barloom.operators.scoring.HELD", 2)
+    wf = walk_forward.WalkForward(frame_of_walks(make_bars, 8, 420), ["f", "g"], min_train_rows=100, min_val_rows=20)
+    rng = np.random.default_rng(4)
+    models = [(1, ["f"], [1.0]), (2, ["f", "g"], [0.3, 0.7]), (3, ["g", "f"], [-0.5, 1.5]), (4, ["g"], [0.0])]
+    models += [(i, ["f", "g"], rng.uniform(0, 1, 2).tolist()) for i in range(5, 500)]
+    table = spark.createDataFrame(models, CANDIDATES)
+    got = {(r.candidate_id, r.fold): r for r in wf.fold_metrics(table, block=64).collect()}
+    assert len(got) == len(models) * len(wf.folds)
+    rows = wf.rows.toPandas()
+    for fold in wf.folds:
+        part = rows[(rows["date"] > fold.train_end) & (rows["date"] <= fold.val_end)]
+        y = part["target_up"].to_numpy(float)
+        assert (fold.val_rows, fold.val_base_rate) == (len(y), pytest.approx(y.mean()))
+        for i, features, weights in models[:40]:
+            p, one = plain_scores(wf, fold.fold, features, weights, part), got[i, fold.fold]
+            hit = y[p >= np.sort(p)[-max(1, int(len(p) * 0.1))]].mean()
+            safe = np.clip(p, 1e-5, 1 - 1e-5)
+            assert one.brier == pytest.approx(((p - y) ** 2).mean())
+            assert one.logloss == pytest.approx(-(y * np.log(safe) + (1 - y) * np.log(1 - safe)).mean())
+            assert one.top_hit == pytest.approx(hit)
+            assert one.lift == pytest.approx(hit / y.mean())
+    plan = wf.fold_metrics(table)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan  # no row per candidate
+
+
+def test_candidates_in_blocks(spark, make_bars):
+    wf = walk_forward.WalkForward(frame_of_walks(make_bars, 4, 410), ["f"], min_train_rows=10, min_val_rows=5)
+    table = spark.createDataFrame([(i, ["f"], [1.0 / i]) for i in range(1, 6)], CANDIDATES)
+    one, many = wf.evaluate(table), wf.evaluate(table.repartition(3), block=2)
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect()))
     assert walk_forward.unseen(table, table.limit(1)).count() == 0
+    assert wf.evaluate(table.limit(0)).count() == 0
+    for bad in (["f", "f"], [1.0]), (["h"], [1.0]):
+        with pytest.raises(Exception, match="candidate 9"):
+            wf.evaluate(spark.createDataFrame([(9, *bad)], CANDIDATES)).count()
+
+
+def test_dropped_folds_say_why(spark, make_bars):
+    frame = frame_of_walks(make_bars, 4, 410)
+    days = walk_forward.day_counts(frame.withColumn("up", F.lit(1)), "up")
+    reasons = lambda **limits: [r.dropped for r in walk_forward.fold_report(days, **limits).orderBy("fold").collect()]
+    sizes = [int(410 * s) * 4 for s in (0.55, 0.65, 0.75, 0.85)]
+    assert reasons(min_train_rows=sizes[1], min_val_rows=1) == ["few_train_rows", None, None, None]
+    assert reasons(min_train_rows=1, min_val_rows=10**6) == ["few_validation_rows"] * 4
+    few = walk_forward.fold_report(walk_forward.day_counts(frame.where("date < '2020-06-01'").withColumn("up", F.lit(1)), "up"))
+    assert {r.dropped for r in few.collect()} == {"few_dates"}
+    assert [r.dropped for r in walk_forward.fold_report(days, [(0.2, 0.1), (0.5, 0.0)], 1, 1).orderBy("fold").collect()] == ["few_train_dates", "no_validation_dates"]
+    with pytest.raises(ValueError, match="few_train_rows"):
+        walk_forward.WalkForward(frame, ["f"], min_train_rows=10**9)
 
 
 def test_golden_final_score(spark):

@@ -1,4 +1,4 @@
-"""Ranks, quantiles and numbering: the split path must equal the plain path and brute force."""
+"""Ranks, quantiles and numbering: groups cut into slots and whole ones must equal brute force."""
 
 import random
 
@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.operators import ranking
+from barloom.operators import quantiles, ranking
 
 
 def skewed(spark, rows=4000, seed=3):
@@ -22,11 +22,11 @@ def skewed(spark, rows=4000, seed=3):
     return spark.createDataFrame(data, "id long, g string, x double")
 
 
-@pytest.mark.parametrize("split_rows", [10_000_000, 300, 40])
+@pytest.mark.parametrize("slot_rows", [10_000_000, 500, 40])
 @pytest.mark.parametrize("nulls", ["lowest", "keep"])
-def test_percent_rank_matches_pandas(spark, split_rows, nulls):
+def test_percent_rank_matches_pandas(spark, slot_rows, nulls):
     df = skewed(spark)
-    got = ranking.percent_ranks(df, ["g"], {"p": "x"}, nulls=nulls, split_rows=split_rows)
+    got = ranking.percent_ranks(df, ["g"], {"p": "x"}, nulls=nulls, slot_rows=slot_rows)
     assert got.count() == 4000
     frame = got.toPandas().sort_values("id").reset_index(drop=True)
     x = frame["x"].fillna(-np.inf) if nulls == "lowest" else frame["x"]
@@ -36,39 +36,57 @@ def test_percent_rank_matches_pandas(spark, split_rows, nulls):
 
 def test_percent_rank_descending_and_several_columns(spark):
     df = skewed(spark, 500).withColumn("y", F.col("id") % 7)
-    for split_rows in (10_000, 20):
+    for slot_rows in (10_000, 100, 20):
         got = ranking.percent_ranks(
-            df, ["g"], {"p": "x", "q": "y"}, nulls="keep", ascending=False, split_rows=split_rows
+            df, ["g"], {"p": "x", "q": "y"}, nulls="keep", ascending=False, slot_rows=slot_rows
         ).toPandas()
         by = got.groupby("g")
         pd.testing.assert_series_equal(got["p"], by["x"].rank(pct=True, ascending=False), check_names=False)
         pd.testing.assert_series_equal(got["q"], by["y"].rank(pct=True, ascending=False), check_names=False)
 
 
-@pytest.mark.parametrize("split_rows", [10_000_000, 300, 40])
-def test_quantiles_match_numpy(spark, split_rows):
-    df = skewed(spark)
+@pytest.mark.parametrize("accuracy", [10_000, 50])
+def test_quantiles_match_numpy(spark, accuracy):
+    df = skewed(spark).withColumn("y", F.col("id") % 13).withColumn("none", F.lit(None).cast("double"))
     steps = [i / 20 for i in range(21)] + [0.333]
-    got = {r.g: r.q for r in ranking.exact_quantiles(df, ["g"], "x", steps, "q", split_rows).collect()}
-    frame = df.toPandas().dropna()
-    for group, part in frame.groupby("g"):
-        np.testing.assert_allclose(got[group], np.quantile(part["x"], steps), rtol=1e-12)
+    groups = {"hot": F.col("g") == "hot", "cold": F.col("g") == "cold", "half": F.col("id") < 2000, "no": F.lit(False)}
+    got = quantiles.exact_quantiles(df, ["x", "y", "none"], steps, groups, accuracy)
+    frame = df.toPandas()
+    sets = {"hot": frame["g"] == "hot", "cold": frame["g"] == "cold", "half": frame["id"] < 2000}
+    assert set(got) == {(g, c) for g in sets for c in "xy"}
+    for g, rows in sets.items():
+        for c in "xy":
+            np.testing.assert_allclose(got[g, c], np.quantile(frame[rows][c].dropna(), steps), rtol=1e-12)
 
 
-def test_quantiles_over_one_constant_key(spark):
-    df = skewed(spark, 600).select(F.lit(0).alias("k"), "x")
-    whole = df.toPandas()["x"].dropna()
-    for split_rows in (10_000, 30):
-        row = ranking.exact_quantiles(df, ["k"], "x", [0.5], "q", split_rows).first()
-        assert row.q[0] == pytest.approx(whole.median())
+def test_quantiles_where_the_summary_is_off(spark, monkeypatch):
+    """Brackets that miss their ranks are made good by another scan."""
+    df = skewed(spark, 600)
+    monkeypatch.setattr(quantiles, "_joined", lambda marks: [(-1.0, 0.0), (500.0, 501.0)])
+    got = quantiles.exact_quantiles(df, ["x"], [0.0, 0.1, 0.5, 1.0])
+    np.testing.assert_allclose(got[0, "x"], np.quantile(df.toPandas()["x"].dropna(), [0.0, 0.1, 0.5, 1.0]))
 
 
-@pytest.mark.parametrize("split_rows", [10_000, 100])
-def test_number_rows_is_dense_and_ordered(spark, split_rows):
+def test_number_rows_is_dense_and_ordered(spark):
     df = skewed(spark, 1500).repartition(7)
-    got = ranking.number_rows(df, [F.col("x").desc_nulls_last(), F.col("id")], "n", split_rows).toPandas()
-    want = got.sort_values(["x", "id"], ascending=[False, True], na_position="last")
+    got = ranking.number_rows(df, [F.col("x").desc_nulls_last(), F.col("id")], "n")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
+    frame = got.toPandas()
+    want = frame.sort_values(["x", "id"], ascending=[False, True], na_position="last")
     assert want["n"].tolist() == list(range(1, 1501))
+    assert ranking.number_rows(df.limit(0), [F.col("id")], "n").count() == 0
+
+
+def test_heavy_values_are_borders_and_travel_without_the_ladder(spark):
+    df = skewed(spark).where("g = 'hot'")
+    ranked = ranking.percent_ranks(df, ["g"], {"p": "x"}, nulls="lowest", slot_rows=300)
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+    assert exchanges and not any("_ladder" in line for line in exchanges)
+    ladder = ranking._ladders(df.withColumn("_x0", F.coalesce("x", F.lit(float("-inf")))), ["g"], ["_x0"], 300).first()._ladder._x0
+    heavy = ladder.borders.index(7.0)
+    assert ladder.slots[2 * heavy + 1].n == df.where("x = 7").count() and ladder.size == df.count()
 
 
 def test_ties_keep_average_rank_and_null_lowest(spark):
