@@ -357,19 +357,22 @@ class PieceDecoder:
     def __init__(self, model: PieceModel):
         codecs.register_error("each_byte", _each_byte)
         self.surface, self.spaced, self.begun = model.surface, model.spaced, not model.prefix
+        self.silent = np.array([not s for s in model.surface])
         self.stream = codecs.getincrementaldecoder("utf-8")("each_byte")
 
     def feed(self, ids: bytes, final: bool = False) -> str:
-        surface, numbers, out = self.surface, np.frombuffer(ids, "<u4"), []
-        for i in range(0, len(numbers), DECODE_IDS):
-            part = numbers[i : i + DECODE_IDS].tolist()
-            data = b"".join([surface[n] for n in part])
-            if not self.begun and data:
-                self.begun = True
-                if next(n for n in part if surface[n]) in self.spaced:
-                    data = data[1:]
-            out.append(self.stream.decode(data))
-        out.append(self.stream.decode(b"", final))
+        surface, numbers, out, start = self.surface, np.frombuffer(ids, "<u4"), [], 0
+        # a control piece says nothing, but parts the bytes around it
+        for control in [*np.flatnonzero(self.silent[numbers]).tolist(), None]:
+            end = len(numbers) if control is None else control
+            for i in range(start, end, DECODE_IDS):
+                part = numbers[i : min(i + DECODE_IDS, end)].tolist()
+                data = b"".join([surface[n] for n in part])
+                if not self.begun:
+                    self.begun, data = True, data[1:] if part[0] in self.spaced else data
+                out.append(self.stream.decode(data))
+            out.append(self.stream.decode(b"", final or control is not None))
+            start = end + 1
         return "".join(out)
 
 
