@@ -54,21 +54,4 @@ MODEL_SCHEMA = T.StructType(
     ]
 )
 
-STRATEGY_FIELDS = [
-    ("rsi_period", T.IntegerType()),
-    ("rsi_entry", T.DoubleType()),
-    ("rsi_exit", T.DoubleType()),
-    ("bb_period", T.IntegerType()),
-    ("bb_std", T.DoubleType()),
-    ("vol_period", T.IntegerType()),
-    ("vol_ratio_min", T.DoubleType()),
-    ("breakout_lookback", T.IntegerType()),
-    ("trend_ma", T.IntegerType()),
-    ("hold_days", T.IntegerType()),
-    ("stop_loss", T.DoubleType()),
-    ("take_profit", T.DoubleType()),
-]
-STRATEGY_SCHEMA = T.StructType(
-    [T.StructField("strategy_id", T.LongType(), False)]
-    + [T.StructField(name, kind, False) for name, kind in STRATEGY_FIELDS]
-)
+STRATEGY_SCHEMA = "strategy_id long, signal string, low double, high double"

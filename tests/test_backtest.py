@@ -1,4 +1,4 @@
-"""Trades and portfolio metrics against a plain bar-by-bar loop."""
+"""Portfolios of signal ranges against a plain loop over days."""
 
 import math
 
@@ -6,135 +6,105 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.operators.trades import Strategy
-from barloom.plans import sweep, universe
+from barloom.plans import portfolio, universe
 from barloom.schema import STRATEGY_SCHEMA
 
-STRATEGIES = [
-    Strategy(1, 5, 55.0, 70.0, 10, 0.5, 5, 0.5, 10, 10, 4, 0.05, 0.08),
-    Strategy(2, 7, 60.0, 65.0, 8, 0.0, 10, 0.2, 6, 12, 7, 0.10, 0.20),
-    Strategy(3, 5, 55.0, 70.0, 10, 0.5, 5, 0.5, 10, 200, 4, 0.05, 0.08),
-]
-
-
-def table(spark, rows=STRATEGIES):
-    return spark.createDataFrame([tuple(s.__dict__.values()) for s in rows], STRATEGY_SCHEMA)
-
-
-def slow_trades(close, high, volume, s):
-    """One bar at a time, no arrays."""
-    n = len(close)
-
-    def mean(x, t, k):
-        return sum(x[t - k + 1 : t + 1]) / k if t >= k - 1 else None
-
-    def rsi(t):
-        if t < s.rsi_period - 1:
-            return None
-        moves = [close[i] - close[i - 1] if i else 0.0 for i in range(t - s.rsi_period + 1, t + 1)]
-        up, down = sum(max(m, 0) for m in moves), sum(max(-m, 0) for m in moves)
-        return None if down == 0 else 100 - 100 / (1 + up / down)
-
-    held, out, t = [0] * n, [], 1
-    if n < s.min_bars:
-        return None, []
-    while t < n - 1:
-        mid, trend, base, r = mean(close, t, s.bb_period), mean(close, t, s.trend_ma), mean(volume, t, s.vol_period), rsi(t)
-        fire = False
-        if None not in (mid, trend, base, r) and not held[t - 1]:
-            sd = math.sqrt(sum((c - mid) ** 2 for c in close[t - s.bb_period + 1 : t + 1]) / s.bb_period)
-            top = max(high[t - s.breakout_lookback : t]) if t >= s.breakout_lookback else math.inf
-            dip = r <= s.rsi_entry and close[t] <= mid - s.bb_std * sd
-            fire = (dip or close[t] >= top) and volume[t] / base >= s.vol_ratio_min and close[t] >= trend
-        if not fire:
-            t += 1
-            continue
-        u = t
-        while u < min(n - 1, t + s.hold_days):
-            u += 1
-            gain, r2, m2 = close[u] / close[t] - 1, rsi(u), mean(close, u, s.bb_period)
-            if gain <= -s.stop_loss or gain >= s.take_profit or (r2 is not None and r2 >= s.rsi_exit) or (m2 is not None and close[u] < m2):
-                break
-        out.append((t, u, min(max(close[u] / close[t] - 1, -s.stop_loss), s.take_profit)))
-        held[t : u + 1] = [1] * (u + 1 - t)
-        t = u + 1
-    daily = [0.0] * n
-    for i in range(n):
-        before = held[i - 1] if i else 0
-        daily[i] = (before * (close[i] / close[i - 1] - 1) if i else 0.0) - 0.0005 * abs(held[i] - before)
-    return daily, out
+STRATEGIES = [(1, "f", 0.0, 1.0), (2, "f", 0.5, 2.5), (3, "g", 1.0, 3.0), (4, "f", 0.001, 1.0), (5, "g", 99.0, 100.0), (6, "f", 2.0, 2.0)]
+COST = 0.0005
 
 
 @pytest.fixture(scope="module")
-def data():
+def closes():
     rng = np.random.default_rng(11)
-    out = {}
-    for i, n in enumerate((150, 120, 90, 12)):
-        out[f"T{i}"] = (100 * np.exp(rng.normal(0, 0.02, n).cumsum())).tolist()
-    return out
+    return {f"T{i}": (100 * np.exp(rng.normal(0, 0.02, n).cumsum())).tolist() for i, n in enumerate((150, 300, 90, 1))}
 
 
-def test_trades_match_the_slow_walk(spark, make_bars, data):
-    got = sweep.backtest_trades(make_bars(data), table(spark)).collect()
-    bars = {t: [r.date for r in make_bars({t: data[t]}).orderBy("date").collect()] for t in data}
-    for s in STRATEGIES:
-        for t, closes in data.items():
-            want = slow_trades(closes, [c + 1 for c in closes], [100.0] * len(closes), s)[1]
-            have = sorted((r.entry_date, r.exit_date, r.trade_return) for r in got if (r.strategy_id, r.ticker) == (s.strategy_id, t))
-            assert [(bars[t][i], bars[t][j]) for i, j, _ in want] == [h[:2] for h in have]
-            np.testing.assert_allclose([w[2] for w in want], [h[2] for h in have])
-    assert len(got) > 20
+@pytest.fixture
+def features(make_bars, closes):
+    bars = make_bars(closes)
+    return bars.withColumn("f", F.when(F.col("close") % 7 > 1, F.col("close") % 3)).withColumn("g", F.col("close") % 5)
 
 
-@pytest.mark.parametrize("align", ["date", "tail"])
-def test_metrics_match_the_dense_portfolio(spark, make_bars, data, align):
-    got = {r.strategy_id: r for r in sweep.backtest_metrics(make_bars(data), table(spark), align=align).collect()}
-    assert 3 not in got  # longer look-back than any series
-    for s in STRATEGIES[:2]:
-        series, trades = [], []
-        for closes in data.values():
-            daily, found = slow_trades(closes, [c + 1 for c in closes], [100.0] * len(closes), s)
-            if daily is not None:
-                series.append(daily)
-                trades += [f[2] for f in found]
-        longest = max(map(len, series))
-        grid = np.full((len(series), longest), np.nan)
-        for row, d in zip(grid, series):
-            if align == "date":
-                row[: len(d)] = d
-            else:
-                row[longest - len(d) :] = d
-        r = np.nanmean(grid, axis=0)
-        equity = np.cumprod(1 + r)
-        m = got[s.strategy_id]
-        assert m.trades == len(trades)
-        assert m.sharpe == pytest.approx(math.sqrt(252) * r.mean() / r.std(ddof=1), rel=1e-6)
-        assert m.max_drawdown == pytest.approx((equity / np.maximum.accumulate(equity) - 1).min(), rel=1e-6)
-        assert m.cagr == pytest.approx(equity[-1] ** (252 / len(r)) - 1, rel=1e-6)
-        assert m.win_rate == pytest.approx(100 * np.mean(np.array(trades) > 0))
+def table(spark, rows=STRATEGIES):
+    return spark.createDataFrame(rows, STRATEGY_SCHEMA)
+
+
+def plain(closes, signal, low, high, align):
+    """Returns by day and all returns, one bar at a time."""
+    days, every = {}, []
+    for series in closes.values():
+        for t, (now, after) in enumerate(zip(series, series[1:])):
+            x = {"f": now % 3 if now % 7 > 1 else None, "g": now % 5}[signal]
+            if x is not None and low <= x < high:
+                r = after / now - 1 - 2 * COST
+                days.setdefault(t if align == "date" else t - len(series), []).append(r)
+                every.append(r)
+    return [np.mean(days[d]) for d in sorted(days)], np.array(every)
 
 
-def test_passes_do_not_change_results(spark, make_bars, data):
-    bars = make_bars(data)
-    one = sweep.backtest_metrics(bars, table(spark))
-    many = sweep.backtest_metrics(bars, table(spark), per_pass=1)
-    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect()))
+@pytest.mark.parametrize("align", ["date", "tail"])
+def test_metrics_match_a_plain_loop(spark, features, closes, align):
+    got = {r.strategy_id: r for r in portfolio.backtest_metrics(features, ["f", "g"], table(spark), align=align).collect()}
+    assert set(got) == {1, 2, 3, 4}  # nothing is held by the others
+    for i, signal, low, high in STRATEGIES[:4]:
+        daily, every = plain(closes, signal, low, high, align)
+        r, m = np.array(daily), got[i]
+        equity = np.cumprod(1 + r)
+        assert m.trades == len(every)
+        assert m.sharpe == pytest.approx(math.sqrt(252) * r.mean() / r.std(ddof=1))
+        assert m.max_drawdown == pytest.approx((equity / np.maximum.accumulate(equity) - 1).min())
+        assert m.cagr == pytest.approx(equity[-1] ** (252 / len(r)) - 1) and math.exp(m.log_cagr) - 1 == pytest.approx(m.cagr)
+        assert m.win_rate == pytest.approx(100 * (every > 0).mean())
+        assert m.profit_factor == pytest.approx(every[every > 0].sum() / -every[every < 0].sum())
+        assert m.avg_trade_return == pytest.approx(every.mean())
+
+
+def test_bars_are_read_once_and_not_multiplied(spark, features):
+    plan = portfolio.strategy_days(portfolio.holdings(features, ["f", "g"]), table(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lead(close") == 1
+
+
+def test_trades_are_the_holdings_in_range(spark, features, closes):
+    rows = portfolio.trades(portfolio.holdings(features, ["f", "g"]), table(spark)).collect()
+    for i, signal, low, high in STRATEGIES:
+        have = sorted(r.trade_return for r in rows if r.strategy_id == i)
+        np.testing.assert_allclose(have, sorted(plain(closes, signal, low, high, "date")[1]))
+
+
+def test_drawdown_states_merge_in_any_blocks(spark):
+    rng = np.random.default_rng(3)
+    series = {i: rng.normal(0, 0.3, n).clip(-0.99, None) for i, n in enumerate((1, 2, 63, 64, 65, 700))}
+    series[6] = np.array([0.1, -1.0, 0.5])  # everything lost on the second day
+    series[7] = rng.normal(-0.5, 0.1, 3000).clip(-0.99, None)  # a product far below the smallest double
+    rows = [(i, day, float(r)) for i, x in series.items() for day, r in enumerate(x)]
+    daily = spark.createDataFrame(rows, "strategy_id long, day int, r double").repartition(5)
+    states = {r.strategy_id: r.path for r in portfolio.path_states(daily).collect()}
+    falls = {r.strategy_id: r.fall for r in portfolio.equity_days(daily).groupBy("strategy_id").agg(F.min("drawdown").alias("fall")).collect()}
+    for i, x in series.items():
+        with np.errstate(divide="ignore"):
+            path = np.log1p(x).cumsum()
+        fall = (path - np.maximum.accumulate(path)).min()
+        assert states[i].total == pytest.approx(path[-1]) and states[i].fall == pytest.approx(fall)
+        assert states[i].highest == pytest.approx(path.max()) and states[i].lowest == pytest.approx(path.min())
+        assert falls[i] == pytest.approx(math.exp(fall) - 1)
 
 
 def test_gate_reasons_and_leaderboard(spark):
     rows = [(1, 1.0, -0.1, 60.0, 30, 0.1, 1.5, 0.01), (2, 2.0, -0.2, 60.0, 30, 0.1, 1.5, 0.01), (4, 0.5, -0.2, 50.0, 30, 0.1, 1.5, 0.01)]
     metrics = spark.createDataFrame(
         rows, "strategy_id long, sharpe double, max_drawdown double, win_rate double, trades long, cagr double, profit_factor double, avg_trade_return double"
-    ).withColumn("fitness", sweep.fitness())
-    gated = {r.strategy_id: r for r in sweep.add_gate(metrics).collect()}
+    ).withColumn("fitness", portfolio.fitness())
+    gated = {r.strategy_id: r for r in portfolio.add_gate(metrics).collect()}
     assert [gated[i].reject_reason for i in (1, 2, 4)] == ["", "mdd_only", "mdd_and_win_rate"]
     assert gated[2].near_miss_score == pytest.approx(0.55 + 0.35 * (1 - 0.05 / 0.3) + 0.1)
-    assert [r.strategy_id for r in sweep.near_misses(sweep.add_gate(metrics)).collect()] == [2, 4]
-    twin = [STRATEGIES[0], STRATEGIES[1], Strategy(4, *list(STRATEGIES[1].__dict__.values())[1:])]
-    board = sweep.leaderboard(table(spark, twin), metrics)
+    assert [r.strategy_id for r in portfolio.near_misses(portfolio.add_gate(metrics)).collect()] == [2, 4]
+    board = portfolio.leaderboard(table(spark), metrics)
+    # 4 rounds to the parameters of 1, which is better
     assert [(r.rank, r.strategy_id) for r in board.orderBy("rank").collect()] == [(1, 2), (2, 1)]
-    payload = sweep.leaderboard_payload(board).first().strategies
-    assert payload[0]["metrics"]["sharpe"] == 2.0 and payload[0]["params"]["hold_days"] == 7
+    payload = portfolio.leaderboard_payload(board).first().strategies
+    assert payload[0]["metrics"]["sharpe"] == 2.0 and payload[0]["params"]["signal"] == "f"
+    summary = portfolio.sweep_summary(table(spark), portfolio.add_gate(metrics)).first()
+    assert (summary.total_candidates, summary.no_result, summary.accepted, summary.mdd_only, summary.accept_rate) == (6, 3, 1, 1, pytest.approx(1 / 6, abs=1e-6))
 
 
 def test_universe_fallback_and_sample(spark, make_bars):
