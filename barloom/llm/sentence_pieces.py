@@ -146,6 +146,7 @@ class PieceModel:
                 self.surface.append(piece.replace(SPACE, " ").encode())
             else:
                 self.surface.append(UNKNOWN_TEXT.encode() if kind == UNKNOWN else b"")
+        self.silent = np.array([not text for text in self.surface])
 
     def _merges(self, scores: np.ndarray, normal: list[int]) -> None:
         """The pairs of symbols that make a piece, with its id and rank, and the characters that stand side by side in one.
@@ -356,8 +357,7 @@ class PieceDecoder:
 
     def __init__(self, model: PieceModel):
         codecs.register_error("each_byte", _each_byte)
-        self.surface, self.spaced, self.begun = model.surface, model.spaced, not model.prefix
-        self.silent = np.array([not s for s in model.surface])
+        self.surface, self.spaced, self.silent, self.begun = model.surface, model.spaced, model.silent, not model.prefix
         self.stream = codecs.getincrementaldecoder("utf-8")("each_byte")
 
     def feed(self, ids: bytes, final: bool = False) -> str:
