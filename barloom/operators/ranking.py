@@ -19,6 +19,7 @@ import itertools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.operators.quantiles import even_steps
 from barloom.session import materialize, staged
 
 SLOT_ROWS = 1_000_000  # rows that one slot is meant to hold
@@ -33,7 +34,7 @@ def _borders(df: DataFrame, keys: list[str], values: list[str], slot_rows: int)
     approximate quantiles depend on the order in which summaries are merged.
     """
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > slot_rows)
-    steps = F.array(*[F.lit(i / MAX_BORDERS) for i in range(MAX_BORDERS + 1)])
+    steps = even_steps(MAX_BORDERS)
     summaries = df.join(sizes, keys).groupBy(*keys, "_n").agg(
         *[F.percentile_approx(v, steps, F.lit(4 * MAX_BORDERS)).alias(v) for v in values]
     )

@@ -1,112 +1,99 @@
-"""Indicators with a true recurrence, computed once per ticker on Arrow tables.
-
-Spark shuffles bars by ticker once (the window indicators before use the same
-partitioning) and each task walks one calendar-bounded series at a time. Only
-the new columns are built in Python; the columns already on the rows pass
-through as Arrow buffers.
+"""Indicators with a true recurrence, in generated plans without Python.
+
+A ticker's sorted rows are one array, as long as the calendar, and an
+aggregation over it walks the rows with a state: exponential and Wilder means,
+and the parabolic stop. All recurrences asked for share one walk. The array is
+walked in blocks, so that appending a row's state copies a block at most; the
+state goes on from block to block. Rows keep their order of operations, so the
+results do not depend on blocks or partitions to the last bit.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import types as T
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-Arrays = dict[str, np.ndarray]
+from barloom.functions.frames import series
+from barloom.functions.numeric import ratio
 
+BLOCK = 64
 
-# --- recurrences ------------------------------------------------------------
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-def smoothed(x: np.ndarray, n: int, alpha: float) -> np.ndarray:
-    """y = alpha*x + (1-alpha)*y_prev, started with the mean of the first n known values."""
-    out = np.full(len(x), np.nan)
-    known = np.flatnonzero(~np.isnan(x))
-    if len(known) < n:
-        return out
-    first = known[n - 1]
-    start = x[known[0] : first + 1].mean()
-    tail = np.concatenate([[start], x[first + 1 :]])
-    out[first:] = pd.Series(tail).ewm(alpha=alpha, adjust=False).mean().to_numpy()
-    return out
 
+def none(kind: str) -> Column:
+    return F.lit(None).cast(kind)
 
-def decaying_mean(x: np.ndarray, span: int, adjust: bool) -> np.ndarray:
-    """Exponential mean from the first known value on; older weights decay over unknown values too, which repeat the mean.
 
-    With ``adjust`` the weights seen so far are normalised; without, the past weighs 1 - alpha and the new value alpha.
-    """
-    alpha = 2.0 / (span + 1.0)
-    fresh = 1.0 if adjust else alpha
-    mean, weight = np.nan, 0.0
-    out = []
-    for value in x.tolist():
-        weight *= 1.0 - alpha
-        if value == value:
-            mean = value if weight == 0.0 else (weight * mean + fresh * value) / (weight + fresh)
-            weight = weight + fresh if adjust else 1.0
-        out.append(mean)
-    return np.array(out, dtype=float)
+# --- recurrences ----------------------------------------------------------------
+
 
+@dataclass(frozen=True)
+class Mean:
+    """An exponential mean, started with the mean of its first ``n`` known inputs, which has no unknown ones after them."""
 
-def ema(x: np.ndarray, n: int) -> np.ndarray:
-    return smoothed(x, n, 2.0 / (n + 1.0))
+    n: int
+    alpha: float
 
+    kind = "struct<y:double,seen:int,total:double>"
 
-def wilder(x: np.ndarray, n: int) -> np.ndarray:
-    return smoothed(x, n, 1.0 / n)
+    def start(self) -> Column:
+        return F.struct(none("double").alias("y"), F.lit(0).alias("seen"), F.lit(0.0).alias("total"))
 
+    def step(self, s: Column, x: Column) -> Column:
+        def state(y: Column, seen: Column, total: Column) -> Column:
+            return F.struct(y.alias("y"), seen.alias("seen"), total.alias("total"))
 
-def _shifted(x: np.ndarray) -> np.ndarray:
-    return np.concatenate([[np.nan], x[:-1]])
+        started = state(s["y"] * (1.0 - self.alpha) + x * self.alpha, s["seen"], s["total"])
+        more, total = s["seen"] + 1, s["total"] + x
+        counted = state(F.when(more == self.n, total / float(self.n)), more, total)
+        return F.when(s["seen"] >= self.n, started).when(x.isNull(), s).otherwise(counted)
 
 
-def _safe_ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    out = np.full(len(a), np.nan)
-    np.divide(a, b, out=out, where=b != 0)
-    return out
+@dataclass(frozen=True)
+class GappedMean:
+    """The same over inputs with gaps: an unknown input repeats the mean, and the past loses weight over it as over any row.
+
+    With ``adjust`` the weights seen so far are normalised (and ``n`` is 1);
+    without, the past weighs 1 - alpha and the new input alpha.
+    """
 
+    n: int
+    alpha: float
+    adjust: bool = False
 
-def true_ranges(high: np.ndarray, low: np.ndarray, close: np.ndarray) -> np.ndarray:
-    before = _shifted(close)
-    return np.fmax(high - low, np.fmax(np.abs(high - before), np.abs(low - before)))
+    kind = "struct<y:double,seen:int,total:double,weight:double>"
 
+    def start(self) -> Column:
+        return F.struct(none("double").alias("y"), F.lit(0).alias("seen"), F.lit(0.0).alias("total"), F.lit(1.0).alias("weight"))
 
-def macd(a: Arrays) -> Arrays:
-    fast, slow = ema(a["close"], 12), ema(a["close"], 26)
-    line = fast - slow
-    signal = ema(line, 9)
-    return {"ema_12": fast, "ema_26": slow, "macd": line, "macd_hist": line - signal, "macd_signal": signal}
+    def step(self, s: Column, x: Column) -> Column:
+        known = x.isNotNull()
+        seen = s["seen"] + known.cast("int")
+        total = F.when(known & (s["seen"] < self.n), s["total"] + x).otherwise(s["total"])
+        faded, fresh = s["weight"] * (1.0 - self.alpha), F.lit(1.0 if self.adjust else self.alpha)
+        moved = (faded * s["y"] + fresh * x) / (faded + fresh)
+        y = F.when(~known, s["y"]).when(seen > self.n, moved).when(seen == self.n, total / float(self.n))
+        grown = F.when(seen > self.n, faded + 1.0).otherwise(1.0) if self.adjust else F.lit(1.0)
+        return F.struct(y.alias("y"), seen.alias("seen"), total.alias("total"), F.when(known, grown).otherwise(faded).alias("weight"))
 
 
-def rsi_wilder(a: Arrays, n: int = 14) -> Arrays:
-    move = a["close"] - _shifted(a["close"])
-    gain = wilder(np.where(np.isnan(move), np.nan, np.maximum(move, 0.0)), n)
-    loss = wilder(np.where(np.isnan(move), np.nan, np.maximum(-move, 0.0)), n)
-    return {f"rsi_{n}": 100.0 * _safe_ratio(gain, gain + loss)}
+def ema(n: int) -> Mean:
+    return Mean(n, 2.0 / (n + 1.0))
 
 
-def directional(a: Arrays, n: int = 14) -> Arrays:
-    """ADX, +DI and -DI; all inputs start on the second bar."""
-    up = a["high"] - _shifted(a["high"])
-    down = _shifted(a["low"]) - a["low"]
-    plus = np.where((up > down) & (up > 0), up, 0.0)
-    minus = np.where((down > up) & (down > 0), down, 0.0)
-    ranges = true_ranges(a["high"], a["low"], a["close"])
-    for x in (plus, minus, ranges):
-        x[:1] = np.nan
-    base = wilder(ranges, n)
-    di_plus = 100.0 * _safe_ratio(wilder(plus, n), base)
-    di_minus = 100.0 * _safe_ratio(wilder(minus, n), base)
-    dx = 100.0 * _safe_ratio(np.abs(di_plus - di_minus), di_plus + di_minus)
-    return {f"adx_{n}": wilder(dx, n), f"dmp_{n}": di_plus, f"dmn_{n}": di_minus}
+def wilder(n: int) -> Mean:
+    return Mean(n, 1.0 / n)
 
 
-def stop_and_reverse(a: Arrays, step: float = 0.02, limit: float = 0.2) -> Arrays:
+@dataclass(frozen=True)
+class Stop:
     """Wilder's parabolic stop.
 
     Bar 1 has none. On bar 2 the trend is up when the high moved at least as
@@ -114,92 +101,221 @@ def stop_and_reverse(a: Arrays, step: float = 0.02, limit: float = 0.2) -> Array
     bar 1. Later stops move towards the extreme point, never past the two
     previous bars, and flip to the extreme point when touched.
     """
-    high, low = a["high"], a["low"]
-    n = len(high)
-    stop, accel = np.full(n, np.nan), np.full(n, np.nan)
-    is_up, flipped = np.zeros(n, dtype=bool), np.full(n, np.nan)
-    if n >= 2:
-        up = high[1] - high[0] >= low[0] - low[1]
-        sar, ep, af = (low[0], high[1], step) if up else (high[0], low[1], step)
-        stop[1], accel[1], is_up[1], flipped[1] = sar, af, up, 0.0
-        for t in range(2, n):
-            sar += af * (ep - sar)
-            sar = min(sar, low[t - 1], low[t - 2]) if up else max(sar, high[t - 1], high[t - 2])
-            touched = low[t] < sar if up else high[t] > sar
-            extreme = (low if up else high)[t] if touched else (high if up else low)[t]
-            if touched:
-                up, sar, ep, af = not up, ep, extreme, step
-            elif extreme > ep if up else extreme < ep:
-                ep, af = extreme, min(af + step, limit)
-            stop[t], accel[t], is_up[t], flipped[t] = sar, af, up, float(touched)
-    return {
-        "psar_long": np.where(is_up, stop, np.nan),
-        "psar_short": np.where(is_up, np.nan, stop),
-        "psar_af": accel,
-        "psar_reversal": flipped,
-    }
 
+    accel: float = 0.02
+    limit: float = 0.2
 
-def atr_wilder(a: Arrays, n: int = 14) -> Arrays:
-    return {f"atr_{n}": wilder(true_ranges(a["high"], a["low"], a["close"]), n)}
+    kind = "struct<stop:double,extreme:double,accel:double,up:boolean,flipped:double>"
 
+    def start(self) -> Column:
+        fields = {"stop": "double", "extreme": "double", "accel": "double", "up": "boolean", "flipped": "double"}
+        return F.struct(*[none(kind).alias(name) for name, kind in fields.items()])
 
-def keltner(a: Arrays, n: int = 20, width: float = 2.0) -> Arrays:
-    basis = ema(a["close"], n)
-    spread = width * ema(true_ranges(a["high"], a["low"], a["close"]), n)
-    return {f"kcl_{n}": basis - spread, f"kcb_{n}": basis, f"kcu_{n}": basis + spread}
+    def step(self, s: Column, row: Column) -> Column:
+        def state(stop, extreme, accel, up, flipped) -> Column:
+            return F.struct(stop.alias("stop"), extreme.alias("extreme"), accel.alias("accel"), up.alias("up"), flipped.alias("flipped"))
 
+        high, low, step = row["high"], row["low"], F.lit(self.accel)
+        rises = high - row["_high"] >= row["_low"] - low
+        second = state(F.when(rises, row["_low"]).otherwise(row["_high"]), F.when(rises, high).otherwise(low), step, rises, F.lit(0.0))
 
-def _plain_ewm(adjust: bool) -> Callable[[Arrays], Arrays]:
-    def run(a: Arrays) -> Arrays:
-        line = decaying_mean(a["close"], 12, adjust) - decaying_mean(a["close"], 26, adjust)
-        signal = decaying_mean(line, 9, adjust)
-        return {"macd": line, "macd_signal": signal, "macd_hist": line - signal}
+        def later(stop: Column) -> Column:
+            touched = F.when(s["up"], low < stop).otherwise(high > stop)
+            point = F.when(s["up"] != touched, high).otherwise(low)
+            further = F.when(s["up"], point > s["extreme"]).otherwise(point < s["extreme"])
+            faster = F.least(s["accel"] + step, F.lit(self.limit))
+            return (
+                F.when(touched, state(s["extreme"], point, step, ~s["up"], F.lit(1.0)))
+                .when(further, state(stop, point, faster, s["up"], F.lit(0.0)))
+                .otherwise(state(stop, s["extreme"], s["accel"], s["up"], F.lit(0.0)))
+            )
 
-    return run
+        moved = s["stop"] + s["accel"] * (s["extreme"] - s["stop"])
+        held = F.when(s["up"], F.least(moved, row["_low"], row["_low2"])).otherwise(F.greatest(moved, row["_high"], row["_high2"]))
+        return F.when(row["_high"].isNull(), s).when(s["up"].isNull(), second).otherwise(let(held, later))
 
 
-# Output columns of each recurrence, so that the schema is known before running.
-FAMILIES: dict[str, tuple[Callable[[Arrays], Arrays], list[str]]] = {
-    "macd": (macd, ["ema_12", "ema_26", "macd", "macd_hist", "macd_signal"]),
-    "adx": (directional, ["adx_14", "dmp_14", "dmn_14"]),
-    "psar": (stop_and_reverse, ["psar_long", "psar_short", "psar_af", "psar_reversal"]),
-    "rsi": (rsi_wilder, ["rsi_14"]),
-    "atr": (atr_wilder, ["atr_14"]),
-    "keltner": (keltner, ["kcl_20", "kcb_20", "kcu_20"]),
-}
+Recurrence = Mean | GappedMean | Stop
+# the input of a recurrence, from the row and the new states of earlier stages
+Input = Callable[[Column, Column], Column]
+
+
+@dataclass(frozen=True)
+class Family:
+    """Recurrences in two stages (the second sees the new states of the first), and what they give."""
+
+    first: dict[str, tuple[Recurrence, Input]]
+    second: dict[str, tuple[Recurrence, Input]]
+    outputs: dict[str, Callable[[Column], Column]]
+
+
+def _column(name: str) -> Input:
+    return lambda row, new: row[name]
+
+
+def _y(name: str) -> Callable[[Column], Column]:
+    return lambda s: s[name]["y"]
+
+
+def _macd(mean: Callable[[int], Recurrence]) -> Family:
+    def line(s: Column) -> Column:
+        return s["fast"]["y"] - s["slow"]["y"]
+
+    return Family(
+        {"fast": (mean(12), _column("close")), "slow": (mean(26), _column("close"))},
+        {"signal": (mean(9), lambda row, new: line(new))},
+        {"macd": line, "macd_hist": lambda s: line(s) - s["signal"]["y"], "macd_signal": _y("signal")},
+    )
 
 
-# --- running them on Spark --------------------------------------------------
+def _directional(n: int = 14) -> Family:
+    def along(side: str) -> Callable[[Column], Column]:
+        return lambda s: ratio(s[side]["y"], s["base"]["y"]) * 100.0
 
+    plus, minus = along("plus"), along("minus")
 
-def _per_ticker(
-    df: DataFrame, inputs: list[str], steps: list[tuple[Callable[[Arrays], Arrays], list[str]]]
-) -> DataFrame:
-    names = [name for _, outputs in steps for name in outputs]
-    schema = T.StructType(df.schema.fields + [T.StructField(n, T.DoubleType()) for n in names])
+    def spread(row: Column, new: Column) -> Column:
+        # there is no direction while both are zero
+        return ratio(F.abs(plus(new) - minus(new)), plus(new) + minus(new)) * 100.0
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("date")
-        arrays = {
-            c: table[c].cast(pa.float64()).to_numpy(zero_copy_only=False).astype(float, copy=True)
-            for c in inputs
-        }
-        with np.errstate(invalid="ignore", divide="ignore"):
-            for function, _ in steps:
-                for name, values in function(arrays).items():
-                    table = table.append_column(name, pa.array(values, pa.float64(), from_pandas=True))
-        return table
+    return Family(
+        {"base": (wilder(n), _column("_tr2")), "plus": (wilder(n), _column("_plus")), "minus": (wilder(n), _column("_minus"))},
+        {"adx": (GappedMean(n, 1.0 / n), spread)},
+        {f"adx_{n}": _y("adx"), f"dmp_{n}": plus, f"dmn_{n}": minus},
+    )
 
-    return df.groupBy("ticker").applyInArrow(run, schema)
+
+def _rsi(n: int = 14) -> Family:
+    def strength(s: Column) -> Column:
+        return ratio(s["gain"]["y"], s["gain"]["y"] + s["loss"]["y"]) * 100.0
+
+    return Family({"gain": (wilder(n), _column("_gain")), "loss": (wilder(n), _column("_loss"))}, {}, {f"rsi_{n}": strength})
+
+
+def _keltner(n: int = 20, width: float = 2.0) -> Family:
+    def band(side: float) -> Callable[[Column], Column]:
+        return lambda s: s["basis"]["y"] + s["spread"]["y"] * (side * width)
+
+    first = {"basis": (ema(n), _column("close")), "spread": (ema(n), _column("_tr"))}
+    return Family(first, {}, {f"kcl_{n}": band(-1.0), f"kcb_{n}": _y("basis"), f"kcu_{n}": band(1.0)})
+
+
+def _stop() -> Family:
+    outputs = {
+        "psar_long": lambda s: F.when(s["stop"]["up"], s["stop"]["stop"]),
+        "psar_short": lambda s: F.when(~s["stop"]["up"], s["stop"]["stop"]),
+        "psar_af": lambda s: s["stop"]["accel"],
+        "psar_reversal": lambda s: s["stop"]["flipped"],
+    }
+    return Family({"stop": (Stop(), lambda row, new: row)}, {}, outputs)
+
+
+def _with_emas(family: Family) -> Family:
+    return Family(family.first, family.second, {"ema_12": _y("fast"), "ema_26": _y("slow"), **family.outputs})
+
+
+FAMILIES: dict[str, Family] = {
+    "macd": _with_emas(_macd(ema)),
+    "adx": _directional(),
+    "psar": _stop(),
+    "rsi": _rsi(),
+    "atr": Family({"range": (wilder(14), _column("_tr"))}, {}, {"atr_14": _y("range")}),
+    "keltner": _keltner(),
+}
+
+
+# --- the walk -------------------------------------------------------------------
+
+
+def _inputs(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The rows with what the recurrences read: neighbouring bars, true ranges, moves. All from one window order."""
+    order = series()
+    before = {"_close": F.lag("close"), "_high": F.lag("high"), "_low": F.lag("low"), "_high2": F.lag("high", 2), "_low2": F.lag("low", 2)}
+    df = df.withColumns({name: x.over(order) for name, x in before.items()})
+    high, low, close = F.col("high"), F.col("low"), F.col("_close")
+    ranges = F.greatest(high - low, F.abs(high - close), F.abs(low - close))
+    up, down, move = high - F.col("_high"), F.col("_low") - low, F.col("close") - close
+    known = F.col("_high").isNotNull()
+    made = {
+        "_tr": ranges,
+        "_tr2": F.when(close.isNotNull(), ranges),
+        "_gain": F.when(close.isNotNull(), F.greatest(move, F.lit(0.0))),
+        "_loss": F.when(close.isNotNull(), F.greatest(-move, F.lit(0.0))),
+        "_plus": F.when(known, F.when((up > down) & (up > 0), up).otherwise(0.0)),
+        "_minus": F.when(known, F.when((down > up) & (down > 0), down).otherwise(0.0)),
+    }
+    return df.withColumns(made), [*before, *made]
+
+
+def _walked(df: DataFrame, hidden: list[str], families: dict[str, Family]) -> DataFrame:
+    first = {f"{f}_{name}": r for f, family in families.items() for name, (r, _) in family.first.items()}
+    second = {f"{f}_{name}": r for f, family in families.items() for name, (r, _) in family.second.items()}
+    kind = "struct<" + ",".join(f"{name}:{r.kind}" for name, r in (first | second).items()) + ">"
+
+    def view(state: Column, f: str) -> "_View":
+        return _View(state, f)
+
+    def step(state: Column, row: Column) -> Column:
+        early = [
+            r.step(state[f"{f}_{name}"], given(row, None)).alias(f"{f}_{name}")
+            for f, family in families.items()
+            for name, (r, given) in family.first.items()
+        ]
+        if not second:
+            return F.struct(*early)
+
+        def late(new: Column) -> Column:
+            steps = [
+                r.step(state[f"{f}_{name}"], given(row, view(new, f))).alias(f"{f}_{name}")
+                for f, family in families.items()
+                for name, (r, given) in family.second.items()
+            ]
+            return F.struct(*[new[name].alias(name) for name in first], *steps)
+
+        return let(F.struct(*early), late)
+
+    def block(done: Column, rows: Column) -> Column:
+        states = F.aggregate(rows, F.array(done["last"]), lambda out, row: F.concat(out, F.array(step(F.element_at(out, -1), row))))
+        return let(
+            states,
+            lambda out: F.struct(
+                F.concat(done["blocks"], F.array(F.slice(out, 2, BLOCK))).alias("blocks"), F.element_at(out, -1).alias("last")
+            ),
+        )
+
+    keep = [c for c in df.columns if c not in ("ticker", "date")]
+    rows = F.array_sort(F.collect_list(F.struct("date", *keep)))
+    cut = F.transform(F.sequence(F.lit(0), F.ceil(F.size("rows") / BLOCK).cast("int") - 1), lambda i: F.slice("rows", i * BLOCK + 1, F.lit(BLOCK)))
+    start = F.struct(
+        F.array().cast(f"array<array<{kind}>>").alias("blocks"),
+        F.struct(*[r.start().alias(name) for name, r in (first | second).items()]).cast(kind).alias("last"),
+    )
+    walked = df.groupBy("ticker").agg(rows.alias("rows")).withColumn("states", F.flatten(F.aggregate(cut, start, block)["blocks"]))
+    paired = walked.select("ticker", F.explode(F.arrays_zip("rows", "states")).alias("p"))
+    outputs = [
+        given(view(F.col("p.states"), f)).alias(name) for f, family in families.items() for name, given in family.outputs.items()
+    ]
+    own = [F.col("ticker") if c == "ticker" else F.col(f"p.rows.{c}").alias(c) for c in df.columns if c not in hidden]
+    return paired.select(*own, *outputs)
+
+
+class _View:
+    """The states of one family under their own names."""
+
+    def __init__(self, state: Column, family: str):
+        self.state, self.family = state, family
+
+    def __getitem__(self, name: str) -> Column:
+        return self.state[f"{self.family}_{name}"]
 
 
 def recursive_indicators(bars: DataFrame, families: list[str] | None = None) -> DataFrame:
-    """Bars (and whatever columns they carry) plus the chosen recurrences, in one pass."""
-    chosen = list(FAMILIES) if families is None else families
-    return _per_ticker(bars, ["high", "low", "close"], [FAMILIES[name] for name in chosen])
+    """Bars (and whatever columns they carry) plus the chosen recurrences, in one walk."""
+    chosen = {name: FAMILIES[name] for name in (FAMILIES if families is None else families)}
+    return _walked(*_inputs(bars), chosen)
 
 
 def ewm_columns(bars: DataFrame, *, adjust: bool) -> DataFrame:
     """MACD from unseeded exponential means; ``adjust`` normalises the weights seen so far."""
-    return _per_ticker(bars, ["close"], [(_plain_ewm(adjust), ["macd", "macd_signal", "macd_hist"])])
+    family = _macd(lambda span: GappedMean(1, 2.0 / (span + 1.0), adjust))
+    return _walked(bars, [], {"ewm": family})

@@ -13,6 +13,7 @@ from barloom.operators.cross_section import add_date_context, weighted_sum
 from barloom.operators.indicators import bollinger, realized_vol, true_range
 from barloom.operators.ranking import all_of, number_rows
 from barloom.operators.series import latest_per_ticker, min_history
+from barloom.session import staged
 
 # Weights of the composite score.
 SCORE_WEIGHTS = {
@@ -80,8 +81,11 @@ def symbol_features(bars: DataFrame) -> DataFrame:
 
 
 def tier1_features(bars: DataFrame, history: int = 20) -> DataFrame:
-    """Features of every ticker with at least ``history`` bars, with context and composite score."""
-    features = symbol_features(min_history(bars, history))
+    """Features of every ticker with at least ``history`` bars, with context and composite score.
+
+    The features are written once; the statistics of the dates scan a few of their columns.
+    """
+    features = staged(symbol_features(min_history(bars, history)))
     scored = add_date_context(features, Z_COLUMNS)
     # the last bits of a mean depend on merge order: drop them, so that ties and
     # ranks come out the same on every run

@@ -62,7 +62,7 @@ def test_quantiles_match_numpy(spark, accuracy):
 def test_quantiles_where_the_summary_is_off(spark, monkeypatch):
     """Brackets that miss their ranks are made good by another scan."""
     df = skewed(spark, 600)
-    monkeypatch.setattr(quantiles, "_joined", lambda marks: [(-1.0, 0.0), (500.0, 501.0)])
+    monkeypatch.setattr(quantiles, "_brackets", lambda *_: [(-1.0, 0.0), (500.0, 501.0)])
     got = quantiles.exact_quantiles(df, ["x"], [0.0, 0.1, 0.5, 1.0])
     np.testing.assert_allclose(got[0, "x"], np.quantile(df.toPandas()["x"].dropna(), [0.0, 0.1, 0.5, 1.0]))
 
