@@ -80,7 +80,9 @@ def slice_inclusive(df: DataFrame, ticker: str, start: str, end: str) -> DataFra
 
 
 def latest_date(df: DataFrame, column: str = "date") -> Column:
-    """max(date) as a scalar subquery, for use inside another expression."""
+    """max(date) as a scalar subquery, for use inside another expression; with a ``year`` partition only the newest is read."""
+    if "year" in df.columns and column == "date":
+        df = df.where(F.col("year") == df.select(F.max("year")).scalar())
     return df.select(F.max(column)).scalar()
 
 
@@ -98,6 +100,9 @@ def trailing_window(df: DataFrame, days: int, as_of: str | Column | None = None)
             (F.to_date("date") >= F.lit(low)) & (F.to_date("date") <= F.lit(as_of).cast("date"))
         )
     anchor = F.to_date(latest_date(df) if as_of is None else as_of)
+    if "year" in df.columns:
+        # partitions are pruned when the anchor is known, at run time
+        df = df.where(F.col("year").cast("int").between(F.year(F.date_sub(anchor, days)), F.year(anchor)))
     return df.where((F.to_date("date") >= F.date_sub(anchor, days)) & (F.to_date("date") <= anchor))
 
 

@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barloom.functions.numeric import to_number
 from barloom.operators.indicators import window_indicators
+from barloom.operators.ranking import all_of
 from barloom.operators.recursive import recursive_indicators
+from barloom.session import staged
 
 BASE = ["ticker", "date", "open", "high", "low", "close", "volume"]
 
@@ -51,6 +54,44 @@ def downcast(df: DataFrame) -> DataFrame:
     )
 
 
+NO_TICKER, NO_ROWS, REPEATED = "no ticker", "no valid rows after normalization", "repeated dates"
+
+
+def typed_series(raw: DataFrame) -> DataFrame:
+    """Rows as they came, with dates and numbers read from whatever text they hold; ``usable`` tells a date and four prices."""
+    numbers = [to_number(F.col(c)).alias(c) for c in ("open", "high", "low", "close", "volume")]
+    typed = raw.select(F.col("ticker").cast("string").alias("ticker"), F.col("date").cast("string").try_cast("date").alias("date"), *numbers)
+    prices = [F.col(c).isNotNull() for c in ("open", "high", "low", "close")]
+    volume = F.coalesce("volume", F.lit(0.0)).try_cast("long")
+    return typed.withColumn("volume", volume).withColumn("usable", F.col("date").isNotNull() & all_of(prices))
+
+
+def series_faults(typed: DataFrame) -> DataFrame:
+    """(ticker, error, rows) of every ticker; error is null for a sound one.
+
+    Counted by date first, so that the copies of a day, or rows without a
+    ticker, shrink before they meet.
+    """
+    days = typed.groupBy("ticker", "date").agg(F.count(F.lit(1)).alias("n"), F.count_if("usable").alias("usable"))
+    counted = days.groupBy("ticker").agg(F.sum("n").alias("rows"), F.sum("usable").alias("usable"), F.max("usable").alias("most"))
+    fault = (
+        F.when(F.col("ticker").isNull(), NO_TICKER).when(F.col("usable") == 0, NO_ROWS).when(F.col("most") > 1, REPEATED)
+    )
+    return counted.select("ticker", fault.alias("error"), "rows")
+
+
+def indicators_or_errors(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(indicators of every sound ticker, (ticker, error, rows) of the others).
+
+    A ticker without a usable row, or with two for one date, is rejected; the
+    others do not notice. The typed rows are written once for both results.
+    """
+    typed = staged(typed_series(raw))
+    faults = series_faults(typed)
+    sound = typed.where("usable").join(faults.where("error IS NULL").select("ticker"), "ticker")
+    return technical_indicators(sound.select(*BASE)), faults.where("error IS NOT NULL")
+
+
 def technical_indicators(bars: DataFrame) -> DataFrame:
     """Bars with all window and recursive indicators: one shuffle by ticker."""
     base = bars.select(*BASE)

@@ -43,6 +43,20 @@ def universe_by_liquidity(t: Tables):
     return rounded(out, digits=4)
 
 
+@QUERIES.add(
+    "universe_in_range",
+    query(
+        f"""SELECT ticker, n AS bars, {r('liq', 'liquidity', 4)} FROM (SELECT ticker, count(*) AS n FROM rg GROUP BY ticker HAVING n >= 100) JOIN
+        (SELECT ticker, avg(close * volume) AS liq FROM (SELECT * FROM rg QUALIFY row_number() OVER ({W} DESC) <= 252) GROUP BY ticker)
+        USING (ticker) ORDER BY liq DESC, ticker LIMIT 25""",
+        "rg AS (SELECT * FROM bars WHERE date BETWEEN DATE '1994-03-01' AND DATE '1996-09-30')",
+    ),
+)
+def universe_in_range(t: Tables):
+    out = universe.universe_by_liquidity(t.bars, 25, min_bars=100, start="1994-03-01", end="1996-09-30")
+    return rounded(out, digits=4)
+
+
 HOLDINGS = [
     FEATURES_SQL.replace("WHERE history >= 20", ""),
     f"""held AS (SELECT ticker, date AS entry_date, lead(date) OVER ({W}) AS exit_date, lead(close) OVER ({W}) / close - 1 - 0.001::DOUBLE AS r,

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from barloom.functions.frames import Frames
 from barloom.operators import indicators as ind
 from barloom.operators import recursive
-from barloom.plans import technical
+from barloom.plans import analytics, technical
 from barloom.registry.base import Catalogue, Tables, W, frame, lag, query, r, roll, rounded, rs
 
 QUERIES = Catalogue()
@@ -416,3 +416,61 @@ def _all_sql() -> str:
 @QUERIES.add("technical_indicators", _all_sql())
 def technical_indicators(t: Tables):
     return rounded(technical.technical_indicators(t.bars))
+
+
+# --- messy series, one ticker's report -------------------------------------------
+
+NUMBER = "CAST(left(ticker, 6) AS INTEGER)"
+
+
+def _messy(t: Tables):
+    """Bars as text, as a feed may bring them: every 7th ticker without a price, every 11th with a day twice."""
+    number = F.left("ticker", F.lit(6)).cast("int")
+    close = F.when(number % 7 == 0, F.lit("n/a")).otherwise(F.col("close").cast("string"))
+    bars = t.bars.select("ticker", "date", "open", "high", "low", close.alias("close"), F.col("volume").cast("string").alias("volume"))
+    return bars.unionByName(bars.where((number % 11 == 0) & (F.dayofmonth("date") == 1)))
+
+
+@QUERIES.add(
+    "indicator_rejects",
+    query(
+        f"""SELECT ticker, CASE WHEN {NUMBER} % 7 = 0 THEN 'no valid rows after normalization' ELSE 'repeated dates' END AS error,
+        CAST(count(*) + count(*) FILTER (WHERE {NUMBER} % 11 = 0 AND day(date) = 1) AS BIGINT) AS rows FROM bars GROUP BY ticker
+        HAVING {NUMBER} % 7 = 0 OR ({NUMBER} % 11 = 0 AND count(*) FILTER (WHERE day(date) = 1) > 0)"""
+    ),
+)
+def indicator_rejects(t: Tables):
+    return technical.indicators_or_errors(_messy(t))[1]
+
+
+@QUERIES.add(
+    "indicators_beside_rejects",
+    f"""SELECT * FROM ({QUERIES['rsi_wilder'].sql}) AS q JOIN ({QUERIES['stochastic'].sql}) AS s USING (ticker, date)
+    WHERE {NUMBER} % 7 <> 0 AND ({NUMBER} % 11 <> 0 OR ticker NOT IN (SELECT ticker FROM ({QUERIES['rsi_wilder'].sql}) AS d WHERE day(date) = 1))""",
+)
+def indicators_beside_rejects(t: Tables):
+    sound, _ = technical.indicators_or_errors(_messy(t))
+    return rounded(sound.select("ticker", "date", "rsi_14", "stoch_k", "stoch_d"))
+
+
+REPORT = ("000003.KQ", "1996-01-01", "1999-12-31")
+
+
+def _report_sql(adjusted: bool) -> str:
+    """The walk of the unseeded means, and the RSI, over one ticker's slice."""
+    walk = QUERIES["ewm_macd_adjusted" if adjusted else "ewm_macd"].sql
+    rsi = QUERIES["rsi_unguarded" if adjusted else "rsi_simple_null_seed"].sql
+    ticker, start, end = REPORT
+    cut = f"lineitem WHERE l_suppkey = {int(ticker[:6])} AND CAST(l_shipdate AS DATE) >= DATE '{start}' AND CAST(l_shipdate AS DATE) < DATE '{end}' AND"
+    macd, strength = (sql.replace("lineitem WHERE", cut) for sql in (walk, rsi))
+    return f"SELECT * FROM ({macd}) AS m JOIN ({strength}) AS s USING (ticker, date) ORDER BY date"
+
+
+for _name, _flavour in (("with_indicators", "recursive"), ("with_indicators_adjusted", "adjusted")):
+
+    def _run(t: Tables, flavour: str = _flavour):
+        out = analytics.report("with_indicators", t.bars, ticker=REPORT[0], start=REPORT[1], end=REPORT[2], flavour=flavour)
+        out = out.select("ticker", "date", "macd", "macd_signal", "macd_hist", "rsi_14")
+        return rounded(rounded(out, "macd", "macd_signal", "macd_hist", digits=4), "rsi_14") if flavour == "adjusted" else rounded(out)
+
+    QUERIES.add(_name, _report_sql(_flavour == "adjusted"))(_run)

@@ -110,6 +110,24 @@ def tier1_features(t: Tables):
     )
 
 
+# over noise the index returns are huge: strength is compared in shares of them
+RELATIVE = {k: f"rel_strength_{k}d / (1 + abs(market_ret_{k}d))" for k in (5, 20)}
+
+
+@QUERIES.add(
+    "tier1_relative_strength",
+    query(
+        f"""SELECT ticker, date, {r(LOG_INDEX, 'ln_market_5d')}, {r('ln(1 + market_ret_20d)', 'ln_market_20d')},
+        {', '.join(r(x, f'strength_{k}d') for k, x in RELATIVE.items())} FROM tier1""",
+        *TIER1,
+    ),
+)
+def tier1_relative_strength(t: Tables):
+    out = tier1.tier1_features(t.bars)
+    index = [F.log1p(f"market_ret_{k}d").alias(f"ln_market_{k}d") for k in (5, 20)]
+    return rounded(out.select("ticker", "date", *index, *[F.expr(x).alias(f"strength_{k}d") for k, x in RELATIVE.items()]))
+
+
 CANDIDATE_ORDER = "tier1_composite_score DESC, ret_5d DESC, breakout_dist_20 DESC, ticker"
 CANDIDATE_WHERE = f"""tier1_composite_score IS NOT NULL AND dollar_volume IS NOT NULL AND natr14 IS NOT NULL AND rvol20 IS NOT NULL
   AND breakout_dist_20 IS NOT NULL AND ret_5d IS NOT NULL AND ret_1d IS NOT NULL AND sma20 IS NOT NULL AND risk_on_regime = 1

@@ -1,6 +1,8 @@
 """Portfolios of signal ranges against a plain loop over days."""
 
+import datetime as dt
 import math
+import re
 
 import numpy as np
 import pytest
@@ -112,6 +114,13 @@ def test_universe_fallback_and_sample(spark, make_bars):
     pick = lambda **k: [r.ticker for r in universe.universe_by_liquidity(bars, 5, min_bars=20, **k).collect()]
     assert pick() == ["B", "A"] and pick(start="2030-01-01") == ["B", "A"]
     assert pick(start="2030-01-01", allow_fallback=False) == []
+    # in the range C has the most bars per day traded, but only B and A have enough
+    assert pick(start="2020-01-05") == ["B", "A"] and pick(start="2020-01-28") == ["B", "A"]
+    late = bars.unionByName(make_bars({"C": [99.0] * 25}, start=dt.date(2021, 1, 1)))
+    ranged = lambda **k: [(r.ticker, r.bars, r.liquidity) for r in universe.universe_by_liquidity(late, 5, min_bars=20, **k).collect()]
+    assert ranged(start="2021-01-01") == [("C", 25, 9900.0)] and ranged() == [("C", 30, 9900.0), ("B", 30, 2000.0), ("A", 30, 1000.0)]
+    plans = [universe.universe_by_liquidity(late, 5, min_bars=20, start=day)._jdf.queryExecution().optimizedPlan().toString() for day in ("2021-01-01", "2030-01-01")]
+    assert re.sub(r"#\d+L?|\d{4}-\d\d-\d\d|\d{5}", "", plans[0]) == re.sub(r"#\d+L?|\d{4}-\d\d-\d\d|\d{5}", "", plans[1])
     symbols = bars.select("ticker").distinct()
     first = [r.ticker for r in universe.seeded_sample(symbols, 2, 7).collect()]
     assert first == [r.ticker for r in universe.seeded_sample(symbols.repartition(3), 2, 7).collect()]

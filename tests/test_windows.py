@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from barloom.functions.frames import Frames
 from barloom.operators import indicators, recursive, series
 from barloom.operators.cross_section import add_date_context, market_days
-from barloom.plans import technical, tier1
+from barloom.plans import analytics, technical, tier1
 
 
 def column(df, name, order="date"):
@@ -103,6 +103,75 @@ def test_trailing_window_is_anchored_and_checked(make_bars):
         series.trailing_window(df, 30, "03/01/2020")
 
 
+def test_year_partitions_are_pruned_without_a_date(make_bars, spark, tmp_path):
+    bars = make_bars({"A": [float(i + 1) for i in range(1500)], "B": [2.0] * 900})
+    bars.withColumn("year", F.year("date")).write.partitionBy("year").parquet(str(tmp_path / "lake"))
+    lake = spark.read.parquet(str(tmp_path / "lake"))
+    for lake in (lake, lake.withColumn("year", F.col("year").cast("string"))):
+        got = analytics.high_low_52_week(lake)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, analytics.high_low_52_week(bars).collect()))
+        assert series.trailing_window(lake, 365).count() == 366
+    got = analytics.high_low_52_week(spark.read.parquet(str(tmp_path / "lake")))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert any("PartitionFilters: [" in part and "Subquery" in part.split("PushedFilters")[0] for part in plan.split("FileScan")[1:])
+    got.collect()
+    read = [m for m in _scans(got) if "ticker" in m[0]]
+    assert read and all(partitions == 2 for _, partitions in read)  # of five years
+
+
+def _scans(df):
+    """(output, partitions read) of the file scans that ran."""
+    out, waiting = [], [df._jdf.queryExecution().executedPlan()]
+    while waiting:
+        node = waiting.pop()
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            waiting.append(node.executedPlan())
+        elif "QueryStage" in node.nodeName():
+            waiting.append(node.plan())
+        elif node.nodeName().startswith("Scan parquet"):
+            out.append((node.output().toString(), node.metrics().apply("numPartitions").value()))
+        children = node.children()
+        waiting += [children.apply(i) for i in range(children.size())]
+    return out
+
+
+def test_a_bad_series_leaves_the_others_standing(make_bars, spark):
+    good = make_bars({"A": walk(60), "B": walk(40, 2)}).select("ticker", "date", *[F.col(c).cast("string").alias(c) for c in ("open", "high", "low", "close", "volume")])
+    a_day = good.where("ticker = 'A'").limit(1)
+    raw = good.unionByName(a_day.withColumn("ticker", F.lit("twice"))).unionByName(a_day.withColumn("ticker", F.lit("twice")))
+    raw = raw.unionByName(good.where("ticker = 'B'").withColumns({"ticker": F.lit("words"), "close": F.lit("n/a")}))
+    raw = raw.unionByName(a_day.withColumn("ticker", F.lit(None).cast("string")))
+    raw = raw.unionByName(a_day.withColumns({"ticker": F.lit("A"), "date": F.lit(None).cast("date")}))
+    out, faults = technical.indicators_or_errors(raw)
+    want = technical.technical_indicators(make_bars({"A": walk(60), "B": walk(40, 2)}))
+    assert sorted(map(repr, out.select("ticker", "date", "rsi_14", "psar_af", "sma_20").collect())) == sorted(map(repr, want.select("ticker", "date", "rsi_14", "psar_af", "sma_20").collect()))
+    assert sorted(map(tuple, faults.collect()), key=repr) == sorted(
+        [("twice", technical.REPEATED, 2), ("words", technical.NO_ROWS, 40), (None, technical.NO_TICKER, 1)], key=repr
+    )
+    out, faults = technical.indicators_or_errors(raw.limit(0))
+    assert out.count() == faults.count() == 0
+
+
+def test_recurrences_need_no_python(make_bars):
+    bars = make_bars({"A": walk(150, 1), "B": walk(3)})
+    for out in (technical.technical_indicators(bars), recursive.ewm_columns(bars, adjust=True), recursive.ewm_columns(bars, adjust=False)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert not any(word in plan for word in ("Python", "Arrow", "FlatMapGroups", "MapIn"))
+        assert plan.count("Exchange hashpartitioning") <= 1
+
+
+@pytest.mark.parametrize("adjust", [False, True])
+def test_unseeded_means_over_gaps_match_pandas(spark, adjust):
+    rng = np.random.default_rng(5)
+    closes = [None if i < 3 or rng.random() < 0.3 else float(x) for i, x in enumerate(rng.normal(50, 5, 300))]
+    rows = [("A", i, c) for i, c in enumerate(closes)]
+    out = recursive.ewm_columns(spark.createDataFrame(rows, "ticker string, date int, close double"), adjust=adjust).orderBy("date").toPandas()
+    s = pd.Series([np.nan if c is None else c for c in closes])
+    line = s.ewm(span=12, adjust=adjust).mean() - s.ewm(span=26, adjust=adjust).mean()
+    np.testing.assert_allclose(out["macd"], line, atol=1e-9)
+    np.testing.assert_allclose(out["macd_signal"], line.ewm(span=9, adjust=adjust).mean(), atol=1e-9)
+
+
 def test_stale_ticker_and_market_date(make_bars):
     df = make_bars({"A": [1.0] * 5, "B": [1.0] * 3})
     assert series.latest_per_ticker(df).count() == 2
