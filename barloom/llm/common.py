@@ -24,6 +24,17 @@ def narrowed(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 
+def hidden(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of ``df`` bears, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def arrow_map(df: DataFrame, step: Callable[..., Iterator[pa.RecordBatch]], schema: str, **parameters) -> DataFrame:
     return df.mapInArrow(functools.partial(step, **parameters) if parameters else step, schema)
 

@@ -19,6 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.common import hidden
 from barloom.session import staged
 
 WORD_BREAK = r"[^\p{L}\p{N}]+"
@@ -55,14 +56,20 @@ def contaminated(docs: DataFrame, items: DataFrame, parameters: ContainmentParam
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, parameters: ContainmentParameters = ContainmentParameters()) -> DataFrame:
-    """``docs`` without the rows that hold an item; a row without doc_id is judged by its text."""
-    found = contaminated(docs, items, parameters).select(F.col("doc_id").alias("_bad")).distinct()
-    clean = docs.where("doc_id is not null").join(found, F.col("doc_id") == F.col("_bad"), "left_anti")
+    """``docs`` without the rows that hold an item; a row without doc_id is judged by its text.
+
+    Items are told apart by their texts, so items without an id, or of one id
+    with different texts, count each. Columns of any name pass through.
+    """
+    (taken,) = hidden(docs, "_bad")
+    items = items.select(F.xxhash64("text").alias("item_id"), "text")
+    found = contaminated(docs, items, parameters).select(F.col("doc_id").alias(taken)).distinct()
+    clean = docs.where("doc_id is not null").join(found, F.col("doc_id") == F.col(taken), "left_anti")
     nameless = docs.where("doc_id is null")
     # a stand-in id from the text, so that rows without id can be judged and told apart
     stand_in = F.xxhash64(F.coalesce("text", F.lit("")))
-    bad = contaminated(nameless.select(stand_in.alias("doc_id"), "text"), items, parameters).select(F.col("doc_id").alias("_bad")).distinct()
-    return clean.unionByName(nameless.join(bad, stand_in == F.col("_bad"), "left_anti"))
+    bad = contaminated(nameless.select(stand_in.alias("doc_id"), "text"), items, parameters).select(F.col("doc_id").alias(taken)).distinct()
+    return clean.unionByName(nameless.join(bad, stand_in == F.col(taken), "left_anti"))
 
 
 def shingles(text: str, words: int) -> Column:

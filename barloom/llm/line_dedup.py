@@ -53,10 +53,11 @@ def dedup_lines(docs: DataFrame, parameters: LineParameters = LineParameters())
 
     Null text stays null; lines without words always stay. Null ids come last.
     Rows with the same doc_id and text are one document and get the same
-    result. Other columns pass through; names that start with
-    ``_line`` are taken.
+    result. Other columns pass through, but for those named like the two
+    new ones, which take their place; names that start with ``_line`` are taken.
     """
     p = parameters
+    docs = docs.drop("n_lines", "n_removed")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("text").alias("digest"))
     rarity = docs.sparkSession.sparkContext.broadcast(rarity_table(texts))
     classes = _classes(texts, rarity, p)

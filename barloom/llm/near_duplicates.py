@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import Forest, arrow_map, batch_of, by_key, narrowed, pack, release_shuffles, shingle_sets, sorted_groups, text_slices, unpacked
+from barloom.llm.common import Forest, arrow_map, batch_of, by_key, hidden, narrowed, pack, release_shuffles, shingle_sets, sorted_groups, text_slices, unpacked
 from barloom.llm.graph import connected_components
 from barloom.session import staged
 
@@ -94,11 +94,14 @@ def keep_one_of_each(docs: DataFrame, parameters: NearParameters = NearParameter
     """One row of ``docs`` per group, all columns: the smallest doc_id, then the smallest text hash; rows without an id come last.
 
     Rows that repeat both id and text stay once, whichever of them. Rows without words are linked with nothing: all stay.
+    Columns of any name pass through; an empty table gives an empty table.
     """
+    ident, k1, k2, w_id, w1, w2, as_is = hidden(docs, "_id", "_k1", "_k2", "_w_id", "_w1", "_w2", "_as_is")
     # two hashes from different seeds name a text
-    keys = {"_k1": F.xxhash64("text"), "_k2": F.xxhash64(F.lit(1), F.col("text"))}
-    keyed = docs.withColumns({"_id": F.col("doc_id").cast("long"), **keys})
-    base, of_class = _grouped(keyed.select(F.col("_id").alias("doc_id"), "text", *keys), parameters, *keys)
+    keyed = docs.withColumns({ident: F.col("doc_id").cast("long"), k1: F.xxhash64("text"), k2: F.xxhash64(F.lit(1), F.col("text"))})
+    keys = ["_k1", "_k2"]
+    texts = keyed.select(F.col(ident).alias("doc_id"), "text", F.col(k1).alias("_k1"), F.col(k2).alias("_k2"))
+    base, of_class = _grouped(texts, parameters, *keys)
     place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", *keys)
     worded = base.where("cls is not null").select("cls", place.alias("place")).join(of_class.select("cls", "root"), "cls")
     winners = worded.groupBy("root").agg(F.min("place").alias("place")).select("place.*", F.lit(False).alias("wordless"))
@@ -109,10 +112,11 @@ def keep_one_of_each(docs: DataFrame, parameters: NearParameters = NearParameter
     same = F.col("_w_id").eqNullSafe(counts["doc_id"]) & (F.col("_w1") == counts["_k1"]) & (F.col("_w2") == counts["_k2"])
     wanted = wanted.select(F.col("doc_id").alias("_w_id"), F.col("_k1").alias("_w1"), F.col("_k2").alias("_w2"), "wordless")
     wanted = staged(wanted.join(counts, same).select("_w_id", "_w1", "_w2", (F.col("wordless") | (F.col("n") == 1)).alias("_as_is")))
-    found = keyed.join(wanted, keyed["_id"].eqNullSafe(F.col("_w_id")) & (F.col("_k1") == F.col("_w1")) & (F.col("_k2") == F.col("_w2")))
+    wanted = wanted.toDF(w_id, w1, w2, as_is)
+    found = keyed.join(wanted, F.col(ident).eqNullSafe(F.col(w_id)) & (F.col(k1) == F.col(w1)) & (F.col(k2) == F.col(w2)))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    once = found.where(~F.col("_as_is")).dropDuplicates(["_id", "_k1", "_k2"])
-    return found.where("_as_is").select(*columns).unionByName(once.select(*columns))
+    once = found.where(~F.col(as_is)).dropDuplicates([ident, k1, k2])
+    return found.where(F.col(as_is)).select(*columns).unionByName(once.select(*columns))
 
 
 # --- token vectors ------------------------------------------------------------

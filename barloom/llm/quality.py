@@ -15,10 +15,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from barloom.llm.common import arrow_map, batch_of, shingle_windows, text_slices, word_hashes
+from barloom.llm.common import arrow_map, batch_of, hidden, shingle_windows, text_slices, unpacked, word_hashes
 from barloom.session import staged
 
 SYMBOLS = [b"#", b"*", b"$", b"%", b"&", b"|", b"<", b">"]  # fixed values
@@ -57,13 +59,29 @@ def quality(docs: DataFrame, parameters: QualityParameters = QualityParameters()
 
 
 def filter_documents(docs: DataFrame, parameters: QualityParameters = QualityParameters(), host: str = "source") -> DataFrame:
-    """The documents that ``quality`` keeps, all columns, the text without its frequent lines."""
+    """The documents that ``quality`` keeps, all columns, the text without its frequent lines.
+
+    Columns of any name pass through. Null text has no words and goes; an
+    empty table gives an empty table; repeated rows are judged alike. Texts
+    that fail by themselves go first, the others travel compressed to the
+    lines that are cut from them, and are unpacked a few at a time.
+    """
     p = parameters
+    keys = hidden(docs, "_host", "_k1", "_k2")
+    frequent, packed = hidden(docs, "_frequent", "_packed")
     # two hashes from different seeds name a text
-    keys = {"_host": _host(docs, host), "_k1": F.xxhash64("text"), "_k2": F.xxhash64(F.lit(1), F.col("text"))}
-    keyed = docs.withColumns(keys)
-    joined = keyed.join(_cut_lines(keyed.select(*keys, "text"), p), [*keys], "left")
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], "_frequent").mapInArrow(functools.partial(_filtered, p=p), docs.schema)
+    named = dict(zip(keys, [_host(docs, host), F.xxhash64("text"), F.xxhash64(F.lit(1), F.col("text"))]))
+    texts = docs.select(*[x.alias(k) for k, x in zip(("_host", "_k1", "_k2"), named.values())], "text")
+    cut = _cut_lines(texts, p).toDF(*keys, frequent)
+    rest = [c for c in docs.columns if c != "text"]
+    fields = [docs.schema[c] for c in rest]
+    carried = T.StructType([*fields, *[T.StructField(k, kind) for k, kind in zip(keys, (T.StringType(), T.LongType(), T.LongType()))], T.StructField(packed, T.BinaryType())])
+    sound = docs.withColumns(named).select(*[F.col(f"`{c}`") for c in rest], *keys, "text")
+    small = sound.mapInArrow(functools.partial(_sound, p=p, packed=packed), carried)
+    joined = small.join(cut, keys, "left").select(*[F.col(f"`{c}`") for c in rest], packed, frequent)
+    out = T.StructType([*fields, docs.schema["text"]])
+    filtered = joined.mapInArrow(functools.partial(_filtered, p=p, packed=packed, frequent=frequent), out)
+    return filtered.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _host(docs: DataFrame, host: str):
@@ -167,25 +185,47 @@ def _line_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of(LINES, batch.column("_host"), batch.column("_k1"), batch.column("_k2"), lines)
 
 
-def _filtered(batches: Iterator[pa.RecordBatch], p: QualityParameters) -> Iterator[pa.RecordBatch]:
+def _sound(batches: Iterator[pa.RecordBatch], p: QualityParameters, packed: str) -> Iterator[pa.RecordBatch]:
+    """Rows whose text does not fail by itself, with the text compressed."""
+    press = zstandard.ZstdCompressor(level=3)
     for batch, texts in text_slices(batches):
-        frequent = batch.column("_frequent")
-        stays, kept = [], []
-        for i, text in enumerate(texts):
-            words = text.split()
-            if len(words) < p.min_words or 100 * repeated_words(words) > p.max_repeat_percent * len(words):
-                continue
-            cut = set(frequent[i].as_py() or ())
-            if cut:
-                lines = text.split(b"\n")
-                rest = [x for x in lines if not (own := x.split()) or line_hash(own) not in cut]
-                if len(rest) < len(lines):
-                    text = b"\n".join(rest)
-                    left = len(text.split())
-                    if left < p.min_kept_words or left < len(words) * p.min_kept_share:
-                        continue
-            stays.append(i)
-            kept.append(text)
-        out = batch.drop_columns(["_frequent"]).take(pa.array(stays, pa.int64()))
-        at = out.schema.get_field_index("text")
-        yield out.set_column(at, out.schema.field(at), pa.array(kept, pa.binary()).cast(pa.string()))
+        stays = [i for i, text in enumerate(texts) if not _fails(text.split(), p)]
+        yield _with(batch, stays, ["text"], packed, pa.array([press.compress(texts[i]) for i in stays], pa.binary()))
+
+
+def _with(batch: pa.RecordBatch, rows: list[int], less: list[str], name: str, column: pa.Array) -> pa.RecordBatch:
+    """Some rows, without the columns ``less``, and one more column."""
+    at = pa.array(rows, pa.int64())
+    names = [c for c in batch.schema.names if c not in less]
+    return pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in names], column], names=[*names, name])
+
+
+def _fails(words: list[bytes], p: QualityParameters) -> bool:
+    return len(words) < p.min_words or 100 * repeated_words(words) > p.max_repeat_percent * len(words)
+
+
+def _filtered(batches: Iterator[pa.RecordBatch], p: QualityParameters, packed: str, frequent: str) -> Iterator[pa.RecordBatch]:
+    """Rows with their unpacked texts, less the frequent lines; depleted ones go."""
+    for part in unpacked(batches, packed):
+        for batch, texts in text_slices(iter([part]), packed):
+            lines = batch.column(frequent)
+            stays, kept = [], []
+            for i, text in enumerate(texts):
+                text = _without_lines(text, set(lines[i].as_py() or ()), p)
+                if text is not None:
+                    stays.append(i)
+                    kept.append(text)
+            yield _with(batch, stays, [packed, frequent], "text", pa.array(kept, pa.binary()).cast(pa.string()))
+
+
+def _without_lines(text: bytes, cut: set[int], p: QualityParameters) -> bytes | None:
+    """The text without the lines to cut; None if that leaves too little."""
+    if not cut:
+        return text
+    lines = text.split(b"\n")
+    rest = [x for x in lines if not (own := x.split()) or line_hash(own) not in cut]
+    if len(rest) == len(lines):
+        return text
+    shorter = b"\n".join(rest)
+    left = len(shorter.split())
+    return None if left < p.min_kept_words or left < len(text.split()) * p.min_kept_share else shorter

@@ -88,3 +88,28 @@ def test_tokens_of_more_lines_than_the_line_bits_number():
     sizes = np.diff(bounds)
     assert len(sizes) == n and sizes[0] == 1 and (sizes[1:] == 2).all() and len(tokens) == bounds[-1]
     assert set(tokens[bounds[1] : bounds[2]]) == set(tokens[bounds[-3] : bounds[-2]]) and tokens[0] not in tokens[1:]
+
+
+CLASHING = ["_id", "_k1", "_k2", "_w_id", "_as_is", "_host", "_frequent", "_packed", "_bad", "n_lines", "N_REMOVED", "line", "cls", "lines", "n", "root", "item_id"]
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    texts = [prose(500 + i, 30) + f"\nA line on many pages of the host\n{prose(700 + i, 12)}" for i in range(15)]
+    texts += [texts[0], texts[1] + " end", None, "", prose(900, 12)]
+    ids = [*range(18), None, None]
+    rows = [(i, t, "en", "src", 0, *[f"{c} {k}" for c in CLASHING]) for k, (i, t) in enumerate(zip(ids, texts))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHING)
+    docs = spark.createDataFrame(rows, schema)
+    item = " ".join(texts[5].split()[:20])
+    spark.createDataFrame([(None, item), (1, "of no document at all or of any other one")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == [f.split(" ")[0].strip("`") for f in schema.split(", ")], name
+        docs = docs.cache()
+        for row in docs.collect():
+            k = row["_id"].split(" ")[1]
+            assert all(row[c] == f"{c} {k}" for c in CLASHING) and row["doc_id"] == ids[int(k)]
+    left = {int(r["_id"].split(" ")[1]) for r in docs.collect()}
+    # rejected: no words; copies; the text that holds the item without an id
+    assert left == set(range(15)) - {5} | {19}
+    assert not any("many pages" in r["text"] for r in docs.collect())
