@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm.byte_bpe import encode_documents
+from barloom.llm.common import hidden
 from barloom.llm.decontamination import without_contaminated
 from barloom.llm.line_dedup import dedup_lines
 from barloom.llm.near_duplicates import keep_one_of_each
@@ -34,8 +35,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines similar to an earlier line go, and with them documents of which no word is left."""
-    kept = dedup_lines(docs).where("n_lines = 0 or n_removed < n_lines")
-    return _with_length(kept.drop("n_lines", "n_removed"))
+    # columns that bear the names of the operator's counts step aside
+    own = [c for c in docs.columns if c.lower() in ("n_lines", "n_removed")]
+    aside = dict(zip(own, hidden(docs, *[f"_{c}" for c in own])))
+    kept = dedup_lines(docs.withColumnsRenamed(aside)).where("n_lines = 0 or n_removed < n_lines").drop("n_lines", "n_removed")
+    return _with_length(kept.withColumnsRenamed({a: c for c, a in aside.items()}))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
