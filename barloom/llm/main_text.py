@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from barloom.llm.common import arrow_map, batch_of, text_slices
 
 # Fixed values of HTML: elements by their role.
-RAW = frozenset("script style noscript template textarea iframe svg math title xmp".split())
+RAW = frozenset("script style noscript template textarea iframe svg title xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 FURNITURE = frozenset("nav header footer aside form menu dialog button select option label head".split())
 CONTENT = frozenset("article main".split())
@@ -40,7 +40,9 @@ NOT_CONTENT = re.compile(
 )
 NOT_CONTENT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
+# a quotation begins only after an equals sign; possessive, so that a tag without an end is given up at once
+START = re.compile(r"<!--|<[!?]|</?[A-Za-z]")
+TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])))*+)>")
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 SPACE = re.compile(r"\s+")
 
@@ -133,60 +135,91 @@ def blocks_of(page: str) -> list[Block]:
     """The page's blocks in order; comments, declarations and raw elements hold no text."""
     blocks, block = [], Block()
     open_elements: list[tuple[str, bool, bool]] = []  # name, furniture, content: of each open element
-    links = 0
+    open_names: Counter[str] = Counter()
+    furniture_depth = content_depth = math_depth = links = 0
 
     def turn(name: str) -> None:
         nonlocal block
         blocks.append(block)
-        block = Block(
-            element=name,
-            furniture=any(f for _, f, _ in open_elements),
-            marked=any(c for _, _, c in open_elements),
-        )
-
-    at = 0
-    while True:
-        token = TOKEN.search(page, at)
-        text = page[at : token.start()] if token else page[at:].partition("<")[0] if _cut_tag(page, at) else page[at:]
+        block = Block(element=name, furniture=furniture_depth > 0, marked=content_depth > 0)
+
+    def close() -> str:
+        nonlocal furniture_depth, content_depth
+        name, furniture, content = open_elements.pop()
+        open_names[name] -= 1
+        furniture_depth -= furniture
+        content_depth -= content
+        return name
+
+    for text, closing, name, attributes in tokens_of(page):
         if text:
             block.parts.append(text)
             if words := len(text.split()):
                 block.words += words
                 block.linked += words * (links > 0)
-        if token is None:
-            break
-        at = token.end()
-        closing, name = token[1], (token[2] or "").lower()
         if not name:
             continue
-        if name in RAW and not closing:
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(page, at)
-            at = end.end() if end else len(page)
-            continue
         block.tags += 1
         if name == "br":
             block.parts.append(" ")
         if name == "a":
             links = max(0, links + (-1 if closing else 1))
+        if name == "math":
+            math_depth = max(0, math_depth + (-1 if closing else not attributes.endswith("/")))
+        # a formula and its parts stand in the line
+        if name in INLINE or name == "math" or math_depth:
+            continue
         if closing:
-            if any(n == name for n, _, _ in open_elements):
-                while open_elements.pop()[0] != name:
+            if open_names[name]:
+                while close() != name:
                     pass
-        elif name not in VOID and name not in INLINE and not token[3].endswith("/"):
+        elif name not in VOID and not attributes.endswith("/"):
             if name in CLOSED_BY_BLOCK and open_elements and open_elements[-1][0] == name:
-                open_elements.pop()
-            furniture = name in FURNITURE or (name not in WHOLE and _furniture_by_name(token[3]))
+                close()
+            furniture = name in FURNITURE or (name not in WHOLE and _furniture_by_name(attributes))
             open_elements.append((name, furniture, name in CONTENT))
-        if name not in INLINE:
-            turn(name)
+            open_names[name] += 1
+            furniture_depth += furniture
+            content_depth += name in CONTENT
+        turn(name)
     blocks.append(block)
     return blocks
 
 
-def _cut_tag(page: str, at: int) -> bool:
-    """Whether the page was cut inside a tag."""
-    last = page.rfind("<", at)
-    return last >= 0 and re.match(r"</?[A-Za-z!]|<$", page[last:]) is not None and ">" not in page[last:]
+def tokens_of(page: str) -> Iterator[tuple[str, bool, str, str]]:
+    """(text before, whether a closing tag, its name, its attributes) in one pass; the name is empty where only text is left.
+
+    A tag that the page's end cuts off ends the text before it. An angle
+    bracket that opens nothing is text. What raw elements hold is left out.
+    """
+    at = begun = 0
+    parts: list[str] = []
+    ends: dict[str, re.Pattern[str]] = {}
+    while start := START.search(page, at):
+        parts.append(page[begun : start.start()])
+        if start[0].startswith(("<!", "<?")):
+            # a comment may close within its own opening dashes
+            end = page.find("-->", start.start() + 2) if start[0] == "<!--" else page.find(">", start.end())
+            at = begun = len(page) if end < 0 else end + (3 if start[0] == "<!--" else 1)
+            continue
+        tag = TAG.match(page, start.start())
+        if tag is None:
+            begun = len(page)
+            break
+        at = begun = tag.end()
+        closing, name, attributes = bool(tag[1]), tag[2].lower(), tag[3]
+        if name in RAW and not closing:
+            # graphics close themselves; the others need their end tag
+            if not (name == "svg" and attributes.endswith("/")):
+                if name not in ends:
+                    ends[name] = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.IGNORECASE)
+                end = ends[name].search(page, at)
+                at = begun = end.end() if end else len(page)
+            continue
+        yield "".join(parts), closing, name, attributes
+        parts = []
+    parts.append(page[begun:])
+    yield "".join(parts), False, "", ""
 
 
 def _furniture_by_name(attributes: str) -> bool:

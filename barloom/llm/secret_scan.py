@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
+import itertools
 import json
 import re
 from collections.abc import Iterator
@@ -79,10 +81,13 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     """Spans whose decoded bytes have the structure of a token or key."""
     found = [(3, m.start(), m.end()) for m in JWT.finditer(text) if is_signed_token(m[0])]
     found += [(4, m.start(), m.end()) for m in PEM.finditer(text) if is_key(_base64("".join(m[2].split())))]
-    inside = [(a, b) for _, a, b in found]
+    # whether one of these spans covers a run: of those that begin before it, the furthest end
+    spans = sorted((a, b) for _, a, b in found)
+    starts, ends = [a for a, _ in spans], list(itertools.accumulate((b for _, b in spans), max))
     for pattern, decode in ((BASE64, _base64), (KEY_HEX, _hex)):
         for m in pattern.finditer(text):
-            if not any(a <= m.start() and m.end() <= b for a, b in inside) and is_key(decode(m[0])):
+            before = bisect.bisect_right(starts, m.start())
+            if not (before and ends[before - 1] >= m.end()) and is_key(decode(m[0])):
                 found.append((5, m.start(), m.end()))
     return found
 
