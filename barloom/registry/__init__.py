@@ -1,9 +1,9 @@
 """The query catalogue: name -> Spark query and, where SQL can say it, its SQL twin."""
 
-from barloom.registry import backtest_queries, indicator_queries, model_queries, series_queries, serving_queries
+from barloom.registry import backtest_queries, indicator_queries, model_queries, series_queries, serving_queries, source_queries
 from barloom.registry.base import Query
 
-MODULES = [series_queries, indicator_queries, model_queries, backtest_queries, serving_queries]
+MODULES = [series_queries, indicator_queries, model_queries, backtest_queries, serving_queries, source_queries]
 
 
 def catalogue() -> dict[str, Query]:

@@ -73,11 +73,16 @@ def staged(df: DataFrame) -> DataFrame:
     For tables that several passes read with different columns: each pass
     then prunes columns instead of repeating the shuffles behind ``df``.
     """
-    path = f"{_shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, "stage")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share."""
+    return f"{_shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a path is there, in whatever store it names."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
