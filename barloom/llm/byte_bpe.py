@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 
 from barloom.llm.common import arrow_map, batch_of, narrowed, once_per_worker, text_slices
 
+CACHED_CHARS = 256  # longer pieces are encoded each time they come
 DECODE_IDS = 4096  # ids that the decoder takes in one step
 
 
@@ -141,12 +142,14 @@ class Transducer:
         self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
 
     def encode(self, piece: bytes) -> list[int]:
-        if len(self.states) > self.max_states:
-            self._reset()
         state, out, moves = 0, [], self.moves
         for byte in piece:
             move = moves.get(state << 8 | byte)
             if move is None:
+                if len(self.states) > self.max_states:
+                    # within a piece too: the table goes, the state it is in stays
+                    state = self._begin_anew(self.states[state])
+                    moves = self.moves
                 move = self._move(state, byte)
             state, emitted = move
             if emitted:
@@ -156,6 +159,13 @@ class Transducer:
                 out += held
         return out
 
+    def _begin_anew(self, hypotheses: tuple) -> int:
+        self._reset()
+        if hypotheses not in self.number:
+            self.number[hypotheses] = len(self.states)
+            self.states.append(hypotheses)
+        return self.number[hypotheses]
+
     def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         v = self.vocabulary
         children, token_at = v.children, v.token_at
@@ -238,9 +248,9 @@ class Encoder:
             return self._by_pieces(first) + b"".join([known[word] for word in words])
         except KeyError:
             for word in words:
-                if word not in known:
+                if word not in known and len(word) <= CACHED_CHARS:
                     known[word] = self._by_pieces(" " + word)
-            return self._by_pieces(first) + b"".join([known[word] for word in words])
+            return self._by_pieces(first) + b"".join([known.get(word) or self._by_pieces(" " + word) for word in words])
 
     def _by_pieces(self, text: str) -> bytes:
         known = self.pieces
@@ -250,7 +260,9 @@ class Encoder:
         for piece in self.pattern.findall(text):
             ids = known.get(piece)
             if ids is None:
-                ids = known[piece] = np.array(self.transducer.encode(piece.encode()), "<u4").tobytes()
+                ids = np.array(self.transducer.encode(piece.encode()), "<u4").tobytes()
+                if len(piece) <= CACHED_CHARS:
+                    known[piece] = ids
             out.append(ids)
         return b"".join(out)
 

@@ -1,15 +1,19 @@
 """Cases that earlier versions of the text operators left out."""
 
+import dataclasses
 import random
 import time
 
 import numpy as np
 import pytest
+import tiktoken
 
 import corpus_pipeline
+from barloom.llm.byte_bpe import Encoder, Vocabulary, read_ranks
 from barloom.llm.line_dedup import BUCKET_BITS, token_sets
 from barloom.llm.main_text import HtmlParameters, blocks_of, main_text
 from barloom.llm.near_duplicates import keep_one_of_each
+from barloom.llm.queries import byte_bpe_50k
 from barloom.llm.repeats import INDEX_BITS, PIECE, RepeatParameters, _bounded, anchors_of, remove_repeats
 from barloom.llm.secret_scan import confirmed_spans
 from barloom.llm.toxicity import CnnParameters, score_documents
@@ -147,3 +151,15 @@ def test_hostile_texts_take_linear_time():
         seconds(make, 1000)
         # a square would take 64 times as long
         assert seconds(make, 80_000) < 24 * seconds(make, 10_000) + 0.2
+
+
+def test_states_are_bounded_within_a_piece():
+    p = byte_bpe_50k()
+    ranks = read_ranks(p.ranks)
+    encoder = Encoder(Vocabulary(ranks), dataclasses.replace(p, max_states=1000))
+    draw = random.Random(8)
+    text = "".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=20_000)) + " " + "".join(draw.choices("etaoin", k=5000)) + " the end"
+    known = tiktoken.Encoding("own", pat_str=p.pattern, mergeable_ranks=ranks, special_tokens={})
+    assert np.frombuffer(encoder.encode(text), "<u4").tolist() == known.encode_ordinary(text)
+    assert len(encoder.transducer.states) <= 1002 and len(encoder.transducer.moves) <= 256 * 1002
+    assert all(len(piece) <= 256 for piece in [*encoder.pieces, *encoder.words])
