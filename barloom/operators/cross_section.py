@@ -1,9 +1,9 @@
 """Per-date operators: market context and z-scores.
 
-Both reduce the bars to one row per date with map-side aggregation and
-broadcast that table back, so a date holding a large share of all rows costs
-nothing extra and the bars themselves are not shuffled by date. The
-broadcast is bounded by the trading calendar, not by the number of tickers.
+Both reduce the bars to one row per date with map-side aggregation. That table,
+as long as the trading calendar, is written before it is joined back, so Spark
+knows its size when it chooses to broadcast it; then a date holding a large
+share of all rows costs nothing extra, and the bars are not shuffled by date.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ import functools
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.session import staged
+
 
 def date_stats(df: DataFrame, z_columns: list[str] = ()) -> DataFrame:
     """One row per date: market mean return, breadth, k-day index returns, and mean/std of z_columns.
@@ -55,7 +57,7 @@ def add_date_context(df: DataFrame, z_columns: list[str]) -> DataFrame:
 
     A z-score with a zero or missing standard deviation is null.
     """
-    out = df.join(F.broadcast(date_stats(df, z_columns)), "date", "left")
+    out = df.join(staged(date_stats(df, z_columns)), "date", "left")
     risk_on = (F.col("market_ret_20d") > 0.0) & (F.col("breadth_up_ratio") >= 0.5)
     scores = [
         F.try_divide(F.col(c) - F.col(f"_m_{c}"), F.col(f"_s_{c}")).alias(f"z_{c}") for c in z_columns
