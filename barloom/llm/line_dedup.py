@@ -41,11 +41,15 @@ BAND = 1.05  # lengths of one band differ by at most this factor
 class LineParameters:
     """Lines are similar at a Jaccard similarity of percent / 100; ``small`` bounds what a task compares at once.
 
+    Rows that must ask every block of their family are taken in ``passes`` turns, so that a turn's copies of them
+    are gone from the disks before the next one's are written.
+
     The rarity table has 2**20 counters whatever the corpus: words that share a counter only rank as less rare.
     """
 
     percent: int = 80
     small: int = 256
+    passes: int = 4
 
 
 def dedup_lines(docs: DataFrame, parameters: LineParameters = LineParameters()) -> DataFrame:
@@ -229,7 +233,8 @@ def similar_to_earlier(texts: DataFrame, places: DataFrame, edges: DataFrame, ra
     rows = large.withColumn("part", F.xxhash64("family", "band", block))
     first = staged(_verified(_roles(rows, asks=True, answers=True), p))
     release_shuffles(texts.sparkSession)
-    left = large.join(first, "id", "left_anti")
+    left = staged(large.join(first, "id", "left_anti"))
+    release_shuffles(texts.sparkSession)
     reach = math.ceil(math.log(100 / p.percent) / math.log(BAND) + 1e-9)
     near = F.filter(F.map_keys("blocks"), lambda k: F.abs(k - F.col("band")) <= reach)
     numbers = F.flatten(
@@ -241,10 +246,13 @@ def similar_to_earlier(texts: DataFrame, places: DataFrame, edges: DataFrame, ra
         )
     )
     # every row answers in its own block only, so those that ask need not answer each other in all of them
-    asking = _roles(left.withColumn("part", F.explode(numbers)), asks=True, answers=False)
     answering = _roles(rows.join(left.select("family").distinct(), "family", "left_semi"), asks=False, answers=True)
-    second = _verified(answering.unionByName(asking), p)
-    return found.unionByName(first).unionByName(second).distinct()
+    for turn in range(p.passes):
+        asks = left.where(F.pmod(F.xxhash64(F.lit("turn"), F.col("id")), F.lit(p.passes)) == turn)
+        asking = _roles(asks.withColumn("part", F.explode(numbers)), asks=True, answers=False)
+        first = first.unionByName(staged(_verified(answering.unionByName(asking), p)))
+        release_shuffles(texts.sparkSession)
+    return found.unionByName(first).distinct()
 
 
 def _near_pairs(batches: Iterator[pa.RecordBatch], p: LineParameters) -> Iterator[pa.RecordBatch]:
