@@ -481,7 +481,7 @@ MIN_ROWS = {"min_train_rows": 34_000, "min_val_rows": 200}
         f"""SELECT CAST(fold AS INTEGER) AS fold, train_end, val_end, train_rows, val_rows, {r('train_up / train_rows', 'train_base_rate')},
         {r('val_up / val_rows', 'val_base_rate')}, CASE WHEN train_rows < {MIN_ROWS["min_train_rows"]} THEN 'few_train_rows'
         WHEN val_rows < {MIN_ROWS["min_val_rows"]} THEN 'few_validation_rows' END AS dropped
-        FROM (SELECT fold, train_end, val_end, count_if(date <= train_end) AS train_rows, count_if(date > train_end AND date <= val_end) AS val_rows,
+        FROM (SELECT fold, train_end, val_end, CAST(count_if(date <= train_end) AS BIGINT) AS train_rows, CAST(count_if(date > train_end AND date <= val_end) AS BIGINT) AS val_rows,
           count_if(date <= train_end AND next_close > close) AS train_up, count_if(date > train_end AND date <= val_end AND next_close > close) AS val_up
           FROM folds, lb GROUP BY fold, train_end, val_end)""",
         LB,
