@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from barloom.llm.common import arrow_map, batch_of, narrowed, once_per_worker, text_slices
 
 CACHED_CHARS = 256  # longer pieces are encoded each time they come
+MAX_BORDERS = 1_000_000  # pairs of tokens whose border is remembered
 DECODE_IDS = 4096  # ids that the decoder takes in one step
 
 
@@ -42,8 +43,8 @@ class BpeParameters:
     ranks: str
     pattern: str
     spaced: bool = False
-    max_states: int = 250_000
-    max_pieces: int = 500_000
+    max_states: int = 150_000
+    max_pieces: int = 250_000
 
 
 def encode_documents(docs: DataFrame, parameters: BpeParameters, with_ids: bool = False) -> DataFrame:
@@ -118,7 +119,7 @@ class Vocabulary:
         """
         known = self._borders.get((a, b))
         if known is None:
-            if len(self._borders) > 4_000_000:
+            if len(self._borders) > MAX_BORDERS:
                 self._borders.clear()
             known = not any(
                 (rank := self.rank.get(x + y)) is not None and rank < x_end and rank <= y_end
