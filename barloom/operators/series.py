@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -160,3 +164,35 @@ def next_day_labels(df: DataFrame) -> DataFrame:
         (F.col("next_close") > F.col("close")).cast("int").alias("target_up"),
         change(F.col("next_close"), F.col("close")).alias("fwd_ret_1d"),
     )
+
+
+SERIES_ROWS = 200_000  # rows that a task gathers before it works on them
+
+
+def whole_series(batches: Iterator[pa.RecordBatch], rows: int = SERIES_ROWS) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """(table of whole tickers, first row of each) from batches sorted by ticker; at least ``rows`` rows but for the last table.
+
+    What waits for more batches is one ticker, as long as the calendar.
+    """
+    waiting: list[pa.Table] = []
+    have = 0
+    for batch in batches:
+        waiting.append(pa.Table.from_batches([batch]))
+        have += batch.num_rows
+        if have < rows:
+            continue
+        table = pa.concat_tables(waiting).combine_chunks()
+        first = _first_rows(table)
+        if len(first) > 1:
+            yield table.slice(0, first[-1]), first[:-1]
+            table = table.slice(first[-1])
+        waiting, have = [table], table.num_rows
+    if have:
+        table = pa.concat_tables(waiting).combine_chunks()
+        yield table, _first_rows(table)
+
+
+def _first_rows(table: pa.Table) -> np.ndarray:
+    ticker = pc.fill_null(table["ticker"], "\0")
+    turns = pc.not_equal(ticker.slice(1), ticker.slice(0, max(0, len(ticker) - 1)))
+    return np.append(0, np.flatnonzero(turns.to_numpy(zero_copy_only=False)) + 1)

@@ -165,25 +165,35 @@ def fitness() -> Column:
 
 def portfolio_metrics(daily: DataFrame) -> DataFrame:
     """Metrics and fitness per strategy from its days; strategies with too few trades or days give no row."""
+    sums = daily.groupBy("strategy_id").agg(*[F.sum(c).alias(f"_{c}") for c in SUMS]).where(F.col("_n") >= MIN_TRADES)
+    outcomes = sums.select(
+        "strategy_id",
+        (F.col("_wins") * 100.0 / F.col("_n")).alias("win_rate"),
+        F.col("_n").alias("trades"),
+        F.when(F.col("_losses") > 1e-12, F.try_divide("_gains", "_losses")).otherwise(F.lit(NO_LOSS_FACTOR)).alias("profit_factor"),
+        (F.col("_total") / F.col("_n")).alias("avg_trade_return"),
+    )
+    return path_metrics(daily, outcomes, MIN_DAYS)
+
+
+def path_metrics(daily: DataFrame, outcomes: DataFrame, min_days: int) -> DataFrame:
+    """Metrics and fitness of the strategies in ``outcomes`` (win_rate, trades, profit_factor, avg_trade_return) over their (day, r)."""
     n, mean, std = F.col("days").cast("double"), F.col("_mean"), F.col("_std")
-    sums = daily.groupBy("strategy_id").agg(
-        F.count(F.lit(1)).alias("days"),
-        F.avg("r").alias("_mean"),
-        F.stddev_samp("r").alias("_std"),
-        *[F.sum(c).alias(f"_{c}") for c in SUMS],
+    moments = daily.groupBy("strategy_id").agg(
+        F.count(F.lit(1)).alias("days"), F.avg("r").alias("_mean"), F.stddev_samp("r").alias("_std")
     )
-    enough = sums.where((F.col("_n") >= MIN_TRADES) & (F.col("days") >= MIN_DAYS)).join(path_states(daily), "strategy_id")
+    enough = moments.where(F.col("days") >= min_days).join(outcomes, "strategy_id").join(path_states(daily), "strategy_id")
     years = F.greatest(n / YEAR_DAYS, F.lit(1.0 / YEAR_DAYS))
     return enough.select(
         "strategy_id",
         F.when(std > 1e-10, F.sqrt(F.lit(YEAR_DAYS)) * mean / std).otherwise(F.lit(0.0)).alias("sharpe"),
         (F.exp("path.fall") - 1.0).alias("max_drawdown"),
-        (F.col("_wins") * 100.0 / F.col("_n")).alias("win_rate"),
-        F.col("_n").alias("trades"),
+        "win_rate",
+        "trades",
         (F.exp(F.col("path.total") / years) - 1.0).alias("cagr"),
         (F.col("path.total") / years).alias("log_cagr"),
-        F.when(F.col("_losses") > 1e-12, F.try_divide("_gains", "_losses")).otherwise(F.lit(NO_LOSS_FACTOR)).alias("profit_factor"),
-        (F.col("_total") / F.col("_n")).alias("avg_trade_return"),
+        "profit_factor",
+        "avg_trade_return",
     ).withColumn("fitness", fitness())
 
 
@@ -235,15 +245,24 @@ def sweep_summary(strategies: DataFrame, gated: DataFrame) -> DataFrame:
 
 def leaderboard(strategies: DataFrame, metrics: DataFrame, keep: int = 30) -> DataFrame:
     """Best result per rounded parameter set, the ``keep`` best by Sharpe, ranked."""
-    keys = [(F.round(c, KEY_DIGITS[c]) if c in KEY_DIGITS else F.col(c)).alias(f"_k_{c}") for c in PARAMETERS]
+    return leaderboard_by(strategies, metrics, PARAMETERS, KEY_DIGITS, keep)
+
+
+def leaderboard_by(strategies: DataFrame, metrics: DataFrame, parameters: list[str], digits: dict[str, int], keep: int) -> DataFrame:
+    keys = [(F.round(c, digits[c]) if c in digits else F.col(c)).alias(f"_k_{c}") for c in parameters]
     joined = strategies.join(metrics, "strategy_id")
-    best = joined.groupBy(*keys).agg(F.max_by(F.struct(*joined.columns), F.struct("sharpe", -F.col("strategy_id"))).alias("row"))
-    order = [F.col("sharpe").desc(), F.col("fitness").desc(), F.col("strategy_id")]
+    best = joined.groupBy(*keys).agg(F.max_by(F.struct(*joined.columns), F.struct(_tied("sharpe"), -F.col("strategy_id"))).alias("row"))
+    order = [_tied("sharpe").desc(), _tied("fitness").desc(), F.col("strategy_id")]
     top = best.select("row.*").orderBy(*order).limit(keep)
     # at most ``keep`` rows from here on
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
+def _tied(metric: str) -> Column:
+    """The metric without the last bits, which the merge order of sums decides: equal results must tie."""
+    return F.rint(F.col(metric) * 1e9) / 1e9
+
+
 def leaderboard_payload(board: DataFrame) -> DataFrame:
     """One nested row: strategies[{rank, fitness, metrics{}, params{}}], rounded for display."""
     digits = dict.fromkeys(METRICS, 6) | {"win_rate": 4}

@@ -55,3 +55,19 @@ MODEL_SCHEMA = T.StructType(
 )
 
 STRATEGY_SCHEMA = "strategy_id long, signal string, low double, high double"
+
+RULE_FIELDS = [
+    ("rsi_period", "int"),
+    ("rsi_entry", "double"),
+    ("rsi_exit", "double"),
+    ("bb_period", "int"),
+    ("bb_std", "double"),
+    ("vol_period", "int"),
+    ("vol_ratio_min", "double"),
+    ("breakout_lookback", "int"),
+    ("trend_ma", "int"),
+    ("hold_days", "int"),
+    ("stop_loss", "double"),
+    ("take_profit", "double"),
+]
+RULE_SCHEMA = "strategy_id long, " + ", ".join(f"{name} {kind}" for name, kind in RULE_FIELDS)
