@@ -109,9 +109,8 @@ def typical_price(high: Column, low: Column, close: Column) -> Column:
 def cci(f: Frames, high: Column, low: Column, close: Column, n: int = 14) -> Column:
     """(tp - mean) / (0.015 * mean absolute deviation around that mean)."""
     tp = typical_price(high, low, close)
-    mean, window_values = f.rows(F.avg, tp, n), f.rows(F.collect_list, tp, n)
-    deviation = F.aggregate(window_values, F.lit(0.0), lambda acc, v: acc + F.abs(v - mean)) / F.lit(float(n))
-    return F.when(f.bar_number() >= n, ratio(tp - mean, F.lit(0.015) * deviation))
+    mean = f.mean(tp, n, dense=True)
+    return ratio(tp - mean, F.lit(0.015) * f.deviation(tp, mean, n))
 
 
 # --- volatility -------------------------------------------------------------

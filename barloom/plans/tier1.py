@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -45,9 +46,9 @@ class CandidateRules:
     allow_risk_off: bool = False
 
 
-def symbol_features(bars: DataFrame) -> DataFrame:
-    """Per-ticker features. Prices are adj_close; ranges and breakouts use raw high and low."""
-    f = Frames()
+def symbol_features(bars: DataFrame, only: Sequence[str] | None = None) -> DataFrame:
+    """Per-ticker features, or ``only`` some of them. Prices are adj_close; ranges and breakouts use raw high and low."""
+    f = Frames(batches=only is None)
     x, high, low, volume = (F.col(c) for c in ("adj_close", "high", "low", "volume"))
     log_return = F.ln(x) - f.lag(F.ln(x))
     sma20, sma60 = f.mean(x, 20, dense=True), f.mean(x, 60, dense=True)
@@ -77,7 +78,7 @@ def symbol_features(bars: DataFrame) -> DataFrame:
         "bb_width20": bands["bbb_20"] / F.lit(100.0),
         "bb_percent_b20": bands["bbp_20"],
     }
-    return f.select(bars, "*", *[c.alias(name) for name, c in columns.items()])
+    return f.select(bars, "*", *[c.alias(name) for name, c in columns.items() if only is None or name in only])
 
 
 def tier1_features(bars: DataFrame, history: int = 20) -> DataFrame:

@@ -323,7 +323,7 @@ def _score_sql(name: str = "prob_up_next_day") -> list[str]:
 
 def _train(t: Tables):
     columns = ["ticker", "date", "close", "high", "volume", *MODEL.features]
-    return tier1.symbol_features(t.bars).select(*columns)
+    return tier1.symbol_features(t.bars, MODEL.features).select(*columns)
 
 
 @QUERIES.add(

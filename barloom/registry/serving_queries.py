@@ -314,7 +314,7 @@ def market_board(t: Tables):
 
 
 def _latest_features(t: Tables):
-    features = tier1.symbol_features(t.bars).select("ticker", "date", "close", "ret_1d", "volume")
+    features = tier1.symbol_features(t.bars, ["ret_1d"]).select("ticker", "date", "close", "ret_1d", "volume")
     return latest_per_ticker(features)
 
 
