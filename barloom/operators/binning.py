@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.numeric import clamp, finite
-from barloom.operators.quantiles import edge_table, edges_passed, exact_quantiles
+from barloom.operators.quantiles import add_edges_passed, edge_table, exact_quantiles
 
 # Limits of a bin probability, fewest rows and edges for a fit.
 PROB_FLOOR, PROB_CEIL = 1e-4, 1 - 1e-4
@@ -139,9 +139,9 @@ def fit_mappers(
     # a row's pairs are exploded and counted inside the task
     y = F.col(label).cast("double").alias("y")
     pairs = [F.when(groups[g] & known(c), F.struct(F.lit(i).alias("i"), finite(F.col(c)).alias("x"), y)) for i, (g, c) in enumerate(inner)]
-    long = df.select(F.explode(F.array_compact(F.array(*pairs))).alias("s")).select("s.*")
+    long = df.select(F.explode(F.array(*pairs)).alias("s")).where("s IS NOT NULL").select("s.*")
     edges = F.get(edge_table(list(inner.values())), F.col("i"))
-    binned = long.select("i", edges_passed(F.col("x"), edges, max(map(len, inner.values()))).alias("bin"), "y")
+    binned = add_edges_passed(long, {"bin": (F.col("x"), edges)}, max(map(len, inner.values())))
     counts = binned.groupBy("i", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("up")).collect()
     seen = {(r.i, r.bin): (r.n, r.up) for r in counts}
     for i, ((g, c), edges) in enumerate(inner.items()):

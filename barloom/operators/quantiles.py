@@ -30,13 +30,20 @@ GRID = 2_000
 Key = tuple[Hashable, str]
 
 
-def edges_passed(x: Column, edges: Column, most: int) -> Column:
-    """Number of the sorted ``edges`` (an array of at most ``most``) that are <= x, by halving steps; 0 for null edges.
+def add_edges_passed(df: DataFrame, places: dict[str, tuple[Column, Column]], most: int, *, below: bool = False) -> DataFrame:
+    """``df`` with, under each name of ``places`` (x, edges), the number of its sorted edges that are <= x, or < x; 0 for null edges.
 
-    For edges that differ from row to row, or sets of them too many for a tree each.
+    For edges (an array of at most ``most``) that differ from row to row, or sets of them too many for a tree each. Each halving
+    step is a projection of the one before, so that all steps stay in generated code; a function folded over an array would not.
     """
-    steps = F.expr(f"array({','.join(str(1 << bit) for bit in reversed(range(most.bit_length())))})")
-    return F.aggregate(steps, F.lit(0), lambda a, step: F.when(F.get(edges, a + step - 1) <= x, a + step).otherwise(a))
+    df = df.withColumns({name: F.lit(0) for name in places})
+    for step in (1 << bit for bit in reversed(range(most.bit_length()))):
+        passed = {}
+        for name, (x, edges) in places.items():
+            edge = F.get(edges, F.col(name) + (step - 1))
+            passed[name] = F.when(edge < x if below else edge <= x, F.col(name) + step).otherwise(F.col(name))
+        df = df.withColumns(passed)
+    return df
 
 
 def even_steps(n: int) -> Column:
@@ -141,7 +148,7 @@ def _refine(
     pairs = F.array(*[F.struct(F.lit(at).alias("c"), F.col(f"x{i}").alias("x")) for at, (i, _) in enumerate(used)])
     long = kinds.select("kind", F.explode(pairs).alias("s")).select("kind", "s.c", "s.x").where("x IS NOT NULL")
     table = edge_table([[e for e in ends[c] if math.isfinite(e)] for _, c in used])
-    slots = long.withColumn("slot", edges_passed(F.col("x"), F.get(table, F.col("c")), max(map(len, ends.values()))))
+    slots = add_edges_passed(long, {"slot": (F.col("x"), F.get(table, F.col("c")))}, max(map(len, ends.values())))
     # slot s lies before finite end number s; only values inside a bracket are told apart
     told = [_told(ends[c], [pair for k, pairs in brackets.items() if k[1] == c for pair in pairs]) for _, c in used]
     is_told = F.get(F.get(F.expr(f"array({','.join('array(' + ','.join(str(t).lower() for t in own) + ')' for own in told)})"), F.col("c")), F.col("slot"))

@@ -19,7 +19,7 @@ import itertools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.operators.quantiles import even_steps
+from barloom.operators.quantiles import add_edges_passed, even_steps
 from barloom.session import materialize, staged
 
 SLOT_ROWS = 1_000_000  # rows that one slot is meant to hold
@@ -44,16 +44,15 @@ def _borders(df: DataFrame, keys: list[str], values: list[str], slot_rows: int)
     return staged(summaries.withColumn("_step", step).select(*keys, *thinned))
 
 
-def _slot(value: Column, borders: Column) -> Column:
-    """2a above a borders, 2a + 1 on border number a; a is found by halving steps."""
-    steps = F.array(*[F.lit(1 << bit) for bit in reversed(range(MAX_BORDERS.bit_length()))])
-    below = F.aggregate(
-        steps,
-        F.lit(0),
-        lambda a, step: F.when(F.get(borders, a + step - 1) < value, a + step).otherwise(a),
-    )
-    on_border = F.coalesce(F.get(borders, below) == value, F.lit(False))
-    return F.when(value.isNotNull(), 2 * below + on_border.cast("int"))
+def _add_slots(df: DataFrame, borders: dict[str, Column]) -> DataFrame:
+    """``df`` with _slot<value> for each value column: 2a above a borders, 2a + 1 on border number a."""
+    df = add_edges_passed(df, {f"_slot{v}": (F.col(v), own) for v, own in borders.items()}, MAX_BORDERS, below=True)
+    slots = {}
+    for v, own in borders.items():
+        passed = F.col(f"_slot{v}")
+        on_border = F.coalesce(F.get(own, passed) == F.col(v), F.lit(False))
+        slots[f"_slot{v}"] = F.when(F.col(v).isNotNull(), 2 * passed + on_border.cast("int"))
+    return df.withColumns(slots)
 
 
 def _ladders(df: DataFrame, keys: list[str], values: list[str], slot_rows: int) -> DataFrame:
@@ -63,8 +62,8 @@ def _ladders(df: DataFrame, keys: list[str], values: list[str], slot_rows: int)
     """
     borders = _borders(df, keys, values, slot_rows)
     cut = [F.col(v).alias(f"_b{i}") for i, v in enumerate(values)]
-    placed = df.join(borders.select(*keys, *cut), keys)
-    items = [F.struct(F.lit(i).alias("i"), _slot(F.col(v), F.col(f"_b{i}")).alias("slot")) for i, v in enumerate(values)]
+    placed = _add_slots(df.join(borders.select(*keys, *cut), keys), {v: F.col(f"_b{i}") for i, v in enumerate(values)})
+    items = [F.struct(F.lit(i).alias("i"), F.col(f"_slot{v}").alias("slot")) for i, v in enumerate(values)]
     counts = (
         placed.select(*keys, F.explode(F.array(*items)).alias("_s"))
         .where("_s.slot IS NOT NULL")
@@ -132,8 +131,7 @@ def _rank_whole(df: DataFrame, keys: list[str], values: dict[str, str]) -> DataF
 
 def _rank_slots(df: DataFrame, keys: list[str], values: dict[str, str]) -> DataFrame:
     # the numbers taken from the ladder travel with a row, the ladder itself stays behind
-    for value in values.values():
-        df = df.withColumn(f"_slot{value}", _slot(F.col(value), F.col("_ladder")[value]["borders"]))
+    df = _add_slots(df, {value: F.col("_ladder")[value]["borders"] for value in values.values()})
     df = df.withColumns(
         {f"_rung{value}": F.get(F.col("_ladder")[value]["slots"], F.col(f"_slot{value}")) for value in values.values()}
         | {f"_size{value}": F.col("_ladder")[value]["size"] for value in values.values()}

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.numeric import change, clamp, finite
-from barloom.operators.quantiles import edges_passed
+from barloom.operators.quantiles import add_edges_passed
 from barloom.session import staged
 
 # Fixed values of the evaluation.
@@ -79,7 +79,8 @@ def bucket_days(held: DataFrame, strategies: DataFrame) -> DataFrame:
     """(signal, bucket, day) with count and sums of the returns; bucket b holds the values at or above b of the edges."""
     rows = _by_signal(held, "day", "r").join(_edges(strategies), "signal")
     r = F.col("r")
-    return rows.groupBy("signal", edges_passed(F.col("x"), F.col("edges"), MOST_EDGES).alias("bucket"), "day").agg(
+    rows = add_edges_passed(rows, {"bucket": (F.col("x"), F.col("edges"))}, MOST_EDGES)
+    return rows.groupBy("signal", "bucket", "day").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("r").alias("total"),
         F.count_if(r > 0).alias("wins"),
@@ -90,8 +91,8 @@ def bucket_days(held: DataFrame, strategies: DataFrame) -> DataFrame:
 
 def strategy_days(held: DataFrame, strategies: DataFrame) -> DataFrame:
     """(strategy_id, day): r, the mean over the holdings of the day, and their count and sums. Days without holdings have no row."""
-    place = [edges_passed(F.col(c), F.col("edges"), MOST_EDGES).alias(f"_{c}") for c in ("low", "high")]
-    ranges = strategies.join(_edges(strategies), "signal").where("low < high").select("strategy_id", "signal", *place)
+    ranges = strategies.join(_edges(strategies), "signal").where("low < high")
+    ranges = add_edges_passed(ranges, {f"_{c}": (F.col(c), F.col("edges")) for c in ("low", "high")}, MOST_EDGES)
     covered = ranges.select("strategy_id", "signal", F.explode(F.sequence("_low", F.col("_high") - 1)).alias("bucket"))
     days = covered.join(bucket_days(held, strategies), ["signal", "bucket"]).groupBy("strategy_id", "day")
     return days.agg(*[F.sum(c).alias(c) for c in SUMS]).withColumn("r", F.col("total") / F.col("n"))

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.operators.binning import PROB_CEIL, PROB_FLOOR, Totals, fit_mappers, known
-from barloom.operators.quantiles import edge_table, edges_passed
+from barloom.operators.quantiles import add_edges_passed, edge_table
 from barloom.operators.scoring import CANDIDATE_BLOCK, candidate_metrics
 from barloom.operators.series import next_day_labels
 from barloom.session import staged
@@ -157,13 +157,12 @@ class WalkForward:
             F.when((F.col("date") > F.lit(f.train_end)) & (F.col("date") <= F.lit(f.val_end)), F.lit(i)) for i, f in enumerate(self.folds)
         ]
         placed = self.rows.select(
-            F.explode(F.array_compact(F.array(*parts))).alias("fold"), F.col("target_up").cast("double").alias("y"), *self.features
-        )
-        bins = []
-        for c in self.features:
-            inner = [self.mappers[f.fold][c].inner for f in self.folds]
-            passed = edges_passed(F.col(c), F.get(edge_table(inner), F.col("fold")), max(1, *map(len, inner)))
-            bins.append(F.when(known(c), passed).otherwise(-1))
+            F.explode(F.array(*parts)).alias("fold"), F.col("target_up").cast("double").alias("y"), *self.features
+        ).where("fold IS NOT NULL")
+        inner = {c: [self.mappers[f.fold][c].inner for f in self.folds] for c in self.features}
+        places = {f"_bin{i}": (F.col(c), F.get(edge_table(own), F.col("fold"))) for i, (c, own) in enumerate(inner.items())}
+        placed = add_edges_passed(placed, places, max(len(edges) for own in inner.values() for edges in own))
+        bins = [F.when(known(c), F.col(f"_bin{i}")).otherwise(-1) for i, c in enumerate(self.features)]
         return placed.groupBy("fold", F.array(*bins).alias("bins")).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("up"))
 
     def fold_metrics(self, candidates: DataFrame, block: int = CANDIDATE_BLOCK) -> DataFrame:

@@ -102,3 +102,23 @@ def test_top_per_group_limits_before_the_shuffle(spark):
     top = ranking.top_per_group(df, ["g"], [F.col("x").desc(), F.col("id")], 3)
     assert top.groupBy("g").count().agg(F.max("count")).first()[0] == 3
     assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("below", [False, True])
+def test_edges_are_counted_in_generated_code(spark, below):
+    edges = [[], [0.5], [0.0, 0.0, 1.0, 2.0, 5.0]]
+    rows = [(i, x) for i in (0, 1, 2, 3, None) for x in (-1.0, 0.0, 0.5, 1.0, 3.0, 5.0, 9.0, None)]
+    df = spark.createDataFrame(rows, "i int, x double")
+    table = F.get(quantiles.edge_table(edges), F.col("i"))
+    out = quantiles.add_edges_passed(df, {"n": (F.col("x"), table)}, 5, below=below)
+    assert "lambdafunction" not in out._jdf.queryExecution().executedPlan().toString()
+    side = "left" if below else "right"
+    for row in out.collect():
+        known = row.i in (1, 2) and row.x is not None
+        assert row.n == (np.searchsorted(edges[row.i], row.x, side=side) if known else 0)
+
+
+def test_bins_and_slots_need_no_lambda(spark):
+    df = spark.range(4000).select((F.col("id") % 3).alias("k"), (F.col("id") % 97).cast("double").alias("x"))
+    out = ranking.percent_ranks(df, ["k"], {"p": "x"}, nulls="keep", slot_rows=100)
+    assert "lambdafunction" not in out._jdf.queryExecution().optimizedPlan().toString()
