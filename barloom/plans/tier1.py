@@ -31,6 +31,12 @@ NEEDED = [
 ]
 
 
+# what the context, the score and the candidate filter read
+CANDIDATE_FEATURES = [
+    "ret_1d", "ret_5d", "ret_20d", "sma20", "sma60", "natr14", "rvol20", "dollar_volume", "breakout_dist_20", "bb_width20",
+]
+
+
 @dataclass(frozen=True)
 class CandidateRules:
     """Thresholds of the candidate filter (defaults are fixed values)."""
@@ -46,9 +52,12 @@ class CandidateRules:
     allow_risk_off: bool = False
 
 
-def symbol_features(bars: DataFrame, only: Sequence[str] | None = None) -> DataFrame:
-    """Per-ticker features, or ``only`` some of them. Prices are adj_close; ranges and breakouts use raw high and low."""
-    f = Frames(batches=only is None)
+def symbol_features(bars: DataFrame, only: Sequence[str] | None = None, *, batches: bool | None = None) -> DataFrame:
+    """Per-ticker features, or ``only`` some of them. Prices are adj_close; ranges and breakouts use raw high and low.
+
+    Long frames are rolled in Arrow ``batches`` unless only some features are asked for, or as the caller says.
+    """
+    f = Frames(batches=only is None if batches is None else batches)
     x, high, low, volume = (F.col(c) for c in ("adj_close", "high", "low", "volume"))
     log_return = F.ln(x) - f.lag(F.ln(x))
     sma20, sma60 = f.mean(x, 20, dense=True), f.mean(x, 60, dense=True)
@@ -81,12 +90,12 @@ def symbol_features(bars: DataFrame, only: Sequence[str] | None = None) -> DataF
     return f.select(bars, "*", *[c.alias(name) for name, c in columns.items() if only is None or name in only])
 
 
-def tier1_features(bars: DataFrame, history: int = 20) -> DataFrame:
-    """Features of every ticker with at least ``history`` bars, with context and composite score.
+def tier1_features(bars: DataFrame, history: int = 20, only: Sequence[str] | None = None) -> DataFrame:
+    """Features (all, or ``only`` some that include what the score reads) of every ticker with at least ``history`` bars, with context and composite score.
 
     The features are written once; the statistics of the dates scan a few of their columns.
     """
-    features = staged(symbol_features(min_history(bars, history)))
+    features = staged(symbol_features(min_history(bars, history), only, batches=True))
     scored = add_date_context(features, Z_COLUMNS)
     # the last bits of a mean depend on merge order: drop them, so that ties and
     # ranks come out the same on every run

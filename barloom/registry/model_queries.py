@@ -582,7 +582,8 @@ SCORE_COLUMNS = "momentum_pct breakout_pct volume_pct volatility_pct composite_p
 
 
 def _scores(t: Tables):
-    candidates = tier1.buy_candidates(tier1.tier1_features(t.bars), RULES, per_date=True)
+    features = tier1.tier1_features(t.bars, only=tier1.CANDIDATE_FEATURES)
+    candidates = tier1.buy_candidates(features, RULES, per_date=True)
     columns = ["candidate_rank", "ticker", "date", *CAND_COLUMNS]
     return variance.variance_scores(staged(candidates.select(*columns)))
 

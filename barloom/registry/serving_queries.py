@@ -233,7 +233,8 @@ csum AS (SELECT CAST(row_number() OVER (ORDER BY candidate_rank, tier1_composite
 
 def _snapshot(t: Tables):
     """Newest candidate row of each ticker, as a snapshot would hold it."""
-    candidates = tier1.buy_candidates(tier1.tier1_features(t.bars), RULES, per_date=True)
+    features = tier1.tier1_features(t.bars, only=tier1.CANDIDATE_FEATURES)
+    candidates = tier1.buy_candidates(features, RULES, per_date=True)
     return staged(latest_per_ticker(candidates).select("candidate_rank", "ticker", "date", *CAND_COLUMNS))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.numeric import band_score, decimal4, half_up_at, to_number
 from barloom.operators.binning import Mapper, Model, fit_mappers, mapped_probability
-from barloom.plans import daily_top, next_day, variance, walk_forward
+from barloom.plans import daily_top, next_day, tier1, variance, walk_forward
 
 
 def labelled(spark, n=3000, seed=1):
@@ -207,3 +207,15 @@ def test_signal_score_by_hand(spark):
     assert a.probability_next_up == pytest.approx(28 + 0.72 * a.score, abs=0.005)
     assert a.reason.split(",")[0] == "close>sma20" and a.reason.endswith("overheated_1d")
     assert (b.score, b.probability_next_up, b.reason) == (0.0, 28.0, "")
+
+
+def test_candidate_features_are_all_that_the_score_and_the_filter_read(make_bars):
+    rng = np.random.default_rng(4)
+    bars = make_bars({t: [float(c) for c in 100 * np.exp(np.cumsum(rng.normal(0, 0.03, 90)))] for t in "ABC"})
+    rules = tier1.CandidateRules(0.0, 9.0, 0.0, 99.0, -9.0, -9.0, 9.0, -9.0, True)
+    whole = tier1.tier1_features(bars)
+    some = tier1.tier1_features(bars, only=tier1.CANDIDATE_FEATURES)
+    assert "realized_vol20" in whole.columns and "realized_vol20" not in some.columns
+    shown = ["ticker", "date", "tier1_composite_score", "candidate_rank"]
+    a, b = (sorted(tuple(r) for r in tier1.buy_candidates(f, rules, per_date=True).select(*shown).collect()) for f in (whole, some))
+    assert a and a == b
