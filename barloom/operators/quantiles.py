@@ -30,11 +30,21 @@ GRID = 2_000
 Key = tuple[Hashable, str]
 
 
+def edges_passed(x: Column, edges: Column, most: int) -> Column:
+    """Number of the sorted ``edges`` (an array of at most ``most``) that are <= x, by halving steps; 0 for null edges.
+
+    For a number that a filter or a join reads: Spark would push that below the steps of ``add_edges_passed``, and double them there.
+    """
+    steps = F.expr(f"array({','.join(str(1 << bit) for bit in reversed(range(most.bit_length())))})")
+    return F.aggregate(steps, F.lit(0), lambda a, step: F.when(F.get(edges, a + step - 1) <= x, a + step).otherwise(a))
+
+
 def add_edges_passed(df: DataFrame, places: dict[str, tuple[Column, Column]], most: int, *, below: bool = False) -> DataFrame:
     """``df`` with, under each name of ``places`` (x, edges), the number of its sorted edges that are <= x, or < x; 0 for null edges.
 
     For edges (an array of at most ``most``) that differ from row to row, or sets of them too many for a tree each. Each halving
     step is a projection of the one before, so that all steps stay in generated code; a function folded over an array would not.
+    Nothing may filter by the numbers, nor join by them, before they are aggregated or written.
     """
     df = df.withColumns({name: F.lit(0) for name in places})
     for step in (1 << bit for bit in reversed(range(most.bit_length()))):
