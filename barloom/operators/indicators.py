@@ -170,9 +170,9 @@ def vwma(f: Frames, close: Column, volume: Column, n: int = 20) -> Column:
 # --- the whole window half of the indicator set -----------------------------
 
 
-def window_indicators(bars: DataFrame) -> DataFrame:
-    """Bars plus every indicator of the set that needs no recurrence."""
-    f = Frames()
+def window_indicators(bars: DataFrame, *, batches: bool = False, only: list[str] | None = None) -> DataFrame:
+    """Bars plus every indicator of the set that needs no recurrence, or those of them that ``only`` names."""
+    f = Frames(batches=batches)
     o = {c: F.col(c) for c in ("high", "low", "close", "volume")}
     hlc = (o["high"], o["low"], o["close"])
     columns = {
@@ -190,4 +190,4 @@ def window_indicators(bars: DataFrame) -> DataFrame:
         "cmf_20": chaikin_money_flow(f, *hlc, o["volume"]),
         "vwma_20": vwma(f, o["close"], o["volume"]),
     }
-    return f.select(bars, "*", *[c.alias(name) for name, c in columns.items()])
+    return f.select(bars, "*", *[c.alias(name) for name, c in columns.items() if only is None or name in only])

@@ -6,20 +6,30 @@ and the parabolic stop. All recurrences asked for share one walk. The array is
 walked in blocks, so that appending a row's state copies a block at most; the
 state goes on from block to block. Rows keep their order of operations, so the
 results do not depend on blocks or partitions to the last bit.
+
+The arrays are walked by interpreted lambdas, which is slow on long tables. With
+``batches`` the same steps, in the same order of operations, are taken by Arrow
+batches of whole series, all series of a batch at once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barloom.functions.frames import series
 from barloom.functions.numeric import ratio
+from barloom.functions.rolling import OUT_ROWS, whole_series
 
 BLOCK = 64
+WALK_ROWS = 200_000  # rows that a task gathers before it walks them
+BAR = "_bar"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -31,6 +41,72 @@ def none(kind: str) -> Column:
     return F.lit(None).cast(kind)
 
 
+# --- values of many series at one bar ----------------------------------------------
+
+
+class Known:
+    """Numbers and whether each is known; arithmetic with an unknown one is unknown. Order and ties are Spark's: NaN is the largest."""
+
+    __slots__ = ("v", "k")
+
+    def __init__(self, v: np.ndarray, k: np.ndarray):
+        self.v, self.k = v, k
+
+    def __add__(self, other: "Known") -> "Known":
+        return Known(self.v + other.v, self.k & other.k)
+
+    def __sub__(self, other: "Known") -> "Known":
+        return Known(self.v - other.v, self.k & other.k)
+
+    def __mul__(self, other: "Known | float") -> "Known":
+        return Known(self.v * other.v, self.k & other.k) if isinstance(other, Known) else Known(self.v * other, self.k)
+
+    def __abs__(self) -> "Known":
+        return Known(np.abs(self.v), self.k)
+
+    def over(self, other: "Known") -> "Known":
+        """The quotient; unknown for a zero divisor."""
+        return Known(self.v / other.v, self.k & other.k & (other.v != 0.0))
+
+    def above(self, other: "Known") -> np.ndarray:
+        """Known to be greater."""
+        return self.k & other.k & ((self.v > other.v) | (np.isnan(self.v) & ~np.isnan(other.v)))
+
+    def first(self, n: int) -> "Known":
+        return Known(self.v[:n], self.k[:n])
+
+    def set(self, value: "Known") -> None:
+        """The first series take new values."""
+        self.v[: len(value.v)], self.k[: len(value.v)] = value.v, value.k
+
+
+def either(which: np.ndarray, a: Known, b: Known) -> Known:
+    return Known(np.where(which, a.v, b.v), np.where(which, a.k, b.k))
+
+
+def least(*values: Known) -> Known:
+    """The smallest known one."""
+    out = values[0]
+    for x in values[1:]:
+        out = either(x.k & (~out.k | out.above(x)), x, out)
+    return out
+
+
+def greatest(*values: Known) -> Known:
+    out = values[0]
+    for x in values[1:]:
+        out = either(x.k & (~out.k | x.above(out)), x, out)
+    return out
+
+
+def nothing(n: int) -> Known:
+    return Known(np.zeros(n), np.zeros(n, bool))
+
+
+def always(value: float, n: int) -> Known:
+    return Known(np.full(n, value), np.ones(n, bool))
+
+
 # --- recurrences ----------------------------------------------------------------
 
 
@@ -42,6 +118,7 @@ class Mean:
     alpha: float
 
     kind = "struct<y:double,seen:int,total:double>"
+    shown = ("y",)
 
     def start(self) -> Column:
         return F.struct(none("double").alias("y"), F.lit(0).alias("seen"), F.lit(0.0).alias("total"))
@@ -55,6 +132,27 @@ class Mean:
         counted = state(F.when(more == self.n, total / float(self.n)), more, total)
         return F.when(s["seen"] >= self.n, started).when(x.isNull(), s).otherwise(counted)
 
+    def begin(self, n: int) -> dict:
+        return {"y": nothing(n), "seen": np.zeros(n, np.int64), "total": np.zeros(n)}
+
+    def advance(self, s: dict, x: Known) -> dict:
+        """``step`` for the first series of the state, as many as ``x`` has."""
+        n = len(x.v)
+        y, seen, total = s["y"].first(n), s["seen"][:n], s["total"][:n]
+        started = seen >= self.n
+        counted = x.k & ~started
+        if started.all():
+            y = y * (1.0 - self.alpha) + x * self.alpha
+        elif counted.any():
+            seen[counted] += 1
+            total[counted] += x.v[counted]
+            full = counted & (seen == self.n)
+            y = either(started, y * (1.0 - self.alpha) + x * self.alpha, either(counted, Known(total / float(self.n), full), y))
+        else:
+            y = either(started, y * (1.0 - self.alpha) + x * self.alpha, y)
+        s["y"].set(y)
+        return {"y": y}
+
 
 @dataclass(frozen=True)
 class GappedMean:
@@ -69,6 +167,7 @@ class GappedMean:
     adjust: bool = False
 
     kind = "struct<y:double,seen:int,total:double,weight:double>"
+    shown = ("y",)
 
     def start(self) -> Column:
         return F.struct(none("double").alias("y"), F.lit(0).alias("seen"), F.lit(0.0).alias("total"), F.lit(1.0).alias("weight"))
@@ -83,6 +182,23 @@ class GappedMean:
         grown = F.when(seen > self.n, faded + 1.0).otherwise(1.0) if self.adjust else F.lit(1.0)
         return F.struct(y.alias("y"), seen.alias("seen"), total.alias("total"), F.when(known, grown).otherwise(faded).alias("weight"))
 
+    def begin(self, n: int) -> dict:
+        return {"y": nothing(n), "seen": np.zeros(n, np.int64), "total": np.zeros(n), "weight": np.ones(n)}
+
+    def advance(self, s: dict, x: Known) -> dict:
+        n = len(x.v)
+        y, seen, total, weight = s["y"].first(n), s["seen"][:n], s["total"][:n], s["weight"][:n]
+        summed = x.k & (seen < self.n)
+        total[summed] += x.v[summed]
+        seen += x.k
+        faded, fresh = weight * (1.0 - self.alpha), 1.0 if self.adjust else self.alpha
+        moved = Known((faded * y.v + fresh * x.v) / (faded + fresh), y.k)
+        y = either(~x.k, y, either(seen > self.n, moved, Known(total / float(self.n), seen == self.n)))
+        grown = np.where(seen > self.n, faded + 1.0, 1.0) if self.adjust else 1.0
+        weight[:] = np.where(x.k, grown, faded)
+        s["y"].set(y)
+        return {"y": y}
+
 
 def ema(n: int) -> Mean:
     return Mean(n, 2.0 / (n + 1.0))
@@ -106,6 +222,7 @@ class Stop:
     limit: float = 0.2
 
     kind = "struct<stop:double,extreme:double,accel:double,up:boolean,flipped:double>"
+    shown = ("stop", "accel", "up", "flipped")
 
     def start(self) -> Column:
         fields = {"stop": "double", "extreme": "double", "accel": "double", "up": "boolean", "flipped": "double"}
@@ -134,6 +251,42 @@ class Stop:
         held = F.when(s["up"], F.least(moved, row["_low"], row["_low2"])).otherwise(F.greatest(moved, row["_high"], row["_high2"]))
         return F.when(row["_high"].isNull(), s).when(s["up"].isNull(), second).otherwise(let(held, later))
 
+    def begin(self, n: int) -> dict:
+        return {name: nothing(n) for name in ("stop", "extreme", "accel", "up", "flipped")}
+
+    def advance(self, s: dict, row: dict[str, Known]) -> dict:
+        """``up`` and ``flipped`` are 0 or 1."""
+        high, low, high1, low1 = (row[c] for c in ("high", "low", "_high", "_low"))
+        n = len(high.v)
+        was = {name: x.first(n) for name, x in s.items()}
+        up, extreme = was["up"].v > 0, was["extreme"]
+        step, none, one = always(self.accel, n), always(0.0, n), always(1.0, n)
+        moved = was["stop"] + was["accel"] * (extreme - was["stop"])
+        stop = either(up, least(moved, low1, row["_low2"]), greatest(moved, high1, row["_high2"]))
+        touched = np.where(up, stop.above(low), high.above(stop))
+        # an unknown comparison takes the low
+        told = stop.k & np.where(up, low.k, high.k)
+        point = either(told & (up != touched), high, low)
+        further = np.where(up, point.above(extreme), extreme.above(point))
+        turned = {"stop": extreme, "extreme": point, "accel": step, "up": Known((~up).astype(float), was["up"].k), "flipped": one}
+        went = {"stop": stop, "extreme": point, "accel": least(was["accel"] + step, always(self.limit, n)), "up": was["up"], "flipped": none}
+        stayed = {"stop": stop, "extreme": extreme, "accel": was["accel"], "up": was["up"], "flipped": none}
+        out = {name: either(touched, turned[name], either(further, went[name], stayed[name])) for name in s}
+        if not was["up"].k.all():
+            gain, loss = high - high1, low1 - low
+            known = gain.k & loss.k
+            rises = known & ~loss.above(gain)
+            second = {
+                "stop": either(rises, low1, high1), "extreme": either(rises, high, low), "accel": step,
+                "up": Known(rises.astype(float), known), "flipped": none,
+            }
+            out = {name: either(was["up"].k, out[name], second[name]) for name in s}
+        if not high1.k.all():
+            out = {name: either(high1.k, out[name], was[name]) for name in s}
+        for name, x in out.items():
+            s[name].set(x)
+        return out
+
 
 Recurrence = Mean | GappedMean | Stop
 # the input of a recurrence, from the row and the new states of earlier stages
@@ -142,7 +295,7 @@ Input = Callable[[Column, Column], Column]
 
 @dataclass(frozen=True)
 class Family:
-    """Recurrences in two stages (the second sees the new states of the first), and what they give."""
+    """Recurrences in two stages (the second sees the new states of the first), and what they give. Inputs take columns or ``Known`` values."""
 
     first: dict[str, tuple[Recurrence, Input]]
     second: dict[str, tuple[Recurrence, Input]]
@@ -157,6 +310,14 @@ def _y(name: str) -> Callable[[Column], Column]:
     return lambda s: s[name]["y"]
 
 
+def _over(a, b):
+    return a.over(b) if isinstance(a, Known) else ratio(a, b)
+
+
+def _size(x):
+    return abs(x) if isinstance(x, Known) else F.abs(x)
+
+
 def _macd(mean: Callable[[int], Recurrence]) -> Family:
     def line(s: Column) -> Column:
         return s["fast"]["y"] - s["slow"]["y"]
@@ -170,13 +331,13 @@ def _macd(mean: Callable[[int], Recurrence]) -> Family:
 
 def _directional(n: int = 14) -> Family:
     def along(side: str) -> Callable[[Column], Column]:
-        return lambda s: ratio(s[side]["y"], s["base"]["y"]) * 100.0
+        return lambda s: _over(s[side]["y"], s["base"]["y"]) * 100.0
 
     plus, minus = along("plus"), along("minus")
 
     def spread(row: Column, new: Column) -> Column:
         # there is no direction while both are zero
-        return ratio(F.abs(plus(new) - minus(new)), plus(new) + minus(new)) * 100.0
+        return _over(_size(plus(new) - minus(new)), plus(new) + minus(new)) * 100.0
 
     return Family(
         {"base": (wilder(n), _column("_tr2")), "plus": (wilder(n), _column("_plus")), "minus": (wilder(n), _column("_minus"))},
@@ -309,8 +470,95 @@ class _View:
         return self.state[f"{self.family}_{name}"]
 
 
-def recursive_indicators(bars: DataFrame, families: list[str] | None = None) -> DataFrame:
+# --- the walk in batches ----------------------------------------------------------
+
+
+class _Steps:
+    """Rows of whole series, put in order of their bar number: those of one bar side by side, longest series first."""
+
+    def __init__(self, bar: np.ndarray):
+        first = np.flatnonzero(bar == 0)
+        size = np.diff(np.append(first, len(bar)))
+        rank = np.empty(len(first), np.int64)
+        rank[np.argsort(-size, kind="stable")] = np.arange(len(first))
+        # series with a bar of the number
+        self.alive = len(first) - np.cumsum(np.bincount(size))[:-1]
+        self.begins = np.append(0, np.cumsum(self.alive))
+        self.place = self.begins[bar] + np.repeat(rank, size)
+        self.series = len(first)
+
+    def given(self, column: pa.ChunkedArray) -> Known:
+        x = column.combine_chunks()
+        out = Known(np.empty(len(x)), np.empty(len(x), bool))
+        out.v[self.place] = x.fill_null(0.0).to_numpy(zero_copy_only=False)
+        out.k[self.place] = x.is_valid().to_numpy(zero_copy_only=False)
+        return out
+
+
+def _advanced(steps: _Steps, columns: dict[str, Known], families: dict[str, Family]) -> dict[str, Known]:
+    """The shown states of every row, in the order of the steps."""
+    plan = [(f, name, r, given) for f, family in families.items() for part in (family.first, family.second) for name, (r, given) in part.items()]
+    states = {(f, name): r.begin(steps.series) for f, name, r, _ in plan}
+    rows = len(steps.place)
+    out = {(f, name, shown): nothing(rows) for f, name, r, _ in plan for shown in r.shown}
+    with np.errstate(all="ignore"):
+        for low, n in zip(steps.begins.tolist(), steps.alive.tolist()):
+            at = slice(low, low + n)
+            row = {c: Known(x.v[at], x.k[at]) for c, x in columns.items()}
+            new: dict[str, dict] = {f: {} for f in families}
+            for f, name, r, given in plan:
+                new[f][name] = r.advance(states[f, name], given(row, new[f]))
+                for shown in r.shown:
+                    y, to = new[f][name][shown], out[f, name, shown]
+                    to.v[at], to.k[at] = y.v, y.k
+    return {f"{f}_{name}_{shown}": x for (f, name, shown), x in out.items()}
+
+
+def walk_inputs(bars: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The rows, numbered from 1, with what ``walked_in_batches`` reads; and the names of the added columns."""
+    df, hidden = _inputs(bars)
+    return df.withColumn(BAR, F.row_number().over(series())), [*hidden, BAR]
+
+
+def walked_in_batches(df: DataFrame, hidden: list[str], families: list[str] | None = None) -> DataFrame:
+    """``recursive_indicators`` over the rows of ``walk_inputs`` and whatever columns they carry; partitions hold whole series in order."""
+    chosen = {name: FAMILIES[name] for name in (FAMILIES if families is None else families)}
+    own = [c for c in df.columns if c not in hidden]
+    read = ["high", "low", "close", *[c for c in hidden if c != BAR]]
+    shown = {f"{f}_{name}_{x}": f"_{f}_{name}_{x}" for f, family in chosen.items() for name, (r, _) in (family.first | family.second).items() for x in r.shown}
+    kinds = {name: T.BooleanType() if name.endswith("_up") else T.DoubleType() for name in shown}
+    out_type = T.StructType([*df.select(own).schema.fields, *[T.StructField(shown[name], kind) for name, kind in kinds.items()]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, bar in whole_series(batches, BAR, WALK_ROWS):
+            steps = _Steps(bar)
+            states = _advanced(steps, {c: steps.given(table[c].cast(pa.float64())) for c in read}, chosen)
+            out = table.select(own)
+            for name, x in states.items():
+                values = pa.array(x.v[steps.place], pa.float64(), mask=~x.k[steps.place])
+                out = out.append_column(shown[name], values.cast(pa.bool_()) if name.endswith("_up") else values)
+            yield from out.to_batches(max_chunksize=OUT_ROWS)
+
+    walked = df.mapInArrow(run, out_type)
+    outputs = [given(_Shown(f)).alias(name) for f, family in chosen.items() for name, given in family.outputs.items()]
+    return walked.select(*own, *outputs)
+
+
+class _Shown:
+    """The shown states of one family, as columns."""
+
+    def __init__(self, at: str):
+        self.at = at
+
+    def __getitem__(self, name: str) -> "_Shown | Column":
+        inner = f"{self.at}_{name}"
+        return _Shown(inner) if self.at in FAMILIES else F.col(f"_{inner}")
+
+
+def recursive_indicators(bars: DataFrame, families: list[str] | None = None, *, batches: bool = False) -> DataFrame:
     """Bars (and whatever columns they carry) plus the chosen recurrences, in one walk."""
+    if batches:
+        return walked_in_batches(*walk_inputs(bars), families)
     chosen = {name: FAMILIES[name] for name in (FAMILIES if families is None else families)}
     return _walked(*_inputs(bars), chosen)
 

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from barloom.functions.numeric import to_number
 from barloom.operators.indicators import window_indicators
 from barloom.operators.ranking import all_of
-from barloom.operators.recursive import recursive_indicators
+from barloom.operators.recursive import FAMILIES, recursive_indicators, walk_inputs, walked_in_batches
 from barloom.session import staged
 
 BASE = ["ticker", "date", "open", "high", "low", "close", "volume"]
@@ -80,7 +80,7 @@ def series_faults(typed: DataFrame) -> DataFrame:
     return counted.select("ticker", fault.alias("error"), "rows")
 
 
-def indicators_or_errors(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+def indicators_or_errors(raw: DataFrame, *, batches: bool = False, only: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(indicators of every sound ticker, (ticker, error, rows) of the others).
 
     A ticker without a usable row, or with two for one date, is rejected; the
@@ -89,10 +89,19 @@ def indicators_or_errors(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     typed = staged(typed_series(raw))
     faults = series_faults(typed)
     sound = typed.where("usable").join(faults.where("error IS NULL").select("ticker"), "ticker")
-    return technical_indicators(sound.select(*BASE)), faults.where("error IS NOT NULL")
+    return technical_indicators(sound.select(*BASE), batches=batches, only=only), faults.where("error IS NOT NULL")
 
 
-def technical_indicators(bars: DataFrame) -> DataFrame:
-    """Bars with all window and recursive indicators: one shuffle by ticker."""
+def technical_indicators(bars: DataFrame, *, batches: bool = False, only: list[str] | None = None) -> DataFrame:
+    """Bars with all window and recursive indicators: one shuffle by ticker.
+
+    With ``batches`` long frames and recurrences are worked out in Arrow
+    batches, which pays on long tables; without, Python is not needed. Spark
+    does not see which columns of a batch are read later: ``only`` names them.
+    """
     base = bars.select(*BASE)
+    if batches:
+        rows, hidden = walk_inputs(base)
+        walks = [f for f, family in FAMILIES.items() if only is None or set(only) & set(family.outputs)]
+        return keep_indicator_columns(walked_in_batches(window_indicators(rows, batches=True, only=only), hidden, walks))
     return keep_indicator_columns(recursive_indicators(window_indicators(base)))

@@ -246,7 +246,7 @@ def _wilder(name: str, source: str, x: str, n: int) -> str:
 
 
 def _recursive(t: Tables, family: str):
-    out = recursive.recursive_indicators(t.bars.select("ticker", "date", "high", "low", "close"), [family])
+    out = recursive.recursive_indicators(t.bars.select("ticker", "date", "high", "low", "close"), [family], batches=True)
     return rounded(out.drop("high", "low", "close"))
 
 
@@ -415,7 +415,7 @@ def _all_sql() -> str:
 
 @QUERIES.add("technical_indicators", _all_sql())
 def technical_indicators(t: Tables):
-    return rounded(technical.technical_indicators(t.bars))
+    return rounded(technical.technical_indicators(t.bars, batches=True))
 
 
 # --- messy series, one ticker's report -------------------------------------------
@@ -449,8 +449,9 @@ def indicator_rejects(t: Tables):
     WHERE {NUMBER} % 7 <> 0 AND ({NUMBER} % 11 <> 0 OR ticker NOT IN (SELECT ticker FROM ({QUERIES['rsi_wilder'].sql}) AS d WHERE day(date) = 1))""",
 )
 def indicators_beside_rejects(t: Tables):
-    sound, _ = technical.indicators_or_errors(_messy(t))
-    return rounded(sound.select("ticker", "date", "rsi_14", "stoch_k", "stoch_d"))
+    shown = ["rsi_14", "stoch_k", "stoch_d"]
+    sound, _ = technical.indicators_or_errors(_messy(t), batches=True, only=shown)
+    return rounded(sound.select("ticker", "date", *shown))
 
 
 REPORT = ("000003.KQ", "1996-01-01", "1999-12-31")

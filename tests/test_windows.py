@@ -1,5 +1,6 @@
 """Min-periods edges, RSI variants, guards, indicators against plain loops."""
 
+import datetime as dt
 import math
 
 import numpy as np
@@ -283,3 +284,33 @@ def test_technical_set_shape_and_helpers(make_bars, spark):
     aligned = technical.align_columns(kept, spark.range(1).selectExpr("1D AS its_9", "'x' AS extra").schema)
     assert aligned.first().asDict() == {"its_9": 3.0, "extra": None}
     assert dict(technical.downcast(df).dtypes)["close"] == "float"
+
+
+def test_batches_walk_like_arrays(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for ticker, (n, gaps) in {"A": (150, 0.0), "B": (3, 0.0), "C": (1, 0.0), "D": (200, 0.2), "E": (40, 0.05), "F": (60, 0.0), None: (30, 0.1)}.items():
+        close = 50.0
+        for i in range(n):
+            close = 7.0 if ticker == "F" else max(1.0, close + float(rng.choice([-1.0, 0.0, 0.5, rng.normal()])))
+            prices = [close, close + float(rng.random()), close - float(rng.random()), close]
+            prices = [None if rng.random() < gaps else float("nan") if ticker == "E" and rng.random() < 0.03 else x for x in prices]
+            rows.append((ticker, dt.date(2020, 1, 1) + dt.timedelta(days=i), *prices, int(rng.integers(0, 500))))
+    bars = spark.createDataFrame(rows, "ticker string, date date, open double, high double, low double, close double, volume long")
+    for run in (technical.technical_indicators, recursive.recursive_indicators):
+        want, got = (run(bars, batches=b).orderBy("ticker", "date") for b in (False, True))
+        assert want.schema == got.schema
+        assert [repr(r).replace("-0.0", "0.0") for r in want.collect()] == [repr(r).replace("-0.0", "0.0") for r in got.collect()]
+
+
+def test_batched_indicators_shuffle_once_and_walk_no_arrays(make_bars):
+    plan = technical.technical_indicators(make_bars({"A": walk(150, 1), "B": walk(3)}), batches=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 1
+    assert "aggregate(" not in plan and "collect_list(struct" not in plan
+
+
+def test_batches_of_chosen_indicators(make_bars):
+    bars, shown = make_bars({"A": walk(150, 1), "B": walk(3)}), ["ticker", "date", "rsi_14", "stoch_k", "stoch_d", "obv"]
+    want, got = (technical.technical_indicators(bars, **how).select(*shown).orderBy("ticker", "date").collect() for how in ({}, {"batches": True, "only": shown}))
+    assert want == got
+    assert set(technical.technical_indicators(bars, batches=True, only=shown).columns) == {*technical.BASE, *shown}
