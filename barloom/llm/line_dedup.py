@@ -6,7 +6,7 @@ the order of (doc_id, line number), has a Jaccard similarity of 0.8 or more.
 Lines with equal sets are one class, which stands at its first occurrence.
 Tokens are ordered by rarity; a class is listed under the tokens of its prefix,
 one of which any similar class must share. Within a token's list the length,
-the positional and a bitmap bound leave few pairs; those connect classes to
+the positional and a parity bound leave few pairs; those connect classes to
 candidate families. Families are verified on full sets, in which each class is
 moved once: small families whole, large ones first in blocks of lines of like
 length, then what is still kept there against all blocks whose lengths allow a
@@ -34,6 +34,7 @@ PIECE_BITS = 14
 RANK_BITS, HASH_BITS = 12, 32  # a token is known by its rank and hash together
 SLICE = 1 << 20
 PAIRS = 1 << 20  # pairs compared in one step
+WIDE = 128  # lines of more tokens have twice the parity bits
 BAND = 1.05  # lengths of one band differ by at most this factor
 
 
@@ -78,9 +79,9 @@ def dedup_lines(docs: DataFrame, parameters: LineParameters = LineParameters())
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_line_doc")) & (F.col("_line_hash") == F.col("_line_digest"))
     hashed = docs.withColumns({"_line_hash": F.xxhash64("text"), "_line_null": F.col("text").isNull()})
     packed_schema = hashed.withColumn("text", F.lit(b"")).select(*hashed.columns).schema
-    joined = hashed.mapInArrow(pack, packed_schema).join(kept, same, "left").drop("_line_doc", "_line_digest", "_line_hash")
+    joined = arrow_map(hashed, pack, packed_schema).join(kept, same, "left").drop("_line_doc", "_line_digest", "_line_hash")
     schema = docs.select("*", F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed")).schema
-    return joined.mapInArrow(_rebuilt, schema)
+    return arrow_map(joined, _rebuilt, schema)
 
 
 # --- tokens and their rarity --------------------------------------------------
@@ -146,19 +147,19 @@ def least_overlap(a: np.ndarray | int, b: np.ndarray | int, percent: int):
 
 LINES = pa.schema(
     [("doc_id", pa.int64()), ("digest", pa.int64()), ("line_no", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("n", pa.int32())]
-    + [("b1", pa.int64()), ("b2", pa.int64()), ("prefix", pa.list_(pa.int64()))]
+    + [("b1", pa.int64()), ("b2", pa.int64()), ("b3", pa.int64()), ("b4", pa.int64()), ("prefix", pa.list_(pa.int64()))]
 )
 
 
 def _classes(texts: DataFrame, rarity: Broadcast, p: LineParameters) -> DataFrame:
-    """One row per distinct token set, at its first occurrence: id, nameless, doc_id, digest, line_no, n, b1, b2, prefix.
+    """One row per distinct token set, at its first occurrence: id, nameless, doc_id, digest, line_no, n, b1 to b4, prefix.
 
     ``prefix`` packs token and position; tokens that occur once in the corpus are left out, as nothing shares them.
     """
-    schema = "doc_id long, digest long, line_no int, h1 long, h2 long, n int, b1 long, b2 long, prefix array<long>"
+    schema = "doc_id long, digest long, line_no int, h1 long, h2 long, n int, b1 long, b2 long, b3 long, b4 long, prefix array<long>"
     lines = arrow_map(texts, _line_rows, schema, rarity=rarity, p=p)
     place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "digest", "line_no")
-    about = F.struct("n", "b1", "b2", "prefix")
+    about = F.struct("n", "b1", "b2", "b3", "b4", "prefix")
     firsts = lines.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.first(about).alias("about"))
     return staged(firsts.select(F.monotonically_increasing_id().alias("id"), "place.*", "about.*"))
 
@@ -178,9 +179,7 @@ def _line_rows(batches: Iterator[pa.RecordBatch], rarity: Broadcast, p: LinePara
         starts, n = bounds[:-1], np.diff(bounds)
         mixed_tokens = mixed(tokens)
         h1, h2 = np.add.reduceat(mixed_tokens, starts), np.add.reduceat(mixed(tokens ^ np.uint64(0x5851F42D4C957F2D)), starts)
-        bit, high = np.uint64(1) << (mixed_tokens & np.uint64(63)), (mixed_tokens >> np.uint64(6)) & np.uint64(1)
-        b1 = np.bitwise_or.reduceat(np.where(high == 0, bit, np.uint64(0)), starts)
-        b2 = np.bitwise_or.reduceat(np.where(high == 1, bit, np.uint64(0)), starts)
+        parities = token_parities(mixed_tokens, starts, n)
         position = np.arange(len(tokens)) - np.repeat(starts, n)
         length = n - least_prefix(n, p.percent) + 1
         listed = (position < np.repeat(length, n)) & (tokens >> np.uint64(HASH_BITS) > 0)
@@ -191,7 +190,7 @@ def _line_rows(batches: Iterator[pa.RecordBatch], rarity: Broadcast, p: LinePara
             [
                 batch.column("doc_id").take(rows), batch.column("digest").take(rows), pa.array([i for _, i, _ in found], pa.int32()),
                 pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(n.astype(np.int32)),
-                pa.array(b1.view(np.int64)), pa.array(b2.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(packed)),
+                *[pa.array(x.view(np.int64)) for x in parities], pa.ListArray.from_arrays(pa.array(ends), pa.array(packed)),
             ],
             schema=LINES,
         )
@@ -202,13 +201,34 @@ def least_prefix(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-(percent * n) // 100)
 
 
+def token_parities(hashes: np.ndarray, starts: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """Four words of bits a line: whether an even or odd number of its tokens falls on each bit.
+
+    Shared tokens cancel out however many there are, so two lines differ in no more bits than in tokens. The first
+    two words are folded from four; the last two are zero up to ``WIDE`` tokens, which keeps most postings short.
+    """
+    bit, word = np.uint64(1) << (hashes & np.uint64(63)), (hashes >> np.uint64(6)) & np.uint64(3)
+    w1, w2, w3, w4 = (np.bitwise_xor.reduceat(np.where(word == k, bit, np.uint64(0)), starts) for k in range(4))
+    wide = n > WIDE
+    return [w1 ^ w3, w2 ^ w4, np.where(wide, w3, np.uint64(0)), np.where(wide, w4, np.uint64(0))]
+
+
+def least_apart(bits: list[np.ndarray], n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """A lower bound on the tokens that only one of two lines has."""
+    d1, d2, d3, d4 = (b[i] ^ b[j] for b in bits)
+    both = (n[i] > WIDE) & (n[j] > WIDE)
+    folded = np.bitwise_count(d1).astype(np.int64) + np.bitwise_count(d2)
+    unfolded = sum(np.bitwise_count(x).astype(np.int64) for x in (d1 ^ d3, d2 ^ d4, d3, d4))
+    return np.where(both, unfolded, folded)
+
+
 # --- similar classes ----------------------------------------------------------
 
 
 def near_edges(classes: DataFrame, p: LineParameters) -> DataFrame:
     """Edges (a, b) whose components hold every pair that passes the bounds under a token of both prefixes."""
-    listed = classes.select("id", "n", "b1", "b2", F.explode("prefix").alias("packed"))
-    postings = listed.select(F.expr("shiftright(packed, 8)").alias("token"), "id", "n", F.expr("cast(packed & 255 as int)").alias("at"), "b1", "b2")
+    listed = classes.select("id", "n", "b1", "b2", "b3", "b4", F.explode("prefix").alias("packed"))
+    postings = listed.select(F.expr("shiftright(packed, 8)").alias("token"), "id", "n", F.expr("cast(packed & 255 as int)").alias("at"), "b1", "b2", "b3", "b4")
     return arrow_map(by_key(postings, "token", "n"), _near_pairs, "a long, b long", p=p)
 
 
@@ -256,11 +276,11 @@ def similar_to_earlier(texts: DataFrame, places: DataFrame, edges: DataFrame, ra
 
 
 def _near_pairs(batches: Iterator[pa.RecordBatch], p: LineParameters) -> Iterator[pa.RecordBatch]:
-    """A spanning star of each component of pairs that pass the length, positional and bitmap bounds under a token."""
+    """A spanning star of each component of pairs that pass the length, positional and parity bounds under a token."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     for table, bounds in sorted_groups(batches, "token"):
         names, n, at = (table.column(c).to_numpy().astype(np.int64) for c in ("id", "n", "at"))
-        b1, b2 = (table.column(c).to_numpy().view(np.uint64) for c in ("b1", "b2"))
+        bits = [table.column(c).to_numpy().view(np.uint64) for c in ("b1", "b2", "b3", "b4")]
         group = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
         # rows are sorted by token and n: those near enough in length above a row are the next ones
         span = int(n.max()) * 100 // p.percent + 2
@@ -276,8 +296,10 @@ def _near_pairs(batches: Iterator[pa.RecordBatch], p: LineParameters) -> Iterato
             i = np.repeat(np.arange(done, until), counts)
             j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(counts) - counts, counts)
             need = least_overlap(n[i], n[j], p.percent)
-            apart = np.bitwise_count(b1[i] ^ b1[j]).astype(np.int64) + np.bitwise_count(b2[i] ^ b2[j])
-            near = (1 + np.minimum(n[i] - at[i], n[j] - at[j]) - 1 >= need) & ((n[i] + n[j] - apart) // 2 >= need)
+            # most pairs fall to the positional bound, which reads less
+            few = np.flatnonzero(np.minimum(n[i] - at[i], n[j] - at[j]) >= need)
+            i, j, need = i[few], j[few], need[few]
+            near = (n[i] + n[j] - least_apart(bits, n, i, j)) // 2 >= need
             a.append(i[near])
             b.append(j[near])
             done = until

@@ -10,7 +10,7 @@ import tiktoken
 
 import corpus_pipeline
 from barloom.llm.byte_bpe import Encoder, Vocabulary, read_ranks
-from barloom.llm.line_dedup import BUCKET_BITS, token_sets
+from barloom.llm.line_dedup import BUCKET_BITS, LineParameters, _classes, least_apart, near_edges, rarity_table, token_parities, token_sets
 from barloom.llm.main_text import HtmlParameters, blocks_of, main_text
 from barloom.llm.near_duplicates import keep_one_of_each
 from barloom.llm.queries import byte_bpe_50k
@@ -163,3 +163,27 @@ def test_states_are_bounded_within_a_piece():
     assert np.frombuffer(encoder.encode(text), "<u4").tolist() == known.encode_ordinary(text)
     assert len(encoder.transducer.states) <= 1002 and len(encoder.transducer.moves) <= 256 * 1002
     assert all(len(piece) <= 256 for piece in [*encoder.pieces, *encoder.words])
+
+
+def test_long_unlike_lines_are_no_candidates(spark):
+    draw = random.Random(9)
+    words = [f"w{i}" for i in range(700)]
+    lines = [" ".join(draw.sample(words, 210)) for _ in range(300)]
+    lines.append(lines[0].rpartition(" ")[0])
+    texts = documents(spark, lines).selectExpr("doc_id", "text", "xxhash64(text) as digest")
+    p = LineParameters()
+    rarity = spark.sparkContext.broadcast(rarity_table(texts))
+    classes = _classes(texts, rarity, p)
+    doc_of = {r["id"]: r["doc_id"] for r in classes.collect()}
+    assert {frozenset((doc_of[r["a"]], doc_of[r["b"]])) for r in near_edges(classes, p).collect()} == {frozenset((0, 300))}
+
+
+def test_parities_never_claim_too_much():
+    draw = np.random.default_rng(11)
+    pool = draw.integers(0, 2**63, 2000).astype(np.uint64)
+    sizes = np.repeat([1, 5, 60, 120, 128, 129, 136, 300, 900], 6)
+    sets = [draw.choice(pool[: 2 * size + 3], size, replace=False) for size in sizes]
+    bits = token_parities(np.concatenate(sets), np.cumsum(sizes) - sizes, sizes)
+    i, j = np.triu_indices(len(sets), 1)
+    apart = np.array([len(np.setxor1d(sets[a], sets[b])) for a, b in zip(i, j)])
+    assert (least_apart(bits, sizes, i, j) <= apart).all()
