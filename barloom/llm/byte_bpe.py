@@ -56,14 +56,14 @@ def encode_documents(docs: DataFrame, parameters: BpeParameters, with_ids: bool
     spark.sparkContext.addFile(parameters.ranks)
     name = parameters.ranks.rpartition("/")[2]
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
-    return arrow_map(narrowed(docs, "doc_id", "text"), _encode, schema, p=parameters, name=name, with_ids=with_ids)
+    return arrow_map(narrowed(docs, "doc_id", "text"), _encode, schema, keeps=True, p=parameters, name=name, with_ids=with_ids)
 
 
 def decode_documents(encoded: DataFrame, parameters: BpeParameters) -> DataFrame:
     """doc_id and text of rows with ids; bytes that are no UTF-8 become replacement characters, null ids null text."""
     encoded.sparkSession.sparkContext.addFile(parameters.ranks)
     name = parameters.ranks.rpartition("/")[2]
-    return arrow_map(narrowed(encoded, "doc_id", "ids"), _decode, "doc_id long, text string", p=parameters, name=name)
+    return arrow_map(narrowed(encoded, "doc_id", "ids"), _decode, "doc_id long, text string", keeps=True, p=parameters, name=name)
 
 
 class Vocabulary:

@@ -8,7 +8,6 @@ document that keeps too few of its words is depleted.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -77,10 +76,10 @@ def filter_documents(docs: DataFrame, parameters: QualityParameters = QualityPar
     fields = [docs.schema[c] for c in rest]
     carried = T.StructType([*fields, *[T.StructField(k, kind) for k, kind in zip(keys, (T.StringType(), T.LongType(), T.LongType()))], T.StructField(packed, T.BinaryType())])
     sound = docs.withColumns(named).select(*[F.col(f"`{c}`") for c in rest], *keys, "text")
-    small = sound.mapInArrow(functools.partial(_sound, p=p, packed=packed), carried)
+    small = arrow_map(sound, _sound, carried, p=p, packed=packed)
     joined = small.join(cut, keys, "left").select(*[F.col(f"`{c}`") for c in rest], packed, frequent)
     out = T.StructType([*fields, docs.schema["text"]])
-    filtered = joined.mapInArrow(functools.partial(_filtered, p=p, packed=packed, frequent=frequent), out)
+    filtered = arrow_map(joined, _filtered, out, p=p, packed=packed, frequent=frequent)
     return filtered.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

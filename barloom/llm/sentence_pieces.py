@@ -62,14 +62,14 @@ def encode_pieces(docs: DataFrame, parameters: PieceParameters, with_ids: bool =
     docs.sparkSession.sparkContext.addFile(parameters.model)
     name = parameters.model.rpartition("/")[2]
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
-    return arrow_map(narrowed(docs, "doc_id", "text"), _encode, schema, p=parameters, name=name, with_ids=with_ids)
+    return arrow_map(narrowed(docs, "doc_id", "text"), _encode, schema, keeps=True, p=parameters, name=name, with_ids=with_ids)
 
 
 def decode_pieces(encoded: DataFrame, parameters: PieceParameters) -> DataFrame:
     """doc_id and text of rows with ids; null ids give null text, bytes that are no UTF-8 one replacement character each."""
     encoded.sparkSession.sparkContext.addFile(parameters.model)
     name = parameters.model.rpartition("/")[2]
-    return arrow_map(narrowed(encoded, "doc_id", "ids"), _decode, "doc_id long, text string", p=parameters, name=name)
+    return arrow_map(narrowed(encoded, "doc_id", "ids"), _decode, "doc_id long, text string", keeps=True, p=parameters, name=name)
 
 
 # --- the model file -------------------------------------------------------------

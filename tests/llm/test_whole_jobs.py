@@ -10,6 +10,7 @@ import tiktoken
 
 import corpus_pipeline
 from barloom.llm.byte_bpe import Encoder, Vocabulary, read_ranks
+from barloom.llm.common import _unburdened, once_per_worker
 from barloom.llm.line_dedup import BUCKET_BITS, LineParameters, _classes, least_apart, near_edges, rarity_table, token_parities, token_sets
 from barloom.llm.main_text import HtmlParameters, blocks_of, main_text
 from barloom.llm.near_duplicates import keep_one_of_each
@@ -187,3 +188,13 @@ def test_parities_never_claim_too_much():
     i, j = np.triu_indices(len(sets), 1)
     apart = np.array([len(np.setxor1d(sets[a], sets[b])) for a, b in zip(i, j)])
     assert (least_apart(bits, sizes, i, j) <= apart).all()
+
+
+def test_tables_of_a_worker_go_with_the_next_kind_of_task():
+    made = []
+    for _ in range(2):
+        once_per_worker(("test",), lambda: made.append(1))
+    assert len(made) == 1
+    assert list(_unburdened(iter([1, 2]), step=lambda batches: batches)) == [1, 2]
+    once_per_worker(("test",), lambda: made.append(1))
+    assert len(made) == 2
