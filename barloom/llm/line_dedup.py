@@ -25,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import Forest, arrow_map, batch_of, by_key, discard, mixed, pack, release_shuffles, sorted_groups, text_slices, unpacked, word_hashes
+from barloom.llm.common import arrow_map, batch_of, by_key, discard, mixed, pack, release_shuffles, sorted_groups, text_slices, unpacked, word_hashes
 from barloom.llm.graph import connected_components
 from barloom.session import staged
 
@@ -33,7 +33,7 @@ BUCKET_BITS = 20
 PIECE_BITS = 14
 RANK_BITS, HASH_BITS = 12, 32  # a token is known by its rank and hash together
 SLICE = 1 << 20
-PAIRS = 1 << 20  # pairs compared in one step
+PAIRS = 1 << 18  # pairs compared in one step
 WIDE = 128  # lines of more tokens have twice the parity bits
 BAND = 1.05  # lengths of one band differ by at most this factor
 
@@ -286,7 +286,7 @@ def _near_pairs(batches: Iterator[pa.RecordBatch], p: LineParameters) -> Iterato
         span = int(n.max()) * 100 // p.percent + 2
         key = group * span + n
         reach = np.searchsorted(key, group * span + n * 100 // p.percent, side="right") - np.arange(len(n)) - 1
-        a, b = [], []
+        roots = np.arange(len(n))
         done = 0
         totals = np.cumsum(reach)
         while done < len(n):
@@ -295,23 +295,30 @@ def _near_pairs(batches: Iterator[pa.RecordBatch], p: LineParameters) -> Iterato
             counts = reach[done:until]
             i = np.repeat(np.arange(done, until), counts)
             j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(counts) - counts, counts)
+            done = until
+            # a list of like lines has many more pairs than lines: those of one component are dropped, the others joined at once
+            apart = np.flatnonzero(roots[i] != roots[j])
+            i, j = i[apart], j[apart]
             need = least_overlap(n[i], n[j], p.percent)
             # most pairs fall to the positional bound, which reads less
             few = np.flatnonzero(np.minimum(n[i] - at[i], n[j] - at[j]) >= need)
             i, j, need = i[few], j[few], need[few]
             near = (n[i] + n[j] - least_apart(bits, n, i, j)) // 2 >= need
-            a.append(i[near])
-            b.append(j[near])
-            done = until
-        i, j = np.concatenate(a), np.concatenate(b)
-        if len(i):
-            used, numbered = np.unique(np.concatenate([i, j]), return_inverse=True)
-            forest = Forest(len(used))
-            for x, y in zip(numbered[: len(i)].tolist(), numbered[len(i) :].tolist()):
-                forest.join(x, y)
-            roots = np.array([forest.root(x) for x in range(len(used))])
-            moved = roots != np.arange(len(used))
-            yield batch_of(schema, names[used[moved]], names[used[roots[moved]]])
+            roots = _joined(roots, i[near], j[near])
+        moved = roots != np.arange(len(n))
+        if moved.any():
+            yield batch_of(schema, names[moved], names[roots[moved]])
+
+
+def _joined(roots: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``roots``, the smallest member of each row's set, after the sets of i and j were joined, pair by pair; in place."""
+    while len(apart := np.flatnonzero(roots[i] != roots[j])):
+        i, j = i[apart], j[apart]
+        a, b = roots[i], roots[j]
+        np.minimum.at(roots, np.maximum(a, b), np.minimum(a, b))
+        while np.any((further := roots[roots]) != roots):
+            roots = further
+    return roots
 
 
 def _with_tokens(texts: DataFrame, members: DataFrame, rarity: Broadcast) -> DataFrame:
@@ -361,20 +368,21 @@ def _verified(rows: DataFrame, p: LineParameters) -> DataFrame:
 def _later_ones(batches: Iterator[pa.RecordBatch], p: LineParameters) -> Iterator[pa.RecordBatch]:
     """Asking rows of a part with a similar answering row before them; rows come in the order of their places."""
     schema = pa.schema([("id", pa.int64())])
-    for table, bounds in sorted_groups(batches, "part"):
-        names, asks, answers = (table.column(c).to_pylist() for c in ("id", "asks", "answers"))
-        tokens = table.column("tokens")
+    part, earlier, lengths = None, [], []
+    for batch in batches:
+        # open lines of a large family ask in each of its blocks: a part may be long, but few of its rows answer
+        parts, names, asks, answers = (batch.column(c).to_pylist() for c in ("part", "id", "asks", "answers"))
+        tokens = batch.column("tokens")
         found = []
-        for lo, hi in zip(bounds[:-1], bounds[1:]):
-            earlier: list[np.ndarray] = []
-            lengths: list[int] = []
-            for i in range(lo, hi):
-                own = np.frombuffer(tokens[i].as_py(), np.uint64)
-                if asks[i] and earlier and _similar_one(own, earlier, lengths, p.percent):
-                    found.append(names[i])
-                if answers[i]:
-                    earlier.append(own)
-                    lengths.append(len(own))
+        for i in range(batch.num_rows):
+            if parts[i] != part:
+                part, earlier, lengths = parts[i], [], []
+            own = np.frombuffer(tokens[i].as_py(), np.uint64)
+            if asks[i] and earlier and _similar_one(own, earlier, lengths, p.percent):
+                found.append(names[i])
+            if answers[i]:
+                earlier.append(own)
+                lengths.append(len(own))
         yield batch_of(schema, found)
 
 

@@ -3,15 +3,17 @@
 import dataclasses
 import random
 import time
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 
 import corpus_pipeline
 from barloom.llm.byte_bpe import Encoder, Vocabulary, read_ranks
 from barloom.llm.common import _unburdened, once_per_worker
-from barloom.llm.line_dedup import BUCKET_BITS, LineParameters, _classes, least_apart, near_edges, rarity_table, token_parities, token_sets
+from barloom.llm.line_dedup import BUCKET_BITS, LineParameters, _classes, _later_ones, _near_pairs, least_apart, near_edges, rarity_table, token_parities, token_sets
 from barloom.llm.main_text import HtmlParameters, blocks_of, main_text
 from barloom.llm.near_duplicates import keep_one_of_each
 from barloom.llm.queries import byte_bpe_50k
@@ -179,6 +181,33 @@ def test_long_unlike_lines_are_no_candidates(spark):
     assert {frozenset((doc_of[r["a"]], doc_of[r["b"]])) for r in near_edges(classes, p).collect()} == {frozenset((0, 300))}
 
 
+def test_near_pairs_of_a_long_list_take_no_room_of_their_own():
+    rows = 2500
+    same = {"token": 7, "n": 30, "at": 0, "b1": 0, "b2": 0, "b3": 0, "b4": 0}
+    lists = {"id": pa.array(range(100, 100 + rows)), **{k: pa.array([v] * rows, pa.int64()) for k, v in same.items()}}
+    # the last two share another token, with each other only
+    lists["token"] = pa.array([7] * (rows - 2) + [8, 8])
+    tracemalloc.start()
+    found = [b.to_pydict() for b in _near_pairs(iter([pa.record_batch(lists)]), LineParameters())]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    edges = {e for b in found for e in zip(b["a"], b["b"])}
+    assert edges == {(i, 100) for i in range(101, 98 + rows)} | {(99 + rows, 98 + rows)}
+    assert peak < 80e6  # three million pairs
+
+
+def test_rows_that_ask_a_block_are_not_gathered():
+    def rows(ids, asks):
+        tokens = np.arange(10, dtype=np.uint64).tobytes() if asks else np.arange(9, dtype=np.uint64).tobytes()
+        return pa.record_batch({"part": [5] * len(ids), "id": ids, "asks": [asks] * len(ids), "answers": [not asks] * len(ids), "tokens": [tokens] * len(ids)})
+
+    taken = []
+    batches = (taken.append(k) or b for k, b in enumerate([rows([1], False), rows([2, 3], True), rows([4], True)]))
+    steps = _later_ones(batches, LineParameters())
+    found = [(len(taken), step["id"].to_pylist()) for step in steps]
+    assert found == [(1, []), (2, [2, 3]), (3, [4])]
+
+
 def test_parities_never_claim_too_much():
     draw = np.random.default_rng(11)
     pool = draw.integers(0, 2**63, 2000).astype(np.uint64)
