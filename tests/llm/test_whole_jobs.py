@@ -11,6 +11,7 @@ import pytest
 import tiktoken
 
 import corpus_pipeline
+from barloom.llm import common
 from barloom.llm.byte_bpe import Encoder, Vocabulary, read_ranks
 from barloom.llm.common import _unburdened, once_per_worker
 from barloom.llm.line_dedup import BUCKET_BITS, LineParameters, _classes, _later_ones, _near_pairs, least_apart, near_edges, rarity_table, token_parities, token_sets
@@ -227,3 +228,13 @@ def test_tables_of_a_worker_go_with_the_next_kind_of_task():
     assert list(_unburdened(iter([1, 2]), step=lambda batches: batches)) == [1, 2]
     once_per_worker(("test",), lambda: made.append(1))
     assert len(made) == 2
+
+
+def test_a_task_gives_memory_back_when_it_ends_and_when_it_frees_tables(monkeypatch):
+    calls = []
+    monkeypatch.setattr(common, "_give_back", lambda: calls.append(len(taken)))
+    taken = []
+    step = lambda batches: (taken.append(b) or b for b in batches)
+    once_per_worker(("held",), lambda: [0])
+    assert list(_unburdened(iter([1, 2]), step=step)) == [1, 2] and calls == [0, 2]
+    assert list(_unburdened(iter([3]), step=step)) == [3] and calls == [0, 2, 3]
