@@ -52,12 +52,13 @@ def market_days(df: DataFrame) -> DataFrame:
     return date_stats(df.select("date", "ret_1d")).where(F.col("breadth_count").isNotNull())
 
 
-def add_date_context(df: DataFrame, z_columns: list[str]) -> DataFrame:
+def add_date_context(df: DataFrame, z_columns: list[str], source: DataFrame | None = None) -> DataFrame:
     """Market context, relative strength, the risk-on flag and z_<column> for each z column.
 
-    A z-score with a zero or missing standard deviation is null.
+    A z-score with a zero or missing standard deviation is null. The dates'
+    statistics come from ``source``, the same rows with fewer columns, if given.
     """
-    out = df.join(staged(date_stats(df, z_columns)), "date", "left")
+    out = df.join(staged(date_stats(df if source is None else source, z_columns)), "date", "left")
     risk_on = (F.col("market_ret_20d") > 0.0) & (F.col("breadth_up_ratio") >= 0.5)
     scores = [
         F.try_divide(F.col(c) - F.col(f"_m_{c}"), F.col(f"_s_{c}")).alias(f"z_{c}") for c in z_columns

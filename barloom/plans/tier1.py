@@ -14,7 +14,7 @@ from barloom.operators.cross_section import add_date_context, weighted_sum
 from barloom.operators.indicators import bollinger, realized_vol, true_range
 from barloom.operators.ranking import all_of, number_rows
 from barloom.operators.series import latest_per_ticker, min_history
-from barloom.session import staged
+from barloom.session import staged, staged_by
 
 # Weights of the composite score.
 SCORE_WEIGHTS = {
@@ -35,8 +35,6 @@ NEEDED = [
 CANDIDATE_FEATURES = [
     "ret_1d", "ret_5d", "ret_20d", "sma20", "sma60", "natr14", "rvol20", "dollar_volume", "breakout_dist_20", "bb_width20",
 ]
-
-
 @dataclass(frozen=True)
 class CandidateRules:
     """Thresholds of the candidate filter (defaults are fixed values)."""
@@ -90,13 +88,20 @@ def symbol_features(bars: DataFrame, only: Sequence[str] | None = None, *, batch
     return f.select(bars, "*", *[c.alias(name) for name, c in columns.items() if only is None or name in only])
 
 
-def tier1_features(bars: DataFrame, history: int = 20, only: Sequence[str] | None = None) -> DataFrame:
+def tier1_features(bars: DataFrame, history: int = 20, only: Sequence[str] | None = None, *, written: bool = True) -> DataFrame:
     """Features (all, or ``only`` some that include what the score reads) of every ticker with at least ``history`` bars, with context and composite score.
 
-    The features are written once; the statistics of the dates scan a few of their columns.
+    The features are written once; the statistics of the dates scan a few of their columns. For callers that read the
+    result once, features that are not ``written`` take a table of the bars instead, a fraction of their size:
+    the statistics roll what they need from it first.
     """
-    features = staged(symbol_features(min_history(bars, history), only, batches=True))
-    scored = add_date_context(features, Z_COLUMNS)
+    if written:
+        features = staged(symbol_features(min_history(bars, history), only, batches=True))
+        scored = add_date_context(features, Z_COLUMNS)
+    else:
+        series = min_history(staged_by(bars, "ticker"), history)
+        features = symbol_features(series, only, batches=True)
+        scored = add_date_context(features, Z_COLUMNS, symbol_features(series, ["ret_1d", *Z_COLUMNS], batches=True))
     # the last bits of a mean depend on merge order: drop them, so that ties and
     # ranks come out the same on every run
     return scored.withColumn("tier1_composite_score", F.rint(weighted_sum(SCORE_WEIGHTS) * 1e12) / 1e12)

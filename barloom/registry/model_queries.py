@@ -104,7 +104,7 @@ def cross_section_z(t: Tables):
     ),
 )
 def tier1_features(t: Tables):
-    out = tier1.tier1_features(t.bars)
+    out = tier1.tier1_features(t.bars, written=False)
     return rounded(
         out.drop("open", "high", "low", "adj_close", "market_ret_5d", "market_ret_20d", "rel_strength_5d", "rel_strength_20d")
     )

@@ -1,14 +1,19 @@
 """Probability model, daily picks, walk-forward, variance report, next-day score."""
 
 import datetime as dt
+import os
+from urllib.parse import urlparse
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
+
 from barloom.functions.numeric import band_score, decimal4, half_up_at, to_number
 from barloom.operators.binning import Mapper, Model, fit_mappers, mapped_probability
-from barloom.plans import daily_top, next_day, tier1, variance, walk_forward
+from barloom.plans import daily_top, next_day, technical, tier1, variance, walk_forward
+from barloom.session import shared_path, staged_by
 
 
 def labelled(spark, n=3000, seed=1):
@@ -219,3 +224,47 @@ def test_candidate_features_are_all_that_the_score_and_the_filter_read(make_bars
     shown = ["ticker", "date", "tier1_composite_score", "candidate_rank"]
     a, b = (sorted(tuple(r) for r in tier1.buy_candidates(f, rules, per_date=True).select(*shown).collect()) for f in (whole, some))
     assert a and a == b
+
+
+def many_series(make_bars):
+    rng = np.random.default_rng(6)
+    lengths = {"A": 90, "B": 70, "C": 19, "D": 1, "E": 20, "F": 64}
+    return make_bars({t: [float(c) for c in 100 * np.exp(np.cumsum(rng.normal(0, 0.03, n)))] for t, n in lengths.items()})
+
+
+@pytest.mark.parametrize("only", [None, tier1.CANDIDATE_FEATURES])
+def test_features_are_the_same_whether_written_or_not(make_bars, only):
+    bars = many_series(make_bars)
+    want, got = (tier1.tier1_features(bars, only=only, written=w) for w in (True, False))
+    assert want.columns == got.columns
+    want, got = (x.orderBy("ticker", "date").toPandas() for x in (want, got))
+    assert len(got) == 90 + 70 + 20 + 64 and got.isna().equals(want.isna())
+    for c in got.columns:
+        np.testing.assert_array_equal(got[c], want[c]) if got[c].dtype == object else np.testing.assert_allclose(got[c], want[c], rtol=1e-9, atol=1e-12)
+
+
+def test_series_in_buckets_need_no_shuffle(spark, make_bars):
+    bars = many_series(make_bars).union(make_bars({None: [1.0]})).repartition(3)
+    table = staged_by(bars, "ticker")
+    assert sorted(map(str, table.collect())) == sorted(map(str, bars.collect()))
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("barloom")]
+    out = technical.technical_indicators(table, batches=True)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert staged_by(bars.where("false"), "ticker").count() == 0
+
+
+def test_queries_over_all_bars_write_no_more_than_they_read(spark, tmp_path):
+    rows = [(k, 1, 1, k % 3, dt.datetime(2020, 1, 1) + dt.timedelta(days=k // 3), 2.0, 100.0 + k % 7) for k in range(120)]
+    schema = "l_orderkey long, l_partkey long, l_linenumber int, l_suppkey long, l_shipdate timestamp, l_quantity double, l_extendedprice double"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/lineitem.parquet")
+    folder = os.path.dirname(urlparse(shared_path(spark, "any")).path)
+
+    def written(name):
+        before = set(os.listdir(folder))
+        out = queries()[name](spark, str(tmp_path))
+        assert out.count()
+        return out, [set(spark.read.parquet(f"{folder}/{d}").columns) for d in set(os.listdir(folder)) - before if d.startswith("stage-")]
+
+    bars = {"ticker", "date", "open", "high", "low", "close", "volume", "adj_close"}
+    _, tables = written("tier1_features")
+    assert bars in tables and not [t for t in tables if t & {"sma20", "bb_mid20"}]
