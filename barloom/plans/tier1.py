@@ -35,6 +35,13 @@ NEEDED = [
 CANDIDATE_FEATURES = [
     "ret_1d", "ret_5d", "ret_20d", "sma20", "sma60", "natr14", "rvol20", "dollar_volume", "breakout_dist_20", "bb_width20",
 ]
+# what the summary reads of the features, context and score
+SUMMARY_COLUMNS = [
+    "ticker", "date", "close", "ret_1d", "ret_5d", "sma20", "sma60", "natr14", "rvol20", "dollar_volume", "breakout_dist_20",
+    "risk_on_regime", "tier1_composite_score",
+]
+
+
 @dataclass(frozen=True)
 class CandidateRules:
     """Thresholds of the candidate filter (defaults are fixed values)."""

@@ -193,7 +193,8 @@ def tier1_latest(t: Tables):
     ),
 )
 def tier1_summary(t: Tables):
-    features = staged(tier1.tier1_features(t.bars))
+    features = tier1.tier1_features(t.bars, only=tier1.CANDIDATE_FEATURES, written=False)
+    features = staged(features.select(*tier1.SUMMARY_COLUMNS))
     candidates = tier1.buy_candidates(features, RULES, per_date=True)
     out = tier1.tier1_summary(features, candidates, RULES, 5)
     names = F.concat_ws(",", F.col("top_tickers.ticker"))

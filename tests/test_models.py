@@ -268,3 +268,5 @@ def test_queries_over_all_bars_write_no_more_than_they_read(spark, tmp_path):
     bars = {"ticker", "date", "open", "high", "low", "close", "volume", "adj_close"}
     _, tables = written("tier1_features")
     assert bars in tables and not [t for t in tables if t & {"sma20", "bb_mid20"}]
+    _, tables = written("tier1_summary")
+    assert bars in tables and set(tier1.SUMMARY_COLUMNS) in tables and not [t for t in tables if "bb_mid20" in t]
