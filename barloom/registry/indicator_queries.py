@@ -7,6 +7,7 @@ from barloom.operators import indicators as ind
 from barloom.operators import recursive
 from barloom.plans import analytics, technical
 from barloom.registry.base import Catalogue, Tables, W, frame, lag, query, r, roll, rounded, rs
+from barloom.session import staged_by
 
 QUERIES = Catalogue()
 
@@ -415,7 +416,7 @@ def _all_sql() -> str:
 
 @QUERIES.add("technical_indicators", _all_sql())
 def technical_indicators(t: Tables):
-    return rounded(technical.technical_indicators(t.bars, batches=True))
+    return rounded(technical.technical_indicators(staged_by(t.bars, "ticker"), batches=True))
 
 
 # --- messy series, one ticker's report -------------------------------------------

@@ -266,6 +266,8 @@ def test_queries_over_all_bars_write_no_more_than_they_read(spark, tmp_path):
         return out, [set(spark.read.parquet(f"{folder}/{d}").columns) for d in set(os.listdir(folder)) - before if d.startswith("stage-")]
 
     bars = {"ticker", "date", "open", "high", "low", "close", "volume", "adj_close"}
+    out, tables = written("technical_indicators")
+    assert tables == [bars] and "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
     _, tables = written("tier1_features")
     assert bars in tables and not [t for t in tables if t & {"sma20", "bb_mid20"}]
     _, tables = written("tier1_summary")
